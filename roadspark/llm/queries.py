@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, token_files
+from roadspark.llm import byte_bpe, language_id, secret_scan, token_files
 from roadspark.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.transform("base", lambda s: s["kind"]), ",")
+    counts = [F.regexp_count(kinds, F.lit(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language_id.learn(docs.where(~language_id.held_out()), key=F.col("doc_id"))
+    judged = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(judged, profiles).drop("text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
@@ -26,6 +40,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
+        "op4_language_id": op4_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_files": op7_token_files,
     }
