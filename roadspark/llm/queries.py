@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, language_id, secret_scan, token_files
+from roadspark.llm import byte_bpe, language_id, main_text, secret_scan, token_files, url_filter
 from roadspark.llm.common import table
 
 
@@ -38,12 +38,27 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: The rules of the query.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "by_method")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op4_language_id": op4_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_files": op7_token_files,
+        "op9_main_text": op9_main_text,
+        "op10_url_filter": op10_url_filter,
     }
 
 
