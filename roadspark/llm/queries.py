@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, language_id, main_text, secret_scan, token_files, url_filter
+from roadspark.llm import byte_bpe, language_id, line_templates, main_text, secret_scan, token_files, url_filter
 from roadspark.llm.common import table
 
 
@@ -19,6 +19,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+#: The same in DuckDB SQL, with templates as texts instead of hashes.
+OP3_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
+masked AS (SELECT doc_id, text, line, i, trim(regexp_replace(' ' || lower(line), '([ ])[^\\s0-9]*[0-9][^\\s]*', '\\1<*>', 'g'), ' ') AS m FROM raw),
+tokens AS (SELECT *, string_split(m, ' ') AS t FROM masked),
+paths AS (
+  SELECT doc_id, text, i, 'whole ' || m AS key, m FROM tokens WHERE m <> ''
+  UNION ALL
+  SELECT doc_id, text, i, s || ' ' || len(t) || ' ' || array_to_string(list_filter(t, lambda x, j: j - 1 < 2 OR (j - 1) % 2 = s), ' '), m
+  FROM tokens, (VALUES (0), (1)) sides(s) WHERE m <> '' AND len(t) BETWEEN 8 AND 40
+),
+kinds AS (SELECT doc_id, text, min(m) AS kind FROM tokens WHERE m <> '' GROUP BY ALL),
+recurring AS (
+  SELECT key FROM paths JOIN kinds USING (doc_id, text) GROUP BY key
+  HAVING count(DISTINCT text) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(DISTINCT text)
+),
+gone AS (SELECT DISTINCT doc_id, text, i FROM paths WHERE key IN (SELECT key FROM recurring))
+SELECT r.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
+  sha256(coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (g.i IS NULL), '')) AS text_sha256
+FROM raw r LEFT JOIN gone g USING (doc_id, text, i) GROUP BY r.doc_id
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs.where(~language_id.held_out()), key=F.col("doc_id"))
@@ -54,6 +83,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op3_line_templates": op3_line_templates,
         "op4_language_id": op4_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_files": op7_token_files,
@@ -63,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_templates": OP3_SQL}
