@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, language_id, line_templates, main_text, secret_scan, token_files, url_filter
+from roadspark.llm import byte_bpe, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter
 from roadspark.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("k_id").alias("doc_id"), "class_id", "kept")
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_files": op7_token_files,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_main_text": op9_main_text,
         "op10_url_filter": op10_url_filter,
     }
