@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from roadspark.llm.common import extended, map_batches, texts, with_fields
 
 #: Pieces whose ids a worker keeps between batches; beyond it the store starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 150_000
 
 _STATE: dict = {}
 
