@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter
+from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter
 from roadspark.llm.common import table
 
 
@@ -55,6 +55,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(judged, profiles).drop("text")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items).select(F.col("k_id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_line_templates": op3_line_templates,
         "op4_language_id": op4_language_id,
+        "op5_decontamination": op5_decontamination,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_token_files": op7_token_files,
         "op8_near_duplicates": op8_near_duplicates,
