@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter
+from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter, vector_links
 from roadspark.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.listed("base"), 256).alias("base_sha256"), secret_scan.listed("spans").alias("spans"))
 
 
+def op2_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_templates.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -93,6 +97,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_vector_links": op2_vector_links,
         "op3_line_templates": op3_line_templates,
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
