@@ -104,6 +104,47 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lined_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's edges with their lines, source ids and classes."""
+    n = nodes(spark, sf_dir)
+    e = edges(spark, sf_dir)
+    for end in ("from", "to"):
+        e = e.join(n.select(F.col("node").alias(f"{end}_node"), F.struct("x", "y").alias(f"{end}_point")), f"{end}_node")
+    kind = F.element_at(F.array(*map(F.lit, ("primary", "residential", "tertiary"))), (F.col("road_id") % 3 + 1).cast("int"))
+    return e.withColumns({"points": F.array("from_point", "to_point"), "source_id": F.concat(F.lit("w"), F.floor(F.col("road_id") / 8).cast("string")), "road_class": kind}).drop("from_point", "to_point")
+
+
+def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source roads that cross: one of three points for each supplier."""
+    k = F.col("s_suppkey")
+    x, y = (k % 20 * 10).cast("double"), (F.floor(k / 20) * 10).cast("double")
+    point = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("road"), F.concat(F.lit("r"), k.cast("string")).alias("source_id"), F.lit("residential").alias("road_class"),
+        F.element_at(F.array(*map(F.lit, ("both", "forward", "reverse"))), (k % 3 + 1).cast("int")).alias("direction"),
+        (F.lit(5.0) + k % 7).alias("speed_limit_mps"), (k % 3 + 1).cast("int").alias("lane_count"), F.lit(0).alias("z_level"),
+        F.array(point(0.0, 0.0), point(14.0, 4.0), point(25.0, -6.0)).alias("points"),
+    )
+
+
+def osm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road features with tags from parts and lines near the equator from their keys."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    pick = lambda c, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (c % len(values) + 1).cast("int"))
+    lon, lat = (k % 100) * 0.001, F.floor(k / 200) * 0.001
+    point = lambda d: F.struct((lon + d).alias("x"), lat.cast("double").alias("y"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("feature_ordinal"), k.cast("string").alias("osm_id"),
+        pick(size, "primary", "residential", "footway", "service", "motorway", "Tertiary", None, "track").alias("highway"),
+        pick(k % 7, None, "yes", "-1", "no", "reversible").alias("oneway"), pick(k % 9, None, "roundabout").alias("junction"),
+        pick(k % 6, None, "50", "30 mph", "50;60", "none", "fast").alias("maxspeed"), pick(k % 4, None, "4", "x3", "2").alias("lanes"),
+        pick(k % 10, None, "3").alias("lanes_forward"), pick(k % 11, None, "2").alias("lanes_backward"), pick(k % 8, None, "yes", "no").alias("bridge"),
+        pick(k % 12, None, "yes").alias("tunnel"), pick(k % 13, None, "1", "-2", "40").alias("layer"), pick(k % 14, None, "private", "yes").alias("access"),
+        pick(k % 5, "LineString", "LineString", "GeometryCollection", "Point").alias("geom_type"),
+        F.when(k % 17 == 0, F.array().cast("array<array<struct<x:double,y:double>>>")).otherwise(F.array(F.array(point(0.0), point(0.0005), point(0.0000001 * (k % 2) + 0.001)))).alias("parts"),
+    )
+
+
 #: The same derivations in DuckDB SQL.
 SQL = """
 evt AS (SELECT *, (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) / 1e6 AS t FROM events),
@@ -132,6 +173,16 @@ visits AS (
         SELECT *, CASE WHEN lag(edge) OVER (PARTITION BY vehicle_id ORDER BY t, seq) = edge THEN 0 ELSE 1 END AS fresh FROM samples)) GROUP BY vehicle_id, visit)),
 kpis AS (SELECT *, CASE WHEN vehicle_seconds > 1e-9 THEN distance_m / vehicle_seconds ELSE 0 END AS mean_speed FROM (
   SELECT edge, count(*) AS entries, coalesce(sum(exit_t - enter_t), 0) AS vehicle_seconds, coalesce(sum(distance_m), 0) AS distance_m FROM visits GROUP BY edge)),
+lined AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, 'w' || (road_id // 8) AS source_id, CASE road_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' ELSE 'tertiary' END AS road_class
+  FROM edges e JOIN nodes a ON a.node = from_node JOIN nodes b ON b.node = to_node),
+features AS (SELECT p_partkey AS k, list_extract(['primary', 'residential', 'footway', 'service', 'motorway', 'Tertiary', NULL, 'track'], p_size % 8 + 1) AS highway, list_extract([NULL, 'yes', '-1', 'no', 'reversible'], p_partkey % 7 % 5 + 1) AS oneway,
+  list_extract([NULL, 'roundabout'], p_partkey % 9 % 2 + 1) AS junction, list_extract([NULL, '50', '30 mph', '50;60', 'none', 'fast'], p_partkey % 6 + 1) AS maxspeed, list_extract([NULL, '4', 'x3', '2'], p_partkey % 4 + 1) AS lanes,
+  list_extract([NULL, '3'], p_partkey % 10 % 2 + 1) AS lanes_forward, list_extract([NULL, '2'], p_partkey % 11 % 2 + 1) AS lanes_backward, list_extract([NULL, 'yes', 'no'], p_partkey % 8 % 3 + 1) AS bridge,
+  list_extract([NULL, 'yes'], p_partkey % 12 % 2 + 1) AS tunnel, list_extract([NULL, '1', '-2', '40'], p_partkey % 13 % 4 + 1) AS layer, list_extract([NULL, 'private', 'yes'], p_partkey % 14 % 3 + 1) AS access,
+  list_extract(['LineString', 'LineString', 'GeometryCollection', 'Point'], p_partkey % 5 % 4 + 1) AS geom_type, p_partkey % 17 = 0 AS empty FROM part),
+judged AS (SELECT *, lower(highway) AS hw, coalesce(CASE oneway WHEN '-1' THEN 'reverse' WHEN 'yes' THEN 'forward' WHEN 'no' THEN 'both' END, CASE WHEN coalesce(junction, '') = 'roundabout' OR highway = 'motorway' THEN 'forward' ELSE 'both' END) AS direction,
+  CASE WHEN highway IS NULL THEN 'missing_highway' WHEN highway = 'service' THEN 'service_disabled' WHEN highway = 'track' THEN 'track_disabled' WHEN highway = 'footway' THEN 'non_drivable_class' WHEN access = 'private' THEN 'access_restricted'
+    WHEN geom_type = 'Point' OR (empty AND geom_type = 'GeometryCollection') THEN 'unsupported_geometry' WHEN empty THEN 'empty_geometry' END AS reason FROM features),
 midway AS (SELECT max(t) / 2 AS mid FROM evt)
 """
 

@@ -126,7 +126,7 @@ def i11_reroute_counts(spark, d):
     return trips.reroute_counts(e)
 
 
-@query("SELECT seq, CASE WHEN t < 0 OR t >= mid THEN 'time_out_of_range' WHEN target_id >= 90 THEN 'unknown_target' WHEN action = 'speed_factor' AND NOT value BETWEEN 0.05 AND 2.9 THEN 'never' END AS reason FROM controls, midway")
+@query("SELECT seq, CASE WHEN t < 0 OR t >= mid THEN 'time_out_of_range' WHEN target_id >= 90 THEN 'unknown_target' WHEN action = 'speed_factor' AND NOT value BETWEEN 0.05 AND 3.0 THEN 'value_out_of_range' END AS reason FROM controls, midway")
 def h1_validate(spark, d):
     c = derive.controls(spark, d)
     targets = c.where("target_id < 90").select("scope", "target_id").distinct()
