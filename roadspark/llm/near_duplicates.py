@@ -19,7 +19,7 @@ from roadspark.llm.shingles import mix, multisets, overlap, units
 REGISTERS, BANDS = 64, 16
 SIMILARITY = 0.8
 #: Members of one block when a bucket is compared in blocks.
-BLOCK = 128
+BLOCK = 256
 
 _LEVEL = np.uint64(0xA24BAED4963EE407)
 _POINT = np.uint64(0x9FB21C651E98DF25)
@@ -129,12 +129,10 @@ def unpacked(packed: pa.Scalar) -> np.ndarray:
 
 
 def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one pair of blocks of a bucket: enough of them to join what they join.
+    """Links between the components of one block of outsiders and one block of a bucket: enough to join what they join.
 
     Members of one component, or joined already, aren't compared again.
     """
-    left = group[group["first"]] if group["side"].iloc[0] != group["other"].iloc[0] else group
-    right = group[~group["first"]] if left is not group else group
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -143,10 +141,9 @@ def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
         return x
 
     out = []
-    rights = [(node, comp, np.frombuffer(u, np.uint64)) for node, comp, u in zip(right["node"], right["component"], right["units"], strict=True)]
-    for node, comp, packed in zip(left["node"], left["component"], left["units"], strict=True):
-        mine = np.frombuffer(packed, np.uint64)
-        for other, others, theirs in rights:
+    sides = [[(n, c, np.frombuffer(u, np.uint64)) for n, c, u in zip(g["node"], g["component"], g["units"], strict=True)] for g in (group[group["outsider"]], group[~group["outsider"]])]
+    for node, comp, mine in sides[0]:
+        for other, others, theirs in sides[1]:
             small, large = sorted((len(mine), len(theirs)))
             if small < SIMILARITY * large or root(comp) == root(others):
                 continue
@@ -156,6 +153,24 @@ def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"])
 
 
+def _unsettled(placed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, once for each pair of blocks where they are compared.
+
+    The bucket's largest component needs no comparison inside: the others' members, the outsiders, are compared with
+    all.  ``outsider`` tells on which side a row stands; ``i`` numbers the outsiders' block, ``j`` the bucket's.
+    """
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("n")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("bucket", F.col("main.component").alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main.size")).alias("out_blocks"))
+    rows = stored(placed.select("bucket", "node", "component").join(main, "bucket"), "unsettled")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["bucket", "node", "component"]
+    outside = rows.where("component <> main").select(*key, F.lit(True).alias("outsider"), mine("out_blocks").alias("i"), every("all_blocks").alias("j"))
+    return outside.unionByName(rows.select(*key, F.lit(False).alias("outsider"), every("out_blocks").alias("i"), mine("all_blocks").alias("j")))
+
+
 def row_keys(docs: DataFrame, id_col: str, text: str) -> list[Column]:
     return [F.col(id_col).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
 
@@ -194,14 +209,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     found = components(links)
 
     placed = shared.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = stored(placed.join(split, "bucket").select("bucket", "node", "component", blocks.alias("blocks")), "unsettled")
-    spread = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "bucket", "node", "component", F.least("block", "with").alias("side"), F.greatest("block", "with").alias("other"), (F.col("block") <= F.col("with")).alias("first")
-    )
-    more = spread.join(sets, "node").groupBy("bucket", "side", "other").applyInPandas(_compare_block, "u long, v long")
+    more = _unsettled(placed).join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_compare_block, "u long, v long")
     found = components(links.unionByName(more))
 
     placed = nodes.select("node", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
