@@ -173,7 +173,7 @@ visits AS (
         SELECT *, CASE WHEN lag(edge) OVER (PARTITION BY vehicle_id ORDER BY t, seq) = edge THEN 0 ELSE 1 END AS fresh FROM samples)) GROUP BY vehicle_id, visit)),
 kpis AS (SELECT *, CASE WHEN vehicle_seconds > 1e-9 THEN distance_m / vehicle_seconds ELSE 0 END AS mean_speed FROM (
   SELECT edge, count(*) AS entries, coalesce(sum(exit_t - enter_t), 0) AS vehicle_seconds, coalesce(sum(distance_m), 0) AS distance_m FROM visits GROUP BY edge)),
-lined AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, 'w' || (road_id // 8) AS source_id, CASE road_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' ELSE 'tertiary' END AS road_class
+lined AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb, 'w' || (road_id // 8) AS source_id, CASE road_id % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' ELSE 'tertiary' END AS road_class
   FROM edges e JOIN nodes a ON a.node = from_node JOIN nodes b ON b.node = to_node),
 features AS (SELECT p_partkey AS k, list_extract(['primary', 'residential', 'footway', 'service', 'motorway', 'Tertiary', NULL, 'track'], p_size % 8 + 1) AS highway, list_extract([NULL, 'yes', '-1', 'no', 'reversible'], p_partkey % 7 % 5 + 1) AS oneway,
   list_extract([NULL, 'roundabout'], p_partkey % 9 % 2 + 1) AS junction, list_extract([NULL, '50', '30 mph', '50;60', 'none', 'fast'], p_partkey % 6 + 1) AS maxspeed, list_extract([NULL, '4', 'x3', '2'], p_partkey % 4 + 1) AS lanes,

@@ -277,7 +277,7 @@ def e3_expand(spark, d):
 
 
 GENERATED = """generated AS (SELECT from_edge, to_edge, CASE WHEN u THEN 5.0 ELSE greatest(CASE WHEN CASE WHEN t > pi() THEN t - 2 * pi() WHEN t <= -pi() THEN t + 2 * pi() ELSE t END >= radians(100) THEN 2.0 ELSE 0.0 END, CASE WHEN a_rank >= 4 AND b_rank <= 2 THEN 3.0 ELSE 0.0 END) END AS penalty_s
-FROM (SELECT a.edge AS from_edge, b.edge AS to_edge, a.road_id = b.road_id AND a.from_node = b.to_node AS u, atan2(b.by - b.ay, b.bx - b.ax) - atan2(a.by - a.ay, a.bx - a.ax) AS t,
+FROM (SELECT a.edge AS from_edge, b.edge AS to_edge, a.road_id = b.road_id AND a.from_node = b.to_node AS u, atan2(b.yb - b.ay, b.bx - b.ax) - atan2(a.yb - a.ay, a.bx - a.ax) AS t,
   CASE a.road_class WHEN 'primary' THEN 2 WHEN 'tertiary' THEN 4 ELSE 5 END AS a_rank, CASE b.road_class WHEN 'primary' THEN 2 WHEN 'tertiary' THEN 4 ELSE 5 END AS b_rank FROM lined a JOIN lined b ON a.to_node = b.from_node))"""
 
 
@@ -431,7 +431,7 @@ def e18_health_score(spark, d):
 
 # F: matching
 
-PROJECTED = """segs AS (SELECT edge, ax, ay, bx - ax AS dx, by - ay AS dy FROM lined),
+PROJECTED = """segs AS (SELECT edge, ax, ay, bx - ax AS dx, yb - ay AS dy FROM lined),
 along AS (SELECT point_id, edge, x AS px, y AS py, ax, ay, dx, dy, least(1, greatest(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) AS t FROM points, segs),
 near AS (SELECT point_id, edge, t * sqrt(dx * dx + dy * dy) AS offset_m, sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2) AS lateral_m FROM along WHERE sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2) <= 60),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(lateral_m, 9), edge) AS rank, min(lateral_m) OVER (PARTITION BY point_id) AS best FROM near)"""
@@ -456,7 +456,7 @@ def f3_pick_match(spark, d):
     return rounded(spatial.pick_match(matched(spark, d)).select("point_id", "lateral_m"), "lateral_m", digits=6)
 
 
-@query("SELECT edge, round(ax + (bx - ax) * 0.25 - (by - ay) / 100 * 2, 6) AS x, round(ay + (by - ay) * 0.25 + (bx - ax) / 100 * 2, 6) AS y FROM lined")
+@query("SELECT edge, round(ax + (bx - ax) * 0.25 - (yb - ay) / 100 * 2, 6) AS x, round(ay + (yb - ay) * 0.25 + (bx - ax) / 100 * 2, 6) AS y FROM lined")
 def f4_pose(spark, d):
     e = derive.lined_edges(spark, d).withColumns({"offset_m": F.lit(25.0), "lateral_m": F.lit(2.0)})
     return rounded(spatial.pose(e).select("edge", "pose.x", "pose.y"), "x", "y", digits=6)
@@ -468,7 +468,7 @@ def f5_locate_lonlat(spark, d):
     return spatial.locate_lonlat(f).select("source_id", "place.x", "place.y")
 
 
-@query("SELECT edge, 2 AS n, round(ax + (bx - ax) * 0.1, 6) AS x, round(ay + (by - ay) * 0.1, 6) AS y FROM lined")
+@query("SELECT edge, 2 AS n, round(ax + (bx - ax) * 0.1, 6) AS x, round(ay + (yb - ay) * 0.1, 6) AS y FROM lined")
 def f6_slice(spark, d):
     line = spatial.slice_line(F.col("points"), F.lit(10.0), F.lit(60.0))
     return rounded(derive.lined_edges(spark, d).select("edge", line.alias("line")).select("edge", F.size("line").alias("n"), F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y")), "x", "y", digits=6)
@@ -480,7 +480,7 @@ def f7_nearby_hot_edges(spark, d):
     return spatial.nearby_hot_edges(derive.points(spark, d), derive.lined_edges(spark, d), kpis, 200.0)
 
 
-@query("SELECT min(least(ax, bx)) AS west, min(least(ay, by)) AS south, max(greatest(ax, bx)) AS east, max(greatest(ay, by)) AS north FROM lined")
+@query("SELECT min(least(ax, bx)) AS west, min(least(ay, yb)) AS south, max(greatest(ax, bx)) AS east, max(greatest(ay, yb)) AS north FROM lined")
 def f8_bounds(spark, d):
     return spatial.bounds(derive.lined_edges(spark, d))
 
