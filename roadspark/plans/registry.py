@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspark.plans import road_queries, trip_queries
+from roadspark.plans import io_queries, road_queries, trip_queries
 
-MODULES = [trip_queries, road_queries]
+MODULES = [io_queries, road_queries, trip_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
