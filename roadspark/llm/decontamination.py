@@ -123,7 +123,7 @@ def _passages(docs: DataFrame, bitmaps: list[np.ndarray], margin: int) -> DataFr
             cut = np.flatnonzero((np.diff(place, prepend=-1) > margin) | (np.diff(doc, prepend=-1) > 0)).tolist()
             out: list[list] = [[] for _ in names]
             ids, keys = batch.column("k_id"), batch.column("k_text")
-            for a, b in zip(cut, [*cut[1:], len(hits)], strict=True):
+            for a, b in zip(cut, [*cut[1:], len(hits)][: len(cut)], strict=True):
                 d = int(doc[a])
                 low, high = max(at[d], place[a] - margin), min(at[d + 1], place[b - 1] + SEED + margin)
                 row = (ids[d].as_py(), keys[d].as_py(), int(low - at[d]), h[low:high].tobytes(), s[hits[a:b]].view(np.int64).tolist())

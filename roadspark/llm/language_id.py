@@ -26,18 +26,19 @@ _ALPHA = np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False fo
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of all 1- to 3-grams of the letters of a whole text; runs of anything else are one blank (code 0).
+    """Codes of all 1- to 3-grams of the letters of a whole text; runs of anything else are one blank.
 
-    A letter has 10 bits: itself below 512, else folded into the upper half.
+    A letter has 10 bits: itself below 512, else folded into the upper half.  The blank is 1, which no letter is, so
+    that no n-gram has the code of a shorter one.
     """
     points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
     letter = np.where(points < 0x10000, _ALPHA[np.minimum(points, 0xFFFF)], True)
-    code = np.where(letter, np.where(points < 512, points, 512 + points % 512), 0).astype(np.int32)
+    code = np.where(letter, np.where(points < 512, points, 512 + points % 512), 1).astype(np.int32)
     kept = np.ones(len(code), bool)
     kept[1:] = letter[1:] | letter[:-1]
     code = code[kept]
-    code = np.pad(code, (int(code[:1].all()), int(code[-1:].all())))
-    out = [code[code > 0]]
+    code = np.pad(code, (int((code[:1] > 1).all()), int((code[-1:] > 1).all())), constant_values=1)
+    out = [code[code > 1]]
     joined = code
     for k in range(1, LONGEST):
         joined = joined[:-1] << 10 | code[k:]

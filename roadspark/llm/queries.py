@@ -34,16 +34,17 @@ WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
 masked AS (SELECT doc_id, text, line, i, trim(regexp_replace(' ' || lower(line), '([ ])[^\\s0-9]*[0-9][^\\s]*', '\\1<*>', 'g'), ' ') AS m FROM raw),
 tokens AS (SELECT *, string_split(m, ' ') AS t FROM masked),
+sketch AS (SELECT doc_id, text, list_sort(list(DISTINCT md5(m)))[1:3] AS least FROM masked WHERE m <> '' GROUP BY doc_id, text),
+placed AS (SELECT t.*, substring(md5(array_to_string(list_filter(least, lambda x: x <> md5(m))[1:2], ' ')), 1, 15) AS kind FROM tokens t JOIN sketch USING (doc_id, text) WHERE m <> ''),
 paths AS (
-  SELECT doc_id, text, i, 'whole ' || m AS key, m FROM tokens WHERE m <> ''
+  SELECT doc_id, text, i, 'whole ' || m AS key, kind FROM placed
   UNION ALL
-  SELECT doc_id, text, i, s || ' ' || len(t) || ' ' || array_to_string(list_filter(t, lambda x, j: j - 1 < 2 OR (j - 1) % 2 = s), ' '), m
-  FROM tokens, (VALUES (0), (1)) sides(s) WHERE m <> '' AND len(t) BETWEEN 8 AND 40
+  SELECT doc_id, text, i, s || ' ' || len(t) || ' ' || array_to_string(list_filter(t, lambda x, j: j - 1 < 2 OR (j - 1) % 2 = s), ' '), kind
+  FROM placed, (VALUES (0), (1)) sides(s) WHERE len(t) BETWEEN 8 AND 40
 ),
-kinds AS (SELECT doc_id, text, min(m) AS kind FROM tokens WHERE m <> '' GROUP BY ALL),
 recurring AS (
-  SELECT key FROM paths JOIN kinds USING (doc_id, text) GROUP BY key
-  HAVING count(DISTINCT text) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(DISTINCT text)
+  SELECT key FROM (SELECT key, text, min(kind) AS kind FROM paths GROUP BY key, text) GROUP BY key
+  HAVING count(*) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(*)
 ),
 gone AS (SELECT DISTINCT doc_id, text, i FROM paths WHERE key IN (SELECT key FROM recurring))
 SELECT r.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
