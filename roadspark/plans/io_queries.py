@@ -74,7 +74,7 @@ def a4_read_od(spark, d):
     return readers.read_od(spark, path).select("lon", "depart_s", "algorithm", "agent")
 
 
-@query("SELECT round(t, 4) AS t, CASE scope WHEN 'junction' THEN 'junction' ELSE scope END AS scope, target_id, action, CASE WHEN action IN ('hold', 'release') THEN 1.0 ELSE round(value, 6) END AS value FROM controls")
+@query("SELECT round(t, 6) AS t, CASE scope WHEN 'junction' THEN 'junction' ELSE scope END AS scope, target_id, action, CASE WHEN action IN ('hold', 'release') THEN 1.0 ELSE round(value, 6) END AS value FROM controls")
 def a5_read_controls(spark, d):
     c = derive.controls(spark, d)
     value = F.when(~F.col("action").isin("hold", "release"), F.col("value").cast("string")).otherwise("")
@@ -210,7 +210,7 @@ def last_state(df, key: str):
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct("t", "seq")).alias("r")).select("r.*")
 
 
-@query("SELECT vehicle_id, round(s.t, 4) AS t, s.edge AS edge FROM (SELECT vehicle_id, max_by({'t': t, 'edge': edge}, {'t': t, 'q': seq}) AS s FROM samples GROUP BY vehicle_id)")
+@query("SELECT vehicle_id, round(s.t, 6) AS t, s.edge AS edge FROM (SELECT vehicle_id, max_by({'t': t, 'edge': edge}, {'t': t, 'q': seq}) AS s FROM samples GROUP BY vehicle_id)")
 def j3_vehicle_latest(spark, d):
     path = place(spark, "j3")
     latest = feeds.vehicle_latest(stream(spark, derive.samples(spark, d), "samples"))
@@ -253,7 +253,7 @@ def j8_invalidations(spark, d):
     return feeds.run_available(out, place(spark, "j8")).select(F.col("ts").alias("seq"), "vehicle_id", "edge", "reason")
 
 
-@query("SELECT DISTINCT vehicle_id, round(t, 4) AS t FROM samples")
+@query("SELECT DISTINCT vehicle_id, round(t, 6) AS t FROM samples")
 def j9_sample_dedupe(spark, d):
     twice = derive.samples(spark, d).select("vehicle_id", "t")
     s = stream(spark, twice.unionByName(twice).coalesce(1), "samples")

@@ -600,7 +600,7 @@ def profile(spark, d):
     return routing.speed_profile(derive.controls(spark, d), 60.0)
 
 
-@query("SELECT target_id AS edge, count(*) AS n, round(sum(value), 4) AS total FROM controls WHERE scope = 'edge' AND action = 'speed_factor' AND value BETWEEN 0.05 AND 3 GROUP BY target_id")
+@query("SELECT target_id AS edge, count(*) AS n, round(sum(value), 6) AS total FROM controls WHERE scope = 'edge' AND action = 'speed_factor' AND value BETWEEN 0.05 AND 3 GROUP BY target_id")
 def g12_speed_profile(spark, d):
     rows = profile(spark, d).select("edge", F.size("changes").cast("long").alias("n"), F.aggregate("changes", F.lit(0.0), lambda a, c: a + c["factor"]).alias("total"))
     return rounded(rows, "total")
@@ -653,7 +653,7 @@ def g19_od_dedupe(spark, d):
     return routing.od_dedupe(rows, ["l_partkey", "l_suppkey"])[1]
 
 
-@query("""WITH v AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT a.o_custkey AS snapshot_id, a.o_orderkey AS run_a, b.o_orderkey AS run_b, round(b.o_totalprice - a.o_totalprice, 4) AS d_time_s FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey""")
+@query("""WITH v AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT a.o_custkey AS snapshot_id, a.o_orderkey AS run_a, b.o_orderkey AS run_b, round(b.o_totalprice - a.o_totalprice, 6) AS d_time_s FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey""")
 def g20_compare_experiments(spark, d):
     k = F.col("o_orderkey")
     runs = table(spark, d, "orders").select(F.col("o_custkey").alias("snapshot_id"), k.alias("run_id"), F.when(F.col("o_orderstatus") == "O", "verified").otherwise("draft").alias("phase"), F.col("o_totalprice").alias("time_s"), F.lit(1.0).alias("length_m"), F.lit(1).alias("queries"), F.lit(1.0).alias("ms"))

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -41,7 +41,7 @@ def midway(spark: SparkSession, d: str) -> float:
     return float(e.at or 0.0)
 
 
-@query("SELECT vehicle_id, CAST(visit AS BIGINT) AS visit, edge, round(enter_t, 4) AS enter_t, round(exit_t, 4) AS exit_t, round(distance_m, 4) AS distance_m FROM visits")
+@query("SELECT vehicle_id, CAST(visit AS BIGINT) AS visit, edge, round(enter_t, 6) AS enter_t, round(exit_t, 6) AS exit_t, round(distance_m, 6) AS distance_m FROM visits")
 def i1_traversals(spark, d):
     return rounded(visits(spark, d), "enter_t", "exit_t", "distance_m")
 
@@ -51,7 +51,7 @@ def i2_edge_kpis(spark, d):
     return rounded(rounded(trips.edge_kpis(visits(spark, d)), "vehicle_seconds", "distance_m", digits=3), "mean_speed", digits=6)
 
 
-@query("SELECT edge, round(t, 4) AS t, CAST(sum(d) OVER (PARTITION BY edge ORDER BY t) AS BIGINT) AS vehicles FROM (SELECT edge, t, sum(d) AS d FROM (SELECT edge, enter_t AS t, 1 AS d FROM visits UNION ALL SELECT edge, exit_t, -1 FROM visits WHERE exit_t IS NOT NULL) GROUP BY edge, t)")
+@query("SELECT edge, round(t, 6) AS t, CAST(sum(d) OVER (PARTITION BY edge ORDER BY t) AS BIGINT) AS vehicles FROM (SELECT edge, t, sum(d) AS d FROM (SELECT edge, enter_t AS t, 1 AS d FROM visits UNION ALL SELECT edge, exit_t, -1 FROM visits WHERE exit_t IS NOT NULL) GROUP BY edge, t)")
 def i3_occupancy(spark, d):
     return rounded(trips.occupancy(visits(spark, d)), "t")
 
@@ -61,7 +61,7 @@ def i3_occupancy_at(spark, d):
     return trips.occupancy_at(visits(spark, d), midway(spark, d))
 
 
-@query("SELECT count(arrive_t) AS arrived, count(*) FILTER (unroutable) AS unroutable, count(*) FILTER (NOT unroutable AND arrive_t IS NULL AND depart_t IS NULL) AS waiting, count(*) FILTER (NOT unroutable AND arrive_t IS NULL AND depart_t IS NOT NULL) AS driving, round(avg(arrive_t - depart_t), 4) AS avg_travel_s, round(min(arrive_t - depart_t), 4) AS min_travel_s, round(max(arrive_t - depart_t), 4) AS max_travel_s, round(sum(distance_m), 3) AS distance_m FROM vehicles")
+@query("SELECT count(arrive_t) AS arrived, count(*) FILTER (unroutable) AS unroutable, count(*) FILTER (NOT unroutable AND arrive_t IS NULL AND depart_t IS NULL) AS waiting, count(*) FILTER (NOT unroutable AND arrive_t IS NULL AND depart_t IS NOT NULL) AS driving, round(avg(arrive_t - depart_t), 6) AS avg_travel_s, round(min(arrive_t - depart_t), 6) AS min_travel_s, round(max(arrive_t - depart_t), 6) AS max_travel_s, round(sum(distance_m), 3) AS distance_m FROM vehicles")
 def i4_summary(spark, d):
     return rounded(rounded(trips.summary(derive.vehicles(spark, d)), "avg_travel_s", "min_travel_s", "max_travel_s"), "distance_m", digits=3)
 
@@ -77,7 +77,7 @@ def asks(spark, d):
 around AS (SELECT vehicle_id, t,
   (SELECT max_by({'t': s.t, 'o': s.offset_m}, {'t': s.t, 'q': s.seq}) FROM samples s WHERE s.vehicle_id = asked.vehicle_id AND s.t <= asked.t) AS a,
   (SELECT min_by({'t': s.t, 'o': s.offset_m}, {'t': s.t, 'q': s.seq}) FROM samples s WHERE s.vehicle_id = asked.vehicle_id AND s.t > asked.t) AS b FROM asked)
-SELECT vehicle_id, round(t, 4) AS t, round(CASE WHEN a IS NULL THEN b.o WHEN b IS NULL THEN a.o ELSE a.o + (b.o - a.o) * (t - a.t) / (b.t - a.t) END, 4) AS offset_m FROM around""")
+SELECT vehicle_id, round(t, 6) AS t, round(CASE WHEN a IS NULL THEN b.o WHEN b IS NULL THEN a.o ELSE a.o + (b.o - a.o) * (t - a.t) / (b.t - a.t) END, 6) AS offset_m FROM around""")
 def i5_interpolate(spark, d):
     return rounded(trips.interpolate(derive.samples(spark, d), asks(spark, d), ["offset_m"]), "t", "offset_m")
 
@@ -90,13 +90,13 @@ def i6_frames(spark, d):
     return shown.join(state, "vehicle_id", "left").fillna({"held": False, "speed_factor": 1.0})
 
 
-@query("SELECT vehicle_id, round(s.t, 4) AS t, s.seq AS seq, s.edge AS edge, s.offset_m AS offset_m FROM (SELECT vehicle_id, min_by({'t': t, 'seq': seq, 'edge': edge, 'offset_m': offset_m}, {'t': t, 'seq': seq}) AS s FROM samples GROUP BY vehicle_id, floor(t / 3600))")
+@query("SELECT vehicle_id, round(s.t, 6) AS t, s.seq AS seq, s.edge AS edge, s.offset_m AS offset_m FROM (SELECT vehicle_id, min_by({'t': t, 'seq': seq, 'edge': edge, 'offset_m': offset_m}, {'t': t, 'seq': seq}) AS s FROM samples GROUP BY vehicle_id, floor(t / 3600))")
 def i7_downsample(spark, d):
     return rounded(trips.downsample(derive.samples(spark, d), 3600.0), "t")
 
 
 @query("""WITH steps AS (SELECT vehicle_id, t, sqrt((edge - lag(edge) OVER w) ** 2 + (offset_m - lag(offset_m) OVER w) ** 2) AS step FROM samples WINDOW w AS (PARTITION BY vehicle_id ORDER BY t, edge, offset_m))
-SELECT vehicle_id, count(*) AS n_points, round(min(t), 4) AS depart_t, round(max(t), 4) AS arrive_t, round(max(t) - min(t), 4) AS travel_s, round(sum(step), 3) AS distance_m FROM steps GROUP BY vehicle_id HAVING count(*) >= 2""")
+SELECT vehicle_id, count(*) AS n_points, round(min(t), 6) AS depart_t, round(max(t), 6) AS arrive_t, round(max(t) - min(t), 6) AS travel_s, round(sum(step), 3) AS distance_m FROM steps GROUP BY vehicle_id HAVING count(*) >= 2""")
 def i8_trajectories(spark, d):
     lines = trips.trajectories(derive.samples(spark, d).select("vehicle_id", "t", F.col("edge").cast("double").alias("x"), F.col("offset_m").alias("y")))
     lines = lines.select("vehicle_id", F.size("line").cast("long").alias("n_points"), "depart_t", "arrive_t", "travel_s", "distance_m")
@@ -167,7 +167,7 @@ def h4_edge_state(spark, d):
 
 @query("""WITH k AS (SELECT *, CASE WHEN action IN ('hold', 'release') THEN 'held' WHEN action IN ('close', 'open') THEN 'closed' ELSE action END AS kind FROM controls),
 l AS (SELECT scope, target_id, kind, t, max_by(action, seq) AS action, max_by(value, seq) AS value FROM k GROUP BY ALL)
-SELECT scope, target_id, kind, round(t, 4) AS valid_from, round(lead(t) OVER (PARTITION BY scope, target_id, kind ORDER BY t), 4) AS valid_to, action, round(value, 6) AS value FROM l""".replace("GROUP BY ALL", "GROUP BY scope, target_id, kind, t"))
+SELECT scope, target_id, kind, round(t, 6) AS valid_from, round(lead(t) OVER (PARTITION BY scope, target_id, kind ORDER BY t), 6) AS valid_to, action, round(value, 6) AS value FROM l""".replace("GROUP BY ALL", "GROUP BY scope, target_id, kind, t"))
 def h5_state_intervals(spark, d):
     return rounded(rounded(ctl.state_intervals(derive.controls(spark, d)), "valid_from", "valid_to"), "value", digits=6)
 
@@ -248,7 +248,7 @@ def h11_signal_state(spark, d):
     return ctl.signal_state(signals(spark, d), asked)
 
 
-@query("SELECT from_edge, to_edge, round(t, 4) AS t, 2.0 AS headway_s, coalesce(t - lag(t) OVER (PARTITION BY from_edge, to_edge ORDER BY t) < 2, false) AS saturated FROM (SELECT edge AS from_edge, edge % 3 AS to_edge, enter_t AS t FROM visits)")
+@query("SELECT from_edge, to_edge, round(t, 6) AS t, 2.0 AS headway_s, coalesce(t - lag(t) OVER (PARTITION BY from_edge, to_edge ORDER BY t) < 2, false) AS saturated FROM (SELECT edge AS from_edge, edge % 3 AS to_edge, enter_t AS t FROM visits)")
 def h12_saturation(spark, d):
     passes = visits(spark, d).select(F.col("edge").alias("from_edge"), (F.col("edge") % 3).alias("to_edge"), F.col("enter_t").alias("t"), F.lit(1800.0).alias("saturation_flow_vph"))
     return rounded(ctl.saturation(passes).drop("saturation_flow_vph"), "t")
@@ -326,7 +326,7 @@ def _aggregate_sql() -> str:
     out = ["count(*) AS runs", "count(*) FILTER (success) AS successes", "round(avg(CAST(success AS INTEGER)), 6) AS success_rate"]
     for m in ("travel_time_s", "rejections", "route_overlap_ratio"):
         f = " FILTER (success)" if m == "travel_time_s" else ""
-        out += [f"round({fn}{f}, 4) AS {m}_{n}" for n, fn in (("mean", f"avg({m})"), ("p50", f"quantile_cont({m}, 0.5)"), ("p95", f"quantile_cont({m}, 0.95)"), ("min", f"min({m})"), ("max", f"max({m})"))]
+        out += [f"round({fn}{f}, 6) AS {m}_{n}" for n, fn in (("mean", f"avg({m})"), ("p50", f"quantile_cont({m}, 0.5)"), ("p95", f"quantile_cont({m}, 0.95)"), ("min", f"min({m})"), ("max", f"max({m})"))]
     return f"SELECT scenario_id, strategy_id, {', '.join(out)} FROM runs GROUP BY scenario_id, strategy_id"
 
 
@@ -345,7 +345,7 @@ def k8_request_counters(spark, d):
     return exp.request_counters(rows)
 
 
-@query("SELECT l_orderkey AS job_id, l_linenumber AS cell, 3 AS repetitions, least(greatest(l_orderkey % 20 - coalesce(3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1), 0), 0), 3) AS done, round(least(greatest(l_orderkey % 20 - 3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1), 0), 3) * 100.0 / 3, 4) AS percent FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+@query("SELECT l_orderkey AS job_id, l_linenumber AS cell, 3 AS repetitions, least(greatest(l_orderkey % 20 - coalesce(3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1), 0), 0), 3) AS done, round(least(greatest(l_orderkey % 20 - 3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1), 0), 3) * 100.0 / 3, 6) AS percent FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
 def k9_progress_matrix(spark, d):
     jobs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("cell")).distinct()
     out = exp.progress_matrix(jobs.withColumns({"repetitions": F.lit(3), "completed": F.col("job_id") % 20}))
@@ -358,7 +358,7 @@ def k10_trace_events(spark, d):
     return exp.trace_events(e)
 
 
-@query("SELECT user_id AS run_id, event_type AS status, count(*) AS decisions, count(*) FILTER (event_id % 6 = 0) AS fallbacks, round(quantile_cont(event_id % 500, 0.5), 4) AS latency_p50_ms, round(quantile_cont(event_id % 500, 0.95), 4) AS latency_p95_ms FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS run_id, event_type AS status, count(*) AS decisions, count(*) FILTER (event_id % 6 = 0) AS fallbacks, round(quantile_cont(event_id % 500, 0.5), 6) AS latency_p50_ms, round(quantile_cont(event_id % 500, 0.95), 6) AS latency_p95_ms FROM events GROUP BY 1, 2")
 def k15_decision_outcomes(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id")
     rows = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("status"), k.alias("opened_ms"), (k + k % 500).alias("resolved_ms"), (k % 6 == 0).alias("fallback"))
