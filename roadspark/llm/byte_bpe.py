@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 from pathlib import Path
 
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from roadspark.llm.common import extended, map_batches, texts, with_fields
 
-#: Pieces whose ids a worker keeps between batches; beyond it the store starts anew.
+#: Pieces whose ids a task keeps between batches; beyond it the store starts anew.
 KEPT_PIECES = 150_000
 
 _STATE: dict = {}
@@ -163,7 +164,6 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
-        self.merges = Merges(self.ranks)
         self.split = regex.compile(pattern).findall
         self.by_space = pattern == public_tokenizers.PATTERN
         self.bytes_of = np.empty(max(self.ranks.values()) + 1, dtype=object)
@@ -172,6 +172,14 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
+    @cached_property
+    def merges(self) -> Merges:
+        return Merges(self.ranks)
+
+    def forget(self) -> None:
+        """Let go of the ids met; a worker between tasks holds the vocabulary only."""
+        self.pieces, self.chunks = {}, {}
+
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in _STATE:
@@ -234,9 +242,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
+        codec.forget()
         for batch in batches:
             ids = codec.encode(texts(batch, text))
             yield extended(batch, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())})
+        codec.forget()
 
     return map_batches(docs, run, schema)
 
