@@ -660,9 +660,10 @@ def g20_compare_experiments(spark, d):
     return rounded(routing.compare_experiments(runs).select("snapshot_id", "run_a", "run_b", "d_time_s"), "d_time_s")
 
 
-@query("SELECT road_id, list_sort(list(edge)) AS edges FROM edges WHERE road_id IN (SELECT e.road_id FROM edges e JOIN routes USING (edge)) GROUP BY road_id")
+@query("SELECT road_id, array_to_string(list_sort(list(edge)), ',') AS edges FROM edges WHERE road_id IN (SELECT e.road_id FROM edges e JOIN routes USING (edge)) GROUP BY road_id")
 def g21_route_features(spark, d):
-    return routing.route_features(derive.edges(spark, d), derive.routes(spark, d).select("edge").distinct())
+    roads = routing.route_features(derive.edges(spark, d), derive.routes(spark, d).select("edge").distinct())
+    return roads.select("road_id", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"))
 
 
 # I12 to I18: route changes

@@ -315,10 +315,10 @@ def k5_native_route_metrics(spark, d):
     return rounded(exp.native_route_metrics(rows), "overlap", digits=6)
 
 
-@query("SELECT o_orderkey AS run_id, coalesce(n > 3, false) AS success, coalesce(n, 0) AS attempts, CASE WHEN n > 0 THEN round(p, 4) END AS overlap, n IS NULL AS failed FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, avg(l_tax) AS p FROM lineitem GROUP BY l_orderkey) USING (o_orderkey)")
+@query("SELECT o_orderkey AS run_id, coalesce(n > 3, false) AS success, coalesce(n, 0) AS attempts, CASE WHEN n > 0 THEN round(p, 6) END AS overlap, n IS NULL AS failed FROM orders LEFT JOIN (SELECT l_orderkey AS o_orderkey, count(*) AS n, avg(l_tax) AS p FROM lineitem GROUP BY l_orderkey) USING (o_orderkey)")
 def k6_failed_runs(spark, d):
     planned = table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"))
-    done = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("attempts"), F.round(F.avg("l_tax"), 4).alias("overlap")).withColumn("success", F.col("attempts") > 3)
+    done = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.count("*").alias("attempts"), F.round(F.avg("l_tax"), 6).alias("overlap")).withColumn("success", F.col("attempts") > 3)
     return exp.failed_runs(planned, done, ["attempts"], ["overlap"])
 
 
