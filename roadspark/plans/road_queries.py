@@ -189,14 +189,20 @@ def split(spark, d):
     return topology.split_points(roads, topology.intersections(topology.candidate_pairs(topology.segments(roads), 20.0)))
 
 
-@query()
+SPLITS = f"""{SEGMENTS}, met AS (SELECT * FROM hits WHERE t BETWEEN -1e-10 AND 1 + 1e-10 AND u BETWEEN -1e-10 AND 1 + 1e-10),
+places AS (SELECT i_road AS road, i0 + least(greatest(t, 0), 1) * il AS s FROM met UNION ALL SELECT j_road, j0 + least(greatest(u, 0), 1) * jl FROM met UNION ALL SELECT DISTINCT road, 0.0 FROM segs UNION ALL SELECT road, sum(length) FROM segs GROUP BY road),
+splits AS (SELECT road, s FROM (SELECT *, lag(s) OVER (PARTITION BY road ORDER BY s) AS p FROM places) WHERE p IS NULL OR s - p > 1e-6)"""
+
+
+@query(f"WITH {SPLITS} SELECT road, count(*) AS n FROM splits GROUP BY road")
 def d5_split_points(spark, d):
-    return split(spark, d).select("road", F.size("splits").alias("n"))
+    return split(spark, d).select("road", F.size("splits").cast("long").alias("n"))
 
 
-@query()
+@query(f"""WITH {SPLITS}, spans AS (SELECT road, s AS low, lead(s) OVER (PARTITION BY road ORDER BY s) AS high, row_number() OVER (PARTITION BY road ORDER BY s) - 1 AS piece FROM splits)
+SELECT road, piece, 2 + CASE WHEN sqrt(212) > low + 1e-7 AND sqrt(212) < high - 1e-7 THEN 1 ELSE 0 END AS n FROM spans WHERE high IS NOT NULL""")
 def d6_pieces(spark, d):
-    return topology.pieces(derive.roads(spark, d), split(spark, d)).select("road", "piece", F.size("points").alias("n"))
+    return topology.pieces(derive.roads(spark, d), split(spark, d)).select("road", F.col("piece").cast("long").alias("piece"), F.size("points").alias("n"))
 
 
 @query()
@@ -511,6 +517,19 @@ def node_od(spark, d):
 
 
 COSTS = "costs AS (SELECT *, length_m / speed_limit_mps AS cost FROM edges)"
+ALLOWED = "allowed AS (SELECT a.edge AS from_edge, b.edge AS to_edge, coalesce(t.penalty_s, 0) AS penalty_s FROM edges a JOIN edges b ON a.to_node = b.from_node LEFT JOIN turns t ON t.from_edge = a.edge AND t.to_edge = b.edge WHERE NOT coalesce(t.prohibited, false))"
+
+
+def spread_sql(name: str, start: str, a: str = "from_node", b: str = "to_node") -> str:
+    """A recursive view of least costs (od_id, node, cost) from the rows of ``start``."""
+    return f"""{name}(od_id, node, cost) USING KEY (od_id, node) AS ({start}
+UNION SELECT d.od_id, e.{b}, min(d.cost + e.cost) FROM {name} d JOIN costs e ON e.{a} = d.node LEFT JOIN recurring.{name} r ON r.od_id = d.od_id AND r.node = e.{b} WHERE r.cost IS NULL OR d.cost + e.cost < r.cost - 1e-9 GROUP BY d.od_id, e.{b})"""
+
+
+OD = """heads AS (SELECT from_node AS node, min(edge) AS edge FROM edges GROUP BY from_node), span AS (SELECT max(node) AS top, min(node) AS low FROM heads),
+od AS (SELECT a.node AS od_id, a.edge AS from_edge, b.edge AS to_edge, a.node % 20 = 3 AS exact FROM heads a, span, heads b WHERE a.node % 10 = 3 AND b.node = top + low - a.node),
+starts AS (SELECT od_id, c.edge, c.to_node AS node, off AS offset_m, c.cost * (100 - off) / 100 AS extra, 100 - off AS length_m FROM (SELECT od_id, from_edge AS edge, 30.0 AS off FROM od UNION ALL SELECT od_id, CASE WHEN from_edge % 2 = 0 THEN from_edge + 1 ELSE from_edge - 1 END, 70.0 FROM od WHERE NOT exact) s JOIN costs c USING (edge)),
+goals AS (SELECT od_id, c.edge, c.from_node AS node, off AS offset_m, c.cost * off / 100 AS extra, off AS length_m FROM (SELECT od_id, to_edge AS edge, 60.0 AS off FROM od UNION ALL SELECT od_id, CASE WHEN to_edge % 2 = 0 THEN to_edge + 1 ELSE to_edge - 1 END, 40.0 FROM od WHERE NOT exact) s JOIN costs c USING (edge))"""
 
 
 @query("SELECT edge, round(length_m / speed_limit_mps * (1 + edge % 3 * 0.5), 6) AS cost FROM edges WHERE edge % 7 <> 0")
@@ -520,20 +539,17 @@ def g1_edge_costs(spark, d):
     return rounded(routing.edge_costs(e, overlay).select("edge", "cost"), "cost", digits=6)
 
 
-@query()
+@query(f"WITH {COSTS}, {OD} SELECT od_id, edge, node, CAST(offset_m AS DOUBLE) AS offset_m, round(extra, 6) AS extra, CAST(length_m AS DOUBLE) AS length_m, side FROM (SELECT *, 'start' AS side FROM starts UNION ALL SELECT *, 'goal' FROM goals)")
 def g2_endpoints(spark, d):
     starts, goals = routing.endpoints(od(spark, d), costs(spark, d))
-    return starts.withColumn("side", F.lit("start")).unionByName(goals.withColumn("side", F.lit("goal")))
+    return rounded(starts.withColumn("side", F.lit("start")).unionByName(goals.withColumn("side", F.lit("goal"))), "extra")
 
 
-@query()
+@query(f"WITH {COSTS}, {OD} SELECT od_id, from_edge AS edge, round(cost * 0.3, 6) AS cost, CAST(30 AS DOUBLE) AS length_m FROM od JOIN costs ON edge = from_edge WHERE exact")
 def g3_direct_option(spark, d):
-    pairs = od(spark, d).withColumn("to_edge", F.col("from_edge"))
+    pairs = od(spark, d).withColumn("to_edge", F.col("from_edge")).where("exact")
     starts, goals = routing.endpoints(pairs, costs(spark, d))
-    return routing.direct_option(starts, goals, costs(spark, d))
-
-
-SOURCES = "sources AS (SELECT node AS od_id, node, 0.0 AS extra FROM nodes WHERE node % 10 = 3)"
+    return rounded(routing.direct_option(starts, goals, costs(spark, d)).select("od_id", "edge", "cost", "length_m"), "cost")
 
 
 def all_costs(spark, d):
@@ -541,15 +557,20 @@ def all_costs(spark, d):
     return routing.sssp_nodes(starts, starts.select("od_id", "edge", F.lit(-1).cast("long").alias("node"), "extra").where("false"), costs(spark, d))
 
 
-@query()
+@query(f"WITH {COSTS}, {spread_sql('dist', 'SELECT node, node, CAST(0 AS DOUBLE) FROM nodes WHERE node % 10 = 3')} SELECT od_id, node, round(cost, 6) AS cost FROM dist")
 def g4_sssp_nodes(spark, d):
     return rounded(all_costs(spark, d).select("od_id", "node", "cost"), "cost", digits=6)
 
 
-@query()
+TURNED = """turned(od_id, edge, cost) USING KEY (od_id, edge) AS (SELECT od_id, edge, extra FROM starts
+UNION SELECT d.od_id, a.to_edge, min(d.cost + a.penalty_s + c.cost) FROM turned d JOIN allowed a ON a.from_edge = d.edge JOIN costs c ON c.edge = a.to_edge LEFT JOIN recurring.turned r ON r.od_id = d.od_id AND r.edge = a.to_edge
+WHERE r.cost IS NULL OR d.cost + a.penalty_s + c.cost < r.cost - 1e-9 GROUP BY d.od_id, a.to_edge)"""
+
+
+@query(f"WITH {COSTS}, {OD}, {ALLOWED}, {TURNED} SELECT od_id, edge, round(cost, 6) AS cost FROM turned")
 def g5_sssp_turns(spark, d):
     starts, goals = routing.endpoints(od(spark, d), costs(spark, d))
-    return rounded(routing.sssp_turns(starts, goals, costs(spark, d), derive.turns(spark, d)).select("od_id", "edge", "cost"), "cost", digits=6)
+    return rounded(routing.sssp_turns(starts, goals.where("false"), costs(spark, d), derive.turns(spark, d)).select("od_id", "edge", "cost"), "cost", digits=6)
 
 
 def sequences(spark, d):
@@ -579,20 +600,34 @@ def g8_plan(spark, d):
     return rounded(routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d)).select("od_id", "status", "cost", "length_m"), "cost", "length_m", digits=6)
 
 
+@query(f"""WITH {COSTS}, {OD}, {ALLOWED}, {TURNED}, totals AS (SELECT g.od_id, d.cost + a.penalty_s + g.extra AS cost FROM goals g JOIN allowed a ON a.to_edge = g.edge JOIN turned d ON d.od_id = g.od_id AND d.edge = a.from_edge
+UNION ALL SELECT s.od_id, c.cost * (g.offset_m - s.offset_m) / 100 FROM starts s JOIN goals g ON g.od_id = s.od_id AND g.edge = s.edge AND s.offset_m <= g.offset_m JOIN costs c ON c.edge = s.edge)
+SELECT o.od_id, CASE WHEN min(t.cost) IS NULL THEN 'unreachable' ELSE 'ok' END AS status, round(min(t.cost), 6) AS cost FROM od o LEFT JOIN totals t USING (od_id) GROUP BY o.od_id""")
+def g8_plan_cost(spark, d):
+    return rounded(routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d)).select("od_id", "status", "cost"), "cost")
+
+
 @query()
 def g9_k_shortest(spark, d):
     starts, goals = node_od(spark, d)
     return routing.k_shortest(starts, goals, costs(spark, d), 3)
 
 
-@query()
+LANDMARKS = f"""{spread_sql('one', 'SELECT min(node), min(node), CAST(0 AS DOUBLE) FROM nodes')}, picked AS (SELECT min(node) AS node FROM nodes UNION ALL SELECT arg_max(node, {{'c': cost, 'n': -node}}) FROM one),
+{spread_sql('away', 'SELECT node, node, CAST(0 AS DOUBLE) FROM picked')}, {spread_sql('back', 'SELECT node, node, CAST(0 AS DOUBLE) FROM picked', 'to_node', 'from_node')}"""
+
+
+@query(f"WITH {COSTS}, {LANDMARKS} SELECT a.od_id AS landmark, a.node, round(a.cost, 6) AS away, round(b.cost, 6) AS back FROM away a JOIN back b ON a.od_id = b.od_id AND a.node = b.node")
 def g10_landmark_tables(spark, d):
     return rounded(routing.landmark_tables(costs(spark, d), 2), "away", "back", digits=6)
 
 
-@query()
+@query(f"""WITH {COSTS}, {LANDMARKS}, pairs AS (SELECT node AS f, node + 1 AS t FROM nodes WHERE node % 10 = 3 AND node + 1 IN (SELECT node FROM nodes))
+SELECT f AS from_node, t AS to_node, round(max(greatest(0, x.cost - w.cost, y.cost - z.cost)), 6) AS bound FROM pairs JOIN away w ON w.node = f JOIN away x ON x.node = t AND x.od_id = w.od_id JOIN back y ON y.node = f AND y.od_id = w.od_id JOIN back z ON z.node = t AND z.od_id = w.od_id GROUP BY f, t""")
 def g11_lower_bound(spark, d):
-    pairs = derive.nodes(spark, d).where("node % 10 = 3").select(F.col("node").alias("from_node"), (F.col("node") + 1).alias("to_node"))
+    n = derive.nodes(spark, d)
+    pairs = n.where("node % 10 = 3").select(F.col("node").alias("from_node"), (F.col("node") + 1).alias("to_node"))
+    pairs = pairs.join(n.select(F.col("node").alias("to_node")), "to_node", "left_semi")
     return rounded(routing.lower_bound(pairs, routing.landmark_tables(costs(spark, d), 2)), "bound", digits=6)
 
 
@@ -618,9 +653,6 @@ def g14_sssp_timed(spark, d):
     return routing.sssp_timed(starts, derive.edges(spark, d), derive.turns(spark, d), profile(spark, d)).select("od_id", "edge", "cost")
 
 
-ALLOWED = "allowed AS (SELECT a.edge AS from_edge, b.edge AS to_edge, coalesce(t.penalty_s, 0) AS penalty_s FROM edges a JOIN edges b ON a.to_node = b.from_node LEFT JOIN turns t ON t.from_edge = a.edge AND t.to_edge = b.edge WHERE NOT coalesce(t.prohibited, false))"
-
-
 @query(f"""WITH {COSTS}, {ALLOWED}, steps AS (SELECT route_id, pos, edge, lag(edge) OVER (PARTITION BY route_id ORDER BY pos) AS from_edge FROM routes),
 j AS (SELECT s.*, c.edge IS NOT NULL AS known, s.from_edge IS NULL OR a.from_edge IS NOT NULL AS joined, c.cost + coalesce(a.penalty_s, 0) AS cost FROM steps s LEFT JOIN costs c ON c.edge = s.edge LEFT JOIN allowed a ON a.from_edge = s.from_edge AND a.to_edge = s.edge)
 SELECT route_id, bool_and(known) AND bool_and(joined) AS valid, CASE WHEN NOT bool_and(known) THEN 'edge_not_enabled' WHEN NOT bool_and(joined) THEN 'step_not_allowed' END AS reason FROM j GROUP BY route_id""")
