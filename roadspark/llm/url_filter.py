@@ -17,6 +17,9 @@ TREES, DEPTH = 10, 3
 
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_escapes", "f_https", "f_suffix", "f_extension"]
 
+#: Names that the features and the trees use; columns of ``pages`` of these names are left out.
+SCRATCH = [*FEATURES, "suffix", "extension", "features", "rawPrediction", "probability", "prediction", "label"]
+
 
 def after_scheme(url: Column) -> Column:
     """What follows the first ``://``; empty without one, and for null."""
@@ -89,8 +92,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS
     ``rows`` of them, chosen by a hash of the URL, train gradient-boosted trees on ``FEATURES``, which
     decide the rest.  If the labelled ones are of one verdict only, the rest get it; if there are none,
     ``allow``.  A null URL and one without ``://`` have empty host and path and are judged like the others.
-    Repeated rows stay; columns named like the new ones are replaced; an empty table gives an empty one.
+    Repeated rows stay; columns named like the new ones are replaced, those in ``SCRATCH`` left out; an empty table
+    gives an empty one.
     """
+    pages = pages.drop(*SCRATCH)
     new = {"host": host(F.col("url")), "path": path(F.col("url"))}
     urls = pages.withColumns({k: F.coalesce(v, F.lit("")) for k, v in new.items()})
     rule, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
@@ -105,7 +110,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS
         return df.fillna(0.5, ["f_suffix", "f_extension"])
 
     labels = sorted(r.label for r in labelled.select("label").distinct().collect())
-    scratch = [*FEATURES, "suffix", "extension"]
     if len(labels) < 2:
         method = F.lit("block" if labels == [1.0] else "allow")
         out = urls
@@ -115,7 +119,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS
         model = trees.fit(assemble.transform(described(labelled)))
         out = model.transform(assemble.transform(described(lexical(urls))))
         method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-        scratch += ["features", "rawPrediction", "probability", "prediction"]
-    return out.withColumns({"by_method": F.col("verdict").isNull(), "verdict": F.coalesce("verdict", method)}).drop(*scratch)
+    return out.withColumns({"by_method": F.col("verdict").isNull(), "verdict": F.coalesce("verdict", method)}).drop(*SCRATCH)
 
 

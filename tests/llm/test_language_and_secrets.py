@@ -75,7 +75,7 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "org/")]
 @pytest.mark.parametrize("extra", [0, 1])
 def test_url_rules_and_method(spark, extra):
     urls = [None, "", "no-scheme.com/en/", "HTTP://A.Example.COM/en/71?x#y", "http://a.example.com/en/8", "http://b.org?q=/z", "http://notcom/en/", "https://c.net/a/b.html"] * 3
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "features": F.lit("clash"), "prediction": F.lit(1)})
     rows = {r.page_id: r for r in url_filter.judge(pages, RULES if extra else RULES[:1]).collect()}
     assert len(rows) == len(urls)
     assert (rows[0].host, rows[0].path, rows[2].host) == ("", "", "")

@@ -53,13 +53,14 @@ def test_pipeline_stages(spark, tmp_path):
     rows = [(k, prose(60), "en", "s", 1) for k in range(20)] + [(30, base, "en", "s", 1), (31, base + " more", "en", "s", 1), (31, base + " more", "en", "s", 1)]
     rows += [(40, f"{prose(30)} {item} {prose(30)}", "en", "s", 1), (50, "12345 !!", "en", "s", 1), (51, None, None, None, None)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
-    spark.createDataFrame(rows, columns).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, columns).withColumns({c: F.lit("mine") for c in ("extra", "score", "n_lines", "k_id")}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if k < 4:
             assert out.columns == docs.columns
+            assert out.where("extra <> 'mine' OR score <> 'mine' OR n_lines <> 'mine' OR k_id <> 'mine'").isEmpty()
         out.write.parquet(f"{tmp_path}/stage{k}")
         docs = spark.read.parquet(f"{tmp_path}/stage{k}")
         seen.append(sorted(r.doc_id for r in docs.collect()))
