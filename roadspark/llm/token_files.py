@@ -21,7 +21,7 @@ from roadspark.llm.common import extended, map_batches, shared_dir, texts, with_
 KEPT_CHUNKS = 700_000
 
 #: Characters at which ``str.split`` splits though the tokenizer doesn't take them for white space.
-SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 #: How this kind of tokenizer splits a chunk, and the printable bytes that stand for themselves.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -68,7 +68,7 @@ class Chunks(dict):
         return packed
 
     def encode(self, text: str) -> bytes:
-        if SEPARATORS.intersection(text):
+        if any(c in text for c in SEPARATORS):
             return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
