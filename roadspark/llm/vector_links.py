@@ -21,7 +21,7 @@ TRAIN_ROWS = 20_000
 #: Share of the pairs right at ``COSINE`` that a search from one side alone has to reach.
 RECALL = 0.99
 #: Rows of an index block and of the searches that meet it.
-BLOCK = 512
+BLOCK = 1024
 
 
 class MultiIndex:
@@ -144,17 +144,18 @@ def _verify(indexes: dict[int, MultiIndex]):
         index = indexes.get(dim)
         x, y = (np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), dim) for packed in (searches["unit"], block["b_unit"]))
         xn, yn, xw, yw = searches["node"].to_numpy(), block["b_node"].to_numpy(), searches["n"].to_numpy(), block["b_n"].to_numpy()
-        if index is None:
-            visited = seen = np.ones((len(x), len(y)), bool)
-        else:
+        a, b = np.nonzero(x @ y.T >= COSINE)
+        a, b = a[xn[a] != yn[b]], b[xn[a] != yn[b]]
+        back = np.zeros(len(a), bool)
+        if index is not None and len(a):
+            # only pairs that link need to be looked up in the traversals of both sides
             (xu, xv), (yu, yv) = index.distances(x), index.distances(y)
-            j = yv.argmin(1)
-            visited = xu[:, [first]] + xv[:, j] <= index.bound(xu, xv)[:, None]
-            seen = yu[:, xu.argmin(1)].T + yv[:, xv.argmin(1)].T <= index.bound(yu, yv)
-        a, b = np.nonzero(visited & (x @ y.T >= COSINE) & (xn[:, None] != yn))
+            visited = xu[a, first] + xv[a, yv.argmin(1)[b]] <= index.bound(xu, xv)[a]
+            a, b = a[visited], b[visited]
+            # the search from the other side misses this pair
+            back = yu[b, xu.argmin(1)[a]] + yv[b, xv.argmin(1)[a]] > index.bound(yu, yv)[b]
         if not len(a):
             return pd.DataFrame([], columns=names)
-        back = ~seen[a, b]  # the search from the other side misses this pair
         ids, where = np.unique(np.concatenate([xn[a], yn[b]]), return_inverse=True)
         p, q = where[: len(a)], where[len(a) :]
         links = np.bincount(p, yw[b], len(ids)) + np.bincount(q[back], xw[a[back]], len(ids))
