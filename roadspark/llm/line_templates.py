@@ -11,6 +11,8 @@ from roadspark.llm.common import stored
 MIN_TEXTS = 5
 #: ... and what surrounds it differs: so many kinds, and so many for each text.
 MIN_KINDS, KINDS_SHARE = 5, 0.5
+#: The same for whole lines of so many tokens, where ``drop_lines`` is asked for the long ones: (tokens, kinds), longest first.
+LONG = ((40, 3), (20, 4))
 #: Depth of the tree below the token count: leading tokens that lines of a leaf share.
 LEADING = 2
 #: Token counts of the lines whose other fields may vary.
@@ -57,38 +59,50 @@ def parsed(docs: DataFrame, text: str) -> DataFrame:
     least = F.slice(F.sort_array(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))), 1, 3)
     kinds = F.transform("hashes", lambda h: F.array_join(F.slice(F.filter("least", lambda x: x != h), 1, 2), " "))
     rows = docs.select(*keys(docs, text), lines.alias("lines")).withColumn("hashes", hashes).withColumn("least", least)
-    return rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform(kinds, number).alias("kinds"))
+    needs = F.transform("lines", needed)
+    return rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform(kinds, number).alias("kinds"), needs.alias("needs"))
+
+
+def needed(line: Column) -> Column:
+    """The kinds that a whole line needs to recur: fewer for long lines, which unrelated texts don't share by chance."""
+    n, out = F.size(F.split(line, " ")), F.lit(MIN_KINDS)
+    for tokens, kinds in reversed(LONG):
+        out = F.when(n >= tokens, kinds).otherwise(out)
+    return out
 
 
 def keys(docs: DataFrame, text: str, id_col: str = "doc_id") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
 
 
-def recurring(trees: DataFrame) -> DataFrame:
+def recurring(trees: DataFrame, long: bool = False) -> DataFrame:
     """Keys of the templates that recur across documents which aren't copies of each other.
 
     Each step groups by all that it tells apart, then sums, so that a template in a third of all rows is
     spread over many tasks until only sums are left.
     """
-    lines = F.arrays_zip("paths", "kinds")
-    seen = trees.select("k_text", F.explode(lines).alias("line")).select("k_text", "line.kinds", F.explode("line.paths").alias("key"))
-    texts = seen.groupBy("key", "k_text").agg(F.min("kinds").alias("kind"))
-    kinds = texts.groupBy("key", "kind").agg(F.count("*").alias("texts"))
-    sums = kinds.groupBy("key").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"))
-    return sums.where((F.col("texts") >= MIN_TEXTS) & (F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))).select("key")
+    lines = F.arrays_zip("paths", "kinds", "needs")
+    seen = trees.select("k_text", F.explode(lines).alias("line")).select("k_text", "line.kinds", "line.needs", F.posexplode("line.paths").alias("path", "key"))
+    need = F.when(F.col("path") == 0, F.col("needs")).otherwise(MIN_KINDS) if long else F.lit(MIN_KINDS)
+    texts = seen.groupBy("key", "k_text").agg(F.min("kinds").alias("kind"), F.min(need).alias("need"))
+    kinds = texts.groupBy("key", "kind").agg(F.count("*").alias("texts"), F.min("need").alias("need"))
+    sums = kinds.groupBy("key").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"), F.min("need").alias("need"))
+    least = F.least(F.lit(MIN_TEXTS), F.col("need"))
+    return sums.where((F.col("texts") >= least) & (F.col("kinds") >= F.col("need")) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))).select("key")
 
 
-def drop_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", long: bool = False) -> DataFrame:
     """Drop from each text the lines with a template that recurs; add ``n_lines`` and ``n_dropped``.
 
     A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
     every two texts at least.  So lines that recur because whole documents were copied stay for near-dedup,
-    which keeps one of each group.  Blank lines stay.  A null text counts as empty; repeated rows stay and
+    which keeps one of each group.  With ``long``, whole lines of many tokens need fewer texts and kinds (``LONG``); without it the
+    rule is that of the registered query's SQL.  Blank lines stay.  A null text counts as empty; repeated rows stay and
     lose the same lines; an empty table gives an empty one; columns named like the new ones are replaced.
     """
     trees = stored(parsed(docs, text), "lines")
     lines = trees.select("k_id", "k_text", F.posexplode("paths").alias("line", "keys")).select("k_id", "k_text", "line", F.explode("keys").alias("key"))
-    hit = lines.join(recurring(trees), "key", "left_semi")
+    hit = lines.join(recurring(trees, long), "key", "left_semi")
     gone = hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"})
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     named = [c.alias(n) for c, n in zip(keys(docs, text), ("__k_id", "__k_text"), strict=True)]

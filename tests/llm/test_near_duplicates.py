@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from roadspark.llm import decontamination, line_templates, near_duplicates, vector_links
 from roadspark.llm.shingles import multisets, overlap, units
 
@@ -187,3 +188,14 @@ def test_template_lines_go_and_copies_stay(spark):
     assert all(got[100 + k].text == copy for k in range(30))
     assert got[200].text is None and got[201].text == "" and got[202].text == "\n\n"
     assert line_templates.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_long_line_of_few_unrelated_documents_goes(spark):
+    rng = random.Random(16)
+    passage, short = prose(rng, 60), prose(rng, 6)
+    rows = [(k, "\n".join([prose(rng, 12), passage, short, *(prose(rng, 12) for _ in range(3))])) for k in range(3)]
+    rows += [(9, "\n".join(prose(rng, 60) for _ in range(3)))]
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    assert got == {k: "\n".join(x for x in text.split("\n") if x != passage) for k, text in rows}
