@@ -32,7 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_template_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the lines whose template recurs across documents; ``n_chars`` follows the text."""
-    kept = lambda d: line_templates.drop_lines(d, long=True).withColumn("n_chars", F.length("text").cast("long"))
+    kept = lambda d: line_templates.drop_lines(d, by_family=True).withColumn("n_chars", F.length("text").cast("long"))
     return shielded(docs, ("n_lines", "n_dropped"), kept)
 
 

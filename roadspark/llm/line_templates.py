@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadspark.llm.common import stored
+from roadspark.llm.components import components
 
 #: A template recurs if this many different texts have it ...
 MIN_TEXTS = 5
 #: ... and what surrounds it differs: so many kinds, and so many for each text.
 MIN_KINDS, KINDS_SHARE = 5, 0.5
-#: The same for whole lines of so many tokens, where ``drop_lines`` is asked for the long ones: (tokens, kinds), longest first.
+#: The same for whole lines of so many tokens, where ``drop_lines`` is asked to count families: (tokens, kinds), longest first.
 LONG = ((40, 3), (20, 4))
+#: Sketch of a text's family: words of a shingle, hashes of a key, and bits of the places in the ring of hashes where keys start.
+SHINGLE, KEY_HASHES, START_BITS = 3, 8, 5
 #: Depth of the tree below the token count: leading tokens that lines of a leaf share.
 LEADING = 2
 #: Token counts of the lines whose other fields may vary.
@@ -48,19 +51,49 @@ def number(kind: Column) -> Column:
     return F.conv(F.substring(F.md5(kind), 1, 15), 16, 10).cast("long")
 
 
+def masked_lines(text: str) -> Column:
+    return F.transform(F.split(masked(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda s: F.trim(s))
+
+
 def parsed(docs: DataFrame, text: str) -> DataFrame:
     """Of each row: its key (``k_id``, ``k_text``), and of each line its keys (``paths``) and its ``kinds``.
 
     The kind of a line is what surrounds it: the two least hashes of the document's other lines.  It is the same in
     copies of a document, whatever few of their lines were edited, and differs where a line stands in documents of its own.
     """
-    lines = F.transform(F.split(masked(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda s: F.trim(s))
     hashes = F.transform("lines", lambda s: F.when(s != "", F.md5(s)))
     least = F.slice(F.sort_array(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))), 1, 3)
     kinds = F.transform("hashes", lambda h: F.array_join(F.slice(F.filter("least", lambda x: x != h), 1, 2), " "))
-    rows = docs.select(*keys(docs, text), lines.alias("lines")).withColumn("hashes", hashes).withColumn("least", least)
-    needs = F.transform("lines", needed)
-    return rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform(kinds, number).alias("kinds"), needs.alias("needs"))
+    rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines")).withColumn("hashes", hashes).withColumn("least", least)
+    return rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform(kinds, number).alias("kinds"))
+
+
+def parsed_by_family(docs: DataFrame, text: str) -> DataFrame:
+    """Of each row: its key, the ``family`` of its text, and of each line its keys (``paths``) and the kinds that it needs."""
+    rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines"))
+    rows = rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform("lines", needed).alias("needs"))
+    return rows.join(families(docs, text), "k_text", "left").withColumn("family", F.coalesce("family", "k_text"))
+
+
+def families(docs: DataFrame, text: str) -> DataFrame:
+    """(``k_text``, ``family``) of the texts that are copies of others but for edits.
+
+    The hashes of a text's shingles form a ring, which is entered at fixed places; each key is the few hashes that
+    follow.  Texts that share a key share most of their shingles, nearly always, and are of one family, as are those that a
+    chain of such texts joins: a large group of edited copies is one family, however its members were edited.
+    """
+    words = F.split(F.trim(masked(F.coalesce(F.col(text), F.lit("")))), r"\s+")
+    rows = docs.select(keys(docs, text)[1], words.alias("words"))
+    runs = F.arrays_zip(*(F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(SHINGLE)))
+    whole = F.when(F.size("words") > SHINGLE, F.slice(runs, 1, F.size("words") - SHINGLE + 1)).otherwise(F.slice(runs, 1, 1))
+    rows = rows.select("k_text", F.sort_array(F.array_distinct(F.transform(whole, lambda w: F.xxhash64(w)))).alias("ring"))
+    rows = rows.withColumn("round", F.concat("ring", F.slice("ring", 1, KEY_HASHES - 1)))
+    starts = lambda h, i: (i == 0) | (F.shiftright(F.get("ring", i - 1), 64 - START_BITS) != F.shiftright(h, 64 - START_BITS))
+    entered = F.transform("ring", lambda h, i: F.when(starts(h, i), F.xxhash64(F.slice("round", i + 1, KEY_HASHES))))
+    shared = stored(rows.select("k_text", F.explode(F.filter(entered, lambda k: k.isNotNull())).alias("key")).distinct(), "families")
+    least = shared.groupBy("key").agg(F.min("k_text").alias("least"), F.max("k_text").alias("most")).where("least < most")
+    found = components(shared.join(least, "key").select(F.col("k_text").alias("u"), F.col("least").alias("v")))
+    return found.distinct().select(F.col("node").alias("k_text"), F.col("component").alias("family"))
 
 
 def needed(line: Column) -> Column:
@@ -75,42 +108,51 @@ def keys(docs: DataFrame, text: str, id_col: str = "doc_id") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
 
 
-def recurring(trees: DataFrame, long: bool = False) -> DataFrame:
+def recurring(trees: DataFrame) -> DataFrame:
     """Keys of the templates that recur across documents which aren't copies of each other.
 
     Each step groups by all that it tells apart, then sums, so that a template in a third of all rows is
     spread over many tasks until only sums are left.
     """
-    lines = F.arrays_zip("paths", "kinds", "needs")
-    seen = trees.select("k_text", F.explode(lines).alias("line")).select("k_text", "line.kinds", "line.needs", F.posexplode("line.paths").alias("path", "key"))
-    need = F.when(F.col("path") == 0, F.col("needs")).otherwise(MIN_KINDS) if long else F.lit(MIN_KINDS)
-    texts = seen.groupBy("key", "k_text").agg(F.min("kinds").alias("kind"), F.min(need).alias("need"))
-    kinds = texts.groupBy("key", "kind").agg(F.count("*").alias("texts"), F.min("need").alias("need"))
-    sums = kinds.groupBy("key").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"), F.min("need").alias("need"))
-    least = F.least(F.lit(MIN_TEXTS), F.col("need"))
-    return sums.where((F.col("texts") >= least) & (F.col("kinds") >= F.col("need")) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))).select("key")
+    lines = F.arrays_zip("paths", "kinds")
+    seen = trees.select("k_text", F.explode(lines).alias("line")).select("k_text", "line.kinds", F.explode("line.paths").alias("key"))
+    texts = seen.groupBy("key", "k_text").agg(F.min("kinds").alias("kind"))
+    kinds = texts.groupBy("key", "kind").agg(F.count("*").alias("texts"))
+    sums = kinds.groupBy("key").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"))
+    return sums.where((F.col("texts") >= MIN_TEXTS) & (F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))).select("key")
+
+
+def recurring_by_family(trees: DataFrame) -> DataFrame:
+    """Keys of the templates that enough families have, each counted once, however many texts it is of."""
+    lines = F.arrays_zip("paths", "needs")
+    seen = trees.select("family", F.explode(lines).alias("line")).select("family", "line.needs", F.posexplode("line.paths").alias("path", "key"))
+    need = F.when(F.col("path") == 0, F.col("needs")).otherwise(MIN_KINDS)
+    of = seen.groupBy("key", "family").agg(F.min(need).alias("need"))
+    return of.groupBy("key").agg(F.count("*").alias("families"), F.min("need").alias("need")).where("families >= need").select("key")
 
 
-def drop_lines(docs: DataFrame, text: str = "text", long: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) -> DataFrame:
     """Drop from each text the lines with a template that recurs; add ``n_lines`` and ``n_dropped``.
 
     A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
     every two texts at least.  So lines that recur because whole documents were copied stay for near-dedup,
-    which keeps one of each group.  With ``long``, whole lines of many tokens need fewer texts and kinds (``LONG``); without it the
-    rule is that of the registered query's SQL.  Blank lines stay.  A null text counts as empty; repeated rows stay and
+    which keeps one of each group.  That is the rule of the registered query's SQL.  With ``by_family`` a template
+    recurs if ``MIN_KINDS`` families of texts have it (see ``families``), and for whole lines of many tokens fewer (``LONG``);
+    copies in any number then neither make a template nor save one.  Blank lines stay.  A null text counts as empty; repeated rows stay and
     lose the same lines; an empty table gives an empty one; columns named like the new ones are replaced.
     """
-    trees = stored(parsed(docs, text), "lines")
+    trees = stored(parsed_by_family(docs, text) if by_family else parsed(docs, text), "lines")
+    found = recurring_by_family(trees) if by_family else recurring(trees)
     lines = trees.select("k_id", "k_text", F.posexplode("paths").alias("line", "keys")).select("k_id", "k_text", "line", F.explode("keys").alias("key"))
-    hit = lines.join(recurring(trees, long), "key", "left_semi")
+    hit = lines.join(found, "key", "left_semi")
     gone = hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"})
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     named = [c.alias(n) for c, n in zip(keys(docs, text), ("__k_id", "__k_text"), strict=True)]
-    found = docs.select(*kept_columns, *named).join(gone, ["__k_id", "__k_text"], "left")
+    rows = docs.select(*kept_columns, *named).join(gone, ["__k_id", "__k_text"], "left")
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     kept = F.filter(split, lambda s, i: ~F.array_contains("__gone", i))
     none = F.col("__gone").isNull()
-    return found.select(
+    return rows.select(
         *(F.when(none, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in kept_columns),
         F.size(split).cast("long").alias("n_lines"),
         F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"),

@@ -199,3 +199,17 @@ def test_long_line_of_few_unrelated_documents_goes(spark):
     docs = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
     assert got == {k: "\n".join(x for x in text.split("\n") if x != passage) for k, text in rows}
+
+
+def test_edited_copies_neither_save_nor_make_a_template(spark):
+    rng = random.Random(17)
+    footer, other = "all rights reserved by the makers of this site", "imprint and contact"
+    rows = [(k, "\n".join([*(prose(rng, 14) for _ in range(4)), footer, other])) for k in range(12)]
+    body = [prose(rng, 30) for _ in range(5)]
+    for k in range(60):
+        lines = [edited(rng, x, 0.04) for x in body]
+        rows.append((100 + k, "\n".join([*lines, footer])))
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    assert got == {k: "\n".join(x for x in text.split("\n") if x not in (footer, other)) for k, text in rows}
