@@ -9,11 +9,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadspark.llm.common import map_batches, with_fields
+from roadspark.llm.common import map_batches, stored, with_fields
 from roadspark.llm.url_filter import host, path
 
 # Elements by what they mean for the text.
@@ -188,37 +189,98 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
 
     Pages are ranged by host, then URL path, so that a page's nearest URLs on its host stand beside it; a host
     of any size spreads over many tasks.  Each page is aligned with the one before and the one behind it
-    on its host (one only at the ends of a range) and shared lines are marked; see ``Page.main_text``.
+    on its host and shared lines are marked; see ``Page.main_text``.  The first and the last page of each range go on
+    with their source and marks, and meet those of the ranges beside theirs, so the text doesn't depend on where ranges end.
     A null html counts as empty and gives an empty text; a null URL has the empty host; repeated pages stay
     and keep their article; other columns pass, but for those named like the new ones.
     """
     at = {"_host": F.coalesce(host(F.col(url)), F.lit("")), "_path": F.coalesce(path(F.col(url)), F.lit(""))}
     order = ["_host", "_path", key]
-    ranged = pages.withColumns(at).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = pages.withColumns(at).repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(html))
     schema = with_fields(pages.drop(html), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
     kept = [f.name for f in schema.fields if f.name not in ("text", "n_chars")]
+    ends = [
+        T.StructField("_range", T.IntegerType()),
+        T.StructField("_first", T.BooleanType()),
+        T.StructField("_last", T.BooleanType()),
+        T.StructField("_host", T.StringType()),
+        T.StructField("_html", T.StringType()),
+        T.StructField("_shared", T.ArrayType(T.IntegerType())),
+    ]
+    names = [*kept, "text", "n_chars", *(f.name for f in ends)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId()
         before: tuple[str, Page] | None = None
-        held: tuple[pa.RecordBatch, list[Page]] | None = None
+        held: tuple[pa.RecordBatch, list[Page], tuple[str, str]] | None = None
+        begun = False
 
-        def done(batch: pa.RecordBatch, found: list[Page]) -> pa.RecordBatch:
+        def done(batch: pa.RecordBatch, found: list[Page], end: tuple[str, str], last: bool) -> pa.RecordBatch:
+            """A batch whose pages have met their neighbours; only the ends of the range have more columns."""
+            nonlocal begun, begin
             out = [page.main_text() for page in found]
+            n = len(found)
+            side: list[dict] = [{}] * n
+            if not begun:
+                side[0] = {"_host": begin[0], "_html": begin[1], "_first": True}
+                begun, begin = True, None
+            if last:
+                side[-1] = {"_first": False} | side[-1] | {"_host": end[0], "_html": end[1], "_last": True}
+            side = [x and {"_range": number, "_last": False, "_shared": sorted(found[k].shared)} | x for k, x in enumerate(side)]
             new = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, "text", "n_chars"])
+            types = [pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32())]
+            new += [pa.array([x.get(f.name) for x in side], t) for f, t in zip(ends, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=names)
 
+        begin: tuple[str, str] | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found = []
             for name, source in zip(batch.column("_host").to_pylist(), batch.column(html).to_pylist(), strict=True):
                 page = Page.of(source or "")
                 if before and before[0] == name:
                     difference(before[1], page)
+                if before is None:
+                    begin = (name, source or "")
                 before = (name, page)
                 found.append(page)
             if held:
-                yield done(*held)
-            held = (batch.select(kept), found)
+                yield done(*held, False)
+            held = (batch.select(kept), found, (name, source or ""))
         if held:
-            yield done(*held)
-
-    return map_batches(ranged, run, schema)
+            yield done(*held, True)
+
+    out = stored(map_batches(ranged, run, T.StructType([*(schema[c] for c in kept), schema["text"], schema["n_chars"], *ends])), "texts")
+    return out.where("_range IS NULL").select(*schema.names).unionByName(_ends(out, schema))
+
+
+def _ends(out: DataFrame, schema: T.StructType) -> DataFrame:
+    """The first and last pages of the ranges, differenced with those of the ranges beside theirs too."""
+    ends = out.where("_range IS NOT NULL")
+    numbers = sorted(r._range for r in ends.select("_range").distinct().collect())  # at most one for each shuffle partition
+    place = F.array_position(F.array(*map(F.lit, numbers)), F.col("_range")).cast("int") if numbers else F.lit(0)
+    # a page takes part in up to two meetings: as the first of its range with the range before, as the last with the next
+    meets = F.array_compact(F.array(F.when(F.col("_first"), place - 1), F.when(F.col("_last"), place)))
+    ends = ends.withColumn("_row", F.struct("_range", "_first", "_last"))
+    sides = ends.select("_row", "_host", "_html", "_first", "_last", F.explode(meets).alias("_meet"), place.alias("_place"))
+    left = sides.where("_meet = _place").select("_meet", "_host", F.col("_html").alias("a"), F.col("_row").alias("a_row"))
+    right = sides.where("_meet = _place - 1").select("_meet", "_host", F.col("_html").alias("b"), F.col("_row").alias("b_row"))
+
+    @F.udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def marks(a: str, b: str) -> list[list[int]]:
+        one, other = Page.of(a), Page.of(b)
+        difference(one, other)
+        return [sorted(one.shared), sorted(other.shared)]
+
+    @F.udf(T.StringType())
+    def text_of(source: str, shared: list[list[int]]) -> str:
+        page = Page.of(source)
+        page.shared = {k for part in shared for k in part}
+        return page.main_text()
+
+    met = left.join(right, ["_meet", "_host"]).select("a_row", "b_row", marks("a", "b").alias("m"))
+    both = met.select(F.col("a_row").alias("_row"), F.col("m")[0].alias("s")).unionByName(met.select(F.col("b_row").alias("_row"), F.col("m")[1].alias("s")))
+    rows = ends.join(both.groupBy("_row").agg(F.collect_list("s").alias("_more")), "_row", "left")
+    text = F.when(F.col("_more").isNull(), F.col("text")).otherwise(text_of("_html", F.concat(F.array("_shared"), F.coalesce("_more", F.array().cast("array<array<int>>")))))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*schema.names)

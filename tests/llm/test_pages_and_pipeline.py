@@ -29,6 +29,27 @@ def test_shared_lines_of_pages_without_article_go(spark):
     assert got == {k: f"Story number {k}" for k in range(5)}
 
 
+def test_text_does_not_depend_on_ranges(spark):
+    page = "<body><div>Our site</div><div>Best offers</div><p>{}</p><div>Imprint</div></body>"
+    rows = [(k, f"http://h.example/{k % 7}/{k}", page.format(f"Story number {k}")) for k in range(20)] + [(90, "http://other.example/", page.format("Alone")), (91, "http://z.example/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    seen = []
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3, 8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = main_text.extract(pages)
+            assert out.columns == ["page_id", "url", "text", "n_chars"]
+            seen.append({r.page_id: (r.text, r.n_chars) for r in out.collect()})
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    alone = "Our site\n\nBest offers\n\nAlone\n\nImprint"
+    want = {k: f"Story number {k}" for k in range(20)} | {90: alone, 91: ""}
+    assert all(s == {k: (t, len(t)) for k, t in want.items()} for s in seen)
+
+
 def test_common_subsequence_is_longest(monkeypatch):
     rng = random.Random(3)
     for table in (main_text.TABLE_BYTES, 1):
