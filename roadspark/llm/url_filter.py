@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadspark.llm.common import stored
 
-#: Labelled URLs from which the trees are trained; more are thinned out by a hash of the URL.
+#: Labelled URLs from which the trees are trained; more are thinned out by a hash of row key and URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 10, 3
 
@@ -80,17 +80,17 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def blocked_share(labelled: DataFrame, by: str, name: str) -> DataFrame:
-    """Smoothed share of blocked URLs for each value of ``by``; at most ``TRAIN_ROWS`` rows, so it may be broadcast."""
-    return labelled.groupBy(by).agg(((F.sum("label") + 1) / (F.count("*") + 2)).alias(name))
+def blocked_share(counts: DataFrame, by: str, name: str) -> DataFrame:
+    """Smoothed share of blocked URLs for each value of ``by``; there may be many."""
+    return counts.groupBy(by).agg(((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(name))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS, key: str = "page_id") -> DataFrame:
     """Add ``host``, ``path``, ``rule``, ``verdict`` and ``by_method`` to every row of ``pages``.
 
     Where a rule fits, the longest decides.  The URLs that rules decide are the labelled ones: about
-    ``rows`` of them, chosen by a hash of the URL, train gradient-boosted trees on ``FEATURES``, which
-    decide the rest.  If the labelled ones are of one verdict only, the rest get it; if there are none,
+    ``rows`` of them, chosen by a hash of ``key`` (where there is one) and URL, train gradient-boosted trees on ``FEATURES``, which
+    decide the rest.  The shares of blocked URLs by suffix and extension are those of all labelled ones.  If the labelled ones are of one verdict only, the rest get it; if there are none,
     ``allow``.  A null URL and one without ``://`` have empty host and path and are judged like the others.
     Repeated rows stay; columns named like the new ones are replaced, those in ``SCRATCH`` left out; an empty table
     gives an empty one.
@@ -100,13 +100,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS
     urls = pages.withColumns({k: F.coalesce(v, F.lit("")) for k, v in new.items()})
     rule, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
     urls = urls.withColumns({"rule": rule, "verdict": verdict})
-    labelled = urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label"))
-    part = min(1.0, rows / max(labelled.count(), 1))
-    labelled = stored(lexical(labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < round(part * (1 << 20)))), "urls")
-    suffix, extension = blocked_share(labelled, "suffix", "f_suffix"), blocked_share(labelled, "extension", "f_extension")
+    of = [F.xxhash64(*(c for c in (key, "url") if c in urls.columns)).alias("_pick"), (F.col("verdict") == "block").cast("double").alias("label")]
+    labelled = urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", *of)
+    counts = stored(lexical(labelled).groupBy("suffix", "extension").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), "shares")
+    part = min(1.0, rows / max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+    sample = labelled.where(F.pmod("_pick", F.lit(1 << 20)) < round(part * (1 << 20))).drop("_pick")
+    labelled = stored(lexical(sample), "urls")
+    suffix, extension = stored(blocked_share(counts, "suffix", "f_suffix"), "suffix"), stored(blocked_share(counts, "extension", "f_extension"), "extension")
 
     def described(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(suffix), "suffix", "left").join(F.broadcast(extension), "extension", "left")
+        df = df.join(suffix, "suffix", "left").join(extension, "extension", "left")
         return df.fillna(0.5, ["f_suffix", "f_extension"])
 
     labels = sorted(r.label for r in labelled.select("label").distinct().collect())

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roadspark.llm import main_text, queries
+from roadspark.llm import main_text, queries, url_filter
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><p>Site</p></header><nav><a>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>Title &amp; more</h1><p>First<br>line &eacute;</p><p>Second
@@ -97,3 +97,23 @@ def test_every_operator_is_registered():
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert "pipeline" in names
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_url_statistics_come_from_all_labelled_rows(spark, monkeypatch):
+    rows = [(k, f"http://a.block/{k}") for k in range(300)] + [(300 + k, f"http://b{k}.allow/x/y") for k in range(300)] + [(900, "http://q.other/")]
+    pages = spark.createDataFrame(rows + [(1000 + k, "http://hot.allow/x") for k in range(300)], "page_id long, url string")
+    kept, shares = {}, {}
+    old = url_filter.stored
+
+    def spy(df, what):
+        kept[what] = old(df, what)
+        return kept[what]
+
+    monkeypatch.setattr(url_filter, "stored", spy)
+    rules = [("block", "block/"), ("allow", "allow/")]
+    got = url_filter.judge(pages, rules, rows=90)
+    assert got.count() == len(rows) + 300
+    shares = {r.suffix: r.f_suffix for r in kept["suffix"].collect()}
+    assert shares == {"block": 301 / 302, "allow": 1 / 602}
+    # the copies of one URL are thinned out like the others
+    assert 0 < kept["urls"].where("host = 'hot.allow'").count() < 100 and kept["urls"].count() < 200
