@@ -148,12 +148,9 @@ def _verify(indexes: dict[int, MultiIndex]):
         a, b = a[xn[a] != yn[b]], b[xn[a] != yn[b]]
         back = np.zeros(len(a), bool)
         if index is not None and len(a):
-            # only pairs that link need to be looked up in the traversals of both sides
-            (xu, xv), (yu, yv) = index.distances(x), index.distances(y)
-            visited = xu[a, first] + xv[a, yv.argmin(1)[b]] <= index.bound(xu, xv)[a]
-            a, b = a[visited], b[visited]
-            # the search from the other side misses this pair
-            back = yu[b, xu.argmin(1)[a]] + yv[b, xv.argmin(1)[a]] > index.bound(yu, yv)[b]
+            # every verified pair is kept; the search from the other side misses it if it doesn't visit this first code
+            xu, (yu, yv) = index.distances(x)[0], index.distances(y)
+            back = yu[b, xu.argmin(1)[a]] + yv.min(1)[b] > index.bound(yu, yv)[b]
         if not len(a):
             return pd.DataFrame([], columns=names)
         ids, where = np.unique(np.concatenate([xn[a], yn[b]]), return_inverse=True)

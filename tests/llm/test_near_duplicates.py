@@ -213,3 +213,15 @@ def test_edited_copies_neither_save_nor_make_a_template(spark):
     docs = spark.createDataFrame(rows, DOCS).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
     assert got == {k: "\n".join(x for x in text.split("\n") if x not in (footer, other)) for k, text in rows}
+
+
+def test_verified_pairs_of_a_block_are_kept(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12, 8))
+    x = np.concatenate([base + 0.12 * rng.standard_normal(base.shape) for _ in range(8)])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    one = vector_links.MultiIndex(np.zeros((1, 4)), unit[:20, 4:], 1e-9)
+    monkeypatch.setattr(vector_links, "fit", lambda *a, **k: one)
+    got = {r.vec_id: r.n_links for r in vector_links.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    near = unit @ unit.T >= vector_links.COSINE
+    assert got == {k: int(near[k].sum()) - 1 for k in range(len(x))}
