@@ -9,15 +9,18 @@ from roadspark.llm.common import stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: hang each node's greater neighbours (large), or all smaller ones and itself (small), on its least."""
+    """One step: hang each node's greater neighbours (large), or all smaller ones and itself (small), on its least.
+
+    The ends are dealt out by ``u`` once; both the least neighbours and the join with them work on that.
+    """
+    both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     if large:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        both = both.select("u", "v").unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = both.repartition("u")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     out = both.join(least, "u")
     if large:
-        return out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return out.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     hung = out.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 

@@ -20,6 +20,8 @@ REGISTERS, BANDS = 64, 16
 SIMILARITY = 0.8
 #: Members of one block when a bucket is compared in blocks.
 BLOCK = 256
+#: Elements of the incidence matrices of two blocks that are multiplied at once.
+COLUMNS = 4096
 
 _LEVEL = np.uint64(0xA24BAED4963EE407)
 _POINT = np.uint64(0x9FB21C651E98DF25)
@@ -128,11 +130,44 @@ def unpacked(packed: pa.Scalar) -> np.ndarray:
     return np.frombuffer(packed.as_buffer(), np.uint64)
 
 
-def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
-    """Links between the components of one block of outsiders and one block of a bucket: enough to join what they join.
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` has in common with each of ``b``, as a product of incidence matrices.
 
-    Members of one component, or joined already, aren't compared again.
+    Only elements that occur on both sides count; they are taken in runs of ``COLUMNS``.
     """
+    out = np.zeros((len(a), len(b)))
+    x, y = np.concatenate([*a, np.zeros(0, np.uint64)]), np.concatenate([*b, np.zeros(0, np.uint64)])
+    shared = np.intersect1d(x, y)
+    sides = []
+    for all_of, sets in ((x, a), (y, b)):
+        at = np.searchsorted(shared, all_of)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        there = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == all_of) if len(shared) else np.zeros(0, np.int64)
+        there = there[np.argsort(at[there], kind="stable")]
+        sides.append((row[there], at[there]))
+    for low in range(0, len(shared), COLUMNS):
+        parts = []
+        for (row, at), sets in zip(sides, (a, b), strict=True):
+            begin, end = np.searchsorted(at, [low, low + COLUMNS])
+            part = np.zeros((len(sets), min(COLUMNS, len(shared) - low)), np.float32)
+            part[row[begin:end], at[begin:end] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of one block of outsiders and one block of a bucket: enough to join what they join."""
+    of = {}
+    for outsider in (True, False):
+        side = group[group["outsider"] == outsider]
+        of[outsider] = side["component"].to_numpy(np.int64), [np.frombuffer(u, np.uint64) for u in side["units"]]
+    (p, mine), (q, theirs) = of[True], of[False]
+    both = intersections(mine, theirs)
+    sizes = np.array([len(u) for u in mine])[:, None] + np.array([len(u) for u in theirs])[None]
+    same = (both / np.maximum(sizes - both, 1) >= SIMILARITY) & (p[:, None] != q[None])
+    i, j = np.nonzero(same)
+    ends = np.unique(np.sort(np.stack([p[i], q[j]], 1), axis=1), axis=0)
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -141,16 +176,11 @@ def _compare_block(group: pd.DataFrame) -> pd.DataFrame:
         return x
 
     out = []
-    sides = [[(n, c, np.frombuffer(u, np.uint64)) for n, c, u in zip(g["node"], g["component"], g["units"], strict=True)] for g in (group[group["outsider"]], group[~group["outsider"]])]
-    for node, comp, mine in sides[0]:
-        for other, others, theirs in sides[1]:
-            small, large = sorted((len(mine), len(theirs)))
-            if small < SIMILARITY * large or root(comp) == root(others):
-                continue
-            if overlap(mine, theirs) >= SIMILARITY:
-                parent[root(comp)] = root(others)
-                out.append((node, other))
-    return pd.DataFrame(out, columns=["u", "v"])
+    for u, v in ends.tolist():
+        if root(u) != root(v):
+            parent[root(u)] = root(v)
+            out.append((u, v))
+    return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
 
 
 def _unsettled(placed: DataFrame) -> DataFrame:
@@ -210,9 +240,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     placed = shared.where("n > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = _unsettled(placed).join(sets, "node").groupBy("bucket", "i", "j").applyInPandas(_compare_block, "u long, v long")
-    found = components(links.unionByName(more))
+    # the components are the nodes of a smaller graph, whose components are joined to those found
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
 
     placed = nodes.select("node", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(merged, "component", "left").withColumn("component", F.coalesce("into", "component"))
     heads = placed.groupBy("component").agg(F.min("row").alias("head"))
     heads = placed.select("node", "component").join(heads, "component").select(F.col("node").alias("content"), "head")
     alone = F.col("head").isNull()
