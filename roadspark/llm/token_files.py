@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from array import array
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from roadspark.llm.common import extended, map_batches, shared_dir, texts, with_fields
+from roadspark.llm.common import extended, map_batches, shared_dir, stored, texts, with_fields
 
 #: Chunks whose ids a worker keeps between batches; beyond it the store starts anew.
-KEPT_CHUNKS = 700_000
+KEPT_CHUNKS = 900_000
 
 #: Characters at which ``str.split`` splits though the tokenizer doesn't take them for white space.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -27,6 +28,10 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Characters beyond Latin letters; a sign behind a lower-case Latin letter and in front of a space, which is a word of its own.
+BEYOND = re.compile("[^\0-\u024f]")
+SIGN = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u024f])[,.;:!?](?= )")
+
 _STATE: dict = {}
 
 
@@ -43,7 +48,6 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.words: dict[str, array] = {}
         self.split = regex.compile(WORDS).findall
         others = iter(range(256, 512))
         self.visible = {b: b if b in PRINTABLE else next(others) for b in range(256)}
@@ -54,39 +58,44 @@ class Chunks(dict):
             _STATE[path] = cls(path)
         return _STATE[path]
 
+    def word(self, word: str) -> bytes:
+        seen = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.visible)
+        return array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
     def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) > "\u024f":
-            ids = array("i", self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if BEYOND.search(chunk):
+            packed = self.whole(chunk)
         else:
-            ids = array("i")
-            for word in self.split(chunk.lower()):
-                if word not in self.words:
-                    seen = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.visible)
-                    self.words[word] = array("i", [t.id for t in self.model.tokenize(seen)])
-                ids += self.words[word]
-        packed = self[chunk] = ids.tobytes()
+            low = chunk.lower()
+            packed = self.word(low) if low.isalpha() else b"".join(map(self.word, self.split(low)))
+        self[chunk] = packed
         return packed
 
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         if any(c in text for c in SEPARATORS):
-            return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.whole(text)
+        if not BEYOND.search(text):
+            # fewer different chunks: one case only, and most signs apart from their words
+            text = SIGN.sub(r" \g<0>", text.lower())
         return b"".join(map(self.__getitem__, text.split()))
 
     def bound(self) -> None:
         """Start anew beyond the bound."""
         if len(self) > KEPT_CHUNKS:
             self.clear()
-        if len(self.words) > KEPT_CHUNKS // 2:
-            self.words.clear()
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None = None, text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int | None = None, text: str = "text", keep: bool = True) -> DataFrame:
     """Add ``ids``, the ids (array of int) of each whole text, with ``end_id`` behind them if given.
 
     ``path`` names a file of the tokenizers library whose tokenizer drops white space; every executor has
-    it.  Special tokens' strings in a text are ordinary text.  A null text counts as empty; repeated rows stay.
+    it.  Special tokens' strings in a text are ordinary text.  A null text counts as empty; repeated rows stay; an
+    empty table gives an empty one.  Without ``keep`` the text itself goes.
     """
-    schema = with_fields(docs, T.StructField("ids", T.ArrayType(T.IntegerType())))
+    schema = with_fields(docs if keep else docs.drop(text), T.StructField("ids", T.ArrayType(T.IntegerType())))
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,27 +104,28 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = None, text: str =
             chunks.bound()
             packed = [chunks.encode(t) + end for t in texts(batch, text)]
             offsets = np.cumsum([0] + [len(x) // 4 for x in packed]).astype("i4")
-            yield extended(batch, {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))})
+            rest = batch if keep else batch.select([n for n in batch.schema.names if n != text])
+            yield extended(rest, {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))})
 
     return map_batches(docs, run, schema)
 
 
 def write(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = None, stride: int = 2000) -> None:
-    """Tokenize ``docs`` and write ``(doc_id, ids)`` to ORC files below ``to`` in ascending order of doc_id.
-
-    The documents are ranged by id before they are tokenized, so that the sample behind the ranges doesn't
-    tokenize and each file holds the ids of one range.  Equal ids are ordered by their text's hash; null ids come first.
-    ORC stores the ids run-length encoded in stripes that tasks read in parallel, with a row index every
-    ``stride`` rows and a Bloom filter on doc_id by which a lookup skips stripes.
+    """Tokenize ``docs`` and write ``(doc_id, place, ids)`` to ORC files below ``to`` in ascending order of doc_id.
+
+    The documents are ranged by id and text hash before they are tokenized, so that the sample behind the ranges doesn't
+    tokenize, each file holds the ids of one range, and one id of many texts spreads over several.  ``place`` orders
+    all rows as they stand in the files: the number of the range, then that of the row in it.  Equal ids are ordered by
+    their text's hash; null ids come first; an empty table gives no row.
+    ORC stores the integers run-length encoded in stripes that tasks read in parallel, with a row index every
+    ``stride`` rows and a Bloom filter on doc_id by which a lookup skips stripes and row groups.
     """
-    ranged = (
-        docs.select("doc_id", "text")
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    )
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash")]
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = ranged.select("doc_id", F.monotonically_increasing_id().alias("place"), "text")
     (
-        tokenize(ranged, tokenizer, end_id)
-        .select("doc_id", "ids")
+        tokenize(placed, tokenizer, end_id, keep=False)
+        .select("doc_id", "place", "ids")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.row.index.stride", stride)
         .option("orc.compress", "ZSTD")
@@ -124,35 +134,36 @@ def write(docs: DataFrame, tokenizer: str, to: str, end_id: int | None = None, s
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
-    """``(doc_id, ids)`` of the files below ``at``; filters on doc_id reach the stripes' Bloom filters."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return spark.read.schema(schema).orc(at)
+    """``(doc_id, place, ids)`` of the files below ``at``; filters on doc_id reach the stripes' Bloom filters and row indexes."""
+    integers = [T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType())]
+    return spark.read.schema(T.StructType([*integers, T.StructField("ids", T.ArrayType(T.IntegerType()))])).orc(at)
 
 
 def positions(spark: SparkSession, at: str) -> DataFrame:
     """Per document of the files: ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32``.
 
-    Ids are reduced to their count and checksum where they are read.  The starts are sums in two steps, over
-    files (one row each) and inside a file, so no task sees all documents.
+    The ids are read once and reduced to their count and checksum where they are read.  The starts are sums in the
+    order of ``place`` in two steps, over ranges (one row each) and inside a range, so no task sees all documents.
     """
-    files = read(spark, at).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
-    schema = T.StructType([*[f for f in files.schema.fields if f.name != "ids"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    integers = ("doc_id", "place", "n_tokens", "ids_crc32")
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in integers])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
             ids, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            new = {"n_tokens": pa.array(np.diff(at).astype("i8")), "ids_crc32": pa.array(crc, pa.int64())}
-            yield extended(batch.select([n for n in batch.schema.names if n != "ids"]), new)
-
-    counted = map_batches(files, run, schema)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("ids_crc32")]
-    inside = counted.withColumn("inside", F.sum("n_tokens").over(Window.partitionBy("file").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
-    sums = counted.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
-    # file names carry the number of their range
-    sums = sums.select("file", (F.sum("in_file").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_file")).alias("before"))
-    return inside.join(sums, "file").select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+            new = [pa.array(np.diff(at).astype("i8")), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *new], names=list(integers))
+
+    # the number of the range is in the upper bits of the place
+    counted = stored(map_batches(read(spark, at), run, schema), "counted").withColumn("range", F.shiftright("place", 33))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = counted.withColumn("inside", F.sum("n_tokens").over(before.partitionBy("range").orderBy("place")))
+    sums = counted.groupBy("range").agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("range", F.sum("n").over(before.orderBy("range")).alias("before"))
+    start = F.coalesce("before", F.lit(0)) + F.coalesce("inside", F.lit(0))
+    return inside.join(sums, "range").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, to: str | None = None) -> DataFrame:

@@ -1,9 +1,9 @@
-import hashlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.orc as orc
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -59,12 +59,50 @@ def test_token_files_null_ids_repeats_and_empty(spark):
     rows = token_files.token_files(docs, WORDS, 2).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, 1, 3, 3]
     assert [r.start for r in rows] == [0, 3, 4, 6]
+    assert token_files.tokenize(docs.where("false"), WORDS, 2).count() == 0
     assert token_files.token_files(docs.where("false"), WORDS, 2).count() == 0
 
 
+def test_starts_of_equal_ids_are_those_of_the_files(spark, tmp_path):
+    said = ["one two three", "a", "here are some more words, as it seems."]
+    docs = spark.createDataFrame([(k % 4, said[k % 3]) for k in range(60)], "doc_id long, text string")
+    at = str(tmp_path / "tokens")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.token_files(docs, WORDS, 2, at).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    # the files themselves, in the order of their ranges, row by row
+    start, want = 0, []
+    for path in sorted(tmp_path.glob("tokens/part-*"), key=lambda p: int(p.name.split("-")[1])):
+        for r in orc.read_table(path).to_pylist():
+            packed = np.array(r["ids"], "<u4").tobytes()
+            want.append((start, r["doc_id"], len(r["ids"]), zlib.crc32(packed)))
+            start += len(r["ids"])
+    assert got == want and [w[1] for w in want] == sorted(w[1] for w in want)
+    assert len(list(tmp_path.glob("tokens/part-*"))) > 1
+
+
+def test_lookup_skips_row_groups(spark, tmp_path):
+    docs = spark.range(3000).select((F.col("id") * 2).alias("doc_id"), F.lit("some words").alias("text"))
+    at = str(tmp_path / "tokens")
+    token_files.write(docs.coalesce(1), WORDS, at, 2, stride=1000)
+
+    def rows_read(doc_id):
+        found = token_files.read(spark, at).where(f"doc_id = {doc_id}")
+        n = len(found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        return n, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    n, read = rows_read(200)
+    assert n == 1 and read <= 1000
+    # an odd id lies between those of a row group: only the Bloom filter tells
+    assert rows_read(201) == (0, 0)
+
+
 def test_scalar_and_vector_replay_agree():
     merges = byte_bpe.Merges(byte_bpe.load_ranks(PATH))
     rng = random.Random(3)
     pieces = [bytes(rng.choice(b"aaabtheion \xc3\xa9") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
     assert [x.tolist() for x in byte_bpe.replay(pieces, merges)] == [byte_bpe._replay_one(p, merges).tolist() for p in pieces]
-    assert hashlib.sha256(b"").hexdigest()
