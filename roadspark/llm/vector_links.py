@@ -20,6 +20,8 @@ COSINE = 0.9
 TRAIN_ROWS = 20_000
 #: Share of the pairs right at ``COSINE`` that a search from one side alone has to reach.
 RECALL = 0.99
+#: Codes of a half at most; the sample has to fill them.
+MOST_CODES = 2048
 #: Rows of an index block and of the searches that meet it.
 BLOCK = 1024
 
@@ -39,22 +41,31 @@ class MultiIndex:
         return self.u.shape[1]
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances of each row's halves to all codes."""
-        return tuple(np.maximum((h**2).sum(1)[:, None] - 2 * h @ c.T + (c**2).sum(1), 0) for h, c in ((x[:, : self.half], self.u), (x[:, self.half :], self.v)))
+        """Squared distances of each row's halves to all codes; a row's own don't depend on the rows beside it."""
+        out = []
+        for halves, codes in ((x[:, : self.half], self.u), (x[:, self.half :], self.v)):
+            step = max(1, (1 << 20) // max(codes.size, 1))
+            parts = [((halves[k : k + step, None] - codes) ** 2).sum(-1) for k in range(0, len(x), step)]
+            out.append(np.concatenate([*parts, np.zeros((0, len(codes)))]))
+        return out[0], out[1]
 
     def bound(self, du: np.ndarray, dv: np.ndarray) -> np.ndarray:
-        return du.min(1) + dv.min(1) + self.reach
+        return du.min(-1) + dv.min(-1) + self.reach
+
+    def runs(self, du: np.ndarray, dv: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Cells that one search visits: for each first code within reach, the run of second codes in order of distance."""
+        order, rest = np.argsort(dv, kind="stable"), self.bound(du, dv) - du
+        lengths = np.searchsorted(dv[order], rest, "right")
+        return [(int(i), order[: lengths[i]]) for i in np.flatnonzero(lengths)]
+
+    def visits(self, du: np.ndarray, dv: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the search of each row visits the cell (i, j)."""
+        at = np.arange(len(du))
+        return dv[at, j] <= self.bound(du, dv) - du[at, i]
 
     def traverse(self, du: np.ndarray, dv: np.ndarray) -> list[tuple[int, int]]:
-        """Cells that one search visits, nearest first: for each first code a run of the sorted second codes."""
-        i_order, j_order = np.argsort(du, kind="stable"), np.argsort(dv, kind="stable")
-        last = du.min() + dv.min() + self.reach
-        cells = []
-        for i in i_order:
-            run = np.searchsorted(dv[j_order], last - du[i], "right")
-            if not run:
-                break
-            cells += [(du[i] + dv[j], int(i), int(j)) for j in j_order[:run]]
+        """The same cells of one search by multi-sequence traversal, nearest first."""
+        cells = [(du[i] + dv[j], i, int(j)) for i, run in self.runs(du, dv) for j in run]
         return [(i, j) for _, i, j in sorted(cells)]
 
 
@@ -72,12 +83,12 @@ def _k_means(x: np.ndarray, k: int, random: np.random.Generator, rounds: int = 1
 def fit(sample: np.ndarray, rows: int, cosine: float = COSINE, recall: float = RECALL, seed: int = 7) -> MultiIndex:
     """Learn both codebooks from unit vectors, and the reach that finds ``recall`` of the pairs right at ``cosine``.
 
-    The codes grow with the square root of ``rows``.  For the reach, each sampled vector gets a partner at exactly
+    The codes grow with the square root of ``rows``, so that a cell of the grid keeps about sixteen vectors.  For the reach, each sampled vector gets a partner at exactly
     that cosine in a random direction; the reach is the quantile of what a search needs to visit its cell.
     """
     random = np.random.default_rng(seed)
-    k = int(np.clip(round(rows**0.5 / 4), 1, 256))
-    k = min(k, len(sample))
+    k = int(np.clip(round(rows**0.5 / 4), 1, MOST_CODES))
+    k = max(1, min(k, len(sample) // 4))
     half = sample.shape[1] // 2
     index = MultiIndex(_k_means(sample[:, :half], k, random), _k_means(sample[:, half:], k, random), 0.0)
     other = random.standard_normal(sample.shape)
@@ -98,17 +109,10 @@ def _units(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def _cells(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
-    """Of each node its cell and the first codes that its search visits."""
-    schema = T.StructType(
-        [
-            T.StructField("node", T.LongType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("dim", T.IntegerType()),
-            T.StructField("i", T.IntegerType()),
-            T.StructField("visits", T.ArrayType(T.IntegerType())),
-            T.StructField("unit", T.BinaryType()),
-        ]
-    )
+    """Of each node its cell (i, j), and the cells that its search visits: for each first code the packed second codes."""
+    visited = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("run", T.BinaryType())])
+    fields = [("node", T.LongType()), ("n", T.LongType()), ("dim", T.IntegerType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("visits", T.ArrayType(visited)), ("unit", T.BinaryType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,42 +121,65 @@ def _cells(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
                 x = _units(list(group["vector"]))
                 index = indexes.get(dim)
                 if index is None:
-                    i, visits = np.zeros(len(x), int), [[0]] * len(x)
+                    i = j = np.zeros(len(x), int)
+                    runs = [[(0, np.zeros(1, int))]] * len(x)
                 else:
                     du, dv = index.distances(x)
-                    last = index.bound(du, dv)
-                    i = du.argmin(1)
-                    reached = du + dv.min(1)[:, None] <= last[:, None]
-                    visits = [np.flatnonzero(r).tolist() for r in reached]
-                columns = [group["node"], group["n"], [dim] * len(x), i.tolist(), visits, [r.tobytes() for r in x]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary()), strict=True)],
-                    names=[f.name for f in schema.fields],
-                )
+                    i, j = du.argmin(1), dv.argmin(1)
+                    runs = [index.runs(a, b) for a, b in zip(du, dv, strict=True)]
+                offsets = np.cumsum([0] + [len(r) for r in runs]).astype("i4")
+                first = pa.array([a for r in runs for a, _ in r], pa.int32())
+                second = pa.array([b.astype("<u2").tobytes() for r in runs for _, b in r], pa.binary())
+                visits = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([first, second], names=["i", "run"]))
+                plain = [pa.array(c, t) for c, t in ((group["node"], pa.int64()), (group["n"], pa.int64()), ([dim] * len(x), pa.int32()), (i, pa.int32()), (j, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*plain, visits, pa.array([r.tobytes() for r in x], pa.binary())], names=[f.name for f in schema.fields])
 
     return map_batches(nodes, run, schema)
 
 
+def candidates(visited: np.ndarray, search: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``x`` and ``y`` of the pairs right at or above ``COSINE``, of those whose cell is visited.
+
+    ``search`` tells which row of ``x`` visits the cell ``visited``; ``cells`` are those of ``y``.  Only searches and
+    vectors that meet in a cell are multiplied.
+    """
+    by_cell, by_visit = np.argsort(cells, kind="stable"), np.argsort(visited, kind="stable")
+    names, begins = np.unique(cells[by_cell], return_index=True)
+    ends = np.append(begins[1:], len(cells))
+    low, high = (np.searchsorted(visited[by_visit], names, side) for side in ("left", "right"))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in np.flatnonzero(high > low):
+        p, q = search[by_visit[low[k] : high[k]]], by_cell[begins[k] : ends[k]]
+        a, b = np.nonzero(x[p] @ y[q].T >= COSINE - 1e-9)
+        found.append((p[a], q[b]))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    # the products of a matrix depend on its shape in their last bits; these are the same from either side
+    exact = (x[a] * y[b]).sum(1) >= COSINE
+    return a[exact], b[exact]
+
+
 def _verify(indexes: dict[int, MultiIndex]):
-    """What to do with an index block and the searches that meet it."""
+    """What to do with an index block of one first code and the searches that visit cells of it."""
 
     def run(key: tuple, searches: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         names = ["node", "links", "joined"]
         if not len(searches) or not len(block):
             return pd.DataFrame([], columns=names)
-        dim, first = int(key[0]), int(key[1])
+        dim = int(key[0])
         index = indexes.get(dim)
         x, y = (np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), dim) for packed in (searches["unit"], block["b_unit"]))
         xn, yn, xw, yw = searches["node"].to_numpy(), block["b_node"].to_numpy(), searches["n"].to_numpy(), block["b_n"].to_numpy()
-        a, b = np.nonzero(x @ y.T >= COSINE)
+        visited = np.frombuffer(b"".join(searches["run"]), "<u2").astype(np.int64)
+        search = np.repeat(np.arange(len(x)), searches["run"].map(len).to_numpy() // 2)
+        a, b = candidates(visited, search, block["b_j"].to_numpy(), x, y)
         a, b = a[xn[a] != yn[b]], b[xn[a] != yn[b]]
-        back = np.zeros(len(a), bool)
-        if index is not None and len(a):
-            # every verified pair is kept; the search from the other side misses it if it doesn't visit this first code
-            xu, (yu, yv) = index.distances(x)[0], index.distances(y)
-            back = yu[b, xu.argmin(1)[a]] + yv.min(1)[b] > index.bound(yu, yv)[b]
         if not len(a):
             return pd.DataFrame([], columns=names)
+        back = np.zeros(len(a), bool)
+        if index is not None:
+            # the search from the other side counts the pair for itself, unless it doesn't visit this cell
+            (xu, xv), (yu, yv) = index.distances(x), index.distances(y)
+            back = ~index.visits(yu[b], yv[b], xu.argmin(1)[a], xv.argmin(1)[a])
         ids, where = np.unique(np.concatenate([xn[a], yn[b]]), return_inverse=True)
         p, q = where[: len(a)], where[len(a) :]
         links = np.bincount(p, yw[b], len(ids)) + np.bincount(q[back], xw[a[back]], len(ids))
@@ -174,9 +201,11 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     """Per row: ``key``, ``n_links`` (other rows linked directly), ``component_id`` (least key reachable) and ``kept``.
 
     A link is a cosine of ``COSINE`` or more in double precision, verified for every candidate; candidates come
-    from the multi-index, from either side of a pair.  Equal vectors are one node of the index, each linked with
-    the others.  Every cell's vectors and searches are cut into blocks of at most about ``BLOCK`` by hashes, so
-    a crowded cell spreads over many tasks.  Vectors of different lengths don't link.  Vectors that are
+    from the multi-index, from either side of a pair.  The posted lists of cells that share their first code lie together,
+    ordered by the second; a search comes there once, with the second codes that its traversal visits, and is compared
+    with the vectors of those cells only.  Equal vectors are one node of the index, each linked with
+    the others.  Every first code's vectors and searches are cut into blocks of at most about ``BLOCK`` by hashes, so
+    a crowded cell spreads over many tasks.  Other columns of ``vectors`` don't pass.  An empty table gives an empty one.  Vectors of different lengths don't link.  Vectors that are
     null, empty, zero, or hold null or non-finite components link with nothing and are their own component.
     Only a sample of at most ``TRAIN_ROWS`` vectors comes to the driver, for the codebooks.
     """
@@ -191,18 +220,18 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     indexes = {dim: fit(_units(list(group)), round(len(group) / part)) for dim, group in sample.groupby(sample.map(len)) if dim > 1}
 
     placed = stored(_cells(nodes, indexes), "cells")
-    searches = placed.select("node", "n", "dim", F.explode("visits").alias("i"), "unit")
-    indexed = placed.select("node", "n", "dim", "i", "unit")
+    searches = placed.select("node", "n", "dim", F.explode("visits").alias("v"), "unit").select("node", "n", "dim", "v.i", "v.run", "unit")
+    indexed = placed.select("node", "n", "dim", "i", "j", "unit")
     block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     sizes = indexed.groupBy("dim", "i").agg(F.count("*").alias("rows")).join(searches.groupBy("dim", "i").agg(F.count("*").alias("asks")), ["dim", "i"])
     sizes = stored(sizes.select("dim", "i", block("rows").alias("blocks"), block("asks").alias("parts")), "sizes")
-    count = sizes.count()  # one row for each first code, 256 for each length at most
+    count = sizes.count()  # one row for each first code, MOST_CODES for each length at most
     sizes = F.broadcast(sizes) if count <= 10_000 else sizes
     ask = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    searches = searches.join(sizes, ["dim", "i"]).select("dim", "i", everywhere("blocks").alias("block"), ask.alias("part"), "node", "n", "unit")
-    indexed = indexed.join(sizes, ["dim", "i"]).select("dim", "i", mine.alias("block"), everywhere("parts").alias("part"), "node", "n", "unit")
+    searches = searches.join(sizes, ["dim", "i"]).select("dim", "i", everywhere("blocks").alias("block"), ask.alias("part"), "node", "n", "run", "unit")
+    indexed = indexed.join(sizes, ["dim", "i"]).select("dim", "i", mine.alias("block"), everywhere("parts").alias("part"), "j", "node", "n", "unit")
     indexed = indexed.toDF(*(f"b_{c}" for c in indexed.columns))
     group = ["dim", "i", "block", "part"]
     found = stored(searches.groupBy(*group).cogroup(indexed.groupBy(*(f"b_{c}" for c in group))).applyInPandas(_verify(indexes), "node long, links long, joined long"), "found")

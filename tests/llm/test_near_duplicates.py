@@ -143,6 +143,43 @@ def test_traversal_visits_cells_in_order():
         assert len(cells) == grid
 
 
+def multiplied(index, x):
+    """Share of all pairs that the searches multiply, and of the pairs at the least cosine or more that they find from either side."""
+    du, dv = index.distances(x)
+    i, j = du.argmin(1), dv.argmin(1)
+    seen = np.zeros((len(x), len(x)), bool)
+    for k in range(len(x)):
+        for first, run in index.runs(du[k], dv[k]):
+            seen[k] |= (i == first) & np.isin(j, run)
+    near = np.triu(x @ x.T >= vector_links.COSINE, 1)
+    return seen.mean(), (near & (seen | seen.T)).sum() / near.sum()
+
+
+def test_grid_prunes_more_as_rows_grow():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 64))
+    x = np.repeat(centres, 100, 0) + 0.9 * rng.standard_normal((4000, 64))
+    x[2000:] = x[:2000] + 0.2 * rng.standard_normal((2000, 64))
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    few, many = (multiplied(vector_links.fit(x[:n], n), x[:n]) for n in (500, 4000))
+    assert many[0] < few[0] / 1.5 and many[0] < 0.15
+    assert min(few[1], many[1]) >= 0.99
+
+
+def test_only_visited_cells_are_compared():
+    rng = np.random.default_rng(4)
+    y = rng.standard_normal((60, 6))
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    x = y[:20].copy()
+    cells = np.arange(60) % 7
+    visited, search = np.array([c for s in (0, 1) for c in (cells[:20] + s) % 7]), np.array([*range(20), *range(20)])
+    a, b = vector_links.candidates(visited, search, cells, x, y)
+    met = {(int(s), t) for v, s in zip(visited, search, strict=True) for t in range(60) if cells[t] == v}
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(set(zip(a.tolist(), b.tolist(), strict=True)))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(s, t) for s, t in met if x[s] @ y[t] >= vector_links.COSINE}
+
+
 def test_decontamination_finds_edited_copies_only(spark):
     rng = random.Random(9)
     items = [prose(rng, n) for n in (15, 25, 40, 60)]
@@ -220,7 +257,7 @@ def test_verified_pairs_of_a_block_are_kept(spark, monkeypatch):
     base = rng.standard_normal((12, 8))
     x = np.concatenate([base + 0.12 * rng.standard_normal(base.shape) for _ in range(8)])
     unit = x / np.linalg.norm(x, axis=1)[:, None]
-    one = vector_links.MultiIndex(np.zeros((1, 4)), unit[:20, 4:], 1e-9)
+    one = vector_links.MultiIndex(np.zeros((1, 4)), unit[:20, 4:], 4.0)
     monkeypatch.setattr(vector_links, "fit", lambda *a, **k: one)
     got = {r.vec_id: r.n_links for r in vector_links.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     near = unit @ unit.T >= vector_links.COSINE
