@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -10,19 +11,19 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadspark.llm.common import map_batches, stored, with_fields
+from roadspark.llm.common import map_batches, with_fields
 from roadspark.llm.url_filter import host, path
 
 # Elements by what they mean for the text.
 RAW = "script|style|noscript|template|textarea|iframe|svg|canvas|object|title"
 ASIDE = frozenset("nav footer aside form menu head button select dialog header".split())
 MAIN = frozenset(("article", "main"))
-BOXES = ASIDE | MAIN | frozenset("html body div section ul ol dl table figure details fieldset address center span".split())
-BLOCKS = BOXES - {"span"} | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody caption pre blockquote figcaption summary hr legend option".split())
+BOXES = ASIDE | MAIN | frozenset("html body div section ul ol dl table figure details fieldset address center".split())
+BLOCKS = BOXES | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody caption pre blockquote figcaption summary hr legend option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 # Words of a class or id that name a part around the article.
@@ -32,6 +33,14 @@ PARTS = (
     "share sharing social related recommended comment comments commentlist respond replies disqus widget login search toolbar pagination skip"
 ).split()
 
+# Those that mean the same on any other element; the elements at whose start an open one of these ends; and elements without an end.
+SMALL_PARTS = (
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert popup "
+    "newsletter subscribe signup share sharing social comment comments disqus widget login skip breadcrumb breadcrumbs pagination"
+).split()
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
 TOKEN = re.compile(
     rf"""<!--(?:.*?-->|.*\Z)
     |<(?P<raw>{RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+>(?:.*?</(?P=raw)\s*+[^>]*+(?:>|\Z)|.*\Z)
@@ -39,22 +48,28 @@ TOKEN = re.compile(
     |<[!?/][^>]*+(?:>|\Z)""",
     re.IGNORECASE | re.DOTALL | re.VERBOSE,
 )
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""", re.IGNORECASE)
+ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 WORD = re.compile(r"[a-z]+")
 
+#: Names of the columns that the ranges are made by; columns of ``pages`` with these names are left out.
+HOST, PATH = "__host", "__path"
 #: Most bytes that the table of one alignment takes; longer pages are halved first.
 TABLE_BYTES = 32 << 20
-
-
-def _around(attrs: str) -> bool:
-    """Whether the attributes of an element name a part around the article."""
-    for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not {*value.split(), *WORD.findall(value)}.isdisjoint(PARTS):
+#: Two pages that share so much of their characters are copies of each other, not neighbours that share a template.
+COPY = 0.9
+
+
+def _around(name: str, attrs: str) -> bool:
+    """Whether the attributes of an element name a part around the article, or hide it."""
+    box, heading = name in BOXES, len(name) == 2 and name[0] == "h" and name[1].isdigit()
+    for key, value in ATTR.findall(attrs):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "class" or key == "id" and box:
+            if not heading and not {*value.split(), *WORD.findall(value)}.isdisjoint(PARTS if box else SMALL_PARTS):
+                return True
+        elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and "display:none" in value.replace(" ", ""):
+        elif key == "style" and "display:none" in value.replace(" ", ""):
             return True
     return False
 
@@ -71,7 +86,12 @@ class Page:
 
     @classmethod
     def of(cls, source: str) -> Page:
+        """Read a page.  The stack holds the open boxes, and of other elements those that stand around the article.
+
+        An element inside a line (a link, a span) that stands around is left out of its line; it ends with the block that it is in.
+        """
         page, stack, text, at = cls(), [], [], 0
+        inline: list[list] = []  # name, and how many blocks were begun in it
 
         def flush() -> None:
             line = " ".join(entities.unescape("".join(text)).split())
@@ -82,28 +102,47 @@ class Page:
                 page.around.append(any(box[1] for box in stack))
 
         for m in TOKEN.finditer(source):
-            text.append(source[at : m.start()])
+            if not inline:
+                text.append(source[at : m.start()])
             at = m.end()
             name = (m["name"] or "").lower()
+            if not name:
+                continue
             if name == "br":
                 text.append(" ")
+            attrs = m["attrs"]
             if name in BLOCKS:
                 flush()
-            if name not in BOXES:
+                for x in inline:
+                    x[1] += -1 if m["end"] else 1
+                while inline and inline[-1][1] < 0:
+                    inline.pop()
+                if not m["end"] and stack and name in ENDED_BY.get(stack[-1][0], ()):
+                    stack.pop()
+            elif m["end"]:
+                for k in range(len(inline) - 1, -1, -1):
+                    if inline[k][0] == name:
+                        del inline[k:]
+                        break
+                continue
+            elif attrs and name not in VOID and not attrs.endswith("/") and _around(name, attrs):
+                inline.append([name, 0])
                 continue
+            if name not in BOXES and (m["end"] or not attrs or name in VOID or not _around(name, attrs)):
+                if not m["end"] or not any(box[0] == name for box in stack):
+                    continue
             if m["end"]:
                 depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
                 if depth is not None:
                     del stack[depth:]
                 continue
-            if m["attrs"].endswith("/") and name == "span":
-                continue
             main = name in MAIN
             inner = any(box[2] for box in stack)
-            aside = name in ASIDE and not (name == "header" and inner) or name not in ("html", "body", "article", "main") and _around(m["attrs"])
+            aside = name not in BOXES or name in ASIDE and not (name == "header" and inner) or name not in ("html", "body", "article", "main") and _around(name, attrs)
             page.has_main |= main
             stack.append((name, aside, main))
-        text.append(source[at:])
+        if not inline:
+            text.append(source[at:])
         flush()
         return page
 
@@ -111,8 +150,8 @@ class Page:
         """What differencing leaves, checked against the markup.
 
         A line shared with a neighbour is deleted unless it stands in the page's article (pages that carry
-        the same article keep it); a line of the page alone is kept unless the markup says that it stands
-        around the article.
+        the same article, or repeat a passage, keep it); a line of the page alone is kept unless the markup says that it
+        stands around the article.
         """
         kept = []
         for k, line in enumerate(self.lines):
@@ -176,96 +215,129 @@ def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def difference(one: Page, other: Page) -> None:
-    """Mark the lines that an alignment of both pages shares."""
+    """Mark the lines that an alignment of both pages shares, unless the pages are copies of each other."""
     number: dict[str, int] = {}
     a, b = ([number.setdefault(x, len(number)) for x in page.lines] for page in (one, other))
-    for i, j in common(a, b):
-        one.shared.add(i)
-        other.shared.add(j)
+    pairs = common(a, b)
+    size = sum(len(one.lines[i]) for i, _ in pairs)
+    if size < COPY * max(sum(map(len, one.lines)), sum(map(len, other.lines))):
+        one.shared.update(i for i, _ in pairs)
+        other.shared.update(j for _, j in pairs)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], html: str, kept: list[str]) -> Iterator[tuple[tuple[str, str], list[pa.RecordBatch]]]:
+    """Runs of rows with the same host and html: both, and the ``kept`` columns of the rows."""
+    now: tuple[str, str] | None = None
+    rows: list[pa.RecordBatch] = []
+    for batch in batches:
+        light, start = batch.select(kept), 0
+        for k, (name, source) in enumerate(zip(batch.column(HOST).to_pylist(), batch.column(html).to_pylist(), strict=True)):
+            key = (name, source or "")
+            if now is not None and key != now:
+                if k > start:
+                    rows.append(light.slice(start, k - start))
+                yield now, rows
+                rows, start = [], k
+            now = key
+        if batch.num_rows > start:
+            rows.append(light.slice(start))
+    if now is not None:
+        yield now, rows
+
+
+def _joined(parts: list[tuple[list[pa.RecordBatch], list]], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    """The rows of several runs as one batch, each with the values of its run as further columns."""
+    slices = [s for rows, _ in parts for s in rows]
+    columns = list(pa.Table.from_batches(slices).combine_chunks().to_batches()[0].columns)
+    times = [sum(s.num_rows for s in rows) for rows, _ in parts]
+    new = [pa.array([v for (_, values), n in zip(parts, times, strict=True) for v in [values[k]] * n], t) for k, t in enumerate(types)]
+    return pa.RecordBatch.from_arrays([*columns, *new], names=[*slices[0].schema.names, *names])
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
     """Replace ``html`` by ``text`` (main text, blocks joined by two line feeds) and ``n_chars`` (code points).
 
     Pages are ranged by host, then URL path, so that a page's nearest URLs on its host stand beside it; a host
-    of any size spreads over many tasks.  Each page is aligned with the one before and the one behind it
-    on its host and shared lines are marked; see ``Page.main_text``.  The first and the last page of each range go on
-    with their source and marks, and meet those of the ranges beside theirs, so the text doesn't depend on where ranges end.
+    of any size spreads over many tasks.  Rows of the same html beside each other are one run; each run is aligned with the
+    one before and the one behind it on its host and shared lines are marked, unless the two are copies but for edits; see
+    ``Page.main_text``.  The first and the last run of a range are decided apart, with those of the ranges beside theirs,
+    so the text doesn't depend on where ranges end, and rows that repeat a page have one text.
     A null html counts as empty and gives an empty text; a null URL has the empty host; repeated pages stay
-    and keep their article; other columns pass, but for those named like the new ones.
+    and keep their article; an empty table gives an empty one; other columns pass, but for those named like the new ones.
     """
-    at = {"_host": F.coalesce(host(F.col(url)), F.lit("")), "_path": F.coalesce(path(F.col(url)), F.lit(""))}
-    order = ["_host", "_path", key]
-    ranged = pages.withColumns(at).repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(html))
-    schema = with_fields(pages.drop(html), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
+    order = [HOST, PATH, key]
+    at = {HOST: F.coalesce(host(F.col(url)), F.lit("")), PATH: F.coalesce(path(F.col(url)), F.lit(""))}
+    ranged = pages.drop(HOST, PATH).withColumns(at).repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64(html))
+    schema = with_fields(pages.drop(html, HOST, PATH), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()))
     kept = [f.name for f in schema.fields if f.name not in ("text", "n_chars")]
-    ends = [
-        T.StructField("_range", T.IntegerType()),
-        T.StructField("_first", T.BooleanType()),
-        T.StructField("_last", T.BooleanType()),
-        T.StructField("_host", T.StringType()),
-        T.StructField("_html", T.StringType()),
-        T.StructField("_shared", T.ArrayType(T.IntegerType())),
-    ]
-    names = [*kept, "text", "n_chars", *(f.name for f in ends)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId()
-        before: tuple[str, Page] | None = None
-        held: tuple[pa.RecordBatch, list[Page], tuple[str, str]] | None = None
-        begun = False
-
-        def done(batch: pa.RecordBatch, found: list[Page], end: tuple[str, str], last: bool) -> pa.RecordBatch:
-            """A batch whose pages have met their neighbours; only the ends of the range have more columns."""
-            nonlocal begun, begin
-            out = [page.main_text() for page in found]
-            n = len(found)
-            side: list[dict] = [{}] * n
-            if not begun:
-                side[0] = {"_host": begin[0], "_html": begin[1], "_first": True}
-                begun, begin = True, None
-            if last:
-                side[-1] = {"_first": False} | side[-1] | {"_host": end[0], "_html": end[1], "_last": True}
-            side = [x and {"_range": number, "_last": False, "_shared": sorted(found[k].shared)} | x for k, x in enumerate(side)]
-            new = [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
-            types = [pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            new += [pa.array([x.get(f.name) for x in side], t) for f, t in zip(ends, types, strict=True)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=names)
-
-        begin: tuple[str, str] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = []
-            for name, source in zip(batch.column("_host").to_pylist(), batch.column(html).to_pylist(), strict=True):
-                page = Page.of(source or "")
-                if before and before[0] == name:
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows and texts of all runs but the first and the last."""
+        before: tuple[str, Page, list[pa.RecordBatch], int] | None = None
+        ready, size = [], 0
+        for number, ((name, source), rows) in enumerate(_runs(batches, html, kept)):
+            page = Page.of(source)
+            if before:
+                if before[0] == name:
                     difference(before[1], page)
-                if before is None:
-                    begin = (name, source or "")
-                before = (name, page)
-                found.append(page)
-            if held:
-                yield done(*held, False)
-            held = (batch.select(kept), found, (name, source or ""))
-        if held:
-            yield done(*held, True)
-
-    out = stored(map_batches(ranged, run, T.StructType([*(schema[c] for c in kept), schema["text"], schema["n_chars"], *ends])), "texts")
-    return out.where("_range IS NULL").select(*schema.names).unionByName(_ends(out, schema))
-
-
-def _ends(out: DataFrame, schema: T.StructType) -> DataFrame:
-    """The first and last pages of the ranges, differenced with those of the ranges beside theirs too."""
-    ends = out.where("_range IS NOT NULL")
-    numbers = sorted(r._range for r in ends.select("_range").distinct().collect())  # at most one for each shuffle partition
-    place = F.array_position(F.array(*map(F.lit, numbers)), F.col("_range")).cast("int") if numbers else F.lit(0)
-    # a page takes part in up to two meetings: as the first of its range with the range before, as the last with the next
-    meets = F.array_compact(F.array(F.when(F.col("_first"), place - 1), F.when(F.col("_last"), place)))
-    ends = ends.withColumn("_row", F.struct("_range", "_first", "_last"))
-    sides = ends.select("_row", "_host", "_html", "_first", "_last", F.explode(meets).alias("_meet"), place.alias("_place"))
-    left = sides.where("_meet = _place").select("_meet", "_host", F.col("_html").alias("a"), F.col("_row").alias("a_row"))
-    right = sides.where("_meet = _place - 1").select("_meet", "_host", F.col("_html").alias("b"), F.col("_row").alias("b_row"))
+                if before[3]:
+                    text = before[1].main_text()
+                    ready.append((before[2], [text, len(text)]))
+                    size += len(text) * sum(r.num_rows for r in before[2])
+            before = (name, page, rows, number)
+            if size > 1 << 20:
+                yield _joined(ready, ["text", "n_chars"], [pa.string(), pa.int64()])
+                ready, size = [], 0
+        if ready:
+            yield _joined(ready, ["text", "n_chars"], [pa.string(), pa.int64()])
+
+    def end_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the first and the last run, with the run's number."""
+        number, last = 2 * TaskContext.get().partitionId(), None
+        for k, (_, rows) in enumerate(_runs(batches, html, kept)):
+            if k:
+                last = rows
+            else:
+                yield _joined([(rows, [number])], ["_run"], [pa.int64()])
+        if last:
+            yield _joined([(last, [number + 1])], ["_run"], [pa.int64()])
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last run themselves, with what the runs beside them in the range share."""
+        number, two, last = 2 * TaskContext.get().partitionId(), [], []
+        for run, _ in _runs(batches, html, []):
+            two, last = [*two, run] if len(two) < 2 else two, [*last[-1:], run]
+        out = []
+        for k, (mine, others) in enumerate(((two[:1], two[1:]), (last[1:], last[:1]))):
+            for name, source in mine:
+                page = Page.of(source)
+                for other in others:
+                    if other[0] == name:
+                        difference(page, Page.of(other[1]))
+                out.append((number + k, name, int.from_bytes(hashlib.blake2b(source.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), source, sorted(page.shared)))
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["_run", "_host", "_content", "_html", "_shared"])
+
+    light = [schema[c] for c in kept]
+    texts = _end_texts(map_batches(ranged, heads, "_run long, _host string, _content long, _html string, _shared array<int>"))
+    ends = map_batches(ranged, end_rows, T.StructType([*light, T.StructField("_run", T.LongType())])).join(texts, "_run")
+    ends = ends.withColumn("n_chars", F.length("text").cast("long")).select(*schema.names)
+    return map_batches(ranged, inner, T.StructType([*light, schema["text"], schema["n_chars"]])).select(*schema.names).unionByName(ends)
+
+
+def _end_texts(heads: DataFrame) -> DataFrame:
+    """``(_run, text)`` of the first and last runs of the ranges, differenced with those of the ranges beside them too.
+
+    Runs of the same page that meet where ranges meet are one.  Two rows at most for each range are here, and one task sees
+    no more than their numbers, hosts and hashes.
+    """
+    before, ordered = F.lag(F.struct("_run", "_host", "_content")), Window.orderBy("_run")
+    seen = heads.select("_run", "_host", "_content").withColumn("before", before.over(ordered))
+    beside = F.coalesce(F.shiftright("before._run", 1) != F.shiftright("_run", 1), F.lit(False)) & (F.col("before._host") == F.col("_host"))
+    seen = seen.withColumn("beside", beside).withColumn("new", ~(F.col("beside") & (F.col("before._content") == F.col("_content"))))
+    seen = seen.withColumn("_whole", F.sum(F.col("new").cast("long")).over(ordered)).select("_run", "_whole", (F.col("beside") & F.col("new")).alias("meets"))
+    wholes = heads.join(seen, "_run").groupBy("_whole").agg(F.min("_html").alias("html"), F.collect_list("_shared").alias("shared"), F.max("meets").alias("meets"))
 
     @F.udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def marks(a: str, b: str) -> list[list[int]]:
@@ -279,8 +351,9 @@ def _ends(out: DataFrame, schema: T.StructType) -> DataFrame:
         page.shared = {k for part in shared for k in part}
         return page.main_text()
 
-    met = left.join(right, ["_meet", "_host"]).select("a_row", "b_row", marks("a", "b").alias("m"))
-    both = met.select(F.col("a_row").alias("_row"), F.col("m")[0].alias("s")).unionByName(met.select(F.col("b_row").alias("_row"), F.col("m")[1].alias("s")))
-    rows = ends.join(both.groupBy("_row").agg(F.collect_list("s").alias("_more")), "_row", "left")
-    text = F.when(F.col("_more").isNull(), F.col("text")).otherwise(text_of("_html", F.concat(F.array("_shared"), F.coalesce("_more", F.array().cast("array<array<int>>")))))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*schema.names)
+    right = wholes.where("meets").select((F.col("_whole") - 1).alias("_whole"), F.col("html").alias("next"))
+    met = wholes.join(right, "_whole").select("_whole", marks("html", "next").alias("m"))
+    more = met.select("_whole", F.col("m")[0].alias("s")).unionByName(met.select(F.col("_whole") + 1, F.col("m")[1]).toDF("_whole", "s"))
+    more = more.groupBy("_whole").agg(F.collect_list("s").alias("more"))
+    told = wholes.join(more, "_whole", "left").select("_whole", text_of("html", F.concat("shared", F.coalesce("more", F.array().cast("array<array<int>>")))).alias("text"))
+    return seen.select("_run", "_whole").join(told, "_whole").select("_run", "text")

@@ -50,6 +50,52 @@ def test_text_does_not_depend_on_ranges(spark):
     assert all(s == {k: (t, len(t)) for k, t in want.items()} for s in seen)
 
 
+PARTED = """<body><article><h2 class="article-header">Head</h2><p class='advert'>Buy now<p>Real <a class='share' href="/x">Tweet</a>text.</p><p hidden>hid</p>
+<ul><li class="promo">Offer<li>Point</ul><p data-id="menu">Kept <span style="display: none">no</span>too<img class="ad" src="x"> well</p><p>Open <a class="ad">link</p><p>After</p>
+<table><tr><td class="ad-slot">x<td>Cell</table></article></body>"""
+
+
+def test_parts_on_any_element_go():
+    assert main_text.Page.of(PARTED).main_text() == "Head\n\nReal text.\n\nPoint\n\nKept too well\n\nOpen\n\nAfter\n\nCell"
+
+
+def plain_texts(rows):
+    """The rule on one machine: runs of one page on a host, each differenced with the one before and behind."""
+    at = lambda u: ((u or "").split("://")[-1].split("/")[0] if "://" in (u or "") else "", "/" + (u or "").split("://")[-1].partition("/")[2])
+    runs = []
+    for k, u, h in sorted(rows, key=lambda r: (*at(r[1]), r[0])):
+        if not runs or runs[-1][:2] != (at(u)[0], h or ""):
+            runs.append((at(u)[0], h or "", main_text.Page.of(h or ""), []))
+        runs[-1][3].append(k)
+    for a, b in zip(runs, runs[1:], strict=False):
+        if a[0] == b[0]:
+            main_text.difference(a[2], b[2])
+    return {k: page.main_text() for _, _, page, keys in runs for k in keys}
+
+
+def test_copies_are_no_neighbours_in_any_ranges(spark):
+    page = "<body><div>Our site</div><div>Best offers</div><p>{}</p><div>Imprint</div></body>"
+    story = page.format("Story about a house</p><p>Second par")
+    rows = [(k, "http://one.example/a", story) for k in range(2)]
+    rows += [(10 + k, f"http://h.example/{k // 9:02d}", page.format(f"Story number {k // 9} of many")) for k in range(60)]
+    rows += [(100 + k, f"http://c.example/{k}", page.format("A long story that stays the same " * 20 + "</p><p>" + ("Old" if k else "New"))) for k in range(2)]
+    rows += [(200 + k, "http://hot.example/x", story) for k in range(40)] + [(300, "http://hot.example/z", page.format("Other"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_texts(rows)
+    assert want[0] == want[1] == "Our site\n\nBest offers\n\nStory about a house\n\nSecond par\n\nImprint"
+    assert want[10] == "Story number 0 of many" and want[200] == "Story about a house\n\nSecond par" and "Imprint" in want[100]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 7, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = [(r.page_id, r.text) for r in main_text.extract(pages).collect()]
+            assert sorted(got) == sorted(want.items())
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_common_subsequence_is_longest(monkeypatch):
     rng = random.Random(3)
     for table in (main_text.TABLE_BYTES, 1):
