@@ -22,18 +22,19 @@ TRAIN_ROWS = 20_000
 
 UNDETERMINED = "und"
 
-_ALPHA = np.fromiter((chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(0x10000)), bool, 0x10000)
+_ALPHA = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+#: Bits of a code point; three of them fit a long.
+_BITS = 21
 
 
 def grams(text: str) -> np.ndarray:
     """Codes of all 1- to 3-grams of the letters of a whole text; runs of anything else are one blank.
 
-    A letter has 10 bits: itself below 512, else folded into the upper half.  The blank is 1, which no letter is, so
-    that no n-gram has the code of a shorter one.
+    A letter is its code point.  The blank is 1, which no letter is, so no two n-grams share a code.
     """
-    points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-    letter = np.where(points < 0x10000, _ALPHA[np.minimum(points, 0xFFFF)], True)
-    code = np.where(letter, np.where(points < 512, points, 512 + points % 512), 1).astype(np.int32)
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    letter = _ALPHA[points]
+    code = np.where(letter, points, 1).astype(np.int64)
     kept = np.ones(len(code), bool)
     kept[1:] = letter[1:] | letter[:-1]
     code = code[kept]
@@ -41,7 +42,7 @@ def grams(text: str) -> np.ndarray:
     out = [code[code > 1]]
     joined = code
     for k in range(1, LONGEST):
-        joined = joined[:-1] << 10 | code[k:]
+        joined = joined[:-1] << _BITS | code[k:]
         out.append(joined)
     return np.concatenate(out)
 
@@ -97,7 +98,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column |
     part = min(1.0, rows / max(there, 1))
     key = F.col(text) if key is None else key
     labelled = labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < round(part * (1 << 20)))
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +113,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column |
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank").collect()
     langs = sorted({r.lang for r in found})
-    codes = np.array(sorted({r.gram for r in found}), np.int32)
+    codes = np.array(sorted({r.gram for r in found}), np.int64)
     ranks = np.full((len(codes), len(langs)), PROFILE, np.int32)
     for r in found:
         ranks[np.searchsorted(codes, r.gram), langs.index(r.lang)] = r.rank - 1
@@ -123,7 +124,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     """Add ``lang_pred`` and ``score`` (see ``Profiles.predict``) for each whole text.
 
     Null and empty texts, and texts without a letter, are ``und`` with 0.  Repeated rows stay; columns named
-    like the new ones are replaced.  No other column enters a prediction.
+    like the new ones are replaced; an empty table gives an empty one.  No other column enters a prediction.
     """
     schema = with_fields(docs, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()))
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from roadspark.llm.common import stored
 
 # The kinds in their order, their patterns, the group whose length counts, and the least length.
+# A match of ``AKIA[A-Z0-9]+`` or ``[0-9a-f]+`` is a whole run, so the least length can stand in the pattern; one of the
+# first pattern that is too short still hides others that overlap it, so its length counts afterwards.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-BASE = [("assign", ASSIGN, ASSIGN, 2, 8), ("access", ACCESS, r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex", HEX, r"[0-9a-f]{32,}", 0, 32)]
+BASE = [("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]{12,}", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32)]
 
 # Symbols of each encoding, the narrowest first.
 ENCODINGS = [
@@ -37,6 +37,9 @@ FDR, LEVEL = 0.01, 0.001
 #: Of running text: chance that two letters, or three, are equal, and changes of character class a symbol.
 PAIR, TRIPLE, CHANGES = 0.066, 0.0055, 0.08
 
+#: Matches whose places are summed up one after another.
+BLOCK = 128
+
 SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>"
 
 
@@ -50,7 +53,8 @@ def matches(text: Column, pattern: str, kind: str, kind_no: int) -> Column:
     """All leftmost, non-overlapping matches with their places in code points.
 
     What stands between the matches comes from ``split`` and the matches from ``regexp_extract_all``; the
-    places are running sums of both lengths.
+    places are running sums of both lengths.  An array that grows in ``aggregate`` is copied at each step, so the sums are
+    made in blocks of ``BLOCK`` matches, and between blocks: texts of a million matches take no longer for each.
     """
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     steps = F.zip_with(between, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
@@ -61,8 +65,19 @@ def matches(text: Column, pattern: str, kind: str, kind_no: int) -> Column:
         span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("value"))
         return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).cast(SPAN).alias("spans"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    def placed(block: Column) -> Column:
+        start = F.struct(block["at"].alias("at"), F.array().cast(SPAN).alias("spans"))
+        return F.aggregate(block["steps"], start, step, lambda acc: acc["spans"])
+
+    def all_of(s: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, F.lit(BLOCK)))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: (n + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("int"))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ats"))
+        ats = F.aggregate(blocks, begin, lambda acc, b: F.struct((acc["at"] + length(b)).cast("int").alias("at"), F.concat(acc["ats"], F.array(acc["at"])).alias("ats")), lambda acc: acc["ats"])
+        return F.flatten(F.transform(F.zip_with(ats, blocks, lambda at, b: F.struct(at.alias("at"), b.alias("steps"))), placed))
+
+    # a one-element array binds the steps once
+    return F.transform(F.array(steps), all_of)[0]
 
 
 def long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
@@ -72,9 +87,9 @@ def long_enough(pattern: str, group: int, least: int) -> Callable[[Column], Colu
 def base_spans(text: Column) -> Column:
     """Spans of the fixed patterns, ordered by start, then kind."""
     out = []
-    for no, (kind, pattern, hint, group, least) in enumerate(BASE):
+    for no, (kind, pattern, group, least) in enumerate(BASE):
         found = F.filter(matches(text, pattern, kind, no), long_enough(pattern, group, least))
-        out.append(F.when(text.rlike(hint), found).otherwise(F.array().cast(SPAN)))
+        out.append(F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN)))
     return F.array_sort(F.concat(*out))
 
 
@@ -82,8 +97,10 @@ def battery(value: Column) -> Column:
     """The tests of one candidate, as a struct.
 
     Against uniform symbols of the inferred encoding: ``p_chi`` (chi-squared), ``p_runs`` (runs of upper and
-    lower half of the alphabet) and ``p_serial`` (correlation with the next symbol).  Against running text:
-    ``p_text``, Fisher's combination of how rarely symbols repeat and how often the character class changes.
+    lower half of the alphabet) and ``p_serial`` (correlation with the next symbol): a candidate has to pass all three.
+    A discovery is made against running text: ``p_text`` is Fisher's combination of the same two statistics' lower
+    and upper tails there.  The chi-squared statistic is linear in how often two symbols are equal, which running text does
+    far more often than uniform symbols; runs are those of the character classes, which text hardly changes.
     """
     body = F.rtrim(F.translate(value, "-_=", "+/ "))
     size, symbols = F.lit(0), F.lit("")
