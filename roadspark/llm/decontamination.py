@@ -16,8 +16,8 @@ from roadspark.llm.shingles import shingles, words
 #: Words of a seed.  A copy with a fifth of its words edited still has such a run unedited.
 SEED = 3
 #: A seed is rare if chance alone, from its words' frequencies, makes it this often in a million words of text.
-RARE = 1.0
-#: The rarest seeds of an item are used in any case.
+RARE = 10.0
+#: An item with fewer rare seeds than this uses all of its seeds.
 LEAST_SEEDS = 8
 #: Score of a match, a mismatch and a gap; least score of a copy as a share of a full match.
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -40,10 +40,10 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray, bits: int, shift: int = 0) -> n
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """``(item_id, n_words, packed, seed, w)``: each seed of each item with the hashes of its words; fewer words give none."""
+    """``(item, n_words, packed, seeds)``: each different text by its hash, with its seeds and the hashes of their words; fewer words give none."""
     schema = T.StructType(
         [
-            T.StructField("item_id", T.LongType()),
+            T.StructField("item", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("packed", T.BinaryType()),
             T.StructField("seeds", T.ArrayType(T.StructType([T.StructField("seed", T.LongType()), T.StructField("w", T.ArrayType(T.LongType()))]))),
@@ -55,14 +55,14 @@ def _item_seeds(items: DataFrame) -> DataFrame:
             h, at = words(batch.column("text"))
             s, edge = shingles(batch.column("text"), SEED)
             rows = []
-            for k, item in enumerate(batch.column("item_id").to_pylist()):
+            for k, item in enumerate(batch.column("item").to_pylist()):
                 w = h[at[k] : at[k + 1]]
                 found = s[edge[k] : edge[k + 1]].view(np.int64) if len(w) >= SEED else ()
                 seeds = [{"seed": int(x), "w": w[i : i + SEED].view(np.int64).tolist()} for i, x in enumerate(found)]
-                rows.append({"item_id": item, "n_words": len(w), "packed": w.tobytes(), "seeds": seeds})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n_words", pa.int64()), ("packed", pa.binary()), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("w", pa.list_(pa.int64()))])))]))
+                rows.append({"item": item, "n_words": len(w), "packed": w.tobytes(), "seeds": seeds})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item", pa.int64()), ("n_words", pa.int64()), ("packed", pa.binary()), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("w", pa.list_(pa.int64()))])))]))
 
-    return map_batches(items.select("item_id", "text"), run, schema)
+    return map_batches(items.select(F.xxhash64("text").alias("item"), "text").dropDuplicates(["item"]), run, schema)
 
 
 def _word_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -82,17 +82,20 @@ def _word_counts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def rare_seeds(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(item_id, seed)``: the seeds of each item that chance makes rarely, given how often the corpus has each word."""
-    seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.seed", "s.w").distinct()
+    """``(item, seed)``: the seeds of each item that chance makes rarely, given how often the corpus has each word.
+
+    An item that has fewer than ``LEAST_SEEDS`` of them keeps all its seeds, so common words alone don't hide it.
+    """
+    seeds = items.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", "s.w").distinct()
     vocabulary = seeds.select(F.explode("w").alias("word")).distinct()
     counts = stored(_word_counts(docs, _bits(vocabulary, "word", WORD_BITS)), "words")
     all_words = counts.where("word IS NULL").select("n").first()
     total = float(all_words.n if all_words else 0) or 1.0
     share = F.log((F.coalesce("n", F.lit(0)) + 0.5) / total)
-    spread = seeds.select("item_id", "seed", F.explode("w").alias("word")).join(counts.where("word IS NOT NULL"), "word", "left")
-    chance = spread.groupBy("item_id", "seed").agg(F.exp(F.sum(share)).alias("chance"))
-    ranked = chance.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("chance", "seed"))).alias("s"))
-    return ranked.select("item_id", F.posexplode("s").alias("at", "s")).where((F.col("at") < LEAST_SEEDS) | (F.col("s.chance") * 1e6 <= RARE)).select("item_id", "s.seed")
+    spread = seeds.select("item", "seed", F.explode("w").alias("word")).join(counts.where("word IS NOT NULL"), "word", "left")
+    chance = stored(spread.groupBy("item", "seed").agg((F.exp(F.sum(share)) * 1e6 <= RARE).alias("rare")), "chance")
+    enough = chance.groupBy("item").agg((F.count_if("rare") >= LEAST_SEEDS).alias("enough"))
+    return chance.join(enough, "item").where("rare OR NOT enough").select("item", "seed")
 
 
 def _passages(docs: DataFrame, bitmaps: list[np.ndarray], margin: int) -> DataFrame:
@@ -100,17 +103,17 @@ def _passages(docs: DataFrame, bitmaps: list[np.ndarray], margin: int) -> DataFr
 
     Hits up to ``margin`` words apart share a passage, which reaches ``margin`` words beyond its outer hits.
     """
+    keyed = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"), "text")
     schema = T.StructType(
         [
-            T.StructField("k_id", T.LongType()),
-            T.StructField("k_text", T.LongType()),
+            *keyed.schema.fields[:2],
             T.StructField("start", T.LongType()),
             T.StructField("packed", T.BinaryType()),
             T.StructField("seeds", T.ArrayType(T.LongType())),
         ]
     )
     names = [f.name for f in schema.fields]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +124,19 @@ def _passages(docs: DataFrame, bitmaps: list[np.ndarray], margin: int) -> DataFr
             doc = np.searchsorted(edge, hits, "right") - 1
             place = hits - edge[doc] + at[doc]
             cut = np.flatnonzero((np.diff(place, prepend=-1) > margin) | (np.diff(doc, prepend=-1) > 0)).tolist()
-            out: list[list] = [[] for _ in names]
-            ids, keys = batch.column("k_id"), batch.column("k_text")
+            out: list[list] = [[] for _ in types]
+            of = []
             for a, b in zip(cut, [*cut[1:], len(hits)][: len(cut)], strict=True):
                 d = int(doc[a])
                 low, high = max(at[d], place[a] - margin), min(at[d + 1], place[b - 1] + SEED + margin)
-                row = (ids[d].as_py(), keys[d].as_py(), int(low - at[d]), h[low:high].tobytes(), s[hits[a:b]].view(np.int64).tolist())
+                of.append(d)
+                row = (int(low - at[d]), h[low:high].tobytes(), s[hits[a:b]].view(np.int64).tolist())
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+            keys = [batch.column(c).take(pa.array(of, pa.int64())) for c in ("k_id", "k_text")]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=names)
 
-    return map_batches(docs.select(F.col("doc_id").alias("k_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k_text"), "text"), run, schema)
+    return map_batches(keyed, run, schema)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -151,14 +156,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    schema = T.StructType([*[f for f in pairs.schema.fields if f.name in ("k_id", "k_text", "item_id")], T.StructField("score", T.DoubleType()), T.StructField("end", T.LongType())])
+    schema = T.StructType([*[f for f in pairs.schema.fields if f.name in ("k_id", "k_text", "item")], T.StructField("score", T.DoubleType()), T.StructField("end", T.LongType())])
     names = [f.name for f in schema.fields[:-2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], tuple[int, int]] = {}
         for batch in batches:
             score, end = [], []
-            rows = (batch.column(c).to_pylist() for c in ("item", "packed", "start"))
+            rows = (batch.column(c).to_pylist() for c in ("whole", "packed", "start"))
             for item, packed, start in zip(*rows, strict=True):
                 if (item, packed) not in known:
                     if len(known) > 5000:
@@ -176,7 +181,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(k_id, k_text, item_id, score, end)``: each row of ``docs`` (doc_id, text) with each item it holds a copy of.
 
     ``score`` is the best local alignment's share of the item's full match, ``LEAST_SCORE`` or more; ``end``
-    is the number of the word behind it.  ``k_text`` is the text's hash.  Items of fewer than three words
+    is the number of the word behind it.  ``k_text`` is the text's hash.  A copy has three words of the item
+    in a row: one with words replaced that scores so much does (but for items of a few words), as replacing one in every three
+    leaves half the score; one with words put in between all others may not.  Each text of ``items`` counts by itself: those that share an id are all looked for, and
+    the best of them is told; ids may be of any type, and null.  Items of fewer than three words
     match nothing; null texts count as empty; repeated rows share their answer; empty tables give an empty one.
 
     Only filters of a fixed size go to all tasks.  The passages that pass them meet the seeds, and then
@@ -186,15 +194,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = stored(rare_seeds(parsed, docs), "seeds")
     longest = parsed.agg(F.max("n_words")).first()[0] or 0
     bitmaps = [_bits(seeds, "seed", SEED_BITS), _bits(seeds, "seed", SEED_BITS, SEED_BITS)]
-    passages = stored(_passages(docs, bitmaps, longest), "passages")
-    place = ["k_id", "k_text", "start"]
-    met = passages.select(*place, F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select(F.coalesce("k_id", F.lit(-1)).alias("p_id"), F.col("k_text").alias("p_text"), F.col("start").alias("p_start"), "item_id").distinct()
-    texts = passages.select(*place, "packed").dropDuplicates(place)
-    same = [F.coalesce("k_id", F.lit(-1)) == F.col("p_id"), F.col("k_text") == F.col("p_text"), F.col("start") == F.col("p_start")]
-    whole = parsed.groupBy("item_id").agg(F.max("packed").alias("item"))
-    pairs = met.join(texts, same).join(whole, "item_id").select(*place, "item_id", "packed", "item")
+    # the number of a passage stays, since the passages are read from files
+    passages = stored(_passages(docs, bitmaps, longest).withColumn("passage", F.monotonically_increasing_id()), "passages")
+    met = passages.select("passage", F.explode(F.array_distinct("seeds")).alias("seed")).join(seeds, "seed").select("passage", "item").distinct()
+    whole = parsed.select("item", F.col("packed").alias("whole"))
+    pairs = met.join(passages.drop("seeds"), "passage").join(whole, "item").select("k_id", "k_text", "start", "item", "packed", "whole")
     found = _scored(pairs).where(F.col("score") >= LEAST_SCORE)
+    names = items.select(F.xxhash64("text").alias("item"), "item_id").distinct()
     best = F.max(F.struct("score", "end")).alias("best")
-    return found.groupBy("k_id", "k_text", "item_id").agg(best).select("k_id", "k_text", "item_id", "best.score", "best.end")
-
-
+    return found.join(names, "item").groupBy("k_id", "k_text", "item_id").agg(best).select("k_id", "k_text", "item_id", "best.score", "best.end")

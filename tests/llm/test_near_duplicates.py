@@ -197,6 +197,45 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert decontamination.contaminated(d, i.where("false")).count() == 0
 
 
+def runs_of_three(text):
+    w = WORD.findall(text.lower().encode())
+    return set(zip(w, w[1:], w[2:], strict=False))
+
+
+def plain_score(item, text):
+    """Best local alignment of all of both texts, as a share of the item's full match."""
+    a, b = WORD.findall(item.lower().encode()), WORD.findall(text.lower().encode())
+    h, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, h[j] + (2 if x == y else -1), h[j + 1] - 1, row[j] - 1))
+        h, best = row, max(best, *row)
+    return best / (2 * len(a))
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    common = ["of", "the", "and", "to"]
+    items = [prose(rng, n) for n in (12, 20, 33, 48)] + [" ".join(rng.choice(common) for _ in range(14)), "of the and"]
+    docs = []
+    for item in items:
+        for share in (0.0, 0.1, 0.2, 0.3, 0.5):
+            docs.append(f"{prose(rng, 40)} {edited(rng, item, share)} {prose(rng, 30)}")
+    docs += [" ".join(rng.choice(common) if rng.random() < 0.5 else prose(rng, 1) for _ in range(300)) for _ in range(10)]
+    names = ["a", "b", "b", None, "e", "f"]
+    d = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(docs)], "doc_id string, text string")
+    got = {(r.k_id, r.item_id): r.score for r in decontamination.contaminated(d, spark.createDataFrame(list(zip(names, items, strict=True)), "item_id string, text string")).collect()}
+    want = {}
+    for k, text in enumerate(docs):
+        for name, item in zip(names, items, strict=True):
+            score = plain_score(item, text)
+            if score >= decontamination.LEAST_SCORE and runs_of_three(item) & runs_of_three(text):
+                want[f"d{k}", name] = max(score, want.get((f"d{k}", name), 0))
+    assert len(want) > 15 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_alignment_equals_plain_table():
     rng = random.Random(8)
     for _ in range(60):
