@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from roadspark.llm.common import extended, map_batches, shared_dir, stored, texts, with_fields
 
-#: Chunks whose ids a worker keeps between batches; beyond it the store starts anew.
+#: Chunks whose ids a worker keeps between batches, of Latin ones and of others; beyond it their store starts anew.
 KEPT_CHUNKS = 900_000
 
 #: Characters at which ``str.split`` splits though the tokenizer doesn't take them for white space.
@@ -28,19 +28,17 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-#: Characters beyond Latin letters; a sign behind a lower-case Latin letter and in front of a space, which is a word of its own.
+#: Characters beyond Latin letters.
 BEYOND = re.compile("[^\0-\u024f]")
-SIGN = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u024f])[,.;:!?](?= )")
 
 _STATE: dict = {}
 
 
 class Chunks(dict):
-    """A tokenizer that drops white space, and the packed ids of the chunks between white space met so far.
+    """A tokenizer that drops white space, and the packed ids of the lower-cased Latin chunks between white space met so far.
 
     Such a tokenizer's ids of a text are those of its chunks, one after another.  A new chunk of Latin
-    letters is lower-cased and split here and its words go to the tokenizer's model; any other chunk goes
-    to the tokenizer as it is.
+    letters is split here and its words go to the tokenizer's model; any other chunk goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -48,6 +46,7 @@ class Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.others: dict[str, bytes] = {}
         self.split = regex.compile(WORDS).findall
         others = iter(range(256, 512))
         self.visible = {b: b if b in PRINTABLE else next(others) for b in range(256)}
@@ -63,29 +62,37 @@ class Chunks(dict):
         return array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if BEYOND.search(chunk):
-            packed = self.whole(chunk)
+        if chunk.isalpha():
+            packed = self.word(chunk)
+        elif chunk[-1] in ",." and chunk[:-1].isalpha():
+            packed = self[chunk[:-1]] + self[chunk[-1]]
         else:
-            low = chunk.lower()
-            packed = self.word(low) if low.isalpha() else b"".join(map(self.word, self.split(low)))
+            packed = b"".join(map(self.word, self.split(chunk)))
         self[chunk] = packed
         return packed
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def other(self, chunk: str) -> bytes:
+        if not BEYOND.search(chunk):
+            return self[chunk.lower()]
+        if chunk not in self.others:
+            self.others[chunk] = self.whole(chunk)
+        return self.others[chunk]
+
     def encode(self, text: str) -> bytes:
         if any(c in text for c in SEPARATORS):
             return self.whole(text)
-        if not BEYOND.search(text):
-            # fewer different chunks: one case only, and most signs apart from their words
-            text = SIGN.sub(r" \g<0>", text.lower())
-        return b"".join(map(self.__getitem__, text.split()))
+        if BEYOND.search(text):
+            return b"".join(map(self.other, text.split()))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
     def bound(self) -> None:
         """Start anew beyond the bound."""
-        if len(self) > KEPT_CHUNKS:
-            self.clear()
+        for store in (self, self.others):
+            if len(store) > KEPT_CHUNKS:
+                store.clear()
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None = None, text: str = "text", keep: bool = True) -> DataFrame:
