@@ -14,11 +14,13 @@ from roadspark.llm.common import stored
 #: Labelled URLs from which the trees are trained; more are thinned out by a hash of row key and URL.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 10, 3
+#: Parts of the labelled URLs; the statistics of a training row come from the parts it isn't in.
+FOLDS = 5
 
 FEATURES = ["f_length", "f_host_length", "f_depth", "f_labels", "f_digits", "f_entropy", "f_params", "f_hyphens", "f_escapes", "f_https", "f_suffix", "f_extension"]
 
-#: Names that the features and the trees use; columns of ``pages`` of these names are left out.
-SCRATCH = [*FEATURES, "suffix", "extension", "features", "rawPrediction", "probability", "prediction", "label"]
+#: Names that the features and the trees use; columns of ``pages`` of these names step aside for them.
+SCRATCH = [*FEATURES, "suffix", "extension", "fold", "features", "rawPrediction", "probability", "prediction", "label"]
 
 
 def after_scheme(url: Column) -> Column:
@@ -47,14 +49,18 @@ def fitting_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
 
 def entropy(text: Column) -> Column:
     """Bits a character."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
 
-    def part(acc: Column, c: Column) -> Column:
-        share = F.size(F.filter(chars, lambda d: d == c)) / n
-        return acc - share * F.log2(share)
+    def of(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
 
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), part)
+        def part(acc: Column, c: Column) -> Column:
+            share = F.size(F.filter(chars, lambda d: d == c)) / n
+            return acc - share * F.log2(share)
+
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), part)
+
+    # a one-element array binds the characters once
+    return F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), of)[0]
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -80,9 +86,75 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def blocked_share(counts: DataFrame, by: str, name: str) -> DataFrame:
-    """Smoothed share of blocked URLs for each value of ``by``; there may be many."""
-    return counts.groupBy(by).agg(((F.sum("blocked") + 1) / (F.sum("n") + 2)).alias(name))
+def blocked_share(counts: DataFrame, by: str, name: str, of: list[int] | None = None) -> DataFrame:
+    """Smoothed share of blocked URLs for each value of ``by``, of which there may be many, in ``counts`` by fold.
+
+    Given ``of``, one row for each value and each of these folds, with the share in all other folds.
+    """
+    share = lambda blocked, n: ((blocked + 1) / (n + 2)).alias(name)
+    mine = counts.groupBy(by, "fold").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n"))
+    every = mine.groupBy(by).agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    if of is None:
+        return every.select(by, share(F.col("all_blocked"), F.col("all_n")))
+    rows = every.withColumn("fold", F.explode(F.array(*map(F.lit, of)))).join(mine, [by, "fold"], "left")
+    less = lambda c: F.col(f"all_{c}") - F.coalesce(c, F.lit(0))
+    return rows.select(by, "fold", share(less("blocked"), less("n")))
+
+
+class Method:
+    """Boosted trees on the lexical features of labelled URLs, and the shares of blocked URLs by suffix and extension.
+
+    ``urls`` has url, host, path, label (1 for block) and a hash ``pick``, by which ``rows`` of them at most (about) train the
+    trees; the shares are of all of them.  A training row's own shares come from the other folds, so the trees don't
+    see its label there.
+    """
+
+    def __init__(self, urls: DataFrame, rows: int):
+        folded = urls.withColumn("fold", F.pmod("pick", F.lit(FOLDS)).cast("int"))
+        counts = stored(lexical(folded).groupBy("suffix", "extension", "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), "shares")
+        part = min(1.0, rows / max(counts.agg(F.sum("n")).first()[0] or 0, 1))
+        sample = folded.where(F.pmod(F.shiftright("pick", 8), F.lit(1 << 20)) < round(part * (1 << 20)))
+        labelled = stored(lexical(sample), "urls")
+        self.shares = {by: stored(blocked_share(counts, by, f"f_{by}"), by) for by in ("suffix", "extension")}
+        labels = sorted(r.label for r in labelled.select("label").distinct().collect())
+        self.only, self.model = ("block" if labels == [1.0] else "allow") if len(labels) < 2 else None, None
+        self.assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+        if not self.only:
+            for by in ("suffix", "extension"):
+                labelled = labelled.join(blocked_share(counts, by, f"f_{by}", list(range(FOLDS))), [by, "fold"], "left")
+            trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1)
+            self.model = trees.fit(self.assemble.transform(labelled.fillna(0.5, ["f_suffix", "f_extension"])))
+
+    def judge(self, urls: DataFrame) -> DataFrame:
+        """Add ``by_trees``, the verdict, to ``urls`` (url, host, path)."""
+        if self.only:
+            return urls.withColumn("by_trees", F.lit(self.only))
+        rows = lexical(urls)
+        for by, shares in self.shares.items():
+            rows = rows.join(shares, by, "left")
+        out = self.model.transform(self.assemble.transform(rows.fillna(0.5, ["f_suffix", "f_extension"])))
+        return out.withColumn("by_trees", F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
+
+
+def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``pages`` with ``host``, ``path``, ``rule`` and the rule's ``verdict``."""
+    new = {"host": host(F.col("url")), "path": path(F.col("url"))}
+    urls = pages.withColumns({k: F.coalesce(v, F.lit("")) for k, v in new.items()})
+    rule, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
+    return urls.withColumns({"rule": rule, "verdict": verdict})
+
+
+def labelled_by(urls: DataFrame, key: str) -> DataFrame:
+    """The URLs that rules decide, with ``label`` and ``pick``, a hash of ``key`` (where there is one) and URL."""
+    pick = F.xxhash64(*(c for c in (key, "url") if c in urls.columns)).alias("pick")
+    return urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", (F.col("verdict") == "block").cast("double").alias("label"), pick)
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS, key: str = "page_id") -> DataFrame:
+    """``(label, by_trees)`` of the labelled URLs of one fold, judged by trees and shares that the other folds made."""
+    labelled = labelled_by(ruled(pages.select("url", *(c for c in (key,) if c in pages.columns)), rules), key)
+    apart = F.pmod("pick", F.lit(FOLDS)) == 0
+    return Method(labelled.where(~apart), rows).judge(labelled.where(apart)).select("label", "by_trees")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS, key: str = "page_id") -> DataFrame:
@@ -90,38 +162,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], rows: int = TRAIN_ROWS
 
     Where a rule fits, the longest decides.  The URLs that rules decide are the labelled ones: about
     ``rows`` of them, chosen by a hash of ``key`` (where there is one) and URL, train gradient-boosted trees on ``FEATURES``, which
-    decide the rest.  The shares of blocked URLs by suffix and extension are those of all labelled ones.  If the labelled ones are of one verdict only, the rest get it; if there are none,
+    decide the rest (see ``Method``).  If the labelled ones are of one verdict only, the rest get it; if there are none,
     ``allow``.  A null URL and one without ``://`` have empty host and path and are judged like the others.
-    Repeated rows stay; columns named like the new ones are replaced, those in ``SCRATCH`` left out; an empty table
-    gives an empty one.
+    Repeated rows stay; columns named like the new ones are replaced, all others pass; an empty table gives an empty one.
     """
-    pages = pages.drop(*SCRATCH)
-    new = {"host": host(F.col("url")), "path": path(F.col("url"))}
-    urls = pages.withColumns({k: F.coalesce(v, F.lit("")) for k, v in new.items()})
-    rule, verdict = fitting_rule(rules, F.col("host"), F.col("path"))
-    urls = urls.withColumns({"rule": rule, "verdict": verdict})
-    of = [F.xxhash64(*(c for c in (key, "url") if c in urls.columns)).alias("_pick"), (F.col("verdict") == "block").cast("double").alias("label")]
-    labelled = urls.where(F.col("verdict").isNotNull()).select("url", "host", "path", *of)
-    counts = stored(lexical(labelled).groupBy("suffix", "extension").agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), "shares")
-    part = min(1.0, rows / max(counts.agg(F.sum("n")).first()[0] or 0, 1))
-    sample = labelled.where(F.pmod("_pick", F.lit(1 << 20)) < round(part * (1 << 20))).drop("_pick")
-    labelled = stored(lexical(sample), "urls")
-    suffix, extension = stored(blocked_share(counts, "suffix", "f_suffix"), "suffix"), stored(blocked_share(counts, "extension", "f_extension"), "extension")
-
-    def described(df: DataFrame) -> DataFrame:
-        df = df.join(suffix, "suffix", "left").join(extension, "extension", "left")
-        return df.fillna(0.5, ["f_suffix", "f_extension"])
-
-    labels = sorted(r.label for r in labelled.select("label").distinct().collect())
-    if len(labels) < 2:
-        method = F.lit("block" if labels == [1.0] else "allow")
-        out = urls
-    else:
-        assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1)
-        model = trees.fit(assemble.transform(described(labelled)))
-        out = model.transform(assemble.transform(described(lexical(urls))))
-        method = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    return out.withColumns({"by_method": F.col("verdict").isNull(), "verdict": F.coalesce("verdict", method)}).drop(*SCRATCH)
-
-
+    aside = {c: f"__{c}" for c in pages.columns if c in SCRATCH}
+    urls = ruled(pages.withColumnsRenamed(aside), rules)
+    out = Method(labelled_by(urls, key), rows).judge(urls)
+    out = out.withColumns({"by_method": F.col("verdict").isNull(), "verdict": F.coalesce("verdict", "by_trees")})
+    new = ["host", "path", "rule", "verdict", "by_method"]
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in pages.columns if c not in new), *new)

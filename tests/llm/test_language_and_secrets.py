@@ -182,10 +182,11 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "org/")]
 @pytest.mark.parametrize("extra", [0, 1])
 def test_url_rules_and_method(spark, extra):
     urls = [None, "", "no-scheme.com/en/", "HTTP://A.Example.COM/en/71?x#y", "http://a.example.com/en/8", "http://b.org?q=/z", "http://notcom/en/", "https://c.net/a/b.html"] * 3
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "features": F.lit("clash"), "prediction": F.lit(1)})
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit("clash"), "features": F.lit("mine"), "prediction": F.lit(1), "suffix": F.lit("own")})
     rows = {r.page_id: r for r in url_filter.judge(pages, RULES if extra else RULES[:1]).collect()}
     assert len(rows) == len(urls)
     assert (rows[0].host, rows[0].path, rows[2].host) == ("", "", "")
+    assert {(r.features, r.prediction, r.suffix) for r in rows.values()} == {("mine", 1, "own")}
     assert (rows[3].host, rows[3].path) == ("a.example.com", "/en/71")
     assert (rows[5].host, rows[5].path) == ("b.org", "")
     assert rows[4].rule == "com/en/" and rows[6].rule is None
@@ -195,5 +196,54 @@ def test_url_rules_and_method(spark, extra):
     assert all(r.verdict in ("allow", "block") for r in rows.values())
 
 
+def plain_features(url):
+    """The features that need no statistics, from a URL alone."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    query = re.search(r"\?([^#]*)", url)
+    counts = Counter(url)
+    return {
+        "f_length": len(url),
+        "f_host_length": len(host),
+        "f_depth": len(re.findall("/[^/]", path)),
+        "f_labels": len([x for x in host.split(".") if x]),
+        "f_digits": sum(c in "0123456789" for c in url) / len(url) if url else 0,
+        "f_entropy": -sum(n / len(url) * math.log2(n / len(url)) for n in counts.values()) if url else 0,
+        "f_params": len([x for x in query[1].split("&") if x]) if query else 0,
+        "f_hyphens": url.count("-"),
+        "f_escapes": len(re.findall("%[0-9A-Fa-f]{2}", url)),
+        "f_https": url.startswith("https"),
+    }
+
+
+def test_url_features_and_shares_equal_plain_version(spark):
+    rng = random.Random(5)
+    urls = [None, "", "x", "http://", "a://b?c", "https://A-b.c/%4a/d..e?f&g=&&h#?i&j", "http://h.org/" + "long-path/" * 20_000 + "?x=1"]
+    urls += [f"http{rng.choice(['', 's'])}://w{k}.{rng.choice(['com', 'org', 'net'])}/{rng.randrange(10**6)}/a.{rng.choice(['html', 'PHP', 'toolong'])}?p={k}" for k in range(60)]
+    pages = url_filter.ruled(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "com/"), ("allow", "org/")])
+    for r in url_filter.lexical(pages).collect():
+        for name, value in plain_features(urls[r.page_id]).items():
+            assert abs(r[name] - value) < 1e-9, (name, urls[r.page_id])
+    labelled = url_filter.labelled_by(pages, "page_id").withColumn("fold", F.pmod("pick", F.lit(url_filter.FOLDS)).cast("int"))
+    rows = url_filter.lexical(labelled).collect()
+    counts = spark.createDataFrame([(r.suffix, r.fold, r.label, 1) for r in rows], "suffix string, fold int, blocked double, n long")
+    for r in url_filter.blocked_share(counts, "suffix", "s", list(range(url_filter.FOLDS))).collect():
+        other = [x.label for x in rows if x.suffix == r.suffix and x.fold != r.fold]
+        assert abs(r.s - (sum(other) + 1) / (len(other) + 2)) < 1e-12
+
+
+def test_trees_find_held_out_labels(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(k, f"http://{word(6)}.bad/{word(30)}/{rng.randrange(10**8)}?q={k}&r=1" if k % 2 else f"https://{word(6)}.good/{word(5)}") for k in range(600)]
+    # the suffix says nothing here: both kinds have both
+    rows += [(1000 + k, f"http://{word(6)}.mixed/bad/{word(30)}/{rng.randrange(10**8)}?q={k}&r=1" if k % 2 else f"https://{word(6)}.mixed/good/{word(5)}") for k in range(600)]
+    rules = [("block", "bad/"), ("allow", "good/"), ("block", "mixed/bad/"), ("allow", "mixed/good/")]
+    found = url_filter.held_out(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    right = sum((r.label == 1.0) == (r.by_trees == "block") for r in found)
+    assert len(found) > 150 and right >= 0.95 * len(found)
+
+
 def test_urls_of_empty_table(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
