@@ -18,8 +18,8 @@ LONG = ((40, 3), (20, 4))
 SHINGLE, KEY_HASHES, START_BITS = 3, 8, 5
 #: Depth of the tree below the token count: leading tokens that lines of a leaf share.
 LEADING = 2
-#: Token counts of the lines whose other fields may vary.
-VARYING = (8, 40)
+#: A template keeps so many of its tokens at least, and such a share of them; the others are variable fields.
+LEAST_FIXED, FIXED_SHARE = 3, 0.5
 
 
 def masked(text: Column) -> Column:
@@ -28,22 +28,15 @@ def masked(text: Column) -> Column:
     return F.when(low.rlike("[0-9]"), F.regexp_replace(low, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(low)
 
 
-def paths(line: Column) -> Column:
-    """Keys of the templates that a masked line has in the tree.
-
-    The first is the line itself.  A line of 8 to 40 tokens has two more: its leaf (token count and leading
-    tokens) with the tokens at even places, the odd ones being free, and the reverse.  So lines that differ
-    in fields of one parity share a template, and agree in half of their tokens at least.  Blank lines have none.
-    """
-    tokens = F.split(line, " ")
-    n = F.size(tokens)
-    halves = [F.xxhash64(F.lit(side), n, F.filter(tokens, keeps(side))) for side in (0, 1)]
-    whole = F.xxhash64(line)
-    return F.when(line == "", F.array().cast("array<long>")).when(n.between(*VARYING), F.array(whole, *halves)).otherwise(F.array(whole))
+def whole(line: Column) -> Column:
+    """Key of a masked line by itself; null for a blank one."""
+    return F.when(line != "", F.xxhash64(line))
 
 
-def keeps(side: int):
-    return lambda token, i: (i < LEADING) | (i % 2 == side)
+def leaf(line: Column) -> Column:
+    """Key of a masked line's leaf in the tree: its token count and leading tokens.  Null where no template could have a field."""
+    tokens = F.split(line, " ")
+    return F.when(F.size(tokens) > LEAST_FIXED, F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING)))
 
 
 def number(kind: Column) -> Column:
@@ -56,7 +49,7 @@ def masked_lines(text: str) -> Column:
 
 
 def parsed(docs: DataFrame, text: str) -> DataFrame:
-    """Of each row: its key (``k_id``, ``k_text``), and of each line its keys (``paths``) and its ``kinds``.
+    """Of each row: its key (``k_id``, ``k_text``), its masked ``lines``, and the ``kinds`` of the lines.
 
     The kind of a line is what surrounds it: the two least hashes of the document's other lines.  It is the same in
     copies of a document, whatever few of their lines were edited, and differs where a line stands in documents of its own.
@@ -65,14 +58,13 @@ def parsed(docs: DataFrame, text: str) -> DataFrame:
     least = F.slice(F.sort_array(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))), 1, 3)
     kinds = F.transform("hashes", lambda h: F.array_join(F.slice(F.filter("least", lambda x: x != h), 1, 2), " "))
     rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines")).withColumn("hashes", hashes).withColumn("least", least)
-    return rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform(kinds, number).alias("kinds"))
+    return rows.select("k_id", "k_text", "lines", F.transform(kinds, number).alias("kinds"))
 
 
 def parsed_by_family(docs: DataFrame, text: str) -> DataFrame:
-    """Of each row: its key, the ``family`` of its text, and of each line its keys (``paths``) and the kinds that it needs."""
-    rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines"))
-    rows = rows.select("k_id", "k_text", F.transform("lines", paths).alias("paths"), F.transform("lines", needed).alias("needs"))
-    return rows.join(families(docs, text), "k_text", "left").withColumn("family", F.coalesce("family", "k_text"))
+    """Of each row: its key, its masked ``lines``, and as their ``kinds`` the family of its text."""
+    rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines")).join(families(docs, text), "k_text", "left")
+    return rows.select("k_id", "k_text", "lines", F.transform("lines", lambda s: F.coalesce("family", "k_text")).alias("kinds"))
 
 
 def families(docs: DataFrame, text: str) -> DataFrame:
@@ -108,33 +100,49 @@ def keys(docs: DataFrame, text: str, id_col: str = "doc_id") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
 
 
-def recurring(trees: DataFrame) -> DataFrame:
-    """Keys of the templates that recur across documents which aren't copies of each other.
+def counted(rows: DataFrame, *by: str, need: Column | None = None) -> DataFrame:
+    """How many ``texts`` have each key, of how many ``kinds``, and the ``need`` of kinds.
 
-    Each step groups by all that it tells apart, then sums, so that a template in a third of all rows is
+    Each step groups by all that it tells apart, then sums, so that a key in a third of all rows is
     spread over many tasks until only sums are left.
     """
-    lines = F.arrays_zip("paths", "kinds")
-    seen = trees.select("k_text", F.explode(lines).alias("line")).select("k_text", "line.kinds", F.explode("line.paths").alias("key"))
-    texts = seen.groupBy("key", "k_text").agg(F.min("kinds").alias("kind"))
-    kinds = texts.groupBy("key", "kind").agg(F.count("*").alias("texts"))
-    sums = kinds.groupBy("key").agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"))
-    return sums.where((F.col("texts") >= MIN_TEXTS) & (F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))).select("key")
+    rows = rows.withColumn("need", F.lit(MIN_KINDS) if need is None else need)
+    texts = rows.groupBy(*by, "k_text").agg(F.min("kind").alias("kind"), F.min("need").alias("need"))
+    kinds = texts.groupBy(*by, "kind").agg(F.count("*").alias("texts"), F.min("need").alias("need"))
+    return kinds.groupBy(*by).agg(F.sum("texts").alias("texts"), F.count("*").alias("kinds"), F.min("need").alias("need"))
+
 
+def recurring(by_family: bool) -> Column:
+    """Whether a key that was ``counted`` recurs across documents which aren't copies of each other."""
+    if by_family:
+        return F.col("kinds") >= F.col("need")
+    return (F.col("texts") >= MIN_TEXTS) & (F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))
 
-def recurring_by_family(trees: DataFrame) -> DataFrame:
-    """Keys of the templates that enough families have, each counted once, however many texts it is of."""
-    lines = F.arrays_zip("paths", "needs")
-    seen = trees.select("family", F.explode(lines).alias("line")).select("family", "line.needs", F.posexplode("line.paths").alias("path", "key"))
-    need = F.when(F.col("path") == 0, F.col("needs")).otherwise(MIN_KINDS)
-    of = seen.groupBy("key", "family").agg(F.min(need).alias("need"))
-    return of.groupBy("key").agg(F.count("*").alias("families"), F.min("need").alias("need")).where("families >= need").select("key")
+
+def templates(lines: DataFrame, by_family: bool) -> DataFrame:
+    """Of each line (``k_id``, ``k_text``, ``line``, ``leaf``, ``kind``, ``m``): the key of its template, if that has enough fixed tokens.
+
+    At the leaf a token is fixed if it recurs at its place; all others there are variable fields, however many stand side by side.
+    """
+    at = ["leaf", "place", "token"]
+    tokens = lines.select("k_id", "k_text", "line", "leaf", "kind", F.posexplode(F.transform(F.split("m", " "), lambda t: F.xxhash64(t))).alias("place", "token"))
+    free = F.col("place") >= LEADING
+    fixed = counted(tokens.where(free), *at).where(recurring(by_family)).select(*at, F.lit(True).alias("fixed"))
+    told = tokens.join(fixed, at, "left").withColumn("kept", F.coalesce(F.col("fixed"), ~free))
+    told = told.groupBy("k_id", "k_text", "line", "leaf", "kind").agg(
+        F.xxhash64("leaf", F.sort_array(F.collect_set(F.when(F.col("kept"), F.struct("place", "token"))))).alias("template"),
+        F.count_if(F.col("kept")).alias("n_fixed"),
+        F.count("*").alias("n"),
+    )
+    return told.where((F.col("n_fixed") >= LEAST_FIXED) & (F.col("n_fixed") >= FIXED_SHARE * F.col("n")))
 
 
 def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) -> DataFrame:
     """Drop from each text the lines with a template that recurs; add ``n_lines`` and ``n_dropped``.
 
-    A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
+    The tree has a leaf for each token count and leading tokens.  At a leaf, tokens that recur at their place are fixed
+    and the others are fields; a line's template is its leaf with its fixed tokens, at least three and half of all.  A whole
+    line is a template too.  A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
     every two texts at least.  So lines that recur because whole documents were copied stay for near-dedup,
     which keeps one of each group.  That is the rule of the registered query's SQL.  With ``by_family`` a template
     recurs if ``MIN_KINDS`` families of texts have it (see ``families``), and for whole lines of many tokens fewer (``LONG``);
@@ -142,9 +150,19 @@ def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) ->
     lose the same lines; an empty table gives an empty one; columns named like the new ones are replaced.
     """
     trees = stored(parsed_by_family(docs, text) if by_family else parsed(docs, text), "lines")
-    found = recurring_by_family(trees) if by_family else recurring(trees)
-    lines = trees.select("k_id", "k_text", F.posexplode("paths").alias("line", "keys")).select("k_id", "k_text", "line", F.explode("keys").alias("key"))
-    hit = lines.join(found, "key", "left_semi")
+    zipped = F.arrays_zip("lines", "kinds")
+    lines = trees.select("k_id", "k_text", F.posexplode(zipped).alias("line", "x")).select("k_id", "k_text", "line", F.col("x.lines").alias("m"), F.col("x.kinds").alias("kind"))
+    lines = lines.withColumns({"whole": whole(F.col("m")), "leaf": leaf(F.col("m"))})
+    keyed = lines.select("k_text", "kind", F.when(F.lit(by_family), needed(F.col("m"))).otherwise(MIN_KINDS).alias("line_need"), F.posexplode(F.array("whole", "leaf")).alias("depth", "key"))
+    need = F.when(F.col("depth") == 0, F.col("line_need")).otherwise(MIN_KINDS)
+    found = stored(counted(keyed.where("key IS NOT NULL"), "depth", "key", need=need).where((F.col("kinds") >= MIN_KINDS) | recurring(by_family)), "recurring")
+    again = found.where(F.col("depth") == 0).where(recurring(by_family)).select(F.col("key").alias("whole"))
+    shared = found.where(F.col("depth") == 1).where(F.col("kinds") >= MIN_KINDS).select(F.col("key").alias("leaf"))
+    rest = lines.join(shared, "leaf", "left_semi").select("k_id", "k_text", "line", "leaf", "kind", "m")
+    made = templates(stored(rest, "leaves"), by_family)
+    made = stored(made.select("k_id", "k_text", "line", "template", "kind"), "templates")
+    hit = made.join(counted(made, "template").where(recurring(by_family)), "template", "left_semi").select("k_id", "k_text", "line")
+    hit = hit.unionByName(lines.join(again, "whole", "left_semi").select("k_id", "k_text", "line"))
     gone = hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"})
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     named = [c.alias(n) for c, n in zip(keys(docs, text), ("__k_id", "__k_text"), strict=True)]

@@ -33,20 +33,36 @@ OP3_SQL = """
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM docs),
 masked AS (SELECT doc_id, text, line, i, trim(regexp_replace(' ' || lower(line), '([ ])[^\\s0-9]*[0-9][^\\s]*', '\\1<*>', 'g'), ' ') AS m FROM raw),
-tokens AS (SELECT *, string_split(m, ' ') AS t FROM masked),
 sketch AS (SELECT doc_id, text, list_sort(list(DISTINCT md5(m)))[1:3] AS least FROM masked WHERE m <> '' GROUP BY doc_id, text),
-placed AS (SELECT t.*, substring(md5(array_to_string(list_filter(least, lambda x: x <> md5(m))[1:2], ' ')), 1, 15) AS kind FROM tokens t JOIN sketch USING (doc_id, text) WHERE m <> ''),
-paths AS (
-  SELECT doc_id, text, i, 'whole ' || m AS key, kind FROM placed
-  UNION ALL
-  SELECT doc_id, text, i, s || ' ' || len(t) || ' ' || array_to_string(list_filter(t, lambda x, j: j - 1 < 2 OR (j - 1) % 2 = s), ' '), kind
-  FROM placed, (VALUES (0), (1)) sides(s) WHERE len(t) BETWEEN 8 AND 40
+placed AS (
+  SELECT doc_id, text, i, m, substring(md5(array_to_string(list_filter(least, lambda x: x <> md5(m))[1:2], ' ')), 1, 15) AS kind, string_split(m, ' ') AS t
+  FROM masked JOIN sketch USING (doc_id, text) WHERE m <> ''
 ),
-recurring AS (
-  SELECT key FROM (SELECT key, text, min(kind) AS kind FROM paths GROUP BY key, text) GROUP BY key
+wholes AS (
+  SELECT m FROM (SELECT m, text, min(kind) AS kind FROM placed GROUP BY m, text) GROUP BY m
   HAVING count(*) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(*)
 ),
-gone AS (SELECT DISTINCT doc_id, text, i FROM paths WHERE key IN (SELECT key FROM recurring))
+leaved AS (SELECT *, len(t) || ' ' || t[1] || ' ' || t[2] AS leaf FROM placed WHERE len(t) >= 4),
+leaves AS (SELECT leaf FROM (SELECT leaf, text, min(kind) AS kind FROM leaved GROUP BY leaf, text) GROUP BY leaf HAVING count(DISTINCT kind) >= 5),
+spread AS (SELECT doc_id, text, i, leaf, kind, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM leaved WHERE leaf IN (SELECT leaf FROM leaves)),
+fixed AS (
+  SELECT leaf, p, token FROM (SELECT leaf, p, token, text, min(kind) AS kind FROM spread WHERE p > 2 GROUP BY leaf, p, token, text) GROUP BY leaf, p, token
+  HAVING count(*) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(*)
+),
+made AS (
+  SELECT doc_id, text, i, kind, leaf || ' ' || string_agg(CASE WHEN p <= 2 OR f THEN token ELSE '<*> ' END, ' ' ORDER BY p) AS template,
+    count(*) AS n, count(*) FILTER (p <= 2 OR f) AS n_fixed
+  FROM (SELECT s.*, x.token IS NOT NULL AS f FROM spread s LEFT JOIN fixed x ON s.leaf = x.leaf AND s.p = x.p AND s.token = x.token)
+  GROUP BY doc_id, text, i, kind, leaf HAVING n_fixed >= 3 AND n_fixed >= 0.5 * n
+),
+again AS (
+  SELECT template FROM (SELECT template, text, min(kind) AS kind FROM made GROUP BY template, text) GROUP BY template
+  HAVING count(*) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(*)
+),
+gone AS (
+  SELECT DISTINCT doc_id, text, i FROM placed WHERE m IN (SELECT m FROM wholes)
+  UNION SELECT DISTINCT doc_id, text, i FROM made WHERE template IN (SELECT template FROM again)
+)
 SELECT r.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped,
   sha256(coalesce(string_agg(r.line, chr(10) ORDER BY r.i) FILTER (g.i IS NULL), '')) AS text_sha256
 FROM raw r LEFT JOIN gone g USING (doc_id, text, i) GROUP BY r.doc_id

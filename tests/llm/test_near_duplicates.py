@@ -266,6 +266,24 @@ def test_template_lines_go_and_copies_stay(spark):
     assert line_templates.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("by_family", [False, True])
+def test_fields_side_by_side_and_in_lines_of_any_length_go(spark, by_family):
+    rng = random.Random(30)
+    name = lambda: "".join(rng.choice("aeinrstlou") for _ in range(7)).title()
+    long = [prose(rng, 1) for _ in range(50)]
+    rows = []
+    for k in range(14):
+        body = [prose(rng, 12) for _ in range(5)]
+        wide = " ".join(w if j % 4 else name() for j, w in enumerate(long, 2))
+        rows.append((k, "\n".join([*body, f"Posted by {name()} {name()} in the travel forum today", f"Logged in as {name()}", f"The start {wide}"])))
+    # lines that begin alike but share too few tokens stay
+    rows += [(50 + k, "\n".join([*(prose(rng, 12) for _ in range(4)), f"Posted by {prose(rng, 7)}", f"Here and {name()} too much {prose(rng, 5)}"])) for k in range(12)]
+    got = {r.doc_id: r for r in line_templates.drop_lines(spark.createDataFrame(rows, DOCS), by_family=by_family).collect()}
+    for k, text in rows:
+        kept = text.split("\n")[:5] if k < 50 else text.split("\n")
+        assert got[k].text == "\n".join(kept), k
+
+
 def test_long_line_of_few_unrelated_documents_goes(spark):
     rng = random.Random(16)
     passage, short = prose(rng, 60), prose(rng, 6)
