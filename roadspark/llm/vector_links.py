@@ -58,10 +58,10 @@ class MultiIndex:
         lengths = np.searchsorted(dv[order], rest, "right")
         return [(int(i), order[: lengths[i]]) for i in np.flatnonzero(lengths)]
 
-    def visits(self, du: np.ndarray, dv: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the search of each row visits the cell (i, j)."""
-        at = np.arange(len(du))
-        return dv[at, j] <= self.bound(du, dv) - du[at, i]
+    def visits(self, x: np.ndarray, bound: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the search of each row, which ends at its ``bound``, visits the cell (i, j); in line with ``runs``."""
+        du, dv = ((x[:, : self.half] - self.u[i]) ** 2).sum(-1), ((x[:, self.half :] - self.v[j]) ** 2).sum(-1)
+        return dv <= bound - du
 
     def traverse(self, du: np.ndarray, dv: np.ndarray) -> list[tuple[int, int]]:
         """The same cells of one search by multi-sequence traversal, nearest first."""
@@ -109,9 +109,9 @@ def _units(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def _cells(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
-    """Of each node its cell (i, j), and the cells that its search visits: for each first code the packed second codes."""
+    """Of each node its cell (i, j), where its search ends, and the cells that it visits: for each first code the packed second codes."""
     visited = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("run", T.BinaryType())])
-    fields = [("node", T.LongType()), ("n", T.LongType()), ("dim", T.IntegerType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("visits", T.ArrayType(visited)), ("unit", T.BinaryType())]
+    fields = [("node", T.LongType()), ("n", T.LongType()), ("dim", T.IntegerType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("bound", T.DoubleType()), ("visits", T.ArrayType(visited)), ("unit", T.BinaryType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,17 +121,17 @@ def _cells(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
                 x = _units(list(group["vector"]))
                 index = indexes.get(dim)
                 if index is None:
-                    i = j = np.zeros(len(x), int)
+                    i = j = bound = np.zeros(len(x), int)
                     runs = [[(0, np.zeros(1, int))]] * len(x)
                 else:
                     du, dv = index.distances(x)
-                    i, j = du.argmin(1), dv.argmin(1)
+                    i, j, bound = du.argmin(1), dv.argmin(1), index.bound(du, dv)
                     runs = [index.runs(a, b) for a, b in zip(du, dv, strict=True)]
                 offsets = np.cumsum([0] + [len(r) for r in runs]).astype("i4")
                 first = pa.array([a for r in runs for a, _ in r], pa.int32())
                 second = pa.array([b.astype("<u2").tobytes() for r in runs for _, b in r], pa.binary())
                 visits = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([first, second], names=["i", "run"]))
-                plain = [pa.array(c, t) for c, t in ((group["node"], pa.int64()), (group["n"], pa.int64()), ([dim] * len(x), pa.int32()), (i, pa.int32()), (j, pa.int32()))]
+                plain = [pa.array(c, t) for c, t in ((group["node"], pa.int64()), (group["n"], pa.int64()), ([dim] * len(x), pa.int32()), (i, pa.int32()), (j, pa.int32()), (bound, pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*plain, visits, pa.array([r.tobytes() for r in x], pa.binary())], names=[f.name for f in schema.fields])
 
     return map_batches(nodes, run, schema)
@@ -178,8 +178,7 @@ def _verify(indexes: dict[int, MultiIndex]):
         back = np.zeros(len(a), bool)
         if index is not None:
             # the search from the other side counts the pair for itself, unless it doesn't visit this cell
-            (xu, xv), (yu, yv) = index.distances(x), index.distances(y)
-            back = ~index.visits(yu[b], yv[b], xu.argmin(1)[a], xv.argmin(1)[a])
+            back = ~index.visits(y[b], block["b_bound"].to_numpy()[b], searches["own_i"].to_numpy()[a], searches["own_j"].to_numpy()[a])
         ids, where = np.unique(np.concatenate([xn[a], yn[b]]), return_inverse=True)
         p, q = where[: len(a)], where[len(a) :]
         links = np.bincount(p, yw[b], len(ids)) + np.bincount(q[back], xw[a[back]], len(ids))
@@ -220,8 +219,8 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     indexes = {dim: fit(_units(list(group)), round(len(group) / part)) for dim, group in sample.groupby(sample.map(len)) if dim > 1}
 
     placed = stored(_cells(nodes, indexes), "cells")
-    searches = placed.select("node", "n", "dim", F.explode("visits").alias("v"), "unit").select("node", "n", "dim", "v.i", "v.run", "unit")
-    indexed = placed.select("node", "n", "dim", "i", "j", "unit")
+    searches = placed.select("node", "n", "dim", "i", "j", F.explode("visits").alias("v"), "unit").select("node", "n", "dim", F.col("i").alias("own_i"), F.col("j").alias("own_j"), "v.i", "v.run", "unit")
+    indexed = placed.select("node", "n", "dim", "i", "j", "bound", "unit")
     block = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     sizes = indexed.groupBy("dim", "i").agg(F.count("*").alias("rows")).join(searches.groupBy("dim", "i").agg(F.count("*").alias("asks")), ["dim", "i"])
     sizes = stored(sizes.select("dim", "i", block("rows").alias("blocks"), block("asks").alias("parts")), "sizes")
@@ -230,8 +229,8 @@ def links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     ask = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    searches = searches.join(sizes, ["dim", "i"]).select("dim", "i", everywhere("blocks").alias("block"), ask.alias("part"), "node", "n", "run", "unit")
-    indexed = indexed.join(sizes, ["dim", "i"]).select("dim", "i", mine.alias("block"), everywhere("parts").alias("part"), "j", "node", "n", "unit")
+    searches = searches.join(sizes, ["dim", "i"]).select("dim", "i", everywhere("blocks").alias("block"), ask.alias("part"), "node", "n", "own_i", "own_j", "run", "unit")
+    indexed = indexed.join(sizes, ["dim", "i"]).select("dim", "i", mine.alias("block"), everywhere("parts").alias("part"), "j", "bound", "node", "n", "unit")
     indexed = indexed.toDF(*(f"b_{c}" for c in indexed.columns))
     group = ["dim", "i", "block", "part"]
     found = stored(searches.groupBy(*group).cogroup(indexed.groupBy(*(f"b_{c}" for c in group))).applyInPandas(_verify(indexes), "node long, links long, joined long"), "found")
