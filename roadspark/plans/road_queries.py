@@ -111,9 +111,16 @@ def c1_explode_parts(spark, d):
     return importing.explode_parts(f).select("source_id", "part")
 
 
-@query()
+@query("""SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 2 END + CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS n, p_partkey % 7 <> 0 OR p_partkey % 4 = 0 AS valid,
+CAST(CASE WHEN p_partkey % 4 = 0 THEN 9 WHEN p_partkey % 7 = 0 THEN 1 ELSE 5 END AS DOUBLE) AS last_x FROM part""")
 def c2_clean_points(spark, d):
-    return derive.osm_features(spark, d).select("osm_id", F.explode("parts").alias("p")).select("osm_id", F.size(importing.clean_points(F.col("p"))).alias("n"), importing.valid_line(importing.clean_points(F.col("p"))).alias("valid"))
+    """Lines with repeated, missing and infinite points; every seventh is one place."""
+    k, point = F.col("p_partkey"), lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "cast") else x.cast("double").alias("x"), F.lit(y).cast("double").alias("y"))
+    second = F.when(k % 7 == 0, 1.0).otherwise(5.0)
+    odd = F.when(k % 3 == 0, point(float("nan"), 2)).when(k % 3 == 1, point(None, 2)).otherwise(point(float("inf"), 2))
+    line = F.array(point(1, 2), odd, point(1 + 5e-9, 2), point(second, 2), point(second, 2), F.when(k % 4 == 0, point(9, 2)).otherwise(point(second, 2)))
+    kept = table(spark, d, "part").select(k.alias("k"), importing.clean_points(line).alias("p"))
+    return kept.select("k", F.size("p").alias("n"), importing.valid_line(F.col("p")).alias("valid"), F.element_at("p", -1)["x"].alias("last_x"))
 
 
 @query("SELECT p_partkey AS k, CASE p_partkey % 7 % 5 WHEN 1 THEN 'forward' WHEN 2 THEN 'reverse' ELSE 'both' END AS direction FROM part")
@@ -156,11 +163,6 @@ def c7_import_issues(spark, d):
 # D: topology
 
 
-@query()
-def d1_cumulative_length(spark, d):
-    return topology.cumulative_length(derive.roads(spark, d)).select("road", F.transform("stations", lambda s: F.round(s, 6)).alias("stations"))
-
-
 SEGMENTS = """corners AS (SELECT s_suppkey AS road, i, s_suppkey % 20 * 10 + dx AS x, s_suppkey // 20 * 10 + dy AS y FROM supplier, (VALUES (0, 0.0, 0.0), (1, 14.0, 4.0), (2, 25.0, -6.0)) p(i, dx, dy)),
 segs AS (SELECT a.road, a.i AS idx, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, CASE WHEN a.i = 0 THEN 0 ELSE sqrt(212) END AS start_s, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS length FROM corners a JOIN corners b ON a.road = b.road AND b.i = a.i + 1),
 pairs AS (SELECT i.road AS i_road, i.idx AS i_idx, j.road AS j_road, j.idx AS j_idx, i.ax AS iax, i.ay AS iay, i.bx AS ibx, i.by AS iby, j.ax AS jax, j.ay AS jay, j.bx AS jbx, j.by AS jby, i.start_s AS i0, i.length AS il, j.start_s AS j0, j.length AS jl
@@ -169,6 +171,12 @@ crossed AS (SELECT *, (ibx - iax) * (jby - jay) - (iby - iay) * (jbx - jax) AS c
 hits AS (SELECT *, ((jax - iax) * (jby - jay) - (jay - iay) * (jbx - jax)) / c AS t, ((jax - iax) * (iby - iay) - (jay - iay) * (ibx - iax)) / c AS u FROM crossed WHERE abs(c) > 1e-10)"""
 
 
+@query(f"WITH {SEGMENTS} SELECT road, 0 AS i, 0.0::DOUBLE AS station FROM supplier, (SELECT DISTINCT road FROM segs) WHERE road = s_suppkey UNION ALL SELECT road, CAST(idx + 1 AS INTEGER), round(start_s + length, 6) FROM segs")
+def d1_cumulative_length(spark, d):
+    rows = topology.cumulative_length(derive.roads(spark, d)).select("road", F.posexplode("stations").alias("i", "station"))
+    return rounded(rows, "station", digits=6)
+
+
 @query(f"WITH {SEGMENTS} SELECT road, CAST(idx AS INTEGER) AS idx, round(start_s, 6) AS start_s, round(length, 6) AS length FROM segs")
 def d2_segments(spark, d):
     return rounded(topology.segments(derive.roads(spark, d)).select("road", "idx", "start_s", "length"), "start_s", "length", digits=6)
@@ -205,22 +213,65 @@ def d6_pieces(spark, d):
     return topology.pieces(derive.roads(spark, d), split(spark, d)).select("road", F.col("piece").cast("long").alias("piece"), F.size("points").alias("n"))
 
 
-@query()
+def fnv_sql(text: str) -> str:
+    """FNV-1a of 64 bits over the ASCII characters of a text, as decimal text."""
+    return f"CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616) AS VARCHAR)"
+
+
+# the clusters of these roads are small: all points of one lie within the tolerance of its first
+SNAPPED = f"""{SPLITS}, spans AS (SELECT * FROM (SELECT road, s AS low, lead(s) OVER (PARTITION BY road ORDER BY s) AS high, row_number() OVER (PARTITION BY road ORDER BY s) - 1 AS piece FROM splits) WHERE high IS NOT NULL),
+tips AS (SELECT road, piece, 0 AS e, low AS s FROM spans UNION ALL SELECT road, piece, 1, high FROM spans),
+put AS (SELECT t.road, piece, e, ax + (bx - ax) * least(1, greatest(0, (s - start_s) / length)) AS x, ay + (g.by - ay) * least(1, greatest(0, (s - start_s) / length)) AS y FROM tips t JOIN segs g ON g.road = t.road AND g.idx = CASE WHEN s < sqrt(212) THEN 0 ELSE 1 END),
+snapped AS (SELECT a.road, a.piece, a.e, min({{'r': b.road, 'p': b.piece, 'e': b.e, 'x': b.x, 'y': b.y}}) AS f FROM put a JOIN put b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.25 GROUP BY a.road, a.piece, a.e),
+drawn AS (SELECT p.road, p.piece, a.f AS f, b.f AS t, CASE WHEN sqrt(212) > low + 1e-7 AND sqrt(212) < high - 1e-7 THEN sqrt((a.f.x - p.road % 20 * 10 - 14) ** 2 + (a.f.y - p.road // 20 * 10 - 4) ** 2) + sqrt((b.f.x - p.road % 20 * 10 - 14) ** 2 + (b.f.y - p.road // 20 * 10 - 4) ** 2)
+  ELSE sqrt((a.f.x - b.f.x) ** 2 + (a.f.y - b.f.y) ** 2) END AS length_m FROM spans p JOIN snapped a ON a.road = p.road AND a.piece = p.piece AND a.e = 0 JOIN snapped b ON b.road = p.road AND b.piece = p.piece AND b.e = 1),
+kept AS (SELECT * FROM drawn WHERE NOT (f.r = t.r AND f.p = t.p AND f.e = t.e) AND length_m > 1e-6),
+used AS (SELECT row_number() OVER (ORDER BY n.r, n.p, n.e) - 1 AS node, n FROM (SELECT f AS n FROM kept UNION SELECT t FROM kept)),
+directed AS (SELECT row_number() OVER (ORDER BY road, piece, rev) - 1 AS edge, *, 'r' || road || ':' || piece AS name FROM kept, (VALUES (0), (1)) w(rev) WHERE CASE road % 3 WHEN 0 THEN true WHEN 1 THEN rev = 0 ELSE rev = 1 END)"""
+
+
+@query(f"WITH {SNAPPED} SELECT road, CAST(piece AS INTEGER) AS piece, e AS end, round(f.x, 6) AS node_x, round(f.y, 6) AS node_y, f.r AS first_road, CAST(f.p AS INTEGER) AS first_piece, f.e AS first_end FROM snapped")
 def d7_snap_nodes(spark, d):
-    return topology.snap_nodes(topology.pieces(derive.roads(spark, d), split(spark, d)), 0.5)
+    return rounded(topology.snap_nodes(topology.pieces(derive.roads(spark, d), split(spark, d)), 0.5), "node_x", "node_y", digits=6)
 
 
-@query()
+def snapped_lines(spark, d):
+    """The grid's edges as pieces, with their ends moved to nodes a little beside, every fifth to one and the same."""
+    e = derive.lined_edges(spark, d).select("edge", "source_id", "points").withColumns({"road": F.col("edge"), "piece": F.lit(0)})
+    key, ends = F.col("road"), F.array(F.lit(0), F.lit(1))
+    at = e.select("road", "piece", "points", F.explode(ends).alias("end"))
+    one = (F.col("end") == 0) | (key % 5 == 0)
+    at = at.select("road", "piece", "end", *(F.when(one, F.col("points")[0][c]).otherwise(F.element_at("points", -1)[c]).alias(f"p{c}") for c in "xy"), key.alias("first_road"), F.lit(0).alias("first_piece"), F.when(one, 0).otherwise(1).alias("first_end"))
+    moved = at.withColumns({"node_x": F.col("px") + 0.25, "node_y": F.col("py")}).drop("px", "py")
+    return topology.snap_ends(e, moved)
+
+
+@query("SELECT edge, ax + 0.25 AS from_x, ay AS from_y, CASE WHEN edge % 5 = 0 THEN ax ELSE bx END + 0.25 AS to_x, CASE WHEN edge % 5 = 0 THEN ay ELSE yb END AS to_y, CAST(CASE WHEN edge % 5 = 0 THEN 0 ELSE 100 END AS DOUBLE) AS length_m FROM lined")
+def d9_snap_ends(spark, d):
+    return snapped_lines(spark, d).select("edge", F.col("points")[0]["x"].alias("from_x"), F.col("points")[0]["y"].alias("from_y"), F.element_at("points", -1)["x"].alias("to_x"), F.element_at("points", -1)["y"].alias("to_y"), "length_m")
+
+
+@query("SELECT source_id, CASE WHEN edge % 5 = 0 THEN 'SNAP_COLLAPSED_EDGE' ELSE 'kept' END AS code, count(*) AS n FROM lined WHERE edge % 5 = 0 OR edge % 7 <> 0 GROUP BY 1, 2")
+def d8_collapse_filter(spark, d):
+    """Every seventh line is too short to stay."""
+    rows = snapped_lines(spark, d).withColumn("length_m", F.when(F.col("edge") % 7 == 0, 1e-7).otherwise(F.col("length_m")))
+    kept, issues = topology.collapse_filter(rows)
+    both = kept.select("source_id", F.lit("kept").alias("code")).unionByName(issues.select("source_id", "code"))
+    return both.groupBy("source_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SNAPPED} SELECT edge, {fnv_sql("'edge:' || name || CASE rev WHEN 0 THEN ':f' ELSE ':r' END")} AS edge_id, {fnv_sql("'road:' || name")} AS road_id, CASE rev WHEN 0 THEN a.node ELSE b.node END AS from_node, CASE rev WHEN 0 THEN b.node ELSE a.node END AS to_node, round(length_m, 6) AS length_m, 'r' || road AS source_id
+FROM directed JOIN used a ON a.n = f JOIN used b ON b.n = t""")
 def d13_build_edges(spark, d):
     """Steps D1 to D13; D8 to D11 are inside."""
     _, edges, _ = topology.build(derive.roads(spark, d), 0.5, 20.0)
-    return edges.select("edge", "edge_id", "road_id", "from_node", "to_node", "length_m", "source_id")
+    return rounded(edges.select("edge", "edge_id", "road_id", "from_node", "to_node", "length_m", "source_id"), "length_m", digits=6)
 
 
-@query()
+@query(f"""WITH {SNAPPED} SELECT node, {fnv_sql("'node:' || CAST(round(n.x * 1000) AS BIGINT) || ':' || CAST(round(n.y * 1000) AS BIGINT)")} AS node_id, round(n.x, 6) AS x, round(n.y, 6) AS y FROM used""")
 def d11_build_nodes(spark, d):
     nodes, _, _ = topology.build(derive.roads(spark, d), 0.5, 20.0)
-    return nodes
+    return rounded(nodes, "x", "y", digits=6)
 
 
 @query("SELECT edge, from_node, to_node, road_id FROM edges")
@@ -228,7 +279,7 @@ def d10_directed_edges(spark, d):
     return derive.edges(spark, d).select("edge", "from_node", "to_node", "road_id")
 
 
-@query()
+@query(f"""SELECT c_custkey, {fnv_sql("'road:' || c_name")} AS id FROM customer""")
 def d12_stable_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", fnv1a64(F.concat(F.lit("road:"), "c_name")).alias("id"))
 
@@ -301,7 +352,7 @@ def e5_merge(spark, d):
 def e6_via_sequences(spark, d):
     e = derive.lined_edges(spark, d)
     name = lambda k: F.concat(F.lit("w"), (F.floor(F.col("road_id") / 8) + k).cast("string"))
-    r = e.where("edge % 16 = 0").select(F.col("edge").alias("rule"), F.col("edge").alias("from_edge"), F.array(name(0), name(1)).alias("names"), F.lit(False).alias("only"))
+    r = e.select(F.col("edge").alias("rule"), F.col("edge").alias("from_edge"), F.array(name(0), name(1)).alias("names"), F.lit(False).alias("only"))
     return turns.via_sequences(r, e)[0]
 
 
@@ -340,9 +391,10 @@ def via_rules(spark, d):
     return turns.order_via_ways(parsed.where(F.size("via_ways") > 0), ways), parsed
 
 
-@query()
+@query("""SELECT id, CASE WHEN n = 4 THEN (id + 1) || ',' || (id + 2) END AS ordered, CASE WHEN n = 4 THEN (id + 1) * 10 END AS entry_node FROM (SELECT o.o_orderkey AS id, count(w.o_orderkey) AS n FROM orders o LEFT JOIN orders w ON w.o_orderkey BETWEEN o.o_orderkey AND o.o_orderkey + 3
+WHERE o.o_orderkey % 10 <> 0 AND o.o_orderkey % 3 <> 2 AND o.o_orderkey % 7 <> 0 AND o.o_orderkey % 11 <> 0 AND o.o_orderkey % 4 = 0 GROUP BY o.o_orderkey)""")
 def e9_order_via_ways(spark, d):
-    return via_rules(spark, d)[0].select("id", "ordered", "entry_node")
+    return via_rules(spark, d)[0].select("id", F.array_join(F.col("ordered").cast("array<string>"), ",").alias("ordered"), "entry_node")
 
 
 @query("SELECT o_orderkey AS id, o_orderkey || ',' || printf('%.7f', o_orderkey % 360 - 180.0) || ',10.0000000,' || (o_orderkey + 3) || ',' || CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'only' END AS line FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 3 <> 2 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 <> 0")
@@ -387,9 +439,11 @@ def e14_check_turns(spark, d):
     return quality.check_turns(bad, derive.edges(spark, d)).select("code", "subject")
 
 
-@query()
+@query("""WITH steps AS (SELECT route_id, pos, e.edge IS NOT NULL AND (pos = 0 OR coalesce(e.from_node = lag(e.to_node) OVER (PARTITION BY route_id ORDER BY pos), false)) AS ok FROM routes r LEFT JOIN edges e ON e.edge = r.edge)
+SELECT 'INVALID_TURN_SEQUENCE' AS code, 'error' AS severity, CAST(route_id AS VARCHAR) AS subject FROM steps GROUP BY route_id HAVING NOT bool_and(ok) OR count(*) NOT BETWEEN 3 AND 256
+UNION ALL SELECT 'TURN_SEQUENCE_BUDGET', 'fatal', 'all' FROM steps HAVING count(*) > 99999""")
 def e14_check_sequences(spark, d):
-    r = derive.routes(spark, d).groupBy(F.col("route_id").alias("seq_id")).agg(F.collect_list("edge").alias("edges"))
+    r = derive.routes(spark, d).groupBy(F.col("route_id").alias("seq_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "edge"))), lambda s: s["edge"]).alias("edges"))
     return quality.check_sequences(r, derive.edges(spark, d)).select("code", "severity", "subject")
 
 
@@ -418,12 +472,19 @@ def whole_report(spark, d):
     return quality.report(nodes, edges, parts, issues), quality.global_checks(nodes, edges, parts, None)
 
 
-@query()
+PARTED = """WITH cut AS (SELECT * FROM edges WHERE NOT (road_id % 4 = 2 AND road_id // 4 // 10 % 4 = 3)),
+reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, c.to_node FROM reach r JOIN cut c ON c.from_node = r.other),
+parted AS (SELECT part, count(*) AS n FROM (SELECT node, min(other) AS part FROM reach GROUP BY node) GROUP BY part)"""
+
+
+@query(f"{PARTED} SELECT 'MISSING_RUNTIME_CRS' AS code, 'error' AS severity UNION ALL SELECT 'DISCONNECTED_NETWORK', 'warning' FROM parted HAVING count(*) > 1")
 def e16_global_checks(spark, d):
     return whole_report(spark, d)[1].select("code", "severity")
 
 
-@query()
+@query(f"""{PARTED}, ends AS (SELECT from_node AS node, 0 AS i, 1 AS o, road_id FROM cut UNION ALL SELECT to_node, 1, 0, road_id FROM cut), degrees AS (SELECT node, coalesce(sum(i), 0) AS i, coalesce(sum(o), 0) AS o, count(DISTINCT road_id) AS roads FROM nodes LEFT JOIN ends USING (node) GROUP BY node),
+found AS (SELECT count(*) FILTER (i + o > 0 AND roads = 1) AS info, count(*) FILTER (i + o = 0) + count(*) FILTER (i = 0 AND o > 0) + count(*) FILTER (o = 0 AND i > 0) AS odd FROM degrees)
+SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM cut) AS edges, (SELECT count(*) FROM parted) AS components, (SELECT max(n) FROM parted) AS largest, info, odd + CAST((SELECT count(*) FROM parted) > 1 AS INTEGER) AS warning, CAST(1 AS BIGINT) AS error, CAST(0 AS BIGINT) AS fatal, false AS has_fatal FROM found""")
 def e17_report(spark, d):
     return whole_report(spark, d)[0]
 
@@ -468,10 +529,12 @@ def f4_pose(spark, d):
     return rounded(spatial.pose(e).select("edge", "pose.x", "pose.y"), "x", "y", digits=6)
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey AS k, p_partkey % 100 * 0.001 AS lon, p_partkey // 200 * 0.001 AS lat, p_partkey % 17 = 0 AS empty FROM part),
+g AS (SELECT *, 2 * 6371008.8 * asin(sqrt(cos(radians(lat)) ** 2 * sin(radians(0.0005) / 2) ** 2)) AS first_m, 2 * 6371008.8 * asin(sqrt(cos(radians(lat)) ** 2 * sin(radians(0.0005 + 0.0000001 * (k % 2)) / 2) ** 2)) AS last_m FROM f)
+SELECT CAST(k AS VARCHAR) AS source_id, CASE WHEN empty THEN NULL WHEN k % 2 = 0 THEN round(lon + 0.001 - 0.0005 * 20 / last_m, 9) ELSE round(lon + 0.0005 * 20 / first_m, 9) END AS x, CASE WHEN NOT empty THEN round(CAST(lat AS DOUBLE), 9) END AS y FROM g""")
 def f5_locate_lonlat(spark, d):
-    f = lonlat(spark, d).where(F.size("points") > 1).withColumns({"offset_m": F.lit(20.0), "reversed": F.col("source_id").cast("long") % 2 == 0})
-    return spatial.locate_lonlat(f).select("source_id", "place.x", "place.y")
+    f = lonlat(spark, d).withColumns({"offset_m": F.lit(20.0), "reversed": F.col("source_id").cast("long") % 2 == 0})
+    return rounded(spatial.locate_lonlat(f).select("source_id", "place.x", "place.y"), "x", "y", digits=9)
 
 
 @query("SELECT edge, 2 AS n, round(ax + (bx - ax) * 0.1, 6) AS x, round(ay + (yb - ay) * 0.1, 6) AS y FROM lined")
@@ -480,10 +543,16 @@ def f6_slice(spark, d):
     return rounded(derive.lined_edges(spark, d).select("edge", line.alias("line")).select("edge", F.size("line").alias("n"), F.col("line")[0]["x"].alias("x"), F.col("line")[0]["y"].alias("y")), "x", "y", digits=6)
 
 
-@query()
+@query("""WITH segs AS (SELECT edge, length_m, speed_limit_mps, ax, ay, bx - ax AS dx, yb - ay AS dy FROM lined WHERE edge IN (SELECT edge FROM kpis)),
+along AS (SELECT point_id, s.*, x AS px, y AS py, least(1, greatest(0, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) AS t FROM points, segs s),
+near AS (SELECT *, sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2) AS lateral_m FROM along), ranked AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY round(lateral_m, 9), edge) AS rank FROM near WHERE lateral_m <= 200),
+fast AS (SELECT r.*, entries, CASE WHEN mean_speed > 0.01 THEN mean_speed ELSE greatest(0.5, speed_limit_mps * (1 - entries / 100)) END AS speed_mps FROM ranked r JOIN kpis USING (edge) WHERE rank <= 64)
+SELECT point_id, edge, round(lateral_m, 6) AS lateral_m, entries AS vehicles, round(entries / 100, 6) AS occupancy_ratio, round(speed_mps, 6) AS speed_mps, round(length_m / speed_mps, 5) AS travel_s FROM fast""")
 def f7_nearby_hot_edges(spark, d):
     kpis = trips.edge_kpis(visits(spark, d)).select("edge", F.col("entries").alias("vehicles"), F.lit(100).alias("effective"), F.when(F.col("mean_speed") > 0.01, F.col("mean_speed")).alias("mean_speed"))
-    return spatial.nearby_hot_edges(derive.points(spark, d), derive.lined_edges(spark, d), kpis, 200.0)
+    rows = spatial.nearby_hot_edges(derive.points(spark, d), derive.lined_edges(spark, d), kpis, 200.0)
+    rows = rounded(rows.select("point_id", "edge", "lateral_m", "vehicles", "occupancy_ratio", "speed_mps", "travel_s"), "lateral_m", "occupancy_ratio", "speed_mps", digits=6)
+    return rounded(rows, "travel_s", digits=5)
 
 
 @query("SELECT min(least(ax, bx)) AS west, min(least(ay, yb)) AS south, max(greatest(ax, bx)) AS east, max(greatest(ay, yb)) AS north FROM lined")
@@ -499,13 +568,13 @@ def costs(spark, d):
 
 
 def od(spark, d):
-    """A pair for every tenth node, from its lowest edge to that of the node at the other end of the table."""
+    """A pair for every node, from its lowest edge to that of the node at the other end of the table."""
     e = derive.edges(spark, d)
     first = e.groupBy(F.col("from_node").alias("node")).agg(F.min("edge").alias("edge"))
     top = first.agg(F.max("node").alias("top"), F.min("node").alias("low"))
-    a = first.where("node % 10 = 3").crossJoin(top)
+    a = first.crossJoin(F.broadcast(top))
     b = first.select(F.col("node").alias("other"), F.col("edge").alias("to_edge"))
-    return a.withColumn("other", F.col("top") + F.col("low") - F.col("node")).join(b, "other").select(F.col("node").alias("od_id"), F.col("edge").alias("from_edge"), F.lit(30.0).alias("from_offset"), "to_edge", F.lit(60.0).alias("to_offset"), (F.col("node") % 20 == 3).alias("exact"))
+    return a.withColumn("other", F.col("top") + F.col("low") - F.col("node")).join(b, "other").select(F.col("node").alias("od_id"), F.col("edge").alias("from_edge"), F.lit(30.0).alias("from_offset"), "to_edge", F.lit(60.0).alias("to_offset"), (F.col("node") % 2 == 1).alias("exact"))
 
 
 def node_od(spark, d):
@@ -527,7 +596,7 @@ UNION SELECT d.od_id, e.{b}, min(d.cost + e.cost) FROM {name} d JOIN costs e ON
 
 
 OD = """heads AS (SELECT from_node AS node, min(edge) AS edge FROM edges GROUP BY from_node), span AS (SELECT max(node) AS top, min(node) AS low FROM heads),
-od AS (SELECT a.node AS od_id, a.edge AS from_edge, b.edge AS to_edge, a.node % 20 = 3 AS exact FROM heads a, span, heads b WHERE a.node % 10 = 3 AND b.node = top + low - a.node),
+od AS (SELECT a.node AS od_id, a.edge AS from_edge, b.edge AS to_edge, a.node % 2 = 1 AS exact FROM heads a, span, heads b WHERE b.node = top + low - a.node),
 starts AS (SELECT od_id, c.edge, c.to_node AS node, off AS offset_m, c.cost * (100 - off) / 100 AS extra, 100 - off AS length_m FROM (SELECT od_id, from_edge AS edge, 30.0 AS off FROM od UNION ALL SELECT od_id, CASE WHEN from_edge % 2 = 0 THEN from_edge + 1 ELSE from_edge - 1 END, 70.0 FROM od WHERE NOT exact) s JOIN costs c USING (edge)),
 goals AS (SELECT od_id, c.edge, c.from_node AS node, off AS offset_m, c.cost * off / 100 AS extra, off AS length_m FROM (SELECT od_id, to_edge AS edge, 60.0 AS off FROM od UNION ALL SELECT od_id, CASE WHEN to_edge % 2 = 0 THEN to_edge + 1 ELSE to_edge - 1 END, 40.0 FROM od WHERE NOT exact) s JOIN costs c USING (edge))"""
 
@@ -545,19 +614,19 @@ def g2_endpoints(spark, d):
     return rounded(starts.withColumn("side", F.lit("start")).unionByName(goals.withColumn("side", F.lit("goal"))), "extra")
 
 
-@query(f"WITH {COSTS}, {OD} SELECT od_id, from_edge AS edge, round(cost * 0.3, 6) AS cost, CAST(30 AS DOUBLE) AS length_m FROM od JOIN costs ON edge = from_edge WHERE exact")
+@query(f"WITH {COSTS}, {OD} SELECT od_id, from_edge AS edge, round(cost * 0.3, 6) AS cost, CAST(30 AS DOUBLE) AS length_m FROM od JOIN costs ON edge = from_edge")
 def g3_direct_option(spark, d):
-    pairs = od(spark, d).withColumn("to_edge", F.col("from_edge")).where("exact")
+    pairs = od(spark, d).withColumns({"to_edge": F.col("from_edge"), "exact": F.lit(True)})
     starts, goals = routing.endpoints(pairs, costs(spark, d))
     return rounded(routing.direct_option(starts, goals, costs(spark, d)).select("od_id", "edge", "cost", "length_m"), "cost")
 
 
 def all_costs(spark, d):
-    starts = derive.nodes(spark, d).where("node % 10 = 3").select(F.col("node").alias("od_id"), F.lit(-1).cast("long").alias("edge"), "node", F.lit(0.0).alias("extra"))
+    starts = derive.nodes(spark, d).select(F.col("node").alias("od_id"), F.lit(-1).cast("long").alias("edge"), "node", F.lit(0.0).alias("extra"))
     return routing.sssp_nodes(starts, starts.select("od_id", "edge", F.lit(-1).cast("long").alias("node"), "extra").where("false"), costs(spark, d))
 
 
-@query(f"WITH {COSTS}, {spread_sql('dist', 'SELECT node, node, CAST(0 AS DOUBLE) FROM nodes WHERE node % 10 = 3')} SELECT od_id, node, round(cost, 6) AS cost FROM dist")
+@query(f"WITH {COSTS}, {spread_sql('dist', 'SELECT node, node, CAST(0 AS DOUBLE) FROM nodes')} SELECT od_id, node, round(cost, 6) AS cost FROM dist")
 def g4_sssp_nodes(spark, d):
     return rounded(all_costs(spark, d).select("od_id", "node", "cost"), "cost", digits=6)
 
@@ -583,7 +652,7 @@ def sequences(spark, d):
 
 @query()
 def g6_sssp_sequences(spark, d):
-    starts, goals = routing.endpoints(od(spark, d).where("exact"), costs(spark, d))
+    starts, goals = routing.endpoints(od(spark, d), costs(spark, d))
     states = routing.sssp_sequences(starts, goals, costs(spark, d), derive.turns(spark, d), sequences(spark, d))
     pairs = routing.pair_table(costs(spark, d), derive.turns(spark, d))
     return routing.finish_sequences(states, goals, pairs, sequences(spark, d))
@@ -622,11 +691,11 @@ def g10_landmark_tables(spark, d):
     return rounded(routing.landmark_tables(costs(spark, d), 2), "away", "back", digits=6)
 
 
-@query(f"""WITH {COSTS}, {LANDMARKS}, pairs AS (SELECT node AS f, node + 1 AS t FROM nodes WHERE node % 10 = 3 AND node + 1 IN (SELECT node FROM nodes))
+@query(f"""WITH {COSTS}, {LANDMARKS}, pairs AS (SELECT node AS f, node + 1 AS t FROM nodes WHERE node + 1 IN (SELECT node FROM nodes))
 SELECT f AS from_node, t AS to_node, round(max(greatest(0, x.cost - w.cost, y.cost - z.cost)), 6) AS bound FROM pairs JOIN away w ON w.node = f JOIN away x ON x.node = t AND x.od_id = w.od_id JOIN back y ON y.node = f AND y.od_id = w.od_id JOIN back z ON z.node = t AND z.od_id = w.od_id GROUP BY f, t""")
 def g11_lower_bound(spark, d):
     n = derive.nodes(spark, d)
-    pairs = n.where("node % 10 = 3").select(F.col("node").alias("from_node"), (F.col("node") + 1).alias("to_node"))
+    pairs = n.select(F.col("node").alias("from_node"), (F.col("node") + 1).alias("to_node"))
     pairs = pairs.join(n.select(F.col("node").alias("to_node")), "to_node", "left_semi")
     return rounded(routing.lower_bound(pairs, routing.landmark_tables(costs(spark, d), 2)), "bound", digits=6)
 
@@ -641,10 +710,16 @@ def g12_speed_profile(spark, d):
     return rounded(rows, "total")
 
 
-@query()
+# from each change that counts to the next: what can be driven there, and where the end falls
+@query("""WITH marks AS (SELECT target_id AS edge, greatest(0, ceil((t - 1e-9) / 60) * 60) AS t, seq, value AS factor FROM controls WHERE scope = 'edge' AND action = 'speed_factor' AND value BETWEEN 0.05 AND 3),
+parts AS (SELECT edge, CAST(100000 AS DOUBLE) AS t, coalesce((SELECT max_by(factor, {'t': m.t, 's': m.seq}) FROM marks m WHERE m.edge = e.edge AND m.t <= 100000), 1.0) AS factor, 0 AS seq FROM edges e WHERE edge IN (SELECT edge FROM marks)
+  UNION ALL SELECT edge, max(t), max_by(factor, seq), max(seq) FROM marks WHERE t > 100000 AND edge IN (SELECT edge FROM edges) GROUP BY edge, t),
+drawn AS (SELECT p.edge, p.t, speed_limit_mps * factor AS v, length_m, (lead(p.t) OVER w - p.t) * speed_limit_mps * factor AS can FROM parts p JOIN edges e ON e.edge = p.edge WINDOW w AS (PARTITION BY p.edge ORDER BY p.t)),
+summed AS (SELECT *, coalesce(sum(can) OVER (PARTITION BY edge ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM drawn)
+SELECT edge, round(min_by(t - 100000 + (length_m - done) / v, t), 6) AS seconds FROM summed WHERE can IS NULL OR done + can >= length_m GROUP BY edge""")
 def g13_timed_duration(spark, d):
     e = derive.edges(spark, d).join(profile(spark, d), "edge")
-    return e.select("edge", routing.timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.lit(100000.0)).alias("seconds"))
+    return rounded(e.select("edge", routing.timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.lit(100000.0)).alias("seconds")), "seconds", digits=6)
 
 
 @query()
@@ -669,14 +744,25 @@ def g16_remaining_eta(spark, d):
     return rounded(routing.remaining_eta(progress, derive.routes(spark, d), c, routing.pair_table(c, derive.turns(spark, d))), "eta_s", digits=6)
 
 
-@query()
+SEQUENCES = """seqs AS (SELECT a.edge AS a, b.edge AS b, c.edge AS c, a.edge % 24 = 0 AS must FROM edges a JOIN edges b ON a.to_node = b.from_node JOIN edges c ON b.to_node = c.from_node WHERE a.edge % 12 = 0 AND b.edge % 4 = 0 AND c.edge % 4 = 2),
+states AS (SELECT a::VARCHAR AS prefix, CAST(NULL AS BIGINT) AS last_of, CAST(NULL AS BIGINT) AS forbidden, CAST(NULL AS BIGINT) AS required, a AS tip FROM seqs UNION ALL SELECT a || ',' || b, b, CASE WHEN NOT must THEN c END, CASE WHEN must THEN c END, b FROM seqs)"""
+
+
+@query(f"""WITH {SEQUENCES}, own AS (SELECT prefix, any_value(last_of) AS tail, list(forbidden) FILTER (forbidden IS NOT NULL) AS f, list(required) FILTER (required IS NOT NULL) AS q FROM states GROUP BY prefix)
+SELECT o.prefix, t.prefix AS fail, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(o.f, []), coalesce(t.f, [])))), ','), '') AS forbidden, nullif(array_to_string(list_sort(list_distinct(list_concat(coalesce(o.q, []), coalesce(t.q, [])))), ','), '') AS required
+FROM own o LEFT JOIN own t ON t.prefix = CAST(o.tail AS VARCHAR)""")
 def g17_prefix_states(spark, d):
-    return routing.prefix_states(sequences(spark, d))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    states = routing.prefix_states(sequences(spark, d)).withColumns({c: F.array_sort(c) for c in ("forbidden", "required")})
+    return states.select(*(text(c) for c in ("prefix", "fail", "forbidden", "required")))
 
 
-@query()
+@query(f"""WITH {COSTS}, {OD}, {spread_sql('dist', 'SELECT node, node, CAST(0 AS DOUBLE) FROM nodes')}, told AS (SELECT od_id, node, round(cost, 6) AS g FROM dist), ends AS (SELECT o.od_id, min({{'g': g, 'n': t.node}}) AS e FROM od o JOIN edges x ON x.edge = o.to_edge JOIN told t ON t.od_id = o.od_id AND t.node = x.from_node GROUP BY o.od_id)
+SELECT od_id, row_number() OVER (PARTITION BY od_id ORDER BY g, node) - 1 AS ord, node, g, g AS f FROM told LEFT JOIN ends USING (od_id) WHERE e IS NULL OR {{'g': g, 'n': node}} <= e""")
 def g18_settle_trace(spark, d):
-    return routing.settle_trace(all_costs(spark, d), node_od(spark, d)[1])
+    # equal costs over different ways differ in their last digits
+    settled = rounded(all_costs(spark, d).select("od_id", "node", "cost"), "cost", digits=6)
+    return routing.settle_trace(settled, node_od(spark, d)[1])
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS od_id, min(l_orderkey * 10 + l_linenumber) OVER (PARTITION BY l_partkey, l_suppkey) AS plan_id FROM lineitem")

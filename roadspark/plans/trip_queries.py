@@ -82,12 +82,20 @@ def i5_interpolate(spark, d):
     return rounded(trips.interpolate(derive.samples(spark, d), asks(spark, d), ["offset_m"]), "t", "offset_m")
 
 
-@query()
+@query("""WITH spans AS (SELECT v.*, mid / 8 AS step, least(coalesce(arrive_t, mid * 2), mid * 2) AS until FROM vehicles v, midway WHERE depart_t IS NOT NULL),
+ticks AS (SELECT vehicle_id, step, unnest(range(CAST(ceil(depart_t / step) AS BIGINT), CAST(floor(until / step) AS BIGINT) + 1)) AS k FROM spans WHERE ceil(depart_t / step) <= floor(until / step)),
+asked AS (SELECT vehicle_id, k * step AS t FROM ticks),
+around AS (SELECT vehicle_id, t,
+  (SELECT max_by({'t': s.t, 'o': s.offset_m, 'e': s.edge}, {'t': s.t, 'q': s.seq}) FROM samples s WHERE s.vehicle_id = asked.vehicle_id AND s.t <= asked.t) AS a,
+  (SELECT min_by({'t': s.t, 'o': s.offset_m, 'e': s.edge}, {'t': s.t, 'q': s.seq}) FROM samples s WHERE s.vehicle_id = asked.vehicle_id AND s.t > asked.t) AS b FROM asked),
+held AS (SELECT target_id AS vehicle_id, coalesce(max_by(action = 'hold', {'t': t, 'q': seq}) FILTER (action IN ('hold', 'release')), false) AS held FROM controls, midway WHERE scope = 'vehicle' AND t <= mid GROUP BY target_id)
+SELECT vehicle_id, round(t, 6) AS t, round(CASE WHEN a IS NULL THEN b.o WHEN b IS NULL THEN a.o ELSE a.o + (b.o - a.o) * (t - a.t) / (b.t - a.t) END, 6) AS offset_m, coalesce(held, false) AS held, 1.0::DOUBLE AS speed_factor FROM around LEFT JOIN held USING (vehicle_id)""")
 def i6_frames(spark, d):
     half = midway(spark, d)
     shown = trips.frames(derive.samples(spark, d), derive.vehicles(spark, d), half / 8, half * 2, ["offset_m"])
     state = ctl.vehicle_state_at(derive.controls(spark, d), half)
-    return shown.join(state, "vehicle_id", "left").fillna({"held": False, "speed_factor": 1.0})
+    shown = shown.join(state, "vehicle_id", "left").fillna({"held": False, "speed_factor": 1.0})
+    return rounded(shown.select("vehicle_id", "t", "offset_m", "held", "speed_factor"), "t", "offset_m")
 
 
 @query("SELECT vehicle_id, round(s.t, 6) AS t, s.seq AS seq, s.edge AS edge, s.offset_m AS offset_m FROM (SELECT vehicle_id, min_by({'t': t, 'seq': seq, 'edge': edge, 'offset_m': offset_m}, {'t': t, 'seq': seq}) AS s FROM samples GROUP BY vehicle_id, floor(t / 3600))")
@@ -115,9 +123,13 @@ def offers(spark, d):
     return s.select("vehicle_id", "t", (F.col("seq") % 17 == 0).alias("blocked"), (F.col("seq") % 3 == 0).alias("same_path"), F.col("offset_m").alias("new_s"), (F.col("edge") + 20.0).alias("remaining_s"))
 
 
-@query()
+@query("""WITH offers AS (SELECT vehicle_id, t, seq % 17 = 0 AS blocked, seq % 3 <> 0 AND offset_m + 30 + 1e-9 < edge + 20 AS gain, row_number() OVER (PARTITION BY vehicle_id ORDER BY t, seq % 17 = 0, seq % 3 = 0, offset_m, edge) AS n FROM samples),
+fold(vehicle_id, n, last, t, accepted, reason) AS (SELECT DISTINCT vehicle_id, CAST(0 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), false, '' FROM offers
+UNION ALL SELECT o.vehicle_id, o.n, CASE WHEN blocked OR (gain AND (last IS NULL OR o.t - last >= 7200)) THEN o.t ELSE last END, o.t, blocked OR (gain AND (last IS NULL OR o.t - last >= 7200)),
+  CASE WHEN blocked THEN 'blocked' WHEN gain AND (last IS NULL OR o.t - last >= 7200) THEN 'gain' WHEN gain THEN 'cooldown' ELSE 'no_gain' END FROM fold f JOIN offers o ON o.vehicle_id = f.vehicle_id AND o.n = f.n + 1)
+SELECT vehicle_id, round(t, 6) AS t, accepted, reason FROM fold WHERE n > 0""")
 def i10_reroute_benefit(spark, d):
-    return trips.reroute_benefit(offers(spark, d), 30.0, 7200.0)
+    return rounded(trips.reroute_benefit(offers(spark, d), 30.0, 7200.0), "t")
 
 
 @query("SELECT user_id AS vehicle_id, count(*) AS attempts, count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ROLLUP (user_id)")
@@ -215,10 +227,17 @@ def h9_exit_headway(spark, d):
     return rounded(factors(spark, d).select("edge", "headway_s"), "headway_s", digits=6)
 
 
-@query()
+PUBLISHED = """WITH costs AS (SELECT target_id AS edge, t, seq, 1 / value AS factor, seq % 5 = 0 AS explicit, row_number() OVER (PARTITION BY target_id ORDER BY t, seq) AS n FROM controls WHERE action = 'speed_factor'),
+fold(edge, n, last, old, yes, t, new) AS (SELECT DISTINCT edge, CAST(0 AS BIGINT), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), false, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM costs
+UNION ALL SELECT c.edge, c.n, CASE WHEN p THEN factor ELSE last END, last, p, t, factor FROM (SELECT c.*, last, CASE WHEN explicit THEN abs(factor - last) > 1e-9 ELSE greatest(factor / last, last / factor) >= 1.25 END AS p FROM (SELECT edge, n, last FROM fold) f JOIN costs c ON c.edge = f.edge AND c.n = f.n + 1) c)
+SELECT edge, round(t, 6) AS t, round(old, 6) AS old, round(new, 6) AS new, new < old AS improved FROM fold WHERE yes"""
+
+
+@query(PUBLISHED)
 def h10_published_cost_changes(spark, d):
     c = derive.controls(spark, d).where("action = 'speed_factor'")
-    return ctl.published_cost_changes(c.select(F.col("target_id").alias("edge"), "t", "seq", (1 / F.col("value")).alias("factor"), (F.col("seq") % 5 == 0).alias("explicit")))
+    rows = ctl.published_cost_changes(c.select(F.col("target_id").alias("edge"), "t", "seq", (1 / F.col("value")).alias("factor"), (F.col("seq") % 5 == 0).alias("explicit")))
+    return rounded(rounded(rows, "t"), "old", "new", digits=6)
 
 
 def signals(spark, d):
