@@ -13,9 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where none is set."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary one serves a session on one machine; on a cluster that raises.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="roadspark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,27 +115,22 @@ def exit_headway(occupancy: Column, effective: Column, free: float = 1.4, jam: f
 PUBLISH_RATIO, LEAST_CHANGE = 1.25, 1e-9
 
 
-def publishes(old: Column, new: Column, explicit: Column) -> Column:
-    ratio = F.greatest(new / old, old / new)
-    return F.when(explicit, F.abs(new - old) > LEAST_CHANGE).otherwise(ratio >= PUBLISH_RATIO)
-
-
 def published_cost_changes(costs: DataFrame) -> DataFrame:
     """(edge, t, old, new, improved): the changes that are published, against the last published value (1 at first).
 
-    ``costs`` has (edge, t, seq, factor, explicit).
+    ``costs`` has (edge, t, seq, factor, explicit).  A state machine by edge, whose rows are folded in one pass.
     """
-    kind = "array<struct<t:double,old:double,new:double,improved:boolean>>"
-    listed = costs.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "factor", "explicit"))).alias("c"))
 
-    def step(acc: Column, c: Column) -> Column:
-        yes = publishes(acc["last"], c["factor"], c["explicit"])
-        row = F.struct(c["t"].alias("t"), acc["last"].alias("old"), c["factor"].alias("new"), (c["factor"] < acc["last"]).alias("improved"))
-        return F.struct(F.when(yes, c["factor"]).otherwise(acc["last"]).alias("last"), F.when(yes, F.concat(acc["rows"], F.array(row))).otherwise(acc["rows"]).cast(kind).alias("rows"))
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        last, out = 1.0, []
+        group = group.sort_values(["t", "seq"])
+        for t, new, explicit in zip(group["t"], group["factor"], group["explicit"], strict=True):
+            if abs(new - last) > LEAST_CHANGE if explicit else max(new / last, last / new) >= PUBLISH_RATIO:
+                out.append((group["edge"].iloc[0], t, last, new, new < last))
+                last = new
+        return pd.DataFrame(out, columns=["edge", "t", "old", "new", "improved"])
 
-    start = F.struct(F.lit(1.0).alias("last"), F.array().cast(kind).alias("rows"))
-    folded = F.aggregate("c", start, step, lambda acc: acc["rows"])
-    return listed.select("edge", F.explode(folded).alias("r")).select("edge", "r.*")
+    return costs.groupBy("edge").applyInPandas(run, "edge long, t double, old double, new double, improved boolean")
 
 
 def signal_phases(signals: DataFrame) -> DataFrame:

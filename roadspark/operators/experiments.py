@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspark.operators.topology import numbered
+
 # Metrics over successful runs only, and over all runs.
 OF_SUCCESS = ("travel_time_s", "route_length_m", "congestion_exposure_s")
 ALGORITHMS = ("dijkstra", "astar", "bidirectional_dijkstra", "bidirectional_astar", "alt", "ch", "time_dependent", "lpa_star", "d_star_lite")
@@ -29,23 +31,30 @@ def matrix(manifests: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "name", "scenario_id", "strategy_id", "repetition").alias("run_id"), "*")
 
 
+#: Fixed value: a prime above any number of edges; steps of it modulo a smaller number meet every remainder once.
+STRIDE = 2_147_483_647
+
+
 def random_events(spec: DataFrame, edges: DataFrame) -> DataFrame:
     """(scenario_id, repetition, edge, t, action, value): random disturbances, the same for all strategies of a repetition.
 
-    ``spec`` has (scenario_id, repetition, seed, count, start_s, end_s, duration_s, step_s, factor).  Edges are
-    drawn without replacement by a hash of seed and edge; the tick lies in [ceil(start/step), floor(end/step)];
-    the end event restores 1 after the duration, rounded up to ticks.  The stream of numbers is our own.
+    ``spec`` has (scenario_id, repetition, seed, count, start_s, end_s, duration_s, step_s, factor).  Edges are drawn
+    without replacement: they are numbered in order, and a row takes the numbers from a start that its seed gives, in equal
+    strides.  The tick lies in [ceil(start/step), floor(end/step)]; the end event restores 1 after the duration, rounded up
+    to ticks.  The stream of numbers is our own.  No edge is looked at that isn't drawn.
     """
-    draw = F.xxhash64(F.col("seed") + F.col("repetition") - 1, "edge")
-    # one spec row meets all edges: that is the draw itself, kept to the count that the spec asks for
-    keyed = spec.join(edges.select("edge").distinct(), how="cross").withColumn("draw", draw)
-    drawn = keyed.withColumn("k", F.row_number().over(Window.partitionBy("scenario_id", "repetition").orderBy("draw", "edge"))).where("k <= count")
+    listed = numbered(edges.select("edge").distinct(), ["edge"], "number")
+    there = listed.agg(F.count("*").alias("there"))
+    first = F.pmod((F.col("seed") + F.col("repetition") - 1).cast("long") * 1_103_515_245 + 12_345, F.lit(1 << 31))
+    rows = spec.join(F.broadcast(there), how="cross").withColumn("first", first).where("there > 0 AND count > 0")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.least("count", "there").cast("int") - 1)))
+    drawn = rows.withColumn("number", F.pmod(F.col("first") + F.col("k").cast("long") * STRIDE, F.col("there"))).join(listed, "number")
     low, high = F.ceil(F.col("start_s") / F.col("step_s")), F.floor(F.col("end_s") / F.col("step_s"))
-    tick = low + F.pmod(F.xxhash64("draw"), F.greatest(high - low + 1, F.lit(1)))
+    tick = low + F.pmod(F.pmod(F.col("first") * 48_271 + F.col("k") * 69_621 + 11, F.lit(STRIDE)), F.greatest(high - low + 1, F.lit(1)))
     long = F.ceil(F.col("duration_s") / F.col("step_s"))
     pair = F.array(F.struct((tick * F.col("step_s")).alias("t"), F.col("factor").alias("value")), F.struct(((tick + long) * F.col("step_s")).alias("t"), F.lit(1.0).alias("value")))
-    rows = drawn.select("scenario_id", "repetition", "edge", F.explode(pair).alias("e"))
-    return rows.select("scenario_id", "repetition", "edge", "e.t", F.lit("speed_factor").alias("action"), "e.value")
+    out = drawn.select("scenario_id", "repetition", "edge", F.explode(pair).alias("e"))
+    return out.select("scenario_id", "repetition", "edge", "e.t", F.lit("speed_factor").alias("action"), "e.value")
 
 
 def run_metrics(traces: DataFrame) -> DataFrame:

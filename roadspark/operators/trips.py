@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,21 +134,20 @@ def reroute_benefit(offers: DataFrame, min_gain: float, cooldown: float) -> Data
     ``offers`` has (vehicle_id, t, blocked, same_path, new_s, remaining_s).  A blocked vehicle takes any route; else
     the path has to differ, save ``min_gain`` seconds, and ``cooldown`` seconds have to lie behind the last take.
     """
-    offer = F.struct("t", F.coalesce("blocked", F.lit(False)).alias("blocked"), "same_path", "new_s", "remaining_s")
-    listed = offers.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(offer)).alias("offers"))
-    kind = "array<struct<t:double,accepted:boolean,reason:string>>"
-
-    def step(acc: Column, o: Column) -> Column:
-        gain = ~o["same_path"] & (o["new_s"] + min_gain + 1e-9 < o["remaining_s"])
-        cool = acc["last"].isNull() | (o["t"] - acc["last"] >= cooldown)
-        yes = o["blocked"] | (F.coalesce(gain, F.lit(False)) & cool)
-        reason = F.when(o["blocked"], "blocked").when(yes, "gain").when(F.coalesce(gain, F.lit(False)), "cooldown").otherwise("no_gain")
-        row = F.struct(o["t"].alias("t"), yes.alias("accepted"), reason.alias("reason"))
-        return F.struct(F.when(yes, o["t"]).otherwise(acc["last"]).alias("last"), F.concat(acc["rows"], F.array(row)).cast(kind).alias("rows"))
-
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(kind).alias("rows"))
-    folded = F.aggregate("offers", start, step, lambda acc: acc["rows"])
-    return listed.select("vehicle_id", F.explode(folded).alias("r")).select("vehicle_id", "r.*")
+    offered = offers.select("vehicle_id", "t", F.coalesce("blocked", F.lit(False)).alias("blocked"), "same_path", "new_s", "remaining_s")
+    saves = ~F.col("same_path") & (F.col("new_s") + min_gain + 1e-9 < F.col("remaining_s"))
+    offered = offered.withColumn("gain", F.coalesce(saves, F.lit(False)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        last, out = None, []
+        group = group.sort_values(["t", "blocked", "same_path", "new_s", "remaining_s"], na_position="first")
+        for t, blocked, gain in zip(group["t"], group["blocked"], group["gain"], strict=True):
+            yes = bool(blocked or gain and (last is None or t - last >= cooldown))
+            out.append((group["vehicle_id"].iloc[0], t, yes, "blocked" if blocked else "gain" if yes else "cooldown" if gain else "no_gain"))
+            last = t if yes else last
+        return pd.DataFrame(out, columns=["vehicle_id", "t", "accepted", "reason"])
+
+    return offered.groupBy("vehicle_id").applyInPandas(run, "vehicle_id long, t double, accepted boolean, reason string")
 
 
 def reroute_counts(reroutes: DataFrame) -> DataFrame:

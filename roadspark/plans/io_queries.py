@@ -12,6 +12,7 @@ from roadspark.operators import quality, routing, trips
 from roadspark.plans import derive
 from roadspark.plans.derive import with_sql
 from roadspark.plans.road_queries import changes
+from roadspark.plans.trip_queries import PUBLISHED
 from roadspark.plans.trip_queries import rounded, visits
 from roadspark.sources import readers, sinks
 from roadspark.streaming import feeds
@@ -110,8 +111,8 @@ def a8_read_manifest(spark, d):
 
 
 def documents(spark, d):
-    """One playback document for each of ten runs of the vehicles."""
-    run = lambda c: (F.col(c) % 10).cast("string").alias("run_id")
+    """One playback document for each run of ten vehicles; edges and controls go to the runs by tens of their keys."""
+    run = lambda c: F.floor(F.col(c) / 10).cast("string").alias("run_id")
     s = derive.samples(spark, d)
     points = s.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.array("t", F.col("edge").cast("double"), "offset_m"))).alias("samples"))
     vehicles = derive.vehicles(spark, d).join(points, "vehicle_id").select(run("vehicle_id"), "vehicle_id", F.col("depart_t").alias("depart_s"), F.col("arrive_t").alias("arrive_s"), "distance_m", "samples")
@@ -121,7 +122,7 @@ def documents(spark, d):
     return sinks.playback(runs, {"vehicles": vehicles, "edge_kpis": kpis, "controls": events})
 
 
-@query("SELECT CAST(vehicle_id % 10 AS VARCHAR) AS run_id, vehicle_id, count(*) AS n, round(sum(t), 2) AS t FROM samples GROUP BY vehicle_id")
+@query("SELECT CAST(vehicle_id // 10 AS VARCHAR) AS run_id, vehicle_id, count(*) AS n, round(sum(t), 2) AS t FROM samples GROUP BY vehicle_id")
 def a9_read_playback(spark, d):
     documents(spark, d).select("value").write.text(path := place(spark, "playback"))
     rows = readers.read_playback(spark, path)["samples"]
@@ -161,20 +162,63 @@ def k12_geojson_roads(spark, d):
     return spark.read.text(path).select(doc.alias("f")).select("f.properties.road_id", "f.properties.direction", F.size("f.properties.edges").cast("long").alias("edges"))
 
 
-@query()
+def text_of(features):
+    """GeoJSON features written and read back as text."""
+    sinks.write_geojson(features, path := place(features.sparkSession, "geojson"))
+    return features.sparkSession.read.text(path)
+
+
+@query("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"node":' || node || ',"in_degree":' || count(*) FILTER (e.to_node = node) || ',"out_degree":' || count(*) FILTER (e.from_node = node) || '}}' AS value
+FROM nodes LEFT JOIN edges e ON e.from_node = node OR e.to_node = node GROUP BY node, x, y""")
 def k12_geojson_nodes(spark, d):
-    return sinks.nodes_geojson(quality.node_degree(derive.nodes(spark, d), derive.edges(spark, d)))
+    return text_of(sinks.nodes_geojson(quality.node_degree(derive.nodes(spark, d), derive.edges(spark, d))))
 
 
-@query()
+@query("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"code":"ORPHAN_NODE","severity":"warning","subject":"' || node || '"}}' AS value FROM nodes WHERE node NOT IN (SELECT from_node FROM edges WHERE from_node % 5 <> 0) AND node NOT IN (SELECT to_node FROM edges WHERE from_node % 5 <> 0)
+UNION ALL SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || x || ',' || y || ']},"properties":{"code":"NO_OUTGOING_EDGE","severity":"warning","subject":"' || node || '"}}' FROM nodes WHERE node NOT IN (SELECT from_node FROM edges WHERE from_node % 5 <> 0) AND node IN (SELECT to_node FROM edges WHERE from_node % 5 <> 0)""")
+def k12_geojson_issues(spark, d):
+    """Issues of nodes, and issues of edges, which have no place and stay out."""
+    nodes, edges = derive.nodes(spark, d), derive.edges(spark, d).where("from_node % 5 <> 0")
+    found = quality.check_nodes(quality.node_degree(nodes, edges)).where("code IN ('ORPHAN_NODE', 'NO_OUTGOING_EDGE')")
+    nowhere = found.withColumn("location", F.lit(None).cast(found.schema["location"].dataType))
+    return text_of(sinks.issues_geojson(found.unionByName(nowhere)))
+
+
+@query("""SELECT '{"type":"Feature","geometry":{"type":"LineString","coordinates":[[' || ax || ',' || ay || '],[' || bx || ',' || yb || ']]},"properties":{"route_id":' || route_id || ',"pos":' || pos || ',"edge":' || r.edge || '}}' AS value FROM routes r JOIN lined l ON l.edge = r.edge""")
+def k12_geojson_routes(spark, d):
+    return text_of(sinks.routes_geojson(derive.routes(spark, d).join(derive.lined_edges(spark, d).select("edge", "points"), "edge")))
+
+
+@query("""SELECT '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || n_nationkey || '.5,1.0]},"properties":{"name":"' || n_name || '"}}' AS value FROM nation WHERE n_nationkey % 4 <> 0""")
+def k12_geojson_reference(spark, d):
+    n = table(spark, d, "nation")
+    at = F.when(F.col("n_nationkey") % 8 == 0, "[]").when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("["), F.col("n_nationkey").cast("string"), F.lit(".5,1.0]")))
+    return text_of(sinks.reference_geojson(n.select(F.lit("Point").alias("geom_type"), at.alias("coordinates"), F.struct(F.col("n_name").alias("name")).alias("properties"))))
+
+
+@query("""WITH steps AS (SELECT vehicle_id, t, sqrt((edge - lag(edge) OVER w) ** 2 + (offset_m - lag(offset_m) OVER w) ** 2) AS step FROM samples WINDOW w AS (PARTITION BY vehicle_id ORDER BY t, edge, offset_m))
+SELECT vehicle_id, count(*) AS n_points, round(max(t) - min(t), 6) AS travel_s, round(sum(step), 3) AS distance_m FROM steps GROUP BY vehicle_id HAVING count(*) >= 2""")
 def k12_geojson_trajectories(spark, d):
     s = derive.samples(spark, d).select("vehicle_id", "t", F.col("edge").cast("double").alias("x"), F.col("offset_m").alias("y"))
-    return sinks.trajectories_geojson(trips.trajectories(s))
+    doc = F.from_json("value", "geometry STRUCT<coordinates: ARRAY<ARRAY<DOUBLE>>>, properties STRUCT<vehicle_id: BIGINT, travel_s: DOUBLE, distance_m: DOUBLE>")
+    rows = text_of(sinks.trajectories_geojson(trips.trajectories(s))).select(doc.alias("f"))
+    rows = rows.select("f.properties.vehicle_id", F.size("f.geometry.coordinates").cast("long").alias("n_points"), "f.properties.travel_s", "f.properties.distance_m")
+    return rounded(rounded(rows, "travel_s"), "distance_m", digits=3)
 
 
-@query()
+@query("""WITH v AS (SELECT CAST(user_id // 10 AS VARCHAR) AS run_id, count(DISTINCT user_id) AS vehicles, count(*) AS samples, round(sum(value), 3) AS distance_m FROM events GROUP BY 1),
+k AS (SELECT CAST(edge // 10 AS VARCHAR) AS run_id, count(*) AS n, sum(entries) AS entries FROM kpis GROUP BY 1), c AS (SELECT CAST(seq // 10 AS VARCHAR) AS run_id, count(*) AS n FROM controls GROUP BY 1)
+SELECT v.*, coalesce(k.n, 0) AS edge_kpis, CAST(coalesce(k.entries, 0) AS BIGINT) AS entries, coalesce(c.n, 0) AS controls FROM v LEFT JOIN k USING (run_id) LEFT JOIN c USING (run_id)""")
 def k13_playback(spark, d):
-    return documents(spark, d)
+    doc = F.from_json("value", "vehicles ARRAY<STRUCT<distance_m: DOUBLE, samples: ARRAY<ARRAY<DOUBLE>>>>, edge_kpis ARRAY<STRUCT<entries: BIGINT>>, controls ARRAY<STRUCT<action: STRING>>")
+    rows = documents(spark, d).select("run_id", doc.alias("f")).select("run_id", "f.*")
+    size = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
+    total = lambda c, zero, of: F.coalesce(F.aggregate(c, F.lit(zero), lambda a, x: a + of(x)), F.lit(zero))
+    rows = rows.select(
+        "run_id", size("vehicles").alias("vehicles"), total("vehicles", 0, lambda v: F.size(v["samples"])).cast("long").alias("samples"), total("vehicles", 0.0, lambda v: v["distance_m"]).alias("distance_m"),
+        F.when(F.col("edge_kpis").isNull(), 0).otherwise(F.size("edge_kpis")).cast("long").alias("edge_kpis"), total("edge_kpis", 0, lambda v: v["entries"].cast("int")).cast("long").alias("entries"), F.when(F.col("controls").isNull(), 0).otherwise(F.size("controls")).cast("long").alias("controls"),
+    )
+    return rounded(rows, "distance_m", digits=3)
 
 
 @query("SELECT edge, round(length_m / speed_limit_mps * (1 + lane_count), 6) AS cost FROM edges")
@@ -186,9 +230,13 @@ def k14_user_cost(spark, d):
 # J: streams, each over files derived from the tables, run to their end
 
 
-def stream(spark, df, what: str):
+def stream(spark, df, what: str, *keys: str):
+    """A stream over files of ``df``; the rows of one of the ``keys`` are in one file, in order of time."""
     feeds.configure(spark)
-    feeds.with_ts(df).write.parquet(path := place(spark, what))
+    rows = feeds.with_ts(df)
+    if keys:
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, "t")
+    rows.write.parquet(path := place(spark, what))
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
@@ -198,11 +246,19 @@ def j1_samples_source(spark, d):
     return rounded(rows.agg(F.count("*").alias("n"), F.countDistinct("vehicle_id").alias("vehicles"), F.sum("t").alias("t")), "t", digits=2)
 
 
-@query()
+# windows that end before the watermark, ten minutes behind the last row, are out
+@query("""SELECT CAST(floor(enter_t / 3600) * 3600 AS BIGINT) AS start_s, edge, count(*) AS entries, round(coalesce(sum(distance_m), 0), 3) AS distance_m FROM visits
+GROUP BY 1, 2 HAVING start_s + 3600 <= (SELECT max(enter_t) FROM visits) - 600""")
 def j2_edge_kpis(spark, d):
     v = visits(spark, d).withColumnRenamed("enter_t", "t")
     s = stream(spark, v, "visits").withColumn("enter_t", F.col("t"))
-    return feeds.run_available(feeds.edge_kpis(s, "1 hour"), place(spark, "j2")).select("window.start", "edge", "entries", "distance_m")
+    rows = feeds.run_available(feeds.edge_kpis(s, "1 hour"), place(spark, "j2"))
+    return rounded(rows.select(since("window.start"), "edge", "entries", "distance_m"), "distance_m", digits=3)
+
+
+def since(c: str):
+    """Seconds behind the start that ``feeds.with_ts`` takes."""
+    return (F.col(c).cast("long") - F.lit("2020-01-01 00:00:00").cast("timestamp").cast("long")).alias("start_s")
 
 
 def last_state(df, key: str):
@@ -222,25 +278,28 @@ def j3_vehicle_latest(spark, d):
 
 @query("SELECT scope, target_id, count(*) AS n FROM (SELECT *, lag({'a': action, 'v': value}) OVER (PARTITION BY scope, target_id, CASE WHEN action IN ('hold', 'release') THEN 'held' WHEN action IN ('close', 'open') THEN 'closed' ELSE action END ORDER BY t, seq) AS old FROM controls) WHERE old IS NULL OR old <> {'a': action, 'v': value} GROUP BY 1, 2")
 def j4_control_state(spark, d):
-    s = stream(spark, derive.controls(spark, d).coalesce(1), "controls")
+    s = stream(spark, derive.controls(spark, d), "controls", "scope", "target_id")
     return feeds.run_available(feeds.control_state(s), place(spark, "j4")).groupBy("scope", "target_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(PUBLISHED)
 def j5_cost_changes(spark, d):
     c = derive.controls(spark, d).where("action = 'speed_factor'").select(F.col("target_id").alias("edge"), "t", "seq", (1 / F.col("value")).alias("factor"), (F.col("seq") % 5 == 0).alias("explicit"))
-    return feeds.run_available(feeds.cost_changes(stream(spark, c.coalesce(1), "costs")), place(spark, "j5"))
+    rows = feeds.run_available(feeds.cost_changes(stream(spark, c, "costs", "edge")), place(spark, "j5"))
+    return rounded(rounded(rows, "t"), "old", "new", digits=6)
 
 
 @query()
 def j6_reversals(spark, d):
-    return feeds.run_available(feeds.reversals(stream(spark, changes(spark, d).coalesce(1), "changes")), place(spark, "j6"))
+    return feeds.run_available(feeds.reversals(stream(spark, changes(spark, d), "changes", "vehicle_id")), place(spark, "j6"))
 
 
-@query()
+@query("""WITH marked AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY vehicle_id ORDER BY t) <= 7200 THEN 0 ELSE 1 END AS fresh FROM samples),
+runs_of AS (SELECT *, sum(fresh) OVER (PARTITION BY vehicle_id ORDER BY t, fresh DESC ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT vehicle_id, CAST(floor(min(t)) AS BIGINT) AS start_s, count(*) AS samples FROM runs_of GROUP BY vehicle_id, run HAVING max(t) + 7200 <= (SELECT max(t) FROM samples) - 600""")
 def j7_trip_sessions(spark, d):
     s = feeds.trip_sessions(stream(spark, derive.samples(spark, d), "samples"), "2 hours")
-    return feeds.run_available(s, place(spark, "j7")).select("session.start", "vehicle_id", "samples")
+    return feeds.run_available(s, place(spark, "j7")).select(since("session.start"), "vehicle_id", "samples")
 
 
 @query("SELECT c.seq, v.vehicle_id, r.edge, CASE WHEN action = 'open' THEN 'route_improved' ELSE 'route_invalidated' END AS reason FROM controls c JOIN routes r ON r.edge = c.target_id JOIN vehicles v ON v.vehicle_id = r.route_id WHERE c.scope = 'edge' AND c.action IN ('close', 'open') AND v.arrive_t IS NULL")
@@ -256,7 +315,7 @@ def j8_invalidations(spark, d):
 @query("SELECT DISTINCT vehicle_id, round(t, 6) AS t FROM samples")
 def j9_sample_dedupe(spark, d):
     twice = derive.samples(spark, d).select("vehicle_id", "t")
-    s = stream(spark, twice.unionByName(twice).coalesce(1), "samples")
+    s = stream(spark, twice.unionByName(twice), "samples", "vehicle_id")
     return rounded(feeds.run_available(feeds.sample_dedupe(s, "3650 days"), place(spark, "j9")).select("vehicle_id", "t"), "t")
 
 

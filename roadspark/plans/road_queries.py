@@ -348,12 +348,15 @@ def e5_merge(spark, d):
     return turns.merge(turns.expand(resolved(spark, d)[0], derive.edges(spark, d)).unionByName(turns.generated_penalties(derive.lined_edges(spark, d))))
 
 
-@query()
+@query("""WITH grow(rule, base, edges, met, place, road) AS (SELECT edge, road_id // 8, [edge], [from_node, to_node], to_node, -1 FROM edges
+UNION ALL SELECT g.rule, g.base, list_append(g.edges, e.edge), list_append(g.met, e.to_node), e.to_node, CASE WHEN g.road >= 0 AND e.road_id // 8 = g.base + g.road THEN g.road ELSE g.road + 1 END
+FROM grow g JOIN edges e ON e.from_node = g.place WHERE g.road < 1 AND NOT list_contains(g.met, e.to_node) AND ((g.road >= 0 AND e.road_id // 8 = g.base + g.road) OR e.road_id // 8 = g.base + g.road + 1))
+SELECT rule, array_to_string(edges, ',') AS edges, false AS only FROM grow WHERE road = 1""")
 def e6_via_sequences(spark, d):
     e = derive.lined_edges(spark, d)
     name = lambda k: F.concat(F.lit("w"), (F.floor(F.col("road_id") / 8) + k).cast("string"))
     r = e.select(F.col("edge").alias("rule"), F.col("edge").alias("from_edge"), F.array(name(0), name(1)).alias("names"), F.lit(False).alias("only"))
-    return turns.via_sequences(r, e)[0]
+    return turns.via_sequences(r, e)[0].select("rule", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"), "only")
 
 
 def few_edges(spark, d):
@@ -567,14 +570,14 @@ def costs(spark, d):
     return routing.edge_costs(derive.lined_edges(spark, d))
 
 
-def od(spark, d):
+def od(spark, d, from_offset: float = 30.0, to_offset: float = 60.0):
     """A pair for every node, from its lowest edge to that of the node at the other end of the table."""
     e = derive.edges(spark, d)
     first = e.groupBy(F.col("from_node").alias("node")).agg(F.min("edge").alias("edge"))
     top = first.agg(F.max("node").alias("top"), F.min("node").alias("low"))
     a = first.crossJoin(F.broadcast(top))
     b = first.select(F.col("node").alias("other"), F.col("edge").alias("to_edge"))
-    return a.withColumn("other", F.col("top") + F.col("low") - F.col("node")).join(b, "other").select(F.col("node").alias("od_id"), F.col("edge").alias("from_edge"), F.lit(30.0).alias("from_offset"), "to_edge", F.lit(60.0).alias("to_offset"), (F.col("node") % 2 == 1).alias("exact"))
+    return a.withColumn("other", F.col("top") + F.col("low") - F.col("node")).join(b, "other").select(F.col("node").alias("od_id"), F.col("edge").alias("from_edge"), F.lit(from_offset).alias("from_offset"), "to_edge", F.lit(to_offset).alias("to_offset"), (F.col("node") % 2 == 1).alias("exact"))
 
 
 def node_od(spark, d):
@@ -595,6 +598,31 @@ def spread_sql(name: str, start: str, a: str = "from_node", b: str = "to_node")
 UNION SELECT d.od_id, e.{b}, min(d.cost + e.cost) FROM {name} d JOIN costs e ON e.{a} = d.node LEFT JOIN recurring.{name} r ON r.od_id = d.od_id AND r.node = e.{b} WHERE r.cost IS NULL OR d.cost + e.cost < r.cost - 1e-9 GROUP BY d.od_id, e.{b})"""
 
 
+def od_sql(from_offset: float = 30.0, to_offset: float = 60.0) -> str:
+    return OD.replace("30.0 AS off", f"{from_offset} AS off").replace("70.0 FROM od", f"{100 - from_offset} FROM od").replace("60.0 AS off", f"{to_offset} AS off").replace("40.0 FROM od", f"{100 - to_offset} FROM od")
+
+
+# costs and offsets that add up without rounding, so that ties are the same in any order of adding
+EXACT = "costs AS (SELECT *, 8 * (1 + edge % 4 * CAST(0.25 AS DOUBLE)) AS cost FROM edges)"
+
+
+def exact_map(spark, d):
+    """The grid's edges at one speed, and an overlay of factors in quarters."""
+    e = derive.lined_edges(spark, d).withColumn("speed_limit_mps", F.lit(12.5))
+    return e, e.select("edge", F.lit(True).alias("enabled"), (1 + F.col("edge") % 4 * 0.25).alias("cost_factor"))
+
+
+def exact_costs(spark, d):
+    return routing.edge_costs(*exact_map(spark, d))
+
+
+def best_walks(name: str, key: str, step: str, over: str, join: str) -> str:
+    """A recursive view of the best way to each state: least cost, then fewest edges, then the list of edges."""
+    new = f"{{'c': d.s.c + {over}, 'n': d.s.n + 1, 'p': list_append(d.s.p, e.edge)}}"
+    return f"""{name}(od_id, {key}, s) USING KEY (od_id, {key}) AS (SELECT od_id, {key}, {{'c': CAST(extra AS DOUBLE), 'n': 1, 'p': [edge]}} FROM starts
+UNION SELECT d.od_id, {step}, min({new}) FROM {name} d {join} LEFT JOIN recurring.{name} r ON r.od_id = d.od_id AND r.{key} = {step} WHERE r.s IS NULL OR {new} < r.s GROUP BY d.od_id, {step})"""
+
+
 OD = """heads AS (SELECT from_node AS node, min(edge) AS edge FROM edges GROUP BY from_node), span AS (SELECT max(node) AS top, min(node) AS low FROM heads),
 od AS (SELECT a.node AS od_id, a.edge AS from_edge, b.edge AS to_edge, a.node % 2 = 1 AS exact FROM heads a, span, heads b WHERE b.node = top + low - a.node),
 starts AS (SELECT od_id, c.edge, c.to_node AS node, off AS offset_m, c.cost * (100 - off) / 100 AS extra, 100 - off AS length_m FROM (SELECT od_id, from_edge AS edge, 30.0 AS off FROM od UNION ALL SELECT od_id, CASE WHEN from_edge % 2 = 0 THEN from_edge + 1 ELSE from_edge - 1 END, 70.0 FROM od WHERE NOT exact) s JOIN costs c USING (edge)),
@@ -650,23 +678,39 @@ def sequences(spark, d):
     return rows.select(F.col("a").alias("seq_id"), F.array("a", "b", "c").alias("edges"), (F.col("a") % 24 == 0).alias("only"))
 
 
-@query()
+# the last two edges tell which rule a way may be in
+@query(f"""WITH {COSTS}, {OD}, {ALLOWED}, rules AS (SELECT a.edge AS a, b.edge AS b, c.edge AS c, a.edge % 24 = 0 AS must FROM edges a JOIN edges b ON a.to_node = b.from_node JOIN edges c ON b.to_node = c.from_node WHERE a.edge % 12 = 0 AND b.edge % 4 = 0 AND c.edge % 4 = 2),
+steps AS (SELECT p.from_edge AS before, p.to_edge AS edge, n.to_edge AS next, n.penalty_s FROM (SELECT from_edge, to_edge FROM allowed UNION ALL SELECT -1, edge FROM edges) p JOIN allowed n ON n.from_edge = p.to_edge
+  WHERE NOT EXISTS (SELECT 1 FROM rules WHERE a = p.from_edge AND b = p.to_edge AND CASE WHEN must THEN c <> n.to_edge AND NOT EXISTS (SELECT 1 FROM rules x WHERE x.a = p.from_edge AND x.b = p.to_edge AND x.must AND x.c = n.to_edge) ELSE c = n.to_edge END)),
+ruled(od_id, before, edge, cost) USING KEY (od_id, before, edge) AS (SELECT od_id, CAST(-1 AS BIGINT), edge, CAST(extra AS DOUBLE) FROM starts
+UNION SELECT d.od_id, d.edge, t.next, min(d.cost + t.penalty_s + c.cost) FROM ruled d JOIN steps t ON t.before = d.before AND t.edge = d.edge JOIN costs c ON c.edge = t.next LEFT JOIN recurring.ruled r ON r.od_id = d.od_id AND r.before = d.edge AND r.edge = t.next
+WHERE r.cost IS NULL OR d.cost + t.penalty_s + c.cost < r.cost - 1e-9 GROUP BY d.od_id, d.edge, t.next)
+SELECT g.od_id, round(min(d.cost + t.penalty_s + g.extra), 6) AS cost FROM ruled d JOIN steps t ON t.before = d.before AND t.edge = d.edge JOIN goals g ON g.od_id = d.od_id AND g.edge = t.next GROUP BY g.od_id""")
 def g6_sssp_sequences(spark, d):
     starts, goals = routing.endpoints(od(spark, d), costs(spark, d))
     states = routing.sssp_sequences(starts, goals, costs(spark, d), derive.turns(spark, d), sequences(spark, d))
     pairs = routing.pair_table(costs(spark, d), derive.turns(spark, d))
-    return routing.finish_sequences(states, goals, pairs, sequences(spark, d))
+    return rounded(routing.finish_sequences(states, goals, pairs, sequences(spark, d)).select("od_id", "cost"), "cost", digits=6)
 
 
-@query()
+@query(f"""WITH {EXACT}, {od_sql(50.0, 25.0)}, {best_walks('walk', 'node', 'e.to_node', 'e.cost', 'JOIN costs e ON e.from_node = d.node')},
+found AS (SELECT od_id, min({{'c': s.c + g.extra, 'p': list_append(s.p, g.edge)}}) AS f FROM walk JOIN goals g USING (od_id, node) GROUP BY od_id)
+SELECT od_id, CAST(generate_subscripts(f.p, 1) - 1 AS INTEGER) AS pos, unnest(f.p) AS edge FROM found""")
 def g7_paths(spark, d):
-    starts, goals = routing.endpoints(od(spark, d), costs(spark, d))
-    return routing.paths(routing.finish(routing.sssp_nodes(starts, goals, costs(spark, d)), goals, "node"))
+    starts, goals = routing.endpoints(od(spark, d, 50.0, 25.0), exact_costs(spark, d))
+    return routing.paths(routing.finish(routing.sssp_nodes(starts, goals, exact_costs(spark, d)), goals, "node"))
 
 
-@query()
+@query(f"""WITH {EXACT}, {od_sql(50.0, 25.0)}, {ALLOWED}, {best_walks('walk', 'edge', 'a.to_edge', 'a.penalty_s + e.cost', 'JOIN allowed a ON a.from_edge = d.edge JOIN costs e ON e.edge = a.to_edge')},
+ways AS (SELECT g.od_id, {{'c': s.c + a.penalty_s + g.extra, 'p': list_append(s.p, g.edge)}} AS f FROM goals g JOIN allowed a ON a.to_edge = g.edge JOIN walk w ON w.od_id = g.od_id AND w.edge = a.from_edge
+UNION ALL SELECT s.od_id, {{'c': c.cost * (g.offset_m - s.offset_m) / 100, 'p': [s.edge]}} FROM starts s JOIN goals g ON g.od_id = s.od_id AND g.edge = s.edge AND s.offset_m <= g.offset_m JOIN costs c ON c.edge = s.edge),
+found AS (SELECT od_id, min(f) AS f FROM ways GROUP BY od_id)
+SELECT o.od_id, CASE WHEN f IS NULL THEN 'unreachable' ELSE 'ok' END AS status, f.c AS cost, array_to_string(f.p, ',') AS edges, CAST(100 * (len(f.p) - 1) - s.offset_m + g.offset_m AS DOUBLE) AS length_m
+FROM od o LEFT JOIN found USING (od_id) LEFT JOIN starts s ON s.od_id = o.od_id AND s.edge = f.p[1] LEFT JOIN goals g ON g.od_id = o.od_id AND g.edge = f.p[-1]""")
 def g8_plan(spark, d):
-    return rounded(routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d)).select("od_id", "status", "cost", "length_m"), "cost", "length_m", digits=6)
+    edges, overlay = exact_map(spark, d)
+    found = routing.plan(od(spark, d, 50.0, 25.0), edges, derive.turns(spark, d), overlay)
+    return found.select("od_id", "status", "cost", F.array_join(F.col("edges").cast("array<string>"), ",").alias("edges"), "length_m")
 
 
 @query(f"""WITH {COSTS}, {OD}, {ALLOWED}, {TURNED}, totals AS (SELECT g.od_id, d.cost + a.penalty_s + g.extra AS cost FROM goals g JOIN allowed a ON a.to_edge = g.edge JOIN turned d ON d.od_id = g.od_id AND d.edge = a.from_edge
