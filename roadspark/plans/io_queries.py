@@ -50,6 +50,19 @@ def a1_read_roads_geojson(spark, d):
     return rows.select(F.element_at("properties", "edge").cast("long").alias("edge"), F.size(part).cast("long").alias("n"), part[0]["x"].alias("x"), F.element_at("properties", "highway").alias("highway"))
 
 
+@query("SELECT edge, CAST(row_number() OVER (PARTITION BY road_id ORDER BY edge) - 1 AS BIGINT) AS feature_ordinal, CAST(2 AS BIGINT) AS n, bx AS x, road_class AS highway FROM lined")
+def a1_read_feature_collection(spark, d):
+    """One FeatureCollection for each road, in a file of its own line."""
+    text = features(spark, d).select("value", F.get_json_object("value", "$.properties.edge").cast("long").alias("edge"))
+    road = derive.edges(spark, d).select("edge", "road_id")
+    whole = text.join(road, "edge").groupBy("road_id").agg(F.array_sort(F.collect_list(F.struct("edge", "value"))).alias("f"))
+    whole = whole.select("road_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["value"]), ",\n"), F.lit("]}")).alias("value"))
+    whole.repartition("road_id").select("value").write.option("maxRecordsPerFile", 1).text(path := place(spark, "collections"))
+    rows = readers.read_roads_geojson(spark, path)
+    part = F.col("parts")[0]
+    return rows.select(F.element_at("properties", "edge").cast("long").alias("edge"), "feature_ordinal", F.size(part).cast("long").alias("n"), F.element_at(part, -1)["x"].alias("x"), F.element_at("properties", "highway").alias("highway"))
+
+
 @query("SELECT CAST(edge AS VARCHAR) AS source_id, road_class, 50.0::DOUBLE AS speed_kph FROM lined")
 def a2_apply_mapping(spark, d):
     sinks.write_geojson(features(spark, d), path := place(spark, "roads"))
@@ -75,12 +88,12 @@ def a4_read_od(spark, d):
     return readers.read_od(spark, path).select("lon", "depart_s", "algorithm", "agent")
 
 
-@query("SELECT round(t, 6) AS t, CASE scope WHEN 'junction' THEN 'junction' ELSE scope END AS scope, target_id, action, CASE WHEN action IN ('hold', 'release') THEN 1.0 ELSE round(value, 6) END AS value FROM controls")
+@query("SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, round(t, 6) AS t, CASE scope WHEN 'junction' THEN 'junction' ELSE scope END AS scope, target_id, action, CASE WHEN action IN ('hold', 'release') THEN 1.0 ELSE round(value, 6) END AS value FROM controls")
 def a5_read_controls(spark, d):
     c = derive.controls(spark, d)
     value = F.when(~F.col("action").isin("hold", "release"), F.col("value").cast("string")).otherwise("")
-    c.select("t", F.when(F.col("scope") == "edge", "road").otherwise(F.col("scope")).alias("scope"), "target_id", "action", value.alias("value")).write.csv(path := place(spark, "controls"))
-    return rounded(rounded(readers.read_controls(spark, path).drop("seq"), "t"), "value", digits=6)
+    c.orderBy("seq").select("t", F.when(F.col("scope") == "edge", "road").otherwise(F.col("scope")).alias("scope"), "target_id", "action", value.alias("value")).write.csv(path := place(spark, "controls"))
+    return rounded(rounded(readers.read_controls(spark, path), "t"), "value", digits=6)
 
 
 @query("SELECT l_partkey AS node, CAST(l_linenumber AS INTEGER) AS phase, l_quantity AS green_s, CASE WHEN l_linenumber % 2 = 0 THEN 1800.0 ELSE 900.0 END AS saturation_flow_vph, max(l_quantity) OVER (PARTITION BY l_partkey, l_linenumber) = min(l_quantity) OVER (PARTITION BY l_partkey, l_linenumber) AS consistent FROM lineitem")
@@ -91,14 +104,17 @@ def a6_read_signals(spark, d):
     return readers.read_signals(spark, path).select("node", "phase", "green_s", "saturation_flow_vph", "consistent")
 
 
-@query("SELECT count(*) AS ways FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_orderkey + 1 FROM orders WHERE o_orderkey % 3 = 0) w WHERE id IN (SELECT o_orderkey FROM orders)")
+@query("""WITH ways AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey - 1 IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0))
+SELECT 'way' AS kind, id FROM ways UNION ALL SELECT 'relation', o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'node', o_orderkey FROM orders WHERE o_orderkey IN (SELECT id FROM ways) OR o_orderkey - 1 IN (SELECT id FROM ways)""")
 def a7_read_osm_elements(spark, d):
     k = F.col("o_orderkey")
     o = table(spark, d, "orders")
     member = lambda i: F.struct(i.alias("id"), F.lit("way").alias("type"), F.lit("from").alias("role"))
     relations = o.select(k.alias("id"), F.create_map(F.lit("type"), F.when(k % 3 == 0, "restriction").otherwise("route")).alias("tags"), F.array(member(k), member(k + 1)).alias("members"))
     ways = o.select(k.alias("id"), F.array(k, k + 1).alias("nodes"))
-    return readers.read_osm_elements(o.select(k.alias("id")), ways, relations)[1].agg(F.count("*").alias("ways"))
+    kept = zip(("node", "way", "relation"), readers.read_osm_elements(o.select(k.alias("id")), ways, relations), strict=True)
+    nodes, ways, relations = (rows.select(F.lit(kind).alias("kind"), "id") for kind, rows in kept)
+    return nodes.unionByName(ways).unionByName(relations)
 
 
 @query("SELECT DISTINCT o_orderpriority AS name, 3 AS repetitions, 5 AS n_scenarios FROM orders")
@@ -276,10 +292,11 @@ def j3_vehicle_latest(spark, d):
     return rounded(last_state(spark.read.parquet(f"{path}/rows").drop("batch"), "vehicle_id").select("vehicle_id", "t", "edge"), "t")
 
 
-@query("SELECT scope, target_id, count(*) AS n FROM (SELECT *, lag({'a': action, 'v': value}) OVER (PARTITION BY scope, target_id, CASE WHEN action IN ('hold', 'release') THEN 'held' WHEN action IN ('close', 'open') THEN 'closed' ELSE action END ORDER BY t, seq) AS old FROM controls) WHERE old IS NULL OR old <> {'a': action, 'v': value} GROUP BY 1, 2")
+@query("""SELECT scope, target_id, kind, round(t, 6) AS t, action, round(value, 6) AS value FROM (SELECT *, lag({'a': action, 'v': value}) OVER (PARTITION BY scope, target_id, kind ORDER BY t, seq) AS old
+FROM (SELECT *, CASE WHEN action IN ('hold', 'release') THEN 'held' WHEN action IN ('close', 'open') THEN 'closed' ELSE action END AS kind FROM controls)) WHERE old IS NULL OR old <> {'a': action, 'v': value}""")
 def j4_control_state(spark, d):
     s = stream(spark, derive.controls(spark, d), "controls", "scope", "target_id")
-    return feeds.run_available(feeds.control_state(s), place(spark, "j4")).groupBy("scope", "target_id").agg(F.count("*").alias("n"))
+    return rounded(rounded(feeds.run_available(feeds.control_state(s), place(spark, "j4")), "t"), "value", digits=6)
 
 
 @query(PUBLISHED)

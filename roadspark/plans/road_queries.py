@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from roadspark.functions.columns import fnv1a64
@@ -202,15 +204,9 @@ places AS (SELECT i_road AS road, i0 + least(greatest(t, 0), 1) * il AS s FROM m
 splits AS (SELECT road, s FROM (SELECT *, lag(s) OVER (PARTITION BY road ORDER BY s) AS p FROM places) WHERE p IS NULL OR s - p > 1e-6)"""
 
 
-@query(f"WITH {SPLITS} SELECT road, count(*) AS n FROM splits GROUP BY road")
+@query(f"WITH {SPLITS} SELECT road, CAST(row_number() OVER (PARTITION BY road ORDER BY s) - 1 AS INTEGER) AS i, round(s, 5) AS s FROM splits")
 def d5_split_points(spark, d):
-    return split(spark, d).select("road", F.size("splits").cast("long").alias("n"))
-
-
-@query(f"""WITH {SPLITS}, spans AS (SELECT road, s AS low, lead(s) OVER (PARTITION BY road ORDER BY s) AS high, row_number() OVER (PARTITION BY road ORDER BY s) - 1 AS piece FROM splits)
-SELECT road, piece, 2 + CASE WHEN sqrt(212) > low + 1e-7 AND sqrt(212) < high - 1e-7 THEN 1 ELSE 0 END AS n FROM spans WHERE high IS NOT NULL""")
-def d6_pieces(spark, d):
-    return topology.pieces(derive.roads(spark, d), split(spark, d)).select("road", F.col("piece").cast("long").alias("piece"), F.size("points").alias("n"))
+    return rounded(split(spark, d).select("road", F.posexplode("splits").alias("i", "s")), "s", digits=5)
 
 
 def fnv_sql(text: str) -> str:
@@ -230,6 +226,15 @@ used AS (SELECT row_number() OVER (ORDER BY n.r, n.p, n.e) - 1 AS node, n FROM (
 directed AS (SELECT row_number() OVER (ORDER BY road, piece, rev) - 1 AS edge, *, 'r' || road || ':' || piece AS name FROM kept, (VALUES (0), (1)) w(rev) WHERE CASE road % 3 WHEN 0 THEN true WHEN 1 THEN rev = 0 ELSE rev = 1 END)"""
 
 
+@query(f"""WITH {SNAPPED} SELECT p.road, CAST(p.piece AS INTEGER) AS piece, 2 + CASE WHEN sqrt(212) > low + 1e-7 AND sqrt(212) < high - 1e-7 THEN 1 ELSE 0 END AS n, round(a.x, 5) AS from_x, round(a.y, 5) AS from_y, round(b.x, 5) AS to_x, round(b.y, 5) AS to_y
+FROM spans p JOIN put a ON a.road = p.road AND a.piece = p.piece AND a.e = 0 JOIN put b ON b.road = p.road AND b.piece = p.piece AND b.e = 1""")
+def d6_pieces(spark, d):
+    first, last = F.col("points")[0], F.element_at("points", -1)
+    rows = topology.pieces(derive.roads(spark, d), split(spark, d))
+    rows = rows.select("road", "piece", F.size("points").alias("n"), first["x"].alias("from_x"), first["y"].alias("from_y"), last["x"].alias("to_x"), last["y"].alias("to_y"))
+    return rounded(rows, "from_x", "from_y", "to_x", "to_y", digits=5)
+
+
 @query(f"WITH {SNAPPED} SELECT road, CAST(piece AS INTEGER) AS piece, e AS end, round(f.x, 6) AS node_x, round(f.y, 6) AS node_y, f.r AS first_road, CAST(f.p AS INTEGER) AS first_piece, f.e AS first_end FROM snapped")
 def d7_snap_nodes(spark, d):
     return rounded(topology.snap_nodes(topology.pieces(derive.roads(spark, d), split(spark, d)), 0.5), "node_x", "node_y", digits=6)
@@ -511,9 +516,20 @@ def matched(spark, d, k=5):
     return spatial.match_points(derive.points(spark, d), derive.lined_edges(spark, d), k, 60.0)
 
 
-@query(f"WITH {PROJECTED} SELECT point_id, count(*) AS n, round(sum(lateral_m), 5) AS lateral_m FROM ranked WHERE rank <= 5 GROUP BY point_id")
+# all edges within the radius, since both ways of a road are equally near and the fifth may be either
+@query(f"WITH {PROJECTED} SELECT point_id, edge, round(offset_m, 5) AS offset_m, round(lateral_m, 6) AS lateral_m FROM ranked WHERE rank <= 50")
 def f1_match_points(spark, d):
-    return rounded(matched(spark, d).groupBy("point_id").agg(F.count("*").alias("n"), F.sum("lateral_m").alias("lateral_m")), "lateral_m", digits=5)
+    rows = matched(spark, d, 50).select("point_id", "edge", "offset_m", "lateral_m")
+    return rounded(rounded(rows, "lateral_m", digits=6), "offset_m", digits=5)
+
+
+@query(f"""WITH {PROJECTED}, headed AS (SELECT n.*, point_id % 4 * pi() / 2 - atan2(dy, dx) AS turn FROM near n JOIN segs USING (edge)),
+scored AS (SELECT *, lateral_m + 5 * (1 - cos(turn)) AS score FROM headed) SELECT point_id, edge, round(score, 6) AS score, round(acos(least(1, greatest(-1, cos(turn)))), 5) AS heading_diff FROM scored""")
+def f1_match_heading(spark, d):
+    """Points with a heading: the two ways of a road differ in score."""
+    asks = derive.points(spark, d).withColumn("heading", F.col("point_id") % 4 * (math.pi / 2))
+    rows = spatial.match_points(asks, derive.lined_edges(spark, d), 50, 60.0).select("point_id", "edge", "score", "heading_diff")
+    return rounded(rounded(rows, "score", digits=6), "heading_diff", digits=5)
 
 
 @query(f"WITH {PROJECTED} SELECT point_id, round(sum(exp(-(lateral_m - best) / 5) * exp(-lateral_m / 15)), 6) AS confidence FROM ranked WHERE rank <= 5 GROUP BY point_id")
@@ -521,9 +537,10 @@ def f2_match_confidence(spark, d):
     return rounded(spatial.match_confidence(matched(spark, d), 60.0).groupBy("point_id").agg(F.sum("confidence").alias("confidence")), "confidence", digits=6)
 
 
-@query(f"WITH {PROJECTED} SELECT point_id, round(lateral_m, 6) AS lateral_m FROM ranked WHERE rank = 1")
+@query(f"WITH {PROJECTED} SELECT point_id, edge // 2 AS link, round(lateral_m, 6) AS lateral_m FROM ranked WHERE rank = 1")
 def f3_pick_match(spark, d):
-    return rounded(spatial.pick_match(matched(spark, d)).select("point_id", "lateral_m"), "lateral_m", digits=6)
+    rows = spatial.pick_match(matched(spark, d)).select("point_id", F.floor(F.col("edge") / 2).alias("link"), "lateral_m")
+    return rounded(rows, "lateral_m", digits=6)
 
 
 @query("SELECT edge, round(ax + (bx - ax) * 0.25 - (yb - ay) / 100 * 2, 6) AS x, round(ay + (yb - ay) * 0.25 + (bx - ax) / 100 * 2, 6) AS y FROM lined")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadspark.operators.topology import numbered
+
 # Column names of a field mapping and what they mean here.
 MAPPING_KEYS = (
     "id_field", "oneway_field", "speed_field", "lanes_field", "road_class_field", "z_level_field", "bridge_field", "tunnel_field",
@@ -21,6 +23,16 @@ FEATURE = f"id STRING, properties MAP<STRING, STRING>, geometry STRUCT<{', '.joi
 POSITION = "array<double>"
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` just read, with where each stands: its file, the block of the file that a task reads, and its place in that."""
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _in_file_order(placed: DataFrame, name: str) -> DataFrame:
+    """Number the rows from 0 by file name, then as they stand in the file, however the files were split among tasks."""
+    return numbered(placed, ["_file", "_block", "_at"], name).drop("_file", "_block", "_at")
+
+
 def _lines(kind, text):
     """Lines of one geometry from its type and the JSON text of its coordinates."""
     line, many = F.from_json(text, f"array<{POSITION}>"), F.from_json(text, f"array<array<{POSITION}>>")
@@ -31,10 +43,11 @@ def _lines(kind, text):
 def read_roads_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(feature_ordinal, feature_id, properties, geom_type, parts) of a GeoJSON FeatureCollection, or one Feature a line.
 
-    ``parts`` holds all lines, also those in a GeometryCollection; the id falls back to the feature's ordinal.
+    ``parts`` holds all lines, also those in a GeometryCollection; the id falls back to the feature's ordinal, its place in
+    its collection, or in the order of the files and their lines.
     """
     if lines:
-        rows = spark.read.schema(FEATURE).json(path).withColumn("feature_ordinal", F.monotonically_increasing_id())
+        rows = _in_file_order(_placed(spark.read.schema(FEATURE).json(path)), "feature_ordinal")
     else:
         whole = spark.read.schema(f"features ARRAY<STRUCT<{FEATURE.replace(' ', ': ', 1).replace(', properties ', ', properties: ').replace(', geometry ', ', geometry: ')}>>").json(path, multiLine=True)
         rows = whole.select(F.posexplode("features").alias("feature_ordinal", "f")).select(F.col("feature_ordinal").cast("long").alias("feature_ordinal"), "f.*")
@@ -71,10 +84,11 @@ def apply_mapping(features: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return features.withColumns(cols)
 
 
-def _csv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+def _csv(spark: SparkSession, path: str, names: list[str], placed: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).csv(path, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return rows.select(*(F.nullif(F.col(n), F.lit("")).alias(n) for n in names))
+    rows = _placed(rows) if placed else rows
+    return rows.withColumns({n: F.nullif(F.col(n), F.lit("")) for n in names})
 
 
 def number(c: str):
@@ -105,8 +119,8 @@ def read_od(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_controls(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, t, scope, target_id, action, value): ``road`` means ``edge``; the value is 1 by default; seq keeps the order."""
-    rows = _csv(spark, path, ["time_s", "scope", "target_id", "action", "value"]).withColumn("seq", F.monotonically_increasing_id())
+    """(seq, t, scope, target_id, action, value): ``road`` means ``edge``; the value is 1 by default; seq is the order of the files and their lines."""
+    rows = _in_file_order(_csv(spark, path, ["time_s", "scope", "target_id", "action", "value"], placed=True), "seq")
     scope = F.when(F.lower("scope") == "road", "edge").otherwise(F.lower("scope"))
     return rows.where(number("time_s").isNotNull()).select("seq", number("time_s").alias("t"), scope.alias("scope"), F.col("target_id").try_cast("long").alias("target_id"), F.lower("action").alias("action"), F.coalesce(number("value"), F.lit(1.0)).alias("value"))
 
