@@ -119,30 +119,30 @@ def recurring(by_family: bool) -> Column:
     return (F.col("texts") >= MIN_TEXTS) & (F.col("kinds") >= MIN_KINDS) & (F.col("kinds") >= KINDS_SHARE * F.col("texts"))
 
 
-def templates(lines: DataFrame, by_family: bool) -> DataFrame:
-    """Of each line (``k_id``, ``k_text``, ``line``, ``leaf``, ``kind``, ``m``): the key of its template, if that has enough fixed tokens.
+def templates(lines: DataFrame) -> DataFrame:
+    """(``whole``, ``template``) of the different masked lines (``whole``, ``leaf``, ``kind``, ``m``) that have enough fixed tokens.
 
-    At the leaf a token is fixed if it recurs at its place; all others there are variable fields, however many stand side by side.
+    At the leaf a token is fixed if lines of ``MIN_KINDS`` kinds have it at its place; all others there are variable fields, however
+    many stand side by side.  Lines that repeat another of their kind count once.
     """
-    at = ["leaf", "place", "token"]
-    tokens = lines.select("k_id", "k_text", "line", "leaf", "kind", F.posexplode(F.transform(F.split("m", " "), lambda t: F.xxhash64(t))).alias("place", "token"))
-    free = F.col("place") >= LEADING
-    fixed = counted(tokens.where(free), *at).where(recurring(by_family)).select(*at, F.lit(True).alias("fixed"))
-    told = tokens.join(fixed, at, "left").withColumn("kept", F.coalesce(F.col("fixed"), ~free))
-    told = told.groupBy("k_id", "k_text", "line", "leaf", "kind").agg(
-        F.xxhash64("leaf", F.sort_array(F.collect_set(F.when(F.col("kept"), F.struct("place", "token"))))).alias("template"),
-        F.count_if(F.col("kept")).alias("n_fixed"),
-        F.count("*").alias("n"),
-    )
-    return told.where((F.col("n_fixed") >= LEAST_FIXED) & (F.col("n_fixed") >= FIXED_SHARE * F.col("n")))
+
+    def tokens(rows: DataFrame, *kept: str) -> DataFrame:
+        spread = rows.select(*kept, "leaf", F.size(F.split("m", " ")).alias("n"), F.posexplode(F.split("m", " ")).alias("place", "token"))
+        return spread.where(F.col("place") >= LEADING).select(*kept, "leaf", "n", F.xxhash64("leaf", "place", "token").alias("key"))
+
+    apart = lines.groupBy("leaf", "whole", "kind").agg(F.any_value("m").alias("m"))
+    fixed = tokens(apart, "kind").select("key", "kind").distinct().groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= MIN_KINDS)
+    told = tokens(lines.groupBy("leaf", "whole").agg(F.any_value("m").alias("m")), "whole").join(fixed, "key", "left_semi")
+    told = told.groupBy("whole", "leaf", "n").agg(F.xxhash64("leaf", F.sort_array(F.collect_list("key"))).alias("template"), (F.count("*") + LEADING).alias("n_fixed"))
+    return told.where((F.col("n_fixed") >= LEAST_FIXED) & (F.col("n_fixed") >= FIXED_SHARE * F.col("n"))).select("whole", "template")
 
 
 def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) -> DataFrame:
     """Drop from each text the lines with a template that recurs; add ``n_lines`` and ``n_dropped``.
 
-    The tree has a leaf for each token count and leading tokens.  At a leaf, tokens that recur at their place are fixed
-    and the others are fields; a line's template is its leaf with its fixed tokens, at least three and half of all.  A whole
-    line is a template too.  A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
+    A whole line is a template.  For those that don't recur, the tree has a leaf for each token count and leading tokens.  At
+    a leaf, tokens that recur at their place are fixed and the others are fields; a line's template is its leaf with its fixed tokens,
+    at least three and half of all.  A template recurs if ``MIN_TEXTS`` different texts have it, of ``MIN_KINDS`` kinds and of one kind for
     every two texts at least.  So lines that recur because whole documents were copied stay for near-dedup,
     which keeps one of each group.  That is the rule of the registered query's SQL.  With ``by_family`` a template
     recurs if ``MIN_KINDS`` families of texts have it (see ``families``), and for whole lines of many tokens fewer (``LONG``);
@@ -158,9 +158,9 @@ def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) ->
     found = stored(counted(keyed.where("key IS NOT NULL"), "depth", "key", need=need).where((F.col("kinds") >= MIN_KINDS) | recurring(by_family)), "recurring")
     again = found.where(F.col("depth") == 0).where(recurring(by_family)).select(F.col("key").alias("whole"))
     shared = found.where(F.col("depth") == 1).where(F.col("kinds") >= MIN_KINDS).select(F.col("key").alias("leaf"))
-    rest = lines.join(shared, "leaf", "left_semi").select("k_id", "k_text", "line", "leaf", "kind", "m")
-    made = templates(stored(rest, "leaves"), by_family)
-    made = stored(made.select("k_id", "k_text", "line", "template", "kind"), "templates")
+    rest = lines.join(shared, "leaf", "left_semi").join(again, "whole", "left_anti")
+    rest = stored(rest.select("k_id", "k_text", "line", "whole", "leaf", "kind", "m"), "leaves")
+    made = stored(rest.drop("m", "leaf").join(templates(rest), "whole"), "templates")
     hit = made.join(counted(made, "template").where(recurring(by_family)), "template", "left_semi").select("k_id", "k_text", "line")
     hit = hit.unionByName(lines.join(again, "whole", "left_semi").select("k_id", "k_text", "line"))
     gone = hit.groupBy("k_id", "k_text").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"k_id": "__k_id", "k_text": "__k_text"})

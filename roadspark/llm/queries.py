@@ -44,11 +44,8 @@ wholes AS (
 ),
 leaved AS (SELECT *, len(t) || ' ' || t[1] || ' ' || t[2] AS leaf FROM placed WHERE len(t) >= 4),
 leaves AS (SELECT leaf FROM (SELECT leaf, text, min(kind) AS kind FROM leaved GROUP BY leaf, text) GROUP BY leaf HAVING count(DISTINCT kind) >= 5),
-spread AS (SELECT doc_id, text, i, leaf, kind, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM leaved WHERE leaf IN (SELECT leaf FROM leaves)),
-fixed AS (
-  SELECT leaf, p, token FROM (SELECT leaf, p, token, text, min(kind) AS kind FROM spread WHERE p > 2 GROUP BY leaf, p, token, text) GROUP BY leaf, p, token
-  HAVING count(*) >= 5 AND count(DISTINCT kind) >= 5 AND count(DISTINCT kind) >= 0.5 * count(*)
-),
+spread AS (SELECT doc_id, text, i, leaf, kind, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM leaved WHERE leaf IN (SELECT leaf FROM leaves) AND m NOT IN (SELECT m FROM wholes)),
+fixed AS (SELECT leaf, p, token FROM spread WHERE p > 2 GROUP BY leaf, p, token HAVING count(DISTINCT kind) >= 5),
 made AS (
   SELECT doc_id, text, i, kind, leaf || ' ' || string_agg(CASE WHEN p <= 2 OR f THEN token ELSE '<*> ' END, ' ' ORDER BY p) AS template,
     count(*) AS n, count(*) FILTER (p <= 2 OR f) AS n_fixed
