@@ -6,6 +6,8 @@ together: one round relaxes the whole frontier by a join and keeps the least cos
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,25 +63,35 @@ def direct_option(starts: DataFrame, goals: DataFrame, edges: DataFrame) -> Data
     return rows.groupBy("od_id").agg(F.min("d").alias("d")).select("od_id", "d.*")
 
 
+#: Rounds whose new states stay apart before they are merged with the others.
+MERGED_AFTER = 8
+
+
 def relax(start: DataFrame, step, keys: list[str], goals: DataFrame | None, best_of, rounds: int = MOST_ROUNDS) -> DataFrame:
     """Settle states: ``start`` and what ``step`` makes of a frontier have ``keys``, cost and path.
 
-    A round keeps of each state the least (cost, path).  States that cost more than the best known total of their
-    pair (``best_of`` of the settled states) are dropped.  Every round is written to the shared folder; only whether
-    the frontier is empty comes to the driver.
+    A state keeps the least cost; at equal cost the way found in an earlier round, then the lesser path.  States that cost
+    more than the best known total of their pair (``best_of`` of the settled states) are dropped.  A round writes its
+    improvements only, to the shared folder, and reads of the states before it no more than keys and costs; every
+    ``MERGED_AFTER`` rounds they are merged.  Only whether the frontier is empty comes to the driver.
     """
     least = F.min(F.struct("cost", "path")).alias("s")
-    settled = stored(start.groupBy(*keys).agg(least).select(*keys, "s.*", F.lit(True).alias("fresh")), "settled")
+    merged = lambda frames: reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(least).select(*keys, "s.*")
+    front = stored(merged([start.select(*keys, "cost", "path")]), "settled")
+    made_so_far = [front]
     for _ in range(rounds):
-        front = settled.where("fresh").drop("fresh")
         if front.isEmpty():
-            return settled.drop("fresh")
-        made = step(front)
+            return merged(made_so_far)
+        made = step(front).select(*keys, "cost", "path")
+        seen = reduce(DataFrame.unionByName, made_so_far)
         if best_of is not None:
-            made = made.join(best_of(settled).select("od_id", "total"), "od_id", "left").where(F.col("total").isNull() | (F.col("cost") <= F.col("total"))).drop("total")
-        rows = settled.select(*keys, "cost", "path", F.lit(0).alias("made")).unionByName(made.select(*keys, "cost", "path", F.lit(1).alias("made")))
-        kept = rows.groupBy(*keys).agg(F.min(F.struct("cost", "made", "path")).alias("s"))
-        settled = stored(kept.select(*keys, "s.cost", "s.path", (F.col("s.made") == 1).alias("fresh")), "settled")
+            made = made.join(best_of(seen).select("od_id", "total"), "od_id", "left").where(F.col("total").isNull() | (F.col("cost") <= F.col("total"))).drop("total")
+        known = seen.groupBy(*keys).agg(F.min("cost").alias("known"))
+        better = merged([made]).join(known, keys, "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
+        front = stored(better, "settled")
+        made_so_far.append(front)
+        if len(made_so_far) > MERGED_AFTER:
+            made_so_far = [stored(merged(made_so_far), "settled")]
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
@@ -89,13 +101,13 @@ def sssp_nodes(starts: DataFrame, goals: DataFrame, edges: DataFrame) -> DataFra
     ``starts`` and ``goals`` have (od_id, edge, node, extra); costs count from the start position.
     """
     first = starts.select("od_id", "node", F.col("extra").alias("cost"), F.array("edge").alias("path"))
-    out = edges.select(F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step"))
+    out = stored(edges.select(F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step")), "out")
 
     def step(front: DataFrame) -> DataFrame:
         rows = front.join(out, "node")
         return rows.select("od_id", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("edge")).alias("path"))
 
-    ends = goals.select("od_id", "node", "extra")
+    ends = stored(goals.select("od_id", "node", "extra"), "ends")
 
     def best(settled: DataFrame) -> DataFrame:
         return settled.join(ends, ["od_id", "node"]).groupBy("od_id").agg(F.min(F.col("cost") + F.col("extra")).alias("total"))
@@ -243,8 +255,8 @@ def k_shortest(starts: DataFrame, goals: DataFrame, edges: DataFrame, k: int = 4
     with that root go on.  All spurs are rows of one search.
     """
     k = min(k, 8)
-    out = edges.select("edge", F.col("from_node").alias("node"), "to_node", F.col("cost").alias("step"))
-    ends = goals.select("od_id", F.col("node").alias("goal"))
+    out = stored(edges.select("edge", F.col("from_node").alias("node"), "to_node", F.col("cost").alias("step")), "out")
+    ends = stored(goals.select("od_id", F.col("node").alias("goal")), "ends")
 
     def search(spurs: DataFrame) -> DataFrame:
         """``spurs`` (od_id, spur, node, cost, path, met, banned) to their goals: (od_id, cost, edges)."""
@@ -290,6 +302,7 @@ def landmark_tables(edges: DataFrame, count: int = 8) -> DataFrame:
 
     The first is the lowest node with an edge; farthest is by the nearest landmark, ties by the lower node.
     """
+    edges = stored(edges.select("edge", "from_node", "to_node", "cost"), "out")
     nodes = stored(edges.select(F.col("from_node").alias("node")).union(edges.select("to_node")).distinct(), "nodes")
     turned = edges.withColumns({"from_node": F.col("to_node"), "to_node": F.col("from_node")})
     pick, tables = nodes.agg(F.min("node").alias("node")), None
