@@ -11,7 +11,7 @@ from roadspark.operators import experiments as exp
 from roadspark.operators import quality, routing, trips
 from roadspark.plans import derive
 from roadspark.plans.derive import with_sql
-from roadspark.plans.road_queries import changes
+from roadspark.plans.road_queries import REVERSALS, changes
 from roadspark.plans.trip_queries import PUBLISHED
 from roadspark.plans.trip_queries import rounded, visits
 from roadspark.sources import readers, sinks
@@ -306,7 +306,7 @@ def j5_cost_changes(spark, d):
     return rounded(rounded(rows, "t"), "old", "new", digits=6)
 
 
-@query()
+@query(REVERSALS)
 def j6_reversals(spark, d):
     return feeds.run_available(feeds.reversals(stream(spark, changes(spark, d), "changes", "vehicle_id")), place(spark, "j6"))
 

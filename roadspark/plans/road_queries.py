@@ -737,10 +737,19 @@ def g8_plan_cost(spark, d):
     return rounded(routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d)).select("od_id", "status", "cost"), "cost")
 
 
-@query()
+# an edge costs 8 to 16, so ways of four edges, of which there is one at least, cost less than those of eight; all up to six are listed
+@query("""WITH costs AS (SELECT *, 8 + edge * 37 % 64 * CAST(0.125 AS DOUBLE) AS cost FROM edges),
+grow(od_id, node, goal, cost, edges, met) AS (SELECT node, node, node + 11, CAST(0 AS DOUBLE), CAST([] AS BIGINT[]), [node] FROM nodes WHERE node % 10 < 9 AND node + 11 IN (SELECT node FROM nodes)
+UNION ALL SELECT g.od_id, c.to_node, g.goal, g.cost + c.cost, list_append(g.edges, c.edge), list_append(g.met, c.to_node) FROM grow g JOIN costs c ON c.from_node = g.node WHERE g.node <> g.goal AND len(g.edges) < 6 AND NOT list_contains(g.met, c.to_node)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY od_id ORDER BY cost, edges) AS rank FROM grow WHERE node = goal)
+SELECT od_id, CAST(rank AS INTEGER) AS rank, cost, array_to_string(edges, ',') AS edges FROM ranked WHERE rank <= 3""")
 def g9_k_shortest(spark, d):
-    starts, goals = node_od(spark, d)
-    return routing.k_shortest(starts, goals, costs(spark, d), 3)
+    """Three ways from each node to the one across its block."""
+    n = derive.nodes(spark, d).select(F.col("node").alias("od_id"), "node").where("node % 10 < 9")
+    goals = n.select("od_id", (F.col("node") + 11).alias("node")).join(derive.nodes(spark, d).select("node"), "node", "left_semi")
+    starts = n.join(goals.select("od_id"), "od_id", "left_semi")
+    edges = routing.with_user_cost(derive.edges(spark, d), 8 + F.col("edge") * 37 % 64 * 0.125)
+    return routing.k_shortest(starts, goals, edges, 3).withColumn("edges", F.array_join(F.col("edges").cast("array<string>"), ","))
 
 
 LANDMARKS = f"""{spread_sql('one', 'SELECT min(node), min(node), CAST(0 AS DOUBLE) FROM nodes')}, picked AS (SELECT min(node) AS node FROM nodes UNION ALL SELECT arg_max(node, {{'c': cost, 'n': -node}}) FROM one),
@@ -783,10 +792,21 @@ def g13_timed_duration(spark, d):
     return rounded(e.select("edge", routing.timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.lit(100000.0)).alias("seconds")), "seconds", digits=6)
 
 
-@query()
+def arrival_sql(length: str, depart: str) -> str:
+    """When ``length`` metres from ``depart`` are driven at ``speed`` times the last of ``changes``."""
+    step = "CASE WHEN c.t <= a.t THEN {'t': a.t, 'rest': a.rest, 'f': c.f} WHEN a.rest > (c.t - a.t) * speed * a.f THEN {'t': c.t, 'rest': a.rest - (c.t - a.t) * speed * a.f, 'f': c.f} ELSE a END"
+    return f"list_transform([list_reduce(list_prepend({{'t': CAST({depart} AS DOUBLE), 'rest': CAST({length} AS DOUBLE), 'f': CAST(1 AS DOUBLE)}}, changes), lambda a, c: {step})], lambda e: e.t + e.rest / (speed * e.f))[1]"
+
+
+@query(f"""WITH {OD}, {ALLOWED}, costs AS (SELECT *, 0 AS cost FROM edges), marks AS (SELECT target_id AS edge, list({{'t': greatest(0, ceil((t - 1e-9) / 60) * 60), 'rest': CAST(0 AS DOUBLE), 'f': value}} ORDER BY greatest(0, ceil((t - 1e-9) / 60) * 60), seq) AS changes FROM controls WHERE scope = 'edge' AND action = 'speed_factor' AND value BETWEEN 0.05 AND 3 GROUP BY target_id),
+timed AS (SELECT e.edge, speed_limit_mps AS speed, length_m, coalesce(changes, []) AS changes FROM edges e LEFT JOIN marks USING (edge)),
+reached(od_id, edge, cost) USING KEY (od_id, edge) AS (SELECT od_id, edge, {arrival_sql('70', '100000')} FROM od JOIN timed ON edge = from_edge
+UNION SELECT n.od_id, n.edge, min(n.cost) FROM (SELECT d.od_id, t.edge, {arrival_sql('length_m', 'd.cost + a.penalty_s')} AS cost FROM reached d JOIN allowed a ON a.from_edge = d.edge JOIN timed t ON t.edge = a.to_edge) n
+  LEFT JOIN recurring.reached r ON r.od_id = n.od_id AND r.edge = n.edge WHERE r.cost IS NULL OR n.cost < r.cost - 1e-9 GROUP BY n.od_id, n.edge)
+SELECT od_id, edge, round(cost, 5) AS cost FROM reached""")
 def g14_sssp_timed(spark, d):
     starts = od(spark, d).select("od_id", F.col("from_edge").alias("edge"), F.lit(70.0).alias("length_m"), F.lit(100000.0).alias("depart_s"))
-    return routing.sssp_timed(starts, derive.edges(spark, d), derive.turns(spark, d), profile(spark, d)).select("od_id", "edge", "cost")
+    return routing.sssp_timed(starts, derive.edges(spark, d), derive.turns(spark, d), profile(spark, d)).select("od_id", "edge", F.round("cost", 5).alias("cost"))
 
 
 @query(f"""WITH {COSTS}, {ALLOWED}, steps AS (SELECT route_id, pos, edge, lag(edge) OVER (PARTITION BY route_id ORDER BY pos) AS from_edge FROM routes),
@@ -893,7 +913,18 @@ def changes(spark, d):
     )
 
 
-@query()
+# all these changes start at the first edge of both routes, so evidence is lost by order, time and unknown rows only
+REVERSALS = """WITH changes AS (SELECT vehicle_id, seq, t, seq % 11 <> 0 AS success, seq % 13 <> 0 AS known, seq % 2 AS old, seq % 3 AS new, row_number() OVER (PARTITION BY vehicle_id ORDER BY seq) AS n FROM samples),
+fold(vehicle_id, n, seq, reversal, route, since, lost, remains) AS (SELECT DISTINCT vehicle_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), false, CAST(NULL AS BIGINT) FROM changes
+UNION ALL SELECT vehicle_id, n, seq, CASE WHEN success AND known AND NOT gone THEN old <> new AND coalesce(new = kept, false) END,
+  CASE WHEN NOT success THEN route WHEN known THEN new END, CASE WHEN NOT success THEN since WHEN known THEN t END,
+  CASE WHEN NOT success THEN lost WHEN NOT known THEN true ELSE old = new AND gone END, CASE WHEN NOT success THEN remains WHEN NOT known THEN NULL WHEN old <> new THEN old ELSE kept END
+FROM (SELECT c.*, route, since, lost, remains, lost OR NOT follows AS gone, CASE WHEN follows THEN remains END AS kept
+  FROM (SELECT c.*, route, since, lost, remains, route IS NULL OR (route = old AND t >= since) AS follows FROM (SELECT vehicle_id, n, route, since, lost, remains FROM fold) f JOIN changes c ON c.vehicle_id = f.vehicle_id AND c.n = f.n + 1) c))
+SELECT vehicle_id, seq, reversal FROM fold WHERE n > 0"""
+
+
+@query(REVERSALS)
 def i14_reversals(spark, d):
     return reroute.reversals(changes(spark, d))
 
