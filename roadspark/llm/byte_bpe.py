@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     """Add ``token_ids`` (ids of the whole text as little-endian unsigned 32-bit integers) and ``n_tokens``.
 
     Each match of ``pattern`` is merged by itself; no special tokens.  A null text counts as empty and has
-    no ids; repeated rows stay; columns named like the new ones are replaced.  ``path`` names the rank file,
+    no ids; repeated rows stay; an empty table gives an empty one; columns named like the new ones are replaced.  ``path`` names the rank file,
     which every executor has.
     """
     schema = with_fields(docs, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()))
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "token_ids") -> DataFrame:
-    """Add ``decoded``, the bytes that the packed ``ids`` stand for; null ids give empty bytes."""
+    """Add ``decoded``, the bytes that the packed ``ids`` stand for; null ids give empty bytes, an empty table an empty one."""
     schema = with_fields(encoded, T.StructField("decoded", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

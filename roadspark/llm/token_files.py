@@ -174,7 +174,7 @@ def positions(spark: SparkSession, at: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, to: str | None = None) -> DataFrame:
-    """Write the token files of ``docs`` (below ``to``, else a new folder of the shared ones) and read their positions back."""
+    """Write the token files of ``docs`` (below ``to``, else a new folder of the shared ones) and read their positions back; none for an empty table."""
     spark = docs.sparkSession
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(docs, tokenizer, to, end_id)

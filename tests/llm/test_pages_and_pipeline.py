@@ -137,6 +137,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[3] == seen[4] == [*range(20), 30]
 
 
+def test_pipeline_stages_of_empty_tables(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "some words of a text that stands alone", "en", "s", 38), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    full = spark.createDataFrame(rows, columns).withColumns({c: F.lit("mine") for c in ("k_id", "k_text", "item_id", "token_ids", "decoded", "n_tokens")})
+    full.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        none = stage(spark, full.where("false"), str(tmp_path))
+        assert none.count() == 0 and (none.columns == full.columns or name == "byte-level BPE")
+    kept = stages["benchmark decontamination"](spark, full, str(tmp_path))
+    assert kept.columns == full.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    got = {r.doc_id: r.n_tokens for r in stages["byte-level BPE"](spark, full, str(tmp_path)).collect()}
+    assert got[1] > 0 and got[2] == got[3] == 0
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] == [1]
+
+
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
