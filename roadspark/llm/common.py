@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,3 +70,28 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two columns ``k_id``, ``k_text`` that tell rows apart by id and whole text; equal rows share them."""
     return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k_id"), F.xxhash64(id_col, text_col).alias("k_text")]
+
+
+def ranged_sums(df: DataFrame, order: list[str], within: list[str], sums: dict[str, str], what: str, deal: list[Column] | None = None) -> DataFrame:
+    """Stored ``df`` with ``place``, which orders its rows by ``order``, and running sums before each row in its group.
+
+    ``sums`` maps columns to the names of their sums over the rows of the same ``within`` that stand before; ``within`` begins
+    ``order``.  Rows are dealt out by ranges of ``order`` (or of ``deal``, coarser columns in the same order), summed inside a range, and
+    the few rows (one for each group and range) that carry sums over are summed again, so a group of any size spreads over tasks.
+    Null groups are groups.
+    """
+    placed = df.repartitionByRange(*(deal or [F.col(c) for c in order])).sortWithinPartitions(*order)
+    placed = stored(placed.withColumn("place", F.monotonically_increasing_id()), what)
+    placed = placed.withColumn("_range", F.shiftright("place", 33))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(before.partitionBy(*within, "_range").orderBy("place")), F.lit(0)) for c in sums})
+    carried = placed.groupBy(*within, "_range").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
+    carried = carried.select(*(F.col(c).alias(f"_g_{c}") for c in within), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_all_{c}").over(before.partitionBy(*within).orderBy("_range")), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    same = [inside["_range"] == carried["_r"], *(inside[c].eqNullSafe(carried[f"_g_{c}"]) for c in within)]
+    return inside.join(carried, same).select(*df.columns, "place", *((F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(n) for c, n in sums.items()))
+
+
+def ranged_numbers(df: DataFrame, order: list[str], name: str, what: str) -> DataFrame:
+    """``df`` with dense numbers from 0 in ``order``."""
+    counted = ranged_sums(df.withColumns({"_one": F.lit(1).cast("long"), "_all": F.lit(0)}), ["_all", *order], ["_all"], {"_one": name}, what)
+    return counted.drop("_one", "_all", "place")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, token_files, url_filter, vector_links
+from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, source_mix, token_files, url_filter, vector_links
 from roadspark.llm.common import table
 
 
@@ -108,6 +108,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "by_method")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.taken(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -120,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_main_text": op9_main_text,
         "op10_url_filter": op10_url_filter,
+        "op11_source_mix": op11_source_mix,
     }
 
 
