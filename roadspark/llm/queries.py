@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, decontamination, language_id, line_templates, main_text, near_duplicates, secret_scan, source_mix, token_files, url_filter, vector_links
+from roadspark.llm import byte_bpe, decontamination, hard_negatives, language_id, line_templates, main_text, near_duplicates, secret_scan, source_mix, token_files, url_filter, vector_links
 from roadspark.llm.common import table
 
 
@@ -113,6 +113,33 @@ def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.drop("source")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label, "embedding")
+    return hard_negatives.mine(vectors, anchor=F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
+#: The same in DuckDB SQL: anchors against all rows.
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+p AS (
+  SELECT a.vec_id AS anchor_id, a.label, a.v, v.vec_id AS positive_id, CAST(list_sum(list_transform(list_zip(a.v, v.v), lambda z: z[1] * z[2])) AS BIGINT) AS positive_score
+  FROM a JOIN v ON a.label = v.label AND a.vec_id <> v.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY positive_score DESC, v.vec_id) <= 5
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS negative_id, CAST(list_sum(list_transform(list_zip(a.v, v.v), lambda z: z[1] * z[2])) AS BIGINT) AS negative_score
+  FROM a JOIN v ON a.label <> v.label
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM p JOIN s USING (anchor_id) WHERE 80 * positive_score <= 100 * negative_score AND 100 * negative_score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -126,8 +153,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_main_text": op9_main_text,
         "op10_url_filter": op10_url_filter,
         "op11_source_mix": op11_source_mix,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_templates": OP3_SQL}
+    return {"op3_line_templates": OP3_SQL, "op12_hard_negatives": OP12_SQL}
