@@ -72,10 +72,10 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k_id"), F.xxhash64(id_col, text_col).alias("k_text")]
 
 
-def _placed(df: DataFrame, order: list[str], what: str, deal: list[Column] | None = None) -> DataFrame:
+def _placed(df: DataFrame, order: list[str], what: str, deal: list[Column] | None = None, keep: list[Column] | None = None) -> DataFrame:
     """Stored ``df`` with ``place``, which orders its rows by ``order``; its upper bits name the range, the lower 33 count from 0 in it."""
     placed = df.repartitionByRange(*(deal or [F.col(c) for c in order])).sortWithinPartitions(*order)
-    return stored(placed.withColumn("place", F.monotonically_increasing_id()), what)
+    return stored(placed.select(*(keep or df.columns), F.monotonically_increasing_id().alias("place")), what)
 
 
 def ranged_numbers(df: DataFrame, order: list[str], name: str, what: str) -> DataFrame:
@@ -87,18 +87,20 @@ def ranged_numbers(df: DataFrame, order: list[str], name: str, what: str) -> Dat
     return placed.withColumn("_range", at).join(before, "_range").withColumn(name, F.col("_before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, name)
 
 
-def ranged_sums(df: DataFrame, order: list[str], within: list[str], sums: dict[str, str], what: str, deal: list[Column] | None = None) -> DataFrame:
+def ranged_sums(df: DataFrame, order: list[str], within: list[str], sums: dict[str, str], what: str, deal: list[Column] | None = None, keep: list[Column] | None = None) -> DataFrame:
     """Stored ``df`` with ``place`` (the order of its rows) and running sums before each row in its group.
 
     ``sums`` maps columns to the names of their sums over the rows of the same ``within`` that stand before; ``within`` begins
     ``order``.  Rows are dealt out by ranges of ``order`` (or of ``deal``, coarser columns in the same order), summed inside a range, and
     the few rows (one for each group and range) that carry sums over are summed again, so a group of any size spreads over tasks.
-    Null groups are groups.
+    Null groups are groups.  ``keep`` says what is kept of the rows once they are in order, all columns if it isn't given.
     """
-    placed = _placed(df, order, what, deal).withColumn("_range", F.shiftright("place", 33))
+    placed = _placed(df, order, what, deal, keep)
+    names = placed.columns
+    placed = placed.withColumn("_range", F.shiftright("place", 33))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(before.partitionBy(*within, "_range").orderBy("place")), F.lit(0)) for c in sums})
     carried = placed.groupBy(*within, "_range").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
     carried = carried.select(*(F.col(c).alias(f"_g_{c}") for c in within), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_all_{c}").over(before.partitionBy(*within).orderBy("_range")), F.lit(0)).alias(f"_before_{c}") for c in sums))
     same = [inside["_range"] == carried["_r"], *(inside[c].eqNullSafe(carried[f"_g_{c}"]) for c in within)]
-    return inside.join(carried, same).select(*df.columns, "place", *((F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(n) for c, n in sums.items()))
+    return inside.join(carried, same).select(*names, *((F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(n) for c, n in sums.items()))

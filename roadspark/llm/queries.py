@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadspark.llm import byte_bpe, decontamination, hard_negatives, language_id, line_templates, main_text, near_duplicates, secret_scan, source_mix, token_files, url_filter, vector_links
+from roadspark.llm import byte_bpe, decontamination, hard_negatives, language_id, line_templates, main_text, near_duplicates, prefix_trie, secret_scan, source_mix, token_files, url_filter, vector_links
 from roadspark.llm.common import table
 
 
@@ -140,6 +140,47 @@ QUALIFY rank <= 5
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+#: The same in DuckDB SQL: prefixes as lists of digests; CRC-32 is folded over the bits of the decimal digits.
+OP13_SQL = """
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (
+  SELECT c, c - c % 5 AS base, own, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS own FROM o GROUP BY c)
+),
+r AS (
+  SELECT ids.c, 0 AS part, o.n, o.role, o.text FROM ids JOIN o ON o.c = ids.base WHERE o.n < ids.h
+  UNION ALL SELECT ids.c, 1, o.n, o.role, o.text FROM ids JOIN o ON o.c = ids.c WHERE o.n >= ids.h
+),
+t AS (SELECT c, row_number() OVER w AS depth, sha256(concat(length(role), ':', role, text)) AS digest, strlen(text) AS n_bytes FROM r WINDOW w AS (PARTITION BY c ORDER BY part, n)),
+p AS (
+  SELECT c, depth, n_bytes, sha256(string_agg(digest, ' ') OVER w) AS k, count(*) OVER (PARTITION BY c) AS len FROM t WINDOW w AS (PARTITION BY c ORDER BY depth)
+  UNION ALL SELECT ids.c, 0, 0, '', (SELECT count(*) FROM t WHERE t.c = ids.c) FROM ids
+),
+nodes AS (
+  SELECT k, min(c) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(n_bytes) AS n_bytes,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (depth = len), '')) AS ends_sha256
+  FROM p GROUP BY k
+),
+up AS (SELECT nodes.k, p.k AS above, p.depth = nodes.depth - 1 AS direct FROM nodes JOIN p ON p.c = nodes.conv_id AND p.depth <= nodes.depth),
+kids AS (SELECT above, count(*) AS n_children FROM up WHERE direct GROUP BY above),
+sums AS (
+  SELECT up.above, CAST(sum((n_convs - 1) * n_bytes) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children IS NULL) AS n_leaves
+  FROM up JOIN nodes USING (k) LEFT JOIN kids ON kids.above = up.k GROUP BY up.above
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.above = n.k
+LEFT JOIN kids ON kids.above = n.k LEFT JOIN up ON up.k = n.k AND up.direct LEFT JOIN nodes m ON m.k = up.above
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -154,8 +195,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_url_filter": op10_url_filter,
         "op11_source_mix": op11_source_mix,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_templates": OP3_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op3_line_templates": OP3_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
