@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from roadspark.llm.common import map_batches, ranged_numbers, stored
 
-#: Rows of one bucket, and bytes of the vectors (8 a component) of one group of buckets, which a worker holds.
+#: Rows of one bucket at most; rows from which on it ends where lengths fall below this share of its longest; and bytes of the vectors (8 a component) of one group of buckets, which a worker holds.
 BUCKET_ROWS = 2048
+LEAST_ROWS, LENGTH_SHARE = 128, 0.9
 GROUP_BYTES = 8 << 20
 
 #: Coordinates whose feasible ranges are intersected, and the share of a bucket beyond which it is verified as a whole.
@@ -28,6 +29,16 @@ WHOLE = 0.5
 KEPT_LENGTHS = 4096
 
 
+def bucket_edges(lengths: np.ndarray) -> list[int]:
+    """Where buckets of rows in the order of falling lengths begin, and the end of the last."""
+    edges = [0]
+    while edges[-1] < len(lengths):
+        a = edges[-1]
+        low = np.flatnonzero(lengths[a + LEAST_ROWS : a + BUCKET_ROWS] < LENGTH_SHARE * lengths[a])
+        edges.append(min(a + LEAST_ROWS + int(low[0]) if len(low) else a + BUCKET_ROWS, len(lengths)))
+    return edges
+
+
 def integers(vectors: DataFrame, vec: str = "embedding", scale: int = 256) -> DataFrame:
     """``vectors`` with ``v``, the floor of ``scale`` times each component, and its ``length``; null or non-finite vectors go.
 
@@ -86,9 +97,9 @@ class Group:
         ids, labels, vectors = (np.concatenate([r[k] for r in rows]) for k in range(3))
         # sums of products below 2^53 are exact as doubles
         self.exact = bool(len(vectors)) and np.abs(vectors.astype("f8")).max(initial=0) ** 2 * max(vectors.shape[1], 1) < 2**53
-        at = range(0, len(ids), BUCKET_ROWS)
-        self.buckets = [Bucket(ids[a : a + BUCKET_ROWS], labels[a : a + BUCKET_ROWS], vectors[a : a + BUCKET_ROWS].astype("f8" if self.exact else "i8")) for a in at]
-        self.width = vectors.shape[1]
+        vectors = vectors.astype("f8" if self.exact else "i8")
+        edges = bucket_edges(np.sqrt((vectors.astype("f8") ** 2).sum(axis=1)))
+        self.buckets = [Bucket(ids[a:b], labels[a:b], vectors[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def search(self, anchor: int, label: int, vector: np.ndarray, same: bool, windows: list[tuple[float, float]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window (low, high) the ids and scores of the first ``k`` rows in it, greatest score and then least id first.
@@ -168,13 +179,16 @@ def first_of(found: DataFrame, by: list[str], k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _met(rows: DataFrame, anchors: DataFrame, same: bool, k: int) -> DataFrame:
-    """``rows`` (with ``group``) and ``anchors`` (with ``first`` and ``last``, the groups to search, and ``wanted``) group by group."""
+def _met(rows: DataFrame, anchors: DataFrame, groups: int, same: bool, k: int) -> DataFrame:
+    """``rows`` (with ``group``) and ``anchors`` (with ``first`` and ``last``, the groups to search, and ``wanted``) group by group.
+
+    As many tasks as groups: the work of a group is its anchors times its rows, which its bytes don't tell.
+    """
     columns = ["group", "is_anchor", "place", "vec_id", "label", "v", "wanted"]
     kind = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("score", T.LongType()), ("low", T.DoubleType()), ("high", T.DoubleType()))]))
     held = rows.select("group", F.lit(False).alias("is_anchor"), F.col("rank").alias("place"), "vec_id", "label", "v", F.lit(None).cast(kind).alias("wanted"))
     sent = anchors.where(F.col("last") >= F.col("first")).select(F.explode(F.sequence("first", "last")).alias("group"), F.lit(True).alias("is_anchor"), F.col("vec_id").alias("place"), "vec_id", "label", "v", F.col("wanted").cast(kind).alias("wanted"))
-    dealt = held.select(columns).unionByName(sent.select(columns)).repartition("group").sortWithinPartitions("group", "is_anchor", "place")
+    dealt = held.select(columns).unionByName(sent.select(columns)).repartition(groups, "group").sortWithinPartitions("group", "is_anchor", "place")
     return map_batches(dealt, searched(same, k), FOUND)
 
 
@@ -200,18 +214,18 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
     rows = rows.withColumn("shorter", -F.col("length"))
     in_group = max(BUCKET_ROWS, GROUP_BYTES // (8 * width))
+    groups = max(1, -(-n // in_group))
 
     # positives: rows by label and length; an anchor visits the groups that hold its label
     by_label = ranged_numbers(rows, ["label", "shorter", "vec_id"], "rank", "by-label").withColumn("group", F.floor(F.col("rank") / in_group))
     spans = by_label.groupBy("label").agg(F.min("group").alias("first"), F.max("group").alias("last"))
     anchors = by_label.where("is_anchor").select("vec_id", "label", "v", "length")
     wanted = F.array().cast("array<struct<id:long,score:long,low:double,high:double>>")
-    found = _met(by_label, anchors.join(spans, "label").withColumn("wanted", wanted), True, positives)
+    found = _met(by_label, anchors.join(spans, "label").withColumn("wanted", wanted), groups, True, positives)
     best = stored(first_of(found.select("anchor_id", "vec_id", "score").distinct(), ["anchor_id"], positives), "positives")
 
     # negatives: rows by length; an anchor visits the groups long enough for its least window
     by_length = ranged_numbers(rows.drop("is_anchor"), ["shorter", "vec_id"], "rank", "by-length").withColumn("group", F.floor(F.col("rank") / in_group))
-    groups = -(-n // in_group)
     each = max(1, -(-groups // KEPT_LENGTHS))
     longest = by_length.groupBy((F.floor(F.col("group") / each)).alias("part")).agg(F.max("length").alias("length")).orderBy("part").collect()
     lengths = F.array(*(F.lit(r["length"]) for r in longest)) if longest else F.array().cast("array<double>")
@@ -221,6 +235,6 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     sent = anchors.distinct().join(windows, "vec_id").withColumn("least", least)
     reached = F.size(F.filter(lengths, lambda x: x * F.col("length") * (1 + 1e-9) >= F.col("least")))
     sent = sent.withColumns({"first": F.lit(0).cast("long"), "last": F.least(reached * F.lit(each), F.lit(groups)).cast("long") - 1})
-    found = _met(by_length, sent, False, negatives)
+    found = _met(by_length, sent, groups, False, negatives)
     ranked = first_of(found.distinct(), ["anchor_id", "positive_id"], negatives)
     return ranked.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

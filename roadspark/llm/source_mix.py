@@ -98,6 +98,11 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
     return rows.select("source_no", "block", "row", "doc_id", (low - begin).alias("first"), (F.least((F.col("block") + 1) * block_words, end) - low).alias("n_words"))
 
 
+def tasks(df: DataFrame) -> int:
+    """The tasks that rows about to be unfolded are dealt to; named, as the rows' own size would ask for one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shard_counts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source_no, shard, n, before): the multinomial count of each source's slots in each output shard.
 
@@ -105,7 +110,7 @@ def shard_counts(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     source's counts sum to its slots.  ``before`` counts the slots of the source in the shards before.
     """
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_A_ROW))
-    rows = quotas.where("slots > 0").select("source_no", "slots", F.explode(chunks).alias("chunk")).repartition("source_no", "chunk")
+    rows = quotas.where("slots > 0").select("source_no", "slots", F.explode(chunks).alias("chunk")).repartition(tasks(quotas), "source_no", "chunk")
     low = F.col("chunk") * SLOTS_A_ROW
     rows = rows.select("source_no", F.explode(F.sequence(low, F.least(low + SLOTS_A_ROW, F.col("slots")) - 1)).alias("slot"))
     drawn = rows.groupBy("source_no", (pseudorandom(seed, F.col("source_no"), F.col("slot")) % shards).alias("shard")).agg(F.count("*").alias("n"))
@@ -125,7 +130,7 @@ def slots(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     counts = counts.withColumns({"ahead": F.coalesce(F.sum("n").over(inside), F.lit(0)), "in_shard": F.sum("n").over(Window.partitionBy("shard"))})
     counts = counts.join(quotas.select("source_no", "blocks"), "source_no")
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SLOTS_A_ROW))
-    rows = counts.select("*", F.explode(chunks).alias("chunk")).repartition("source_no", "shard", "chunk")
+    rows = counts.select("*", F.explode(chunks).alias("chunk")).repartition(tasks(quotas), "source_no", "shard", "chunk")
     low = F.col("chunk") * SLOTS_A_ROW
     rows = rows.select("*", F.explode(F.sequence(low, F.least(low + SLOTS_A_ROW, F.col("n")) - 1)).alias("k"))
     rows = rows.withColumn("nth", F.col("before") + F.col("k"))
@@ -154,7 +159,8 @@ def mix(placed: DataFrame, quotas: DataFrame, block_words: int = 128, shards: in
     named, the ``n_words`` words from ``first`` on, in the order of ``row``; ``words_of`` cuts them out.  The same rows give the same mix in
     any number of tasks.
     """
-    return slots(quotas, shards, seed).join(pieces(placed, block_words), ["source_no", "block"]).select("shard", "slot", "source_no", "block", "row", "doc_id", "first", "n_words")
+    # a merge join: unfolded rows are many more than their size before says, so they aren't to be broadcast
+    return slots(quotas, shards, seed).hint("merge").join(pieces(placed, block_words), ["source_no", "block"]).select("shard", "slot", "source_no", "block", "row", "doc_id", "first", "n_words")
 
 
 def words_of(text: Column, first: Column, n_words: Column) -> Column:
