@@ -66,53 +66,129 @@ def direct_option(starts: DataFrame, goals: DataFrame, edges: DataFrame) -> Data
 #: Rounds whose new states stay apart before they are merged with the others.
 MERGED_AFTER = 8
 
+#: How far costs that are added in another order may differ, as a share.
+SLACK = 1e-9
 
-def relax(start: DataFrame, step, keys: list[str], goals: DataFrame | None, best_of, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Settle states: ``start`` and what ``step`` makes of a frontier have ``keys``, cost and path.
 
-    A state keeps the least cost; at equal cost the way found in an earlier round, then the lesser path.  States that cost
-    more than the best known total of their pair (``best_of`` of the settled states) are dropped.  A round writes its
-    improvements only, to the shared folder, and reads of the states before it no more than keys and costs; every
+def relax(start: DataFrame, step, within: list[str], at: list[str], best_of=None, upper: DataFrame | None = None, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Settle states: (within, at, cost, edge, from_<at>, ord) of ``start`` and of what ``step`` makes of a frontier.
+
+    ``within`` names a search, ``at`` a state in it.  ``start`` has ``within``, ``at``, cost and edge; ``step`` turns a frontier into rows of
+    ``within``, ``at``, cost, edge (the last one taken), ``from_ord`` and ``from_<at>`` (the frontier's ``ord`` and state), and
+    ``remaining``, what the rest of the way costs at least, if it is known.  States know their predecessor and no path; ``trace`` finds the ways.
+
+    A state keeps the least cost; at equal cost the way found in an earlier round, then the lesser list of edges, which ``ord`` (the
+    place of a frontier's states by these lists) tells.  States whose cost and remaining cost exceed the best known total of their search
+    (``best_of`` of the settled states, or ``upper``) are dropped.  A round writes its improvements only, to the shared folder; every
     ``MERGED_AFTER`` rounds they are merged.  Only whether the frontier is empty comes to the driver.
     """
-    least = F.min(F.struct("cost", "path")).alias("s")
-    merged = lambda frames: reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(least).select(*keys, "s.*")
-    front = stored(merged([start.select(*keys, "cost", "path")]), "settled")
+    keys, came = [*within, *at], [f"from_{c}" for c in at]
+    ordered = F.row_number().over(Window.partitionBy(*within).orderBy("from_ord", "edge"))
+    whole = ["cost", "from_ord", *(c for c in ("edge", *came) if c not in keys)]
+    least = lambda rows: rows.groupBy(*keys).agg(F.min(F.struct(*whole)).alias("s")).select(*keys, "s.*")
+    merged = lambda frames: reduce(DataFrame.unionByName, frames).groupBy(*keys).agg(F.min(F.struct(*whole, "ord")).alias("s")).select(*keys, "s.*")
+    none = {f"from_{c}": F.lit(None).cast(start.schema[c].dataType) for c in at}
+    front = stored(least(start.withColumn("from_ord", F.lit(0)).withColumns(none)).withColumn("ord", ordered), "settled")
     made_so_far = [front]
     for _ in range(rounds):
         if front.isEmpty():
             return merged(made_so_far)
-        made = step(front).select(*keys, "cost", "path")
+        made = step(front)
         seen = reduce(DataFrame.unionByName, made_so_far)
-        if best_of is not None:
-            made = made.join(best_of(seen).select("od_id", "total"), "od_id", "left").where(F.col("total").isNull() | (F.col("cost") <= F.col("total"))).drop("total")
+        totals = [x for x in (best_of(seen) if best_of else None, upper) if x is not None]
+        if totals:
+            total = reduce(DataFrame.unionByName, [t.select(*within, "total") for t in totals]).groupBy(*within).agg(F.min("total").alias("total"))
+            through = F.col("cost") + (F.col("remaining") if "remaining" in made.columns else F.lit(0.0))
+            made = made.join(total, within, "left").where(F.col("total").isNull() | (through <= F.col("total") + SLACK * (1 + F.abs("total")))).drop("total")
         known = seen.groupBy(*keys).agg(F.min("cost").alias("known"))
-        better = merged([made]).join(known, keys, "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
-        front = stored(better, "settled")
+        better = least(made).join(known, keys, "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
+        front = stored(better.withColumn("ord", ordered), "settled")
         made_so_far.append(front)
         if len(made_so_far) > MERGED_AFTER:
             made_so_far = [stored(merged(made_so_far), "settled")]
     raise RuntimeError(f"paths did not settle in {rounds} rounds")
 
 
-def sssp_nodes(starts: DataFrame, goals: DataFrame, edges: DataFrame) -> DataFrame:
-    """(od_id, node, cost, path): least cost to each node that can matter for a pair; path is the list of edges.
+def trace(states: DataFrame, ends: DataFrame, within: list[str], at: list[str], mark: list[str]) -> DataFrame:
+    """(mark, edges): the edges of the way to each of ``ends`` (mark, within, at), whose states are settled, first edge first.
 
-    ``starts`` and ``goals`` have (od_id, edge, node, extra); costs count from the start position.
+    Pointers jump: a table of steps to the 2^i-th predecessor comes from joining the one before with itself, and the ways grow from their
+    ends through these tables, so a way of n edges takes about 2 log n joins.
     """
-    first = starts.select("od_id", "node", F.col("extra").alias("cost"), F.array("edge").alias("path"))
-    out = stored(edges.select(F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step")), "out")
+    came = [f"from_{c}" for c in at]
+    states = stored(states.select(*dict.fromkeys([*within, *at, "edge", *came])), "states")
+    jumps = [stored(states.where(F.col(came[0]).isNotNull()).select(*within, *at, *came), "jump")]
+    while not jumps[-1].isEmpty():
+        further = jumps[-1].select(*within, *(F.col(c).alias(f"from_{c}") for c in at), *(F.col(f"from_{c}").alias(f"to_{c}") for c in at))
+        further = jumps[-1].join(further, [*within, *came]).select(*within, *at, *(F.col(f"to_{c}").alias(f"from_{c}") for c in at))
+        jumps.append(stored(further, "jump"))
+    ways = ends.select(*mark, *(c for c in within if c not in mark), *at).withColumn("back", F.lit(0).cast("long"))
+    for i in reversed(range(len(jumps) - 1)):
+        before = ways.join(jumps[i], [*within, *at]).withColumn("back", F.col("back") + 2**i).drop(*at).withColumnsRenamed({f"from_{c}": c for c in at})
+        ways = stored(ways.unionByName(before), "ways")
+    step = F.when(F.col("edge").isNotNull(), F.struct((-F.col("back")).alias("n"), "edge"))
+    listed = ways.join(states, [*within, *at]).groupBy(*mark).agg(F.array_sort(F.collect_list(step)).alias("e"))
+    return listed.select(*mark, F.transform("e", lambda x: x["edge"]).alias("edges"))
+
+
+def landmark_vectors(tables: DataFrame) -> DataFrame:
+    """(node, away, back): a node's costs from and to all landmarks (16 at most) as two arrays, infinite where there is no way."""
+    ids = sorted(r["landmark"] for r in tables.select("landmark").distinct().collect())
+    of = lambda c: F.array(*(F.coalesce(F.max(F.when(F.col("landmark") == k, F.col(c))), F.lit(float("inf"))) for k in ids)).alias(c)
+    return tables.groupBy("node").agg(of("away"), of("back"))
+
+
+def goal_vectors(goals: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(od_id, goal_vectors): for each goal of a pair what is left at its node, and the node's costs from and to the landmarks."""
+    rows = goals.select("od_id", "node", "extra").join(vectors, "node")
+    return rows.groupBy("od_id").agg(F.collect_list(F.struct("extra", "away", "back")).alias("goal_vectors"))
+
+
+def remaining_cost(goals: Column, away: Column, back: Column) -> Column:
+    """What the way from a node to the nearest of ``goals`` costs at least: the triangle inequality at each landmark; infinite if there is none."""
+    inf = F.lit(float("inf"))
+    gap = lambda far, near: F.when(near == inf, F.lit(0.0)).otherwise(F.when(far == inf, inf).otherwise(far - near))
+    most = lambda a, b: F.coalesce(F.array_max(F.zip_with(a, b, gap)), F.lit(0.0))
+    return F.coalesce(F.array_min(F.transform(goals, lambda g: g["extra"] + F.greatest(F.lit(0.0), most(g["away"], away), most(back, g["back"])))), F.lit(0.0))
+
+
+def upper_totals(starts: DataFrame, goals: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(od_id, total): the cheapest way of a pair through one of the landmarks, without turn rules; no best way costs more."""
+    g = goals.select("od_id", "node", "extra").join(vectors, "node").select("od_id", F.col("extra").alias("goal_extra"), "away")
+    s = starts.select("od_id", "node", "extra").join(vectors, "node").select("od_id", "extra", "back")
+    through = F.array_min(F.zip_with("back", "away", lambda a, b: a + b))
+    rows = s.join(g, "od_id").withColumn("total", F.col("extra") + through + F.col("goal_extra"))
+    return rows.groupBy("od_id").agg(F.min("total").alias("total")).where("total < double('infinity')")
+
+
+def sssp_nodes(starts: DataFrame, goals: DataFrame, edges: DataFrame, landmarks: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """(od_id, node, cost, edge, from_node): least cost to each node that can matter for a pair, and the last step of the way.
+
+    ``starts`` and ``goals`` have (od_id, edge, node, extra); costs count from the start position.  With ``landmarks`` (of
+    ``landmark_tables``) the search is goal-directed: a state whose cost and least remaining cost exceed the best known total is dropped.  If they are
+    ``exact``, of the same costs, the cheapest way through a landmark bounds a pair's total from the first round; if not, their costs must be the same or lower.
+    """
+    first = starts.select("od_id", "node", F.col("extra").alias("cost"), "edge")
+    out = edges.select(F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step"))
+    upper = held = None
+    if landmarks is not None:
+        vectors = stored(landmark_vectors(landmarks), "vectors")
+        upper = stored(upper_totals(starts, goals, vectors), "upper") if exact else None
+        held = stored(goal_vectors(goals, vectors), "goals")
+        out = out.join(vectors.withColumnRenamed("node", "to_node"), "to_node", "left")
+    out = stored(out, "out")
 
     def step(front: DataFrame) -> DataFrame:
-        rows = front.join(out, "node")
-        return rows.select("od_id", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("edge")).alias("path"))
+        rows = front.select("od_id", "node", "cost", F.col("ord").alias("from_ord")).join(out, "node")
+        rows = rows.select("od_id", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "edge", "from_ord", F.col("node").alias("from_node"), *([] if held is None else ["away", "back"]))
+        return rows if held is None else rows.join(held, "od_id", "left").withColumn("remaining", remaining_cost(F.col("goal_vectors"), F.col("away"), F.col("back"))).drop("goal_vectors", "away", "back")
 
     ends = stored(goals.select("od_id", "node", "extra"), "ends")
 
     def best(settled: DataFrame) -> DataFrame:
         return settled.join(ends, ["od_id", "node"]).groupBy("od_id").agg(F.min(F.col("cost") + F.col("extra")).alias("total"))
 
-    return relax(first, step, ["od_id", "node"], goals, best)
+    return relax(first, step, ["od_id"], ["node"], best, upper)
 
 
 def pair_table(edges: DataFrame, turns: DataFrame | None) -> DataFrame:
@@ -125,15 +201,26 @@ def pair_table(edges: DataFrame, turns: DataFrame | None) -> DataFrame:
     return rows.where(~F.coalesce("prohibited", F.lit(False))).select("from_edge", "to_edge", F.coalesce("penalty_s", F.lit(0.0)).alias("penalty_s"))
 
 
-def sssp_turns(starts: DataFrame, goals: DataFrame, edges: DataFrame, turns: DataFrame | None) -> DataFrame:
-    """(od_id, edge, cost, path): least cost to the end of each edge, with turn penalties and without prohibited turns."""
-    pairs = stored(pair_table(edges, turns).join(edges.select(F.col("edge").alias("to_edge"), F.col("cost").alias("step")), "to_edge"), "pairs")
-    first = starts.select("od_id", "edge", F.col("extra").alias("cost"), F.array("edge").alias("path"))
+def sssp_turns(starts: DataFrame, goals: DataFrame, edges: DataFrame, turns: DataFrame | None, landmarks: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """(od_id, edge, cost, from_edge): least cost to the end of each edge, with turn penalties and without prohibited turns.
+
+    With ``landmarks`` a search without turns comes first.  Where its way keeps the turn rules its price with penalties bounds the pair's total,
+    and states whose cost and least remaining cost (by landmarks, which know no turns) exceed the best known total are dropped.
+    """
+    pairs = stored(pair_table(edges, turns).join(edges.select(F.col("edge").alias("to_edge"), F.col("to_node").alias("at"), F.col("cost").alias("step")), "to_edge"), "pairs")
+    first = starts.select("od_id", "edge", F.col("extra").alias("cost"))
     out = pairs.withColumnRenamed("from_edge", "edge")
+    upper = held = None
+    if landmarks is not None:
+        vectors = stored(landmark_vectors(landmarks), "vectors")
+        upper = stored(turned_totals(starts, goals, edges, pairs, landmarks, exact), "upper")
+        held = stored(goal_vectors(goals, vectors), "goals")
+        out = stored(out.join(vectors.withColumnRenamed("node", "at"), "at", "left"), "out")
 
     def step(front: DataFrame) -> DataFrame:
-        rows = front.join(out, "edge")
-        return rows.select("od_id", F.col("to_edge").alias("edge"), (F.col("cost") + F.col("penalty_s") + F.col("step")).alias("cost"), F.concat("path", F.array("to_edge")).alias("path"))
+        rows = front.select("od_id", "edge", "cost", F.col("ord").alias("from_ord")).join(out, "edge")
+        rows = rows.select("od_id", F.col("to_edge").alias("edge"), (F.col("cost") + F.col("penalty_s") + F.col("step")).alias("cost"), "from_ord", F.col("edge").alias("from_edge"), *([] if held is None else ["away", "back"]))
+        return rows if held is None else rows.join(held, "od_id", "left").withColumn("remaining", remaining_cost(F.col("goal_vectors"), F.col("away"), F.col("back"))).drop("goal_vectors", "away", "back")
 
     into = goals.select("od_id", F.col("edge").alias("to_edge"), "extra").join(pairs.select("from_edge", "to_edge", "penalty_s"), "to_edge")
     into = stored(into.select("od_id", F.col("from_edge").alias("edge"), (F.col("extra") + F.col("penalty_s")).alias("extra")), "into")
@@ -141,7 +228,16 @@ def sssp_turns(starts: DataFrame, goals: DataFrame, edges: DataFrame, turns: Dat
     def best(settled: DataFrame) -> DataFrame:
         return settled.join(into, ["od_id", "edge"]).groupBy("od_id").agg(F.min(F.col("cost") + F.col("extra")).alias("total"))
 
-    return relax(first, step, ["od_id", "edge"], goals, best)
+    return relax(first, step, ["od_id"], ["edge"], best, upper)
+
+
+def turned_totals(starts: DataFrame, goals: DataFrame, edges: DataFrame, pairs: DataFrame, landmarks: DataFrame, exact: bool = True) -> DataFrame:
+    """(od_id, total): what the best way without turn rules costs with them, for pairs whose way keeps them."""
+    found = finish(sssp_nodes(starts, goals, edges, landmarks, exact), goals, "node")
+    steps = paths(found).withColumn("before", F.lag("edge").over(Window.partitionBy("od_id").orderBy("pos"))).where("pos > 0")
+    steps = steps.join(pairs.select(F.col("from_edge").alias("before"), F.col("to_edge").alias("edge"), "penalty_s"), ["before", "edge"], "left")
+    kept = steps.groupBy("od_id").agg(F.sum("penalty_s").alias("penalties"), F.count_if(F.col("penalty_s").isNull()).alias("broken"))
+    return found.join(kept.where("broken = 0"), "od_id").select("od_id", (F.col("cost") + F.col("penalties")).alias("total"))
 
 
 def prefix_states(sequences: DataFrame) -> DataFrame:
@@ -172,23 +268,46 @@ def sssp_sequences(starts: DataFrame, goals: DataFrame, edges: DataFrame, turns:
 
     def placed(rows: DataFrame) -> DataFrame:
         """``rows`` with ``tail``, the edges that may still matter, cut to the longest state."""
-        tails = rows.withColumn("_id", F.monotonically_increasing_id())
-        tries = tails.select("_id", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k"), "tail").select("_id", "k", F.slice("tail", F.col("k"), F.size("tail") - F.col("k") + 1).alias("p"))
-        found = tries.join(known.select("p"), "p").groupBy("_id").agg(F.min(F.struct("k", "p")).alias("f"))
-        return tails.drop("tail").join(found, "_id", "left").withColumn("tail", F.coalesce("f.p", none)).drop("_id", "f")
+        tails = rows.select("tail").distinct()
+        tries = tails.select("tail", F.explode(F.sequence(F.lit(1), F.size("tail"))).alias("k")).withColumn("p", F.slice("tail", F.col("k"), F.size("tail") - F.col("k") + 1))
+        found = tries.join(known.select("p"), "p").groupBy("tail").agg(F.min(F.struct("k", "p")).alias("f"))
+        return rows.join(found, "tail", "left").withColumn("tail", F.coalesce("f.p", none)).drop("f")
 
     def step(front: DataFrame) -> DataFrame:
-        rows = front.join(known.withColumnRenamed("p", "tail"), "tail", "left").join(out, "edge")
-        ok = ~F.coalesce(F.array_contains("forbidden", F.col("to_edge")), F.lit(False)) & F.coalesce(F.array_contains("required", F.col("to_edge")), F.lit(True))
-        rows = rows.where(ok).select("od_id", F.col("to_edge").alias("edge"), F.concat("tail", F.array("to_edge")).alias("tail"), (F.col("cost") + F.col("penalty_s") + F.col("step")).alias("cost"), F.concat("path", F.array("to_edge")).alias("path"))
-        return placed(stored(rows, "step"))
+        front = front.select("od_id", "edge", "tail", "cost", F.col("ord").alias("from_ord"))
+        rows = front.join(known.withColumnRenamed("p", "tail"), "tail", "left").join(out, "edge").where(allowed(F.col("to_edge")))
+        rows = rows.select(
+            "od_id", F.col("to_edge").alias("edge"), F.concat("tail", F.array("to_edge")).alias("tail"), (F.col("cost") + F.col("penalty_s") + F.col("step")).alias("cost"),
+            "from_ord", F.col("edge").alias("from_edge"), F.col("tail").alias("from_tail"),
+        )
+        return placed(rows)
+
+    into = goals.select("od_id", F.col("edge").alias("to_edge"), "extra").join(pairs.select("from_edge", "to_edge", "penalty_s"), "to_edge")
+    into = stored(into.select("od_id", F.col("from_edge").alias("edge"), "to_edge", (F.col("extra") + F.col("penalty_s")).alias("extra")), "into")
+
+    def best(settled: DataFrame) -> DataFrame:
+        rows = settled.join(into, ["od_id", "edge"]).join(known.withColumnRenamed("p", "tail"), "tail", "left").where(allowed(F.col("to_edge")))
+        return rows.groupBy("od_id").agg(F.min(F.col("cost") + F.col("extra")).alias("total"))
 
-    first = placed(stored(starts.select("od_id", "edge", F.array("edge").alias("tail"), F.col("extra").alias("cost"), F.array("edge").alias("path")), "first"))
-    return relax(first, step, ["od_id", "edge", "tail"], goals, None)
+    first = placed(starts.select("od_id", "edge", F.array("edge").alias("tail"), F.col("extra").alias("cost")))
+    return relax(first, step, ["od_id"], ["edge", "tail"], best)
+
+
+def allowed(next_edge: Column) -> Column:
+    """Whether the state's ``forbidden`` and ``required`` edges let ``next_edge`` follow."""
+    return ~F.coalesce(F.array_contains("forbidden", next_edge), F.lit(False)) & F.coalesce(F.array_contains("required", next_edge), F.lit(True))
+
+
+def _cheapest(rows: DataFrame, states: DataFrame, at: list[str]) -> DataFrame:
+    """(od_id, cost, edges) of ``rows`` (od_id, at, total, goal_edge): the least total of each pair; ties by the list of edges."""
+    least = rows.groupBy("od_id").agg(F.min("total").alias("least"))
+    tied = rows.join(least, "od_id").where("total = least").select("od_id", *at, *(F.col(c).alias(f"end_{c}") for c in at), "total", "goal_edge")
+    ways = trace(states, stored(tied, "tied"), ["od_id"], at, ["od_id", *(f"end_{c}" for c in at), "goal_edge", "total"])
+    return ways.groupBy("od_id").agg(F.min(F.struct(F.col("total").alias("cost"), F.concat("edges", F.array("goal_edge")).alias("edges"))).alias("r")).select("od_id", "r.cost", "r.edges")
 
 
 def finish(states: DataFrame, goals: DataFrame, by: str, pairs: DataFrame | None = None) -> DataFrame:
-    """(od_id, cost, edges, goal_edge): the cheapest way from settled states into a goal; ties by the list of edges.
+    """(od_id, cost, edges): the cheapest way from settled states into a goal; ties by the list of edges.
 
     By ``node`` a goal is entered at its node; by ``edge`` from an edge that ``pairs`` lets turn into it.
     """
@@ -198,8 +317,7 @@ def finish(states: DataFrame, goals: DataFrame, by: str, pairs: DataFrame | None
     else:
         into = g.join(pairs.select(F.col("from_edge").alias("edge"), F.col("to_edge").alias("goal_edge"), "penalty_s"), "goal_edge")
         rows = states.join(into, ["od_id", "edge"]).withColumn("total", F.col("cost") + F.col("penalty_s") + F.col("extra"))
-    rows = rows.select("od_id", F.struct(F.col("total").alias("cost"), F.concat("path", F.array("goal_edge")).alias("edges")).alias("r"))
-    return rows.groupBy("od_id").agg(F.min("r").alias("r")).select("od_id", "r.cost", "r.edges")
+    return _cheapest(rows, states, [by])
 
 
 def finish_sequences(states: DataFrame, goals: DataFrame, pairs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -207,10 +325,8 @@ def finish_sequences(states: DataFrame, goals: DataFrame, pairs: DataFrame, sequ
     rules = prefix_states(sequences).select(F.col("prefix").alias("tail"), "forbidden", "required")
     g = goals.select("od_id", F.col("edge").alias("goal_edge"), "extra")
     into = g.join(pairs.select(F.col("from_edge").alias("edge"), F.col("to_edge").alias("goal_edge"), "penalty_s"), "goal_edge")
-    rows = states.join(rules, "tail", "left").join(into, ["od_id", "edge"])
-    rows = rows.where(~F.coalesce(F.array_contains("forbidden", F.col("goal_edge")), F.lit(False)) & F.coalesce(F.array_contains("required", F.col("goal_edge")), F.lit(True)))
-    total = F.col("cost") + F.col("penalty_s") + F.col("extra")
-    return rows.groupBy("od_id").agg(F.min(F.struct(total.alias("cost"), F.concat("path", F.array("goal_edge")).alias("edges"))).alias("r")).select("od_id", "r.cost", "r.edges")
+    rows = states.join(rules, "tail", "left").join(into, ["od_id", "edge"]).where(allowed(F.col("goal_edge")))
+    return _cheapest(rows.withColumn("total", F.col("cost") + F.col("penalty_s") + F.col("extra")), states, ["edge", "tail"])
 
 
 def paths(found: DataFrame) -> DataFrame:
@@ -218,16 +334,17 @@ def paths(found: DataFrame) -> DataFrame:
     return found.select("od_id", F.posexplode("edges").alias("pos", "edge"))
 
 
-def plan(od: DataFrame, edges: DataFrame, turns: DataFrame | None = None, overlay: DataFrame | None = None) -> DataFrame:
+def plan(od: DataFrame, edges: DataFrame, turns: DataFrame | None = None, overlay: DataFrame | None = None, landmarks: DataFrame | None = None) -> DataFrame:
     """(od_id, status, edges, cost, length_m) for every row of ``od``.
 
     ``od`` has (od_id, from_edge, from_offset, to_edge, to_offset, exact), with null edges where nothing matched.  Status: ok,
-    empty_map, origin_unmatched, destination_unmatched or unreachable.
+    empty_map, origin_unmatched, destination_unmatched or unreachable.  ``landmarks`` direct the search (``sssp_turns``); as factors are 1 or
+    more, those of the map without overlay fit any overlay.
     """
     costs = stored(edge_costs(edges, overlay), "costs")
     starts, goals = (stored(x, "ends") for x in endpoints(od, costs))
     pairs = stored(pair_table(costs, turns), "pairs")
-    searched = finish(sssp_turns(starts, goals, costs, turns), goals, "edge", pairs)
+    searched = finish(sssp_turns(starts, goals, costs, turns, landmarks, overlay is None), goals, "edge", pairs)
     straight = direct_option(starts, goals, costs).select("od_id", "cost", F.array("edge").alias("edges"))
     best = searched.unionByName(straight).groupBy("od_id").agg(F.min(F.struct("cost", "edges")).alias("r")).select("od_id", "r.*")
     ends = best.select("od_id", F.col("edges")[0].alias("a"), F.element_at("edges", -1).alias("b"), F.size("edges").alias("n"))
@@ -250,32 +367,44 @@ def plan(od: DataFrame, edges: DataFrame, turns: DataFrame | None = None, overla
 def k_shortest(starts: DataFrame, goals: DataFrame, edges: DataFrame, k: int = 4) -> DataFrame:
     """(od_id, rank, cost, edges): up to ``k`` (8 at most) loopless paths by time, then list of edges.
 
-    ``starts`` and ``goals`` are nodes (od_id, node).  Each round makes every spur of the last accepted path of all
-    pairs: a search from each of its nodes, without the nodes before it and without the edges by which accepted paths
-    with that root go on.  All spurs are rows of one search.
+    ``starts`` and ``goals`` are nodes (od_id, node).  One search from each distinct goal against the edges tells what is left from each node; all spurs of
+    the pairs with that goal share it.  Each round then makes the spurs of the last accepted path of all pairs, from its first nodes on, at
+    most max(64, 8 k) of them: a search from the node, without the nodes before it and without the edges by which
+    accepted paths with that root go on.  All spurs are rows of one search; a state that cannot end below the best known end of its spur, or
+    among the paths that are still wanted, is dropped.
     """
     k = min(k, 8)
+    budget = max(64, 8 * k)
     out = stored(edges.select("edge", F.col("from_node").alias("node"), "to_node", F.col("cost").alias("step")), "out")
     ends = stored(goals.select("od_id", F.col("node").alias("goal")), "ends")
+    against = edges.select(F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "edge", "cost")
+    left = stored(_tree(against, ends.select(F.col("goal").alias("root")).distinct()).select(F.col("root").alias("goal"), "node", F.col("cost").alias("remaining")), "left")
 
-    def search(spurs: DataFrame) -> DataFrame:
-        """``spurs`` (od_id, spur, node, cost, path, met, banned) to their goals: (od_id, cost, edges)."""
+    def search(spurs: DataFrame, most: DataFrame | None) -> DataFrame:
+        """``spurs`` (od_id, spur, node, cost, path, met, banned) to their goals: (od_id, cost, edges); ``most`` (od_id, most) is what a path may cost."""
         fixed = stored(spurs.join(ends, "od_id"), "spurs")
-        first = fixed.select("od_id", "spur", "node", "cost", "path")
-        rule = fixed.select("od_id", "spur", F.col("node").alias("root"), "met", "banned")
+        first = fixed.select("od_id", "spur", "node", "cost", F.lit(None).cast("long").alias("edge"))
+        rule = fixed.select("od_id", "spur", F.col("node").alias("root"), "met", "banned", "goal")
 
         def step(front: DataFrame) -> DataFrame:
-            rows = front.join(rule, ["od_id", "spur"]).join(out, "node")
+            rows = front.select("od_id", "spur", "node", "cost", F.col("ord").alias("from_ord")).join(rule, ["od_id", "spur"]).where("node <> goal").join(out, "node")
             rows = rows.where(~F.array_contains("met", F.col("to_node")) & ~((F.col("node") == F.col("root")) & F.array_contains("banned", F.col("edge"))))
-            return rows.select("od_id", "spur", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("edge")).alias("path"))
+            rows = rows.select("od_id", "spur", "goal", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "edge", "from_ord", F.col("node").alias("from_node"))
+            return rows.join(left, ["goal", "node"]).drop("goal")
+
+        def best(settled: DataFrame) -> DataFrame:
+            return settled.join(ends, "od_id").where("node = goal").select("od_id", "spur", F.col("cost").alias("total"))
 
-        settled = relax(first, step, ["od_id", "spur", "node"], None, None)
-        done = settled.join(ends, "od_id").where("node = goal")
-        return done.select("od_id", "cost", F.col("path").alias("edges")).distinct()
+        upper = None if most is None else fixed.select("od_id", "spur").join(most, "od_id").select("od_id", "spur", F.col("most").alias("total"))
+        settled = stored(relax(first, step, ["od_id", "spur"], ["node"], best, upper), "spurred")
+        done = settled.join(ends, "od_id").where("node = goal").select("od_id", "spur", "node", "cost")
+        ways = trace(settled, done.withColumn("total", F.col("cost")), ["od_id", "spur"], ["node"], ["od_id", "spur", "total"])
+        return ways.join(fixed.select("od_id", "spur", "path"), ["od_id", "spur"]).select("od_id", F.col("total").alias("cost"), F.concat("path", "edges").alias("edges")).distinct()
 
     none = F.array().cast("array<long>")
     begin = starts.select("od_id", F.lit(0).alias("spur"), "node", F.lit(0.0).alias("cost"), none.alias("path"), F.array("node").alias("met"), none.alias("banned"))
-    pool = stored(search(begin), "pool")
+    reach = begin.join(ends, "od_id").join(left, ["goal", "node"]).select("od_id", F.col("remaining").alias("most"))
+    pool = stored(search(begin, reach), "pool")
     accepted = stored(pool.withColumn("rank", F.lit(1)), "accepted")
     for r in range(2, k + 1):
         last = accepted.where(F.col("rank") == r - 1)
@@ -284,19 +413,34 @@ def k_shortest(starts: DataFrame, goals: DataFrame, edges: DataFrame, k: int = 4
         before = by.rowsBetween(Window.unboundedPreceding, -1)
         roots = rows.select(
             "od_id", "spur", "node", F.coalesce(F.sum("step").over(before), F.lit(0.0)).alias("cost"), F.slice("edges", 1, F.col("spur")).alias("path"), F.collect_list("node").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("met")
-        )
+        ).where(F.col("spur") < budget)
         goes = accepted.select("od_id", F.col("edges").alias("other"))
         banned = roots.join(goes, "od_id").where(F.slice("other", 1, F.col("spur")) == F.col("path")).groupBy("od_id", "spur").agg(F.collect_set(F.get("other", F.col("spur"))).alias("banned"))
         spurs = roots.join(banned, ["od_id", "spur"])
         if spurs.isEmpty():
             break
-        pool = stored(pool.unionByName(search(spurs)).distinct(), "pool")
+        # of the paths in the pool that aren't accepted, the one that would be the last wanted
+        rest = pool.join(accepted.select("od_id", "edges"), ["od_id", "edges"], "left_anti")
+        wanted = F.row_number().over(Window.partitionBy("od_id").orderBy("cost", "edges"))
+        most = rest.withColumn("n", wanted).where(F.col("n") == k - r + 1).select("od_id", F.col("cost").alias("most"))
+        pool = stored(pool.unionByName(search(spurs, most)).distinct(), "pool")
         rest = pool.join(accepted.select("od_id", "edges"), ["od_id", "edges"], "left_anti")
         following = rest.groupBy("od_id").agg(F.min(F.struct("cost", "edges")).alias("r")).select("od_id", "r.cost", "r.edges", F.lit(r).alias("rank"))
         accepted = stored(accepted.unionByName(following), "accepted")
     return accepted.select("od_id", "rank", "cost", "edges")
 
 
+def _tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, cost): least costs from each of ``roots`` (root) over ``edges``."""
+    out = stored(edges.select(F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step")), "out")
+
+    def step(front: DataFrame) -> DataFrame:
+        rows = front.select("root", "node", "cost", F.col("ord").alias("from_ord")).join(out, "node")
+        return rows.select("root", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "edge", "from_ord", F.col("node").alias("from_node"))
+
+    return relax(roots.select("root", F.col("root").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("edge")), step, ["root"], ["node"])
+
+
 def landmark_tables(edges: DataFrame, count: int = 8) -> DataFrame:
     """(landmark, node, away, back): least costs from and to up to 16 landmarks, each the farthest from those before.
 
@@ -304,19 +448,20 @@ def landmark_tables(edges: DataFrame, count: int = 8) -> DataFrame:
     """
     edges = stored(edges.select("edge", "from_node", "to_node", "cost"), "out")
     nodes = stored(edges.select(F.col("from_node").alias("node")).union(edges.select("to_node")).distinct(), "nodes")
-    turned = edges.withColumns({"from_node": F.col("to_node"), "to_node": F.col("from_node")})
+    along = edges.select(F.lit(0).alias("turned"), F.col("from_node").alias("node"), "to_node", "edge", F.col("cost").alias("step"))
+    against = edges.select(F.lit(1).alias("turned"), F.col("to_node").alias("node"), F.col("from_node").alias("to_node"), "edge", F.col("cost").alias("step"))
+    ways = stored(along.unionByName(against), "out")
     pick, tables = nodes.agg(F.min("node").alias("node")), None
-    none = F.array().cast("array<long>")
-    for _ in range(min(count, 16)):
-        pick = stored(pick.select("node"), "pick")
 
-        def reached(graph: DataFrame, name: str, pick: DataFrame = pick) -> DataFrame:
-            out = graph.select(F.col("from_node").alias("node"), "to_node", F.col("cost").alias("step"))
-            step = lambda front: front.join(out, "node").select("od_id", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "path")
-            first = pick.select(F.col("node").alias("od_id"), "node", F.lit(0.0).alias("cost"), none.alias("path"))
-            return relax(first, step, ["od_id", "node"], None, None).select(F.col("od_id").alias("landmark"), "node", F.col("cost").alias(name))
+    def step(front: DataFrame) -> DataFrame:
+        rows = front.select("landmark", "turned", "node", "cost", F.col("ord").alias("from_ord")).join(ways, ["turned", "node"])
+        return rows.select("landmark", "turned", F.col("to_node").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), "edge", "from_ord", F.col("node").alias("from_node"))
 
-        table = reached(edges, "away").join(reached(turned, "back"), ["landmark", "node"], "full")
+    for _ in range(min(count, 16)):
+        pick = stored(pick.select("node"), "pick")
+        first = pick.select(F.col("node").alias("landmark"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turned"), "node", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("edge"))
+        found = relax(first, step, ["landmark", "turned"], ["node"])
+        table = found.groupBy("landmark", "node").agg(F.max(F.when(F.col("turned") == 0, F.col("cost"))).alias("away"), F.max(F.when(F.col("turned") == 1, F.col("cost"))).alias("back"))
         tables = stored(table if tables is None else tables.unionByName(table), "landmarks")
         nearest = nodes.join(tables, "node", "left").groupBy("node").agg(F.min(F.coalesce("away", F.lit(float("inf")))).alias("near"))
         nearest = nearest.join(tables.select(F.col("landmark").alias("node")).distinct(), "node", "left_anti").where("near < double('infinity')")
@@ -367,7 +512,7 @@ def timed_duration(length_m: Column, speed_mps: Column, changes: Column, depart:
 
 
 def sssp_timed(starts: DataFrame, edges: DataFrame, turns: DataFrame | None, profile: DataFrame) -> DataFrame:
-    """(od_id, edge, cost, path): earliest arrival (as seconds since 0) at the end of each edge.
+    """(od_id, edge, cost, from_edge): earliest arrival (as seconds since 0) at the end of each edge.
 
     ``starts`` has (od_id, edge, length_m [what is left of the edge], depart_s).
     """
@@ -377,13 +522,13 @@ def sssp_timed(starts: DataFrame, edges: DataFrame, turns: DataFrame | None, pro
     at = F.col("cost") + F.col("penalty_s")
 
     def step(front: DataFrame) -> DataFrame:
-        rows = front.join(out, "edge")
+        rows = front.select("od_id", "edge", "cost", F.col("ord").alias("from_ord")).join(out, "edge")
         arrive = at + timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), at)
-        return rows.select("od_id", F.col("to_edge").alias("edge"), arrive.alias("cost"), F.concat("path", F.array("to_edge")).alias("path"))
+        return rows.select("od_id", F.col("to_edge").alias("edge"), arrive.alias("cost"), "from_ord", F.col("edge").alias("from_edge"))
 
     own = starts.join(timed.select("edge", "speed_limit_mps", "changes"), "edge")
-    first = own.select("od_id", "edge", (F.col("depart_s") + timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.col("depart_s"))).alias("cost"), F.array("edge").alias("path"))
-    return relax(first, step, ["od_id", "edge"], None, None)
+    first = own.select("od_id", "edge", (F.col("depart_s") + timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.col("depart_s"))).alias("cost"))
+    return relax(first, step, ["od_id"], ["edge"])
 
 
 #: Edges of a route at most.

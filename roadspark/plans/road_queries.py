@@ -734,7 +734,8 @@ def g8_plan(spark, d):
 UNION ALL SELECT s.od_id, c.cost * (g.offset_m - s.offset_m) / 100 FROM starts s JOIN goals g ON g.od_id = s.od_id AND g.edge = s.edge AND s.offset_m <= g.offset_m JOIN costs c ON c.edge = s.edge)
 SELECT o.od_id, CASE WHEN min(t.cost) IS NULL THEN 'unreachable' ELSE 'ok' END AS status, round(min(t.cost), 6) AS cost FROM od o LEFT JOIN totals t USING (od_id) GROUP BY o.od_id""")
 def g8_plan_cost(spark, d):
-    return rounded(routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d)).select("od_id", "status", "cost"), "cost")
+    found = routing.plan(od(spark, d), derive.lined_edges(spark, d), derive.turns(spark, d), landmarks=routing.landmark_tables(costs(spark, d), 2))
+    return rounded(found.select("od_id", "status", "cost"), "cost")
 
 
 # an edge costs 8 to 16, so ways of four edges, of which there is one at least, cost less than those of eight; all up to six are listed
