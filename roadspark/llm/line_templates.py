@@ -48,6 +48,11 @@ def masked_lines(text: str) -> Column:
     return F.transform(F.split(masked(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda s: F.trim(s))
 
 
+def once(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is worked out once a row, also where ``fn`` uses it for each element of an array."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def parsed(docs: DataFrame, text: str) -> DataFrame:
     """Of each row: its key (``k_id``, ``k_text``), its masked ``lines``, and the ``kinds`` of the lines.
 
@@ -56,7 +61,7 @@ def parsed(docs: DataFrame, text: str) -> DataFrame:
     """
     hashes = F.transform("lines", lambda s: F.when(s != "", F.md5(s)))
     least = F.slice(F.sort_array(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))), 1, 3)
-    kinds = F.transform("hashes", lambda h: F.array_join(F.slice(F.filter("least", lambda x: x != h), 1, 2), " "))
+    kinds = once(F.col("least"), lambda top: F.transform("hashes", lambda h: F.array_join(F.slice(F.filter(top, lambda x: x != h), 1, 2), " ")))
     rows = docs.select(*keys(docs, text), masked_lines(text).alias("lines")).withColumn("hashes", hashes).withColumn("least", least)
     return rows.select("k_id", "k_text", "lines", F.transform(kinds, number).alias("kinds"))
 
@@ -79,9 +84,9 @@ def families(docs: DataFrame, text: str) -> DataFrame:
     runs = F.arrays_zip(*(F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(SHINGLE)))
     whole = F.when(F.size("words") > SHINGLE, F.slice(runs, 1, F.size("words") - SHINGLE + 1)).otherwise(F.slice(runs, 1, 1))
     rows = rows.select("k_text", F.sort_array(F.array_distinct(F.transform(whole, lambda w: F.xxhash64(w)))).alias("ring"))
-    rows = rows.withColumn("round", F.concat("ring", F.slice("ring", 1, KEY_HASHES - 1)))
+    again = F.concat("ring", F.slice("ring", 1, KEY_HASHES - 1))
     starts = lambda h, i: (i == 0) | (F.shiftright(F.get("ring", i - 1), 64 - START_BITS) != F.shiftright(h, 64 - START_BITS))
-    entered = F.transform("ring", lambda h, i: F.when(starts(h, i), F.xxhash64(F.slice("round", i + 1, KEY_HASHES))))
+    entered = once(again, lambda ring: F.transform("ring", lambda h, i: F.when(starts(h, i), F.xxhash64(F.slice(ring, i + 1, KEY_HASHES)))))
     shared = stored(rows.select("k_text", F.explode(F.filter(entered, lambda k: k.isNotNull())).alias("key")).distinct(), "families")
     least = shared.groupBy("key").agg(F.min("k_text").alias("least"), F.max("k_text").alias("most")).where("least < most")
     found = components(shared.join(least, "key").select(F.col("k_text").alias("u"), F.col("least").alias("v")))
@@ -167,11 +172,12 @@ def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) ->
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     named = [c.alias(n) for c, n in zip(keys(docs, text), ("__k_id", "__k_text"), strict=True)]
     rows = docs.select(*kept_columns, *named).join(gone, ["__k_id", "__k_text"], "left")
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.filter(split, lambda s, i: ~F.array_contains("__gone", i))
-    none = F.col("__gone").isNull()
+    rows = rows.withColumn("__split", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    # places left over are found by hash, so a text takes time in proportion to its lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__gone"))
+    kept, none = F.transform(stay, lambda i: F.get("__split", i)), F.col("__gone").isNull()
     return rows.select(
         *(F.when(none, F.col(text)).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else F.col(c) for c in kept_columns),
-        F.size(split).cast("long").alias("n_lines"),
+        F.size("__split").cast("long").alias("n_lines"),
         F.when(none, 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"),
     )

@@ -44,7 +44,7 @@ class Chunks(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.others: dict[str, bytes] = {}
         self.split = regex.compile(WORDS).findall
@@ -82,11 +82,12 @@ class Chunks(dict):
         return self.others[chunk]
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in SEPARATORS):
+        lowered = text.lower()
+        if any(c in text for c in SEPARATORS) or any(t in lowered for t in self.special):
             return self.whole(text)
         if BEYOND.search(text):
             return b"".join(map(self.other, text.split()))
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(map(self.__getitem__, lowered.split()))
 
     def bound(self) -> None:
         """Start anew beyond the bound."""
@@ -99,7 +100,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = None, text: str =
     """Add ``ids``, the ids (array of int) of each whole text, with ``end_id`` behind them if given.
 
     ``path`` names a file of the tokenizers library whose tokenizer drops white space; every executor has
-    it.  Special tokens' strings in a text are ordinary text.  A null text counts as empty; repeated rows stay; an
+    it.  The string of an added token in a text gives that token's id, as in the library.  A null text counts as empty; repeated rows stay; an
     empty table gives an empty one.  Without ``keep`` the text itself goes.
     """
     schema = with_fields(docs if keep else docs.drop(text), T.StructField("ids", T.ArrayType(T.IntegerType())))

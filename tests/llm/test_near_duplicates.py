@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -266,6 +267,16 @@ def test_template_lines_go_and_copies_stay(spark):
     assert line_templates.drop_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_document_of_a_hundred_thousand_dropped_lines(spark):
+    rng = random.Random(9)
+    rows = [(k, "\n".join([*(prose(rng, 12) for _ in range(3)), "Read more on our site today"])) for k in range(8)]
+    rows.append((99, "\n".join(["Read more on our site today"] * 100_000 + ["the end of a story"])))
+    began = time.time()
+    got = {r.doc_id: r for r in line_templates.drop_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[99].n_dropped == 100_000 and got[99].text == "the end of a story"
+    assert time.time() - began < 90
+
+
 @pytest.mark.parametrize("by_family", [False, True])
 def test_fields_side_by_side_and_in_lines_of_any_length_go(spark, by_family):
     rng = random.Random(30)

@@ -45,7 +45,6 @@ def test_token_files_hold_ids_in_order(spark, tmp_path):
     at = str(tmp_path / "tokens")
     rows = {r.doc_id: r for r in token_files.token_files(docs, WORDS, 2, at).collect()}
     tok, start = Tokenizer.from_file(WORDS), 0
-    tok.encode_special_tokens = True
     by = {7 * i % 1009: t for i, t in enumerate(all_texts)}
     for doc_id in sorted(by):
         ids = np.array([*tok.encode(by[doc_id] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -54,6 +53,16 @@ def test_token_files_hold_ids_in_order(spark, tmp_path):
     assert token_files.read(spark, at).where("doc_id = 7").count() == 1
 
 
+def test_special_strings_give_the_ids_of_the_library(spark):
+    rng = random.Random(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "x", " ", "é", "中", "'s", "12", "<|", "|>", "\n", "of\u0301"]
+    said = ["x <|endoftext|> y", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    tok = Tokenizer.from_file(WORDS)
+    for r in token_files.tokenize(docs, WORDS).collect():
+        assert r.ids == tok.encode(said[r.doc_id], add_special_tokens=False).ids, said[r.doc_id]
+
+
 def test_token_files_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "c"), (3, "c"), (1, None)], "doc_id long, text string")
     rows = token_files.token_files(docs, WORDS, 2).orderBy("start").collect()
