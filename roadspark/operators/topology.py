@@ -6,13 +6,11 @@ order of creation and points are in metres.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions.columns import fnv1a64, neighbours, path_length, planar, stations
 from roadspark.functions.tables import stored
-from roadspark.operators.graph import components
 
 POINTS = "array<struct<x:double,y:double>>"
 
@@ -102,62 +100,75 @@ def pieces(roads: DataFrame, splits: DataFrame) -> DataFrame:
     return rows.withColumn("line", line).drop("points", "stations", "splits", "span").withColumnRenamed("line", "points")
 
 
-def _greedy(tolerance: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Each point in order takes the nearest node so far within the tolerance, else makes one."""
-        group = group.sort_values(["road", "piece", "end"])
-        made: list[tuple[float, float]] = []
-        cells: dict[tuple[int, int], list[int]] = {}
-        out = []
-        for x, y in zip(group["x"], group["y"], strict=True):
-            cx, cy = int(x // tolerance), int(y // tolerance)
-            best, found = None, None
-            for i in (-1, 0, 1):
-                for j in (-1, 0, 1):
-                    for k in cells.get((cx + i, cy + j), ()):
-                        far = ((made[k][0] - x) ** 2 + (made[k][1] - y) ** 2) ** 0.5
-                        if far <= tolerance and (best is None or far <= best):
-                            best, found = far, k
-            if found is None:
-                found = len(made)
-                made.append((x, y))
-                cells.setdefault((cx, cy), []).append(found)
-            out.append((*made[found], found))
-        group[["node_x", "node_y", "k"]] = out
-        first = group.groupby("k")[["road", "piece", "end"]].transform("first")
-        return group.assign(first_road=first["road"], first_piece=first["piece"], first_end=first["end"])[
-            ["road", "piece", "end", "node_x", "node_y", "first_road", "first_piece", "first_end"]
-        ]
-
-    return run
-
-
-#: Points of one cluster that one task may hold.
-MOST_IN_CLUSTER = 200_000
+#: Rounds after which snapping gives up.
+MOST_ROUNDS = 100_000
+
+#: Side of a cell as a share of the tolerance: any two places of a cell are within it, so a cell has one node at most.
+CELL = 0.7
+
+
+def _around(df: DataFrame, reach: int) -> DataFrame:
+    """``df`` (cx, cy) once for each cell around: ``at_x``, ``at_y``."""
+    offsets = F.sequence(F.lit(-reach), F.lit(reach))
+    spread = df.withColumn("_i", F.explode(offsets)).withColumn("_j", F.explode(offsets))
+    return spread.withColumns({"at_x": F.col("cx") + F.col("_i"), "at_y": F.col("cy") + F.col("_j")}).drop("_i", "_j")
+
+
+def _near(df: DataFrame, made: DataFrame, tolerance: float, how: str) -> DataFrame:
+    """``df`` (x, y, cx, cy) with the nodes ``made`` (node_x, node_y, made_by, cx, cy) within the tolerance of each place."""
+    there = _around(made, 2).select("node_x", "node_y", "made_by", "at_x", "at_y")
+    dx, dy = F.col("x") - F.col("node_x"), F.col("y") - F.col("node_y")
+    return df.join(there, (F.col("cx") == F.col("at_x")) & (F.col("cy") == F.col("at_y")) & (F.sqrt(dx * dx + dy * dy) <= tolerance), how)
+
+
+def first_independent(places: DataFrame, tolerance: float) -> DataFrame:
+    """(node_x, node_y, made_by, cx, cy): the places (x, y, made_by, cx, cy) that make a node when all are met in the order of ``made_by``.
+
+    A place makes a node if no node made before lies within the tolerance.  A round settles the first open place of each cell whose
+    neighbouring cells have no earlier open place, and takes all open places near the new nodes out, so a round meets each open place once and
+    no pairs of a crowded cell.  Rounds are as many as such waits follow one another; places that stand alone are settled in the first.
+    """
+    open_places, made = places, None
+    for _ in range(MOST_ROUNDS):
+        first = open_places.groupBy("cx", "cy").agg(F.min(F.struct("made_by", "x", "y")).alias("f")).select("cx", "cy", "f.*")
+        others = _around(first.select("cx", "cy", F.col("made_by").alias("other")), 2).groupBy(F.col("at_x").alias("cx"), F.col("at_y").alias("cy")).agg(F.min("other").alias("earliest"))
+        ready = first.join(others, ["cx", "cy"]).where(F.col("made_by") <= F.col("earliest"))
+        new = stored(ready.select(F.col("x").alias("node_x"), F.col("y").alias("node_y"), "made_by", "cx", "cy"), "nodes")
+        made = new if made is None else stored(made.unionByName(new), "nodes")
+        open_places = stored(_near(open_places, new, tolerance, "left_anti"), "open")
+        if open_places.isEmpty():
+            return made
+    raise RuntimeError(f"nodes did not settle in {MOST_ROUNDS} rounds")
 
 
 def snap_nodes(parts: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(road, piece, end, node_x, node_y, first_road, first_piece, first_end): the node of each piece's ends (0 from, 1 to).
 
-    A point takes the nearest node within the tolerance, else makes one, in the order of road, piece and end.  A
-    decision looks at points within the tolerance only, so clusters of such points are decided apart: a grid join
-    finds the near pairs, their components are the clusters.  Larger clusters than ``MOST_IN_CLUSTER`` raise.
+    A point takes the nearest node made before it within the tolerance, else makes one, in the order of road, piece and end; of equally near
+    nodes that of the last cell of the tolerance's size, and in it the last made.  Only the first point of a place can make a node there, so
+    places decide (``first_independent``); a place has few nodes near, as nodes lie apart, and each point picks from those made before it.
     """
     tolerance = max(tolerance, 1e-6)
     ends = F.array(F.struct(F.lit(0).alias("end"), F.col("points")[0].alias("p")), F.struct(F.lit(1).alias("end"), F.element_at("points", -1).alias("p")))
-    points = parts.select("road", "piece", F.explode(ends).alias("e")).select("road", "piece", "e.end", "e.p.x", "e.p.y").withColumn("node", F.xxhash64("x", "y"))
-    places = stored(points.groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y")), "places")
-    home = places.withColumns({"cx": F.floor(F.col("x") / tolerance), "cy": F.floor(F.col("y") / tolerance)})
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = home.select(F.col("node").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.explode(around).alias("d"))
-    near = near.select("other", "ox", "oy", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    pairs = home.join(near, ["cx", "cy"]).where((F.col("node") < F.col("other")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= tolerance))
-    clusters = components(places, pairs.select(F.col("node").alias("from_node"), F.col("other").alias("to_node")))
-    placed = points.join(clusters, "node")
-    size = F.count("*").over(Window.partitionBy("component"))
-    placed = placed.withColumn("component", F.when(size > MOST_IN_CLUSTER, F.raise_error(F.lit("a cluster of end points is too large"))).otherwise(F.col("component")))
-    schema = "road long, piece int, end int, node_x double, node_y double, first_road long, first_piece int, first_end int"
-    return placed.groupBy("component").applyInPandas(_greedy(tolerance), schema)
+    points = parts.select("road", "piece", F.explode(ends).alias("e")).select("road", "piece", "e.end", "e.p.x", "e.p.y")
+    cell = lambda c: F.floor(F.col(c) / (tolerance * CELL))
+    places = points.groupBy("x", "y").agg(F.min(F.struct("road", "piece", "end")).alias("made_by"))
+    places = stored(places.withColumns({"cx": cell("x"), "cy": cell("y")}), "places")
+    made = first_independent(places, tolerance)
+    far = F.sqrt((F.col("x") - F.col("node_x")) ** 2 + (F.col("y") - F.col("node_y")) ** 2)
+    own = lambda c: -F.floor(F.col(c) / tolerance)
+    choice = F.struct(far.alias("far"), own("node_x").alias("i"), own("node_y").alias("j"), "made_by", "node_x", "node_y")
+    nodes = _near(places.drop("made_by"), made, tolerance, "inner").groupBy("x", "y").agg(F.collect_list(choice).alias("nodes"))
+    met = points.join(nodes, ["x", "y"]).withColumn("me", F.struct("road", "piece", "end"))
+
+    def nearer(best: Column, c: Column) -> Column:
+        order = lambda s: F.struct(s["far"], s["i"], s["j"])
+        better = best.isNull() | (order(c) < order(best)) | ((order(c) == order(best)) & (c["made_by"] > best["made_by"]))
+        return F.when((c["made_by"] <= F.col("me")) & better, c).otherwise(best)
+
+    kind = nodes.schema["nodes"].dataType.elementType
+    picked = met.withColumn("n", F.aggregate("nodes", F.lit(None).cast(kind), nearer))
+    return picked.select("road", "piece", "end", "n.node_x", "n.node_y", F.col("n.made_by.road").alias("first_road"), F.col("n.made_by.piece").alias("first_piece"), F.col("n.made_by.end").alias("first_end"))
 
 
 def snap_ends(parts: DataFrame, snapped: DataFrame) -> DataFrame:

@@ -149,3 +149,68 @@ def test_timed_duration_crosses_a_change(spark):
     changes = F.array(F.struct(F.lit(10.0).alias("t"), F.lit(1).cast("long").alias("seq"), F.lit(0.5).alias("factor")))
     d = spark.range(1).select(routing.timed_duration(F.lit(200.0), F.lit(10.0), changes, F.lit(0.0)).alias("d")).first().d
     assert d == pytest.approx(10 + 100 / 5)
+
+
+def plain_snap(points, tolerance):
+    """Each point in order takes the nearest node so far, else makes one."""
+    made, out = [], {}
+    for key, x, y in sorted(points):
+        cell = lambda p: (p[0] // tolerance, p[1] // tolerance)
+        near = [(((n[1] - x) ** 2 + (n[2] - y) ** 2) ** 0.5, tuple(-c for c in cell(n[1:])), -k) for k, n in enumerate(made)]
+        near = [n for n in near if n[0] <= tolerance]
+        if near:
+            out[key] = made[-min(near)[2]]
+        else:
+            made.append((key, x, y))
+            out[key] = made[-1]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["crowded", "line", "grid"])
+def test_snapping_equals_the_plain_greedy(spark, kind):
+    rng = random.Random(kind)
+    spots = {"crowded": lambda k: (rng.uniform(0, 3), rng.uniform(0, 3)), "line": lambda k: (0.3 * k, 0.0), "grid": lambda k: (rng.randrange(6) * 0.25, rng.randrange(6) * 0.25)}[kind]
+    rows, points = [], []
+    for k in range(120 if kind != "line" else 25):
+        a, b = spots(2 * k), spots(2 * k + 1)
+        rows.append((k % 40, k // 40, [{"x": a[0], "y": a[1]}, {"x": b[0], "y": b[1]}]))
+        points += [((k % 40, k // 40, 0), *a), ((k % 40, k // 40, 1), *b)]
+    parts = spark.createDataFrame(rows, f"road long, piece int, points array<{P}>")
+    got = {(r.road, r.piece, r.end): ((r.first_road, r.first_piece, r.first_end), r.node_x, r.node_y) for r in topology.snap_nodes(parts, 0.5).collect()}
+    assert got == plain_snap(points, 0.5)
+
+
+def test_snapping_of_a_hub(spark):
+    n = 150_000
+    angle, far = F.rand(3) * 6.28, F.sqrt(F.rand(4)) * 0.2
+    at = spark.range(n).select(F.col("id").alias("road"), F.lit(0).alias("piece"), (far * F.cos(angle)).alias("x"), (far * F.sin(angle)).alias("y"))
+    parts = at.select("road", "piece", F.array(F.struct("x", "y"), F.struct((F.col("x") + 9).alias("x"), F.col("y"))).alias("points")).persist()
+    got = topology.snap_nodes(parts, 0.5).groupBy("first_road", "first_end").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 0, n), (0, 1, n)]
+    parts.unpersist()
+
+
+def test_goal_directed_searches_settle_fewer_states_and_find_the_same(spark):
+    wide, high = 14, 14
+    rows = []
+    for k in range(wide * high):
+        for other in ([k + 1] if k % wide < wide - 1 else []) + ([k + wide] if k + wide < wide * high else []):
+            c = 8.0 + k * 37 % 11
+            rows += [(len(rows), k, other, c, len(rows)), (len(rows) + 1, other, k, c, len(rows))]
+    edges = spark.createDataFrame(rows, "edge long, from_node long, to_node long, cost double, road_id long")
+    turns_table = spark.createDataFrame([(r[0], q[0], r[0] % 7 == 0, 2.0) for r in rows for q in rows if r[2] == q[1] and (r[0] + q[0]) % 5 == 0], "from_edge long, to_edge long, prohibited boolean, penalty_s double")
+    od = [(1, 15, 60), (2, 100, 101), (3, 195, 100), (4, 7, 35)]
+    starts = spark.createDataFrame([(o, r[0], r[2], 1.0) for o, a, _ in od for r in rows if r[1] == a], "od_id long, edge long, node long, extra double")
+    goals = spark.createDataFrame([(o, r[0], r[1], 1.0) for o, _, b in od for r in rows if r[1] == b], "od_id long, edge long, node long, extra double")
+    marks = routing.landmark_tables(edges, 4)
+    pairs = routing.pair_table(edges, turns_table)
+    for by, search in (("node", lambda m: routing.sssp_nodes(starts, goals, edges, m)), ("edge", lambda m: routing.sssp_turns(starts, goals, edges, turns_table, m))):
+        plain, directed = search(None).persist(), search(marks).persist()
+        asked = (goals, by, pairs if by == "edge" else None)
+        want = {r.od_id: (r.cost, r.edges) for r in routing.finish(plain, *asked).collect()}
+        got = {r.od_id: (r.cost, r.edges) for r in routing.finish(directed, *asked).collect()}
+        assert got == want and len(want) == 4
+        assert directed.count() < 0.75 * plain.count()
+    lower = routing.sssp_nodes(starts, goals, edges.withColumn("cost", F.col("cost") * 1.5), marks, exact=False)
+    want = routing.finish(routing.sssp_nodes(starts, goals, edges.withColumn("cost", F.col("cost") * 1.5), None), goals, "node")
+    assert sorted(map(tuple, routing.finish(lower, goals, "node").collect())) == sorted(map(tuple, want.collect()))
