@@ -191,6 +191,66 @@ def sssp_nodes(starts: DataFrame, goals: DataFrame, edges: DataFrame, landmarks:
     return relax(first, step, ["od_id"], ["node"], best, upper)
 
 
+def chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(short, members): ``edges`` (edge, from_node, to_node, cost) with each chain between nodes that matter as one edge.
+
+    A node inside a chain has two neighbours and either one edge in and one out or two each way, and isn't in ``keep`` (node).
+    ``short`` (edge, from_node, to_node, cost, n) names a chain by its first edge; ``members`` (chain, pos, edge, to_node, so_far) are
+    its edges, ``so_far`` the cost from the chain's start to the member's end.  Lists are ranked by jumping pointers: an edge's step to the next of its
+    chain is joined with itself until all have met their ends, so a road of n edges takes about log n rounds.  Rings without a node
+    that matters stay as they are.
+    """
+    e = stored(edges.select("edge", "from_node", "to_node", "cost"), "edges")
+    ends = e.select(F.col("from_node").alias("node"), F.col("to_node").alias("other"), F.lit(1).alias("out")).unionByName(e.select(F.col("to_node").alias("node"), F.col("from_node").alias("other"), F.lit(0).alias("out")))
+    links = ends.groupBy("node", "other").agg(F.sum("out").alias("n_out"), F.sum(1 - F.col("out")).alias("n_in"))
+    one_way = F.struct(F.sum("n_out"), F.sum("n_in"), F.max(F.col("n_out") + F.col("n_in"))) == F.struct(F.lit(1).cast("long"), F.lit(1).cast("long"), F.lit(1).cast("long"))
+    both_ways = (F.min(F.least("n_out", "n_in")) == 1) & (F.max(F.greatest("n_out", "n_in")) == 1)
+    inside = links.where("node <> other").groupBy("node").agg((F.count("*") == 2).alias("two"), (one_way | both_ways).alias("plain"))
+    loops = e.where("from_node = to_node").select(F.col("from_node").alias("node"))
+    inside = stored(inside.where("two AND plain").select("node").join(keep.select("node").union(loops).distinct(), "node", "left_anti"), "inside")
+    follow = e.select(F.col("edge").alias("jump"), F.col("from_node").alias("to_node"), F.col("to_node").alias("beyond")).join(inside.withColumnRenamed("node", "to_node"), "to_node", "left_semi")
+    rows = e.join(follow, "to_node", "left").where(F.col("jump").isNull() | (F.col("beyond") != F.col("from_node")) | (F.col("from_node") == F.col("to_node")))
+    state = stored(rows.select("edge", "jump", "cost", F.lit(1).cast("long").alias("n"), F.col("edge").alias("last")), "ranks")
+    span, total = 1, e.count()
+    while span < total and not state.where("jump IS NOT NULL").isEmpty():
+        beyond = state.select(F.col("edge").alias("jump"), F.col("jump").alias("further"), F.col("cost").alias("more"), F.col("n").alias("n_more"), F.col("last").alias("at"))
+        state = state.join(beyond, "jump", "left").select(
+            "edge", F.col("further").alias("jump"), (F.col("cost") + F.coalesce("more", F.lit(0.0))).alias("cost"), (F.col("n") + F.coalesce("n_more", F.lit(0))).alias("n"), F.coalesce("at", "last").alias("last")
+        )
+        state, span = stored(state, "ranks"), span * 2
+    rings = state.where("jump IS NOT NULL").select("edge")
+    placed = state.where("jump IS NULL").select("edge", "n", F.col("cost").alias("rest"), "last").join(e, "edge")
+    stops = e.select(F.col("edge").alias("last"), F.col("to_node").alias("stop"))
+    heads = stored(placed.join(inside.withColumnRenamed("node", "from_node"), "from_node", "left_anti").select(F.col("edge").alias("chain"), F.col("from_node").alias("start"), "n", "rest", "last").join(stops, "last"), "heads")
+    short = heads.select(F.col("chain").alias("edge"), F.col("start").alias("from_node"), F.col("stop").alias("to_node"), F.col("rest").alias("cost"), "n")
+    short = short.unionByName(e.join(rings, "edge", "left_semi").select("edge", "from_node", "to_node", "cost", F.lit(1).cast("long").alias("n")))
+    whole = heads.select("last", "chain", F.col("n").alias("n_whole"), F.col("rest").alias("whole"))
+    members = placed.join(whole, "last").select("chain", (F.col("n_whole") - F.col("n")).alias("pos"), "edge", "to_node", (F.col("whole") - F.col("rest") + F.col("cost")).alias("so_far"))
+    return short, members.unionByName(e.join(rings, "edge", "left_semi").select(F.col("edge").alias("chain"), F.lit(0).cast("long").alias("pos"), "edge", "to_node", F.col("cost").alias("so_far")))
+
+
+def sssp_chained(starts: DataFrame, goals: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, routes) of ``sssp_nodes`` on the chains of ``edges``: rounds grow with the junctions of a way, not with its edges.
+
+    ``states`` (od_id, node, cost) has every node, those inside chains too; ``routes`` (od_id, cost, edges) lists whole edges.
+    """
+    keep = starts.select("node").union(goals.select("node")).distinct()
+    short, members = (stored(x, "chains") for x in chains(edges, keep))
+    settled = stored(sssp_nodes(starts, goals, short), "settled")
+    along = short.where("n > 1").select(F.col("from_node").alias("node"), F.col("edge").alias("chain")).join(members.select("chain", F.col("to_node").alias("there"), "so_far"), "chain")
+    inner = settled.join(along, "node").select("od_id", F.col("there").alias("node"), (F.col("cost") + F.col("so_far")).alias("cost"))
+    states = settled.select("od_id", "node", "cost").unionByName(inner).groupBy("od_id", "node").agg(F.min("cost").alias("cost"))
+    found = finish(settled, goals, "node")
+    # the first edge is the start's and the last the goal's; those between are chains
+    steps = found.select("od_id", "cost", F.size("edges").alias("size"), F.posexplode("edges").alias("at", "chain"))
+    whole = members.withColumnRenamed("edge", "member")
+    ends = (F.col("at") == 0) | (F.col("at") == F.col("size") - 1)
+    told = steps.where(ends).select("od_id", "cost", "at", F.lit(0).cast("long").alias("pos"), F.col("chain").alias("edge"))
+    told = told.unionByName(steps.where(~ends).join(whole, "chain").select("od_id", "cost", "at", "pos", F.col("member").alias("edge")))
+    listed = told.groupBy("od_id", "cost").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "edge"))).alias("e"))
+    return states, listed.select("od_id", "cost", F.transform("e", lambda x: x["edge"]).alias("edges"))
+
+
 def pair_table(edges: DataFrame, turns: DataFrame | None) -> DataFrame:
     """(from_edge, to_edge, penalty_s) of all pairs of edges that may follow each other."""
     a = edges.select(F.col("edge").alias("from_edge"), F.col("to_node").alias("node"))

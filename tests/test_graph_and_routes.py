@@ -214,3 +214,46 @@ def test_goal_directed_searches_settle_fewer_states_and_find_the_same(spark):
     lower = routing.sssp_nodes(starts, goals, edges.withColumn("cost", F.col("cost") * 1.5), marks, exact=False)
     want = routing.finish(routing.sssp_nodes(starts, goals, edges.withColumn("cost", F.col("cost") * 1.5), None), goals, "node")
     assert sorted(map(tuple, routing.finish(lower, goals, "node").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chained_search_equals_the_plain_one(spark):
+    rng = random.Random(11)
+    rows, number = [], iter(range(10_000, 20_000))
+    link = lambda a, b, both: rows.extend([(len(rows), a, b, float(rng.randrange(1, 9)))] + ([(len(rows) + 1, b, a, float(rng.randrange(1, 9)))] if both else []))
+    for _ in range(25):
+        a, b = rng.sample(range(9), 2)
+        inner = [next(number) for _ in range(rng.choice([0, 0, 1, 4, 9]))]
+        both = rng.random() < 0.6
+        for p, q in zip([a, *inner], [*inner, b], strict=True):
+            link(p, q, both)
+    ring = [next(number) for _ in range(5)]
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        link(p, q, True)
+    link(next(number), 3, True)
+    edges = spark.createDataFrame(rows, "edge long, from_node long, to_node long, cost double").withColumn("road_id", F.col("edge"))
+    ends = [(1, -1, 0, 1.0), (2, -2, 10_001, 0.5), (3, -3, ring[0], 0.0)]
+    starts = spark.createDataFrame(ends, "od_id long, edge long, node long, extra double")
+    states, _ = routing.sssp_chained(starts, starts.where("false"), edges)
+    want = {(r.od_id, r.node): r.cost for r in routing.sssp_nodes(starts, starts.where("false"), edges).collect()}
+    assert {(r.od_id, r.node): r.cost for r in states.collect()} == pytest.approx(want)
+    goals = spark.createDataFrame([(1, 900, 10_003, 1.0), (2, 901, 5, 1.0)], "od_id long, edge long, node long, extra double")
+    got = {r.od_id: (r.cost, r.edges) for r in routing.sssp_chained(starts, goals, edges)[1].collect()}
+    plain = {r.od_id: (r.cost, r.edges) for r in routing.finish(routing.sssp_nodes(starts, goals, edges), goals, "node").collect()}
+    cost = {r[0]: r[3] for r in rows}
+    assert set(got) == set(plain) and all(got[o][0] == pytest.approx(plain[o][0]) for o in plain)
+    assert all(sum(cost[k] for k in got[o][1][1:-1]) == pytest.approx(sum(cost[k] for k in plain[o][1][1:-1])) for o in plain)
+
+
+def test_a_road_of_ten_thousand_edges_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 10_000, []
+    kept = routing.stored
+    monkeypatch.setattr(routing, "stored", lambda df, what: (rounds.append(what), kept(df, what))[1])
+    along = spark.range(n).select(F.col("id").alias("edge"), F.col("id").alias("from_node"), (F.col("id") + 1).alias("to_node"), F.lit(2.0).alias("cost"))
+    back = along.select((F.col("edge") + n).alias("edge"), F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), "cost")
+    edges = along.union(back).withColumn("road_id", F.col("edge"))
+    starts = spark.createDataFrame([(1, -1, 0, 0.0)], "od_id long, edge long, node long, extra double")
+    goals = spark.createDataFrame([(1, -2, n, 0.0)], "od_id long, edge long, node long, extra double")
+    states, routes = routing.sssp_chained(starts, goals, edges)
+    assert states.agg(F.count("*"), F.sum("cost")).first()[:] == (n + 1, float(n * (n + 1)))
+    assert routes.first()["edges"] == [-1, *range(n), -2]
+    assert rounds.count("ranks") + rounds.count("settled") < 50
