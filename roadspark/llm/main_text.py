@@ -38,6 +38,10 @@ SMALL_PARTS = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert popup "
     "newsletter subscribe signup share sharing social comment comments disqus widget login skip breadcrumb breadcrumbs pagination"
 ).split()
+# Words that name reader comments on an article element; words beside which a part is absent or a state of the page; what has a heading of its own.
+COMMENTS = "comment comments commentlist reply replies".split()
+ABSENT = frozenset("no not non without off free less none hide hidden disabled has with open closed".split())
+TEXTS = frozenset("article post entry story content page title".split())
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -59,13 +63,31 @@ TABLE_BYTES = 32 << 20
 COPY = 0.9
 
 
+def _named(value: str, words: list[str], leading: bool) -> bool:
+    """Whether one of the names in a class or id stands for one of ``words``.
+
+    A name of several words is what its last word says (post-comments), or its first if it is ``leading`` (sidebar-left, not an anchor as in a section's id); not if a word
+    says that the part is absent (no-sidebar, ad-free), and not the header of a text (post-header).
+    """
+    for name in value.split():
+        parts = WORD.findall(name)
+        if name in words or len(parts) == 1 and parts[0] in words:
+            return True
+        if len(parts) < 2 or not ABSENT.isdisjoint(parts):
+            continue
+        if parts[-1] in words and not (parts[-1] == "header" and not TEXTS.isdisjoint(parts)) or leading and parts[0] in words:
+            return True
+    return False
+
+
 def _around(name: str, attrs: str) -> bool:
-    """Whether the attributes of an element name a part around the article, or hide it."""
+    """Whether the attributes of an element name a part around the article, or hide it; an article is one only if it holds a reader's comment."""
+    words = COMMENTS if name in MAIN else PARTS if name in BOXES else SMALL_PARTS
     box, heading = name in BOXES, len(name) == 2 and name[0] == "h" and name[1].isdigit()
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "class" or key == "id" and box:
-            if not heading and not {*value.split(), *WORD.findall(value)}.isdisjoint(PARTS if box else SMALL_PARTS):
+            if not heading and _named(value, words, name != "p" and not (key == "id" and name == "section")):
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
@@ -136,11 +158,15 @@ class Page:
                 if depth is not None:
                     del stack[depth:]
                 continue
-            main = name in MAIN
             inner = any(box[2] for box in stack)
-            aside = name not in BOXES or name in ASIDE and not (name == "header" and inner) or name not in ("html", "body", "article", "main") and _around(name, attrs)
+            aside = name not in BOXES or name in ASIDE and not (name == "header" and inner) or name not in ("html", "body") and _around(name, attrs)
+            main = name in MAIN and not aside
+            if main and not page.has_main:
+                # a box that holds the article isn't around it, whatever it is called
+                for box in stack:
+                    box[1] &= box[0] in ASIDE or box[0] not in BOXES
             page.has_main |= main
-            stack.append((name, aside, main))
+            stack.append([name, aside, main])
         if not inline:
             text.append(source[at:])
         flush()

@@ -1,6 +1,7 @@
 import importlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -180,3 +181,21 @@ def test_url_statistics_come_from_all_labelled_rows(spark, monkeypatch):
     assert shares == {"block": 301 / 302, "allow": 1 / 602}
     # the copies of one URL are thinned out like the others
     assert 0 < kept["urls"].where("host = 'hot.allow'").count() < 100 and kept["urls"].count() < 200
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='site no-sidebar'><article><p>Text</p></article></div>", "Text"),
+        ("<div class='content ad-free'><p>Text</p></div>", "Text"),
+        ("<div id='comments-off'><p>Text</p></div>", "Text"),
+        ("<div class='sidebar-layout'><div class='sidebar-left'><p>Links</p></div><article><p>Text</p></article></div>", "Text"),
+        ("<article><div class='post-header'><h1>Title</h1></div><p>Text</p></article>", "Title\n\nText"),
+        ("<article><section id='social-policy'><p>Text</p></section><p class='share-price'>Price</p></article>", "Text\n\nPrice"),
+        ("<article><p>Text</p></article><article class='comment'><p>I agree</p></article>", "Text"),
+        ("<article><p>Text</p><div class='post-comments'><article class='comment-body'><p>I agree</p></article></div></article>", "Text"),
+        ("<article><p>Text</p><div class='share-buttons'>Share</div><div class='ad'>Buy</div><div id='related-posts'>More</div><div class='entry-comments'>Said</div></article>", "Text"),
+    ],
+)
+def test_names_of_parts(html, want):
+    assert main_text.Page.of(f"<html><body>{html}</body></html>").main_text() == want
