@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,3 +33,16 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, within: list[str], part: str, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running sums before each row of its group: ``sums`` maps columns to the names of their sums.
+
+    A group is dealt out in parts, whose numbers rise in the order of its rows; a part is summed by ``order`` inside, and one row for each part
+    carries the sums over.
+    """
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(before.partitionBy(*within, part).orderBy(*order)), F.lit(0)) for c in sums})
+    carried = df.groupBy(*within, part).agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
+    carried = carried.select(*within, part, *(F.coalesce(F.sum(f"_all_{c}").over(before.partitionBy(*within).orderBy(part)), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    return inside.join(carried, [*within, part]).select(*df.columns, *((F.col(f"_in_{c}") + F.col(f"_before_{c}")).cast("long").alias(n) for c, n in sums.items()))

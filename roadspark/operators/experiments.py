@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadspark.functions.tables import stored
 from roadspark.operators.topology import numbered
 
 # Metrics over successful runs only, and over all runs.
@@ -35,26 +36,39 @@ def matrix(manifests: DataFrame) -> DataFrame:
 STRIDE = 2_147_483_647
 
 
-def random_events(spec: DataFrame, edges: DataFrame) -> DataFrame:
+def random_events(spec: DataFrame, edges: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """(scenario_id, repetition, edge, t, action, value): random disturbances, the same for all strategies of a repetition.
 
     ``spec`` has (scenario_id, repetition, seed, count, start_s, end_s, duration_s, step_s, factor).  Edges are drawn
     without replacement: they are numbered in order, and a row takes the numbers from a start that its seed gives, in equal
     strides.  The tick lies in [ceil(start/step), floor(end/step)]; the end event restores 1 after the duration, rounded up
     to ticks.  The stream of numbers is our own.  No edge is looked at that isn't drawn.
+
+    A window without a tick raises, and so does one whose last event could end behind ``run_s``, the length of the run, where ``spec`` has it.
+    ``manual`` (scenario_id, edge) names edges that events are set on by hand: one among ``edges`` raises.  ``spec`` may have ``action``
+    (speed_factor if not): after ``close`` the edge opens again.
     """
+    if manual is not None:
+        both = manual.join(edges.select("edge").distinct(), "edge", "left_semi").limit(1).collect()
+        if both:
+            raise ValueError(f"edge {both[0]['edge']} of random events has events set by hand")
+    low, high = F.ceil(F.col("start_s") / F.col("step_s")), F.floor(F.col("end_s") / F.col("step_s"))
+    late = (high + F.ceil(F.col("duration_s") / F.col("step_s"))) * F.col("step_s") > F.col("run_s") if "run_s" in spec.columns else F.lit(False)
+    sound = F.when(low > high, F.raise_error(F.lit("the window of random events has no tick"))).when(late, F.raise_error(F.lit("random events end behind the run"))).otherwise(F.col("count"))
+    spec = spec.withColumn("count", sound)
+    action = F.col("action") if "action" in spec.columns else F.lit("speed_factor")
     listed = numbered(edges.select("edge").distinct(), ["edge"], "number")
     there = listed.agg(F.count("*").alias("there"))
     first = F.pmod((F.col("seed") + F.col("repetition") - 1).cast("long") * 1_103_515_245 + 12_345, F.lit(1 << 31))
     rows = spec.join(F.broadcast(there), how="cross").withColumn("first", first).where("there > 0 AND count > 0")
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.least("count", "there").cast("int") - 1)))
     drawn = rows.withColumn("number", F.pmod(F.col("first") + F.col("k").cast("long") * STRIDE, F.col("there"))).join(listed, "number")
-    low, high = F.ceil(F.col("start_s") / F.col("step_s")), F.floor(F.col("end_s") / F.col("step_s"))
     tick = low + F.pmod(F.pmod(F.col("first") * 48_271 + F.col("k") * 69_621 + 11, F.lit(STRIDE)), F.greatest(high - low + 1, F.lit(1)))
     long = F.ceil(F.col("duration_s") / F.col("step_s"))
-    pair = F.array(F.struct((tick * F.col("step_s")).alias("t"), F.col("factor").alias("value")), F.struct(((tick + long) * F.col("step_s")).alias("t"), F.lit(1.0).alias("value")))
-    out = drawn.select("scenario_id", "repetition", "edge", F.explode(pair).alias("e"))
-    return out.select("scenario_id", "repetition", "edge", "e.t", F.lit("speed_factor").alias("action"), "e.value")
+    begins = F.struct((tick * F.col("step_s")).alias("t"), action.alias("action"), F.col("factor").alias("value"))
+    ends = F.struct(((tick + long) * F.col("step_s")).alias("t"), F.when(action == "close", "open").otherwise(action).alias("action"), F.lit(1.0).alias("value"))
+    out = drawn.select("scenario_id", "repetition", "edge", F.explode(F.array(begins, ends)).alias("e"))
+    return out.select("scenario_id", "repetition", "edge", "e.*")
 
 
 def run_metrics(traces: DataFrame) -> DataFrame:
@@ -116,17 +130,63 @@ def failed_runs(planned: DataFrame, done: DataFrame, counters: list[str], eviden
     return out.select(*planned.columns, success.alias("success"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counters), *evidence, F.col("_ran").isNull().alias("failed"))
 
 
+#: Values that one row may list when a percentile is read off, and the bins of a round before that.
+MOST_LISTED, BINS = 100_000, 1024
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], shares: list[float]) -> DataFrame:
+    """(by, share, result): exact percentiles of ``value``, between ranks in proportion; nulls are left out.
+
+    A group of any size is never sorted or held.  The ranks asked for are closed in on: a round counts the values between the bounds of each rank in
+    ``BINS`` bins and keeps the bin that holds the rank, with the least and greatest value in it, until these are equal or the bin has
+    ``MOST_LISTED`` values at most, which are then listed.
+    """
+    rows = rows.where(F.col("value").isNotNull()).select(*by, F.col("value").cast("double").alias("value"))
+    whole = stored(rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")), "groups")
+    asked = whole.select(*by, "n", F.explode(F.array(*(F.lit(p) for p in shares))).alias("share")).withColumn("at", F.col("share") * (F.col("n") - 1))
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(p * (F.col("n") - 1)), F.ceil(p * (F.col("n") - 1))) for p in shares))))
+    bounds = stored(whole.select(*by, "low", "high", "n", F.lit(0).cast("long").alias("below"), F.explode(ranks).alias("rank")), "ranks")
+    settled = (F.col("low") == F.col("high")) | (F.col("n") <= MOST_LISTED)
+    while not bounds.where(~settled).isEmpty():
+        met = rows.join(bounds.where(~settled), by).where(F.col("value").between(F.col("low"), F.col("high")))
+        # halves first, so that the width of a range of doubles is finite
+        share = (F.col("value") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        binned = met.groupBy(*by, "rank", "below", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "rank").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        closer = binned.withColumn("below", F.col("below") + before).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("n")))
+        columns = [*by, "low", "high", "n", "below", "rank"]
+        bounds = stored(bounds.where(settled).select(columns).unionByName(closer.select(columns)), "ranks")
+    few = rows.join(bounds.where("low < high"), by).where(F.col("value").between(F.col("low"), F.col("high")))
+    read_off = few.groupBy(*by, "rank", "below").agg(F.sort_array(F.collect_list("value")).alias("v")).select(*by, "rank", F.get("v", (F.col("rank") - F.col("below")).cast("int")).alias("value"))
+    values = stored(bounds.where("low = high").select(*by, "rank", F.col("low").alias("value")).unionByName(read_off), "values")
+    lower, upper = (values.select(*by, F.col("rank").alias(f"{n}_rank"), F.col("value").alias(n)) for n in ("lower", "upper"))
+    out = asked.withColumns({"lower_rank": F.floor("at"), "upper_rank": F.ceil("at")}).join(lower, [*by, "lower_rank"]).join(upper, [*by, "upper_rank"])
+    return out.select(*by, "share", (F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("at") - F.col("lower_rank"))).alias("result"))
+
+
 def aggregate(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """Per scenario and strategy: runs, successes, rate, and of each metric mean, p50, p95, min and max.
 
-    Travel, length and exposure count successful runs only.  Nulls are left out; without a value all are null.
+    Travel, length and exposure count successful runs only.  Nulls are left out; without a value all are null.  Percentiles are exact: those of
+    groups of up to ``MOST_LISTED`` runs in one pass, else by ``exact_percentiles``.
     """
+    by = ["scenario_id", "strategy_id"]
+    counted = {m: (F.when(F.col("success"), F.col(m)) if m in OF_SUCCESS else F.col(m)).cast("double") for m in metrics}
     out = [F.count("*").alias("runs"), F.count_if(F.col("success")).alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate")]
-    for m in metrics:
-        c = F.when(F.col("success"), F.col(m)) if m in OF_SUCCESS else F.col(m)
-        c = c.cast("double")
-        out += [F.avg(c).alias(f"{m}_mean"), F.percentile(c, 0.5).alias(f"{m}_p50"), F.percentile(c, 0.95).alias(f"{m}_p95"), F.min(c).alias(f"{m}_min"), F.max(c).alias(f"{m}_max")]
-    return runs.groupBy("scenario_id", "strategy_id").agg(*out)
+    largest = runs.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shares = {"p50": 0.5, "p95": 0.95}
+    for m, c in counted.items():
+        listed = [F.percentile(c, p).alias(f"{m}_{n}") for n, p in shares.items()] if largest <= MOST_LISTED else []
+        out += [F.avg(c).alias(f"{m}_mean"), *listed, F.min(c).alias(f"{m}_min"), F.max(c).alias(f"{m}_max")]
+    found = runs.groupBy(*by).agg(*out)
+    if largest <= MOST_LISTED:
+        return found
+    long = runs.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), c.alias("value")) for m, c in counted.items()))).alias("x")).select(*by, "x.*")
+    exact = exact_percentiles(long, [*by, "metric"], list(shares.values()))
+    wide = exact.groupBy(*by).agg(*(F.max(F.when((F.col("metric") == m) & (F.col("share") == p), F.col("result"))).alias(f"{m}_{n}") for m in metrics for n, p in shares.items()))
+    order = [*by, "runs", "successes", "success_rate", *(f"{m}_{n}" for m in metrics for n in ("mean", "p50", "p95", "min", "max"))]
+    wide = wide.select(*(F.col(c).alias(f"_{c}") if c in by else c for c in wide.columns))
+    return found.join(wide, [found[c].eqNullSafe(wide[f"_{c}"]) for c in by], "left").select(order)
 
 
 def request_counters(requests: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadspark.functions.tables import running, stored
 from roadspark.operators.topology import numbered
 
 # Column names of a field mapping and what they mean here.
@@ -40,6 +41,38 @@ def _lines(kind, text):
     return F.transform(lines, lambda l: F.transform(l, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))  # noqa: E741
 
 
+#: Objects of a file that are numbered together.
+OBJECTS_A_PART = 100_000
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(feature_ordinal, id, properties, geometry) of the features of one FeatureCollection a file, read by many tasks.
+
+    A file is cut at every closing brace, so tasks read its blocks side by side.  Running counts of quotes tell which braces stand in texts, those of
+    braces how deep each piece lies; pieces up to the end of an object one level down make up a feature, or another member of the collection,
+    which is left out.  Nothing but pieces and features is ever held as a whole.
+    """
+    cut = stored(_placed(spark.read.option("lineSep", "}").text(path)), "pieces")
+    bare = F.regexp_replace("value", r"\\[\s\S]", "")
+    rows = cut.withColumn("bare", bare).withColumn("quotes", F.length("bare") - F.length(F.regexp_replace("bare", '"', "")))
+    rows = running(rows, ["_file"], "_block", ["_at"], {"quotes": "quotes_before"})
+    out_of_texts = F.regexp_replace(F.when(F.col("quotes_before") % 2 == 1, F.regexp_replace("bare", '^[^"]*"?', "")).otherwise(F.col("bare")), '"[^"]*(?:"|$)', "")
+    opened = F.length(out_of_texts) - F.length(F.regexp_replace(out_of_texts, r"\{", ""))
+    closed = ((F.col("quotes_before") + F.col("quotes")) % 2 == 0).cast("int")
+    rows = rows.withColumns({"step": opened - closed, "closed": closed}).drop("bare", "quotes", "quotes_before")
+    rows = running(rows, ["_file"], "_block", ["_at"], {"step": "depth"})
+    rows = rows.withColumn("ends", ((F.col("closed") == 1) & (F.col("depth") + F.col("step") == 1)).cast("int"))
+    rows = running(rows, ["_file"], "_block", ["_at"], {"ends": "object"})
+    listed = rows.groupBy("_file", "object").agg(F.array_sort(F.collect_list(F.struct("_block", "_at", F.concat("value", F.lit("}")).alias("piece")))).alias("pieces"))
+    # the text ahead of the object goes: a comma or a name, and for the first one the collection's own brace too
+    ahead, text = r'^(?:[^{"]|"(?:[^"\\]|\\.)*+")*+\{', F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    text = F.when(F.col("object") == 0, F.regexp_replace(text, ahead, "")).otherwise(text)
+    parsed = F.from_json(F.regexp_replace(text, ahead, "{"), f"type STRING, {FEATURE}")
+    found = listed.select("_file", "object", parsed.alias("f")).withColumn("one", F.coalesce((F.col("f.type") == "Feature").cast("int"), F.lit(0)))
+    found = running(found.withColumn("part", F.floor(F.col("object") / OBJECTS_A_PART)), ["_file"], "part", ["object"], {"one": "feature_ordinal"})
+    return found.where("one = 1").select("feature_ordinal", "f.id", "f.properties", "f.geometry")
+
+
 def read_roads_geojson(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(feature_ordinal, feature_id, properties, geom_type, parts) of a GeoJSON FeatureCollection, or one Feature a line.
 
@@ -49,8 +82,7 @@ def read_roads_geojson(spark: SparkSession, path: str, lines: bool = False) -> D
     if lines:
         rows = _in_file_order(_placed(spark.read.schema(FEATURE).json(path)), "feature_ordinal")
     else:
-        whole = spark.read.schema(f"features ARRAY<STRUCT<{FEATURE.replace(' ', ': ', 1).replace(', properties ', ', properties: ').replace(', geometry ', ', geometry: ')}>>").json(path, multiLine=True)
-        rows = whole.select(F.posexplode("features").alias("feature_ordinal", "f")).select(F.col("feature_ordinal").cast("long").alias("feature_ordinal"), "f.*")
+        rows = read_collection(spark, path)
     g = F.col("geometry")
     inner = F.flatten(F.transform(F.filter(g["geometries"], lambda x: x["type"].isin("LineString", "MultiLineString")), lambda x: _lines(x["type"], x["coordinates"])))
     parts = F.when(g["type"] == "GeometryCollection", inner).otherwise(_lines(g["type"], g["coordinates"]))
