@@ -329,6 +329,16 @@ def j8_invalidations(spark, d):
     return feeds.run_available(out, place(spark, "j8")).select(F.col("ts").alias("seq"), "vehicle_id", "edge", "reason")
 
 
+@query("SELECT c.seq, v.vehicle_id, r.edge, CASE WHEN action = 'open' THEN 'route_improved' ELSE 'route_invalidated' END AS reason FROM controls c JOIN routes r ON r.edge = c.target_id JOIN vehicles v ON v.vehicle_id = r.route_id WHERE c.scope = 'edge' AND c.action IN ('close', 'open') AND v.depart_t IS NOT NULL AND c.t BETWEEN v.depart_t AND v.depart_t + 86400")
+def j8_invalidations_within(spark, d):
+    """Closures of a day against routes published when their vehicles depart, both as streams."""
+    c = derive.controls(spark, d).where("scope = 'edge' AND action IN ('close', 'open')").select("seq", "t", F.col("target_id").alias("edge"), (F.col("action") == "open").alias("improved"))
+    departed = derive.vehicles(spark, d).where("depart_t IS NOT NULL").select("vehicle_id", F.col("depart_t").alias("t"))
+    routes = departed.join(derive.routes(spark, d), F.col("vehicle_id") == F.col("route_id")).select("vehicle_id", "edge", "t")
+    out = feeds.invalidations_within(stream(spark, c, "closures", "edge"), stream(spark, routes, "routes", "edge"), "1 day", "3650 days")
+    return feeds.run_available(out, place(spark, "j8s")).select("seq", "vehicle_id", "edge", "reason")
+
+
 @query("SELECT DISTINCT vehicle_id, round(t, 6) AS t FROM samples")
 def j9_sample_dedupe(spark, d):
     twice = derive.samples(spark, d).select("vehicle_id", "t")
