@@ -571,23 +571,66 @@ def timed_duration(length_m: Column, speed_mps: Column, changes: Column, depart:
     return F.transform(F.array(end), lambda e: e["t"] - depart + e["left"] / (base * e["factor"]))[0]
 
 
+def with_gains(profile: DataFrame) -> DataFrame:
+    """``profile`` (edge, changes) with ``gained`` in each change: the seconds at full speed that passed from the first change to it."""
+    rows = profile.select("edge", F.posexplode("changes").alias("pos", "c")).select("edge", "pos", "c.t", "c.factor")
+    by = Window.partitionBy("edge").orderBy("pos")
+    rows = rows.withColumn("step", F.coalesce((F.col("t") - F.lag("t").over(by)) * F.lag("factor").over(by), F.lit(0.0)))
+    rows = rows.withColumn("gained", F.sum("step").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = rows.groupBy("edge").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "factor", "gained"))).alias("changes"))
+    return listed.select("edge", "changes")
+
+
+def timed_arrival(length_m: Column, speed_mps: Column, changes: Column, depart: Column) -> Column:
+    """When ``length_m`` is driven that begins at ``depart``; as ``timed_duration``, but over changes ``with_gains``.
+
+    Time is turned into seconds at full speed, the way added, and turned back; both look their change up by halving, so the cost grows with the
+    logarithm of an edge's changes, however many lie behind.
+    """
+    once = lambda value, fn: F.transform(F.array(value), fn)[0]
+    full = length_m / F.greatest(F.lit(0.1), speed_mps)
+    n = F.coalesce(F.size(changes), F.lit(0))
+
+    def up_to(key: str, x: Column) -> Column:
+        """How many changes have ``key`` up to ``x``."""
+        low_high = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+        def halve(s: Column, _: Column) -> Column:
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            right = F.get(changes, middle)[key] <= x
+            return F.when(s["low"] < s["high"], low_high(F.when(right, middle + 1).otherwise(s["low"]), F.when(right, s["high"]).otherwise(middle))).otherwise(s)
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), low_high(F.lit(0), n), halve, lambda s: s["low"])
+
+    def gained(k: Column, t: Column) -> Column:
+        c, first = F.get(changes, k - 1), F.get(changes, F.lit(0))
+        return F.when(k == 0, t - first["t"]).otherwise(c["gained"] + (t - c["t"]) * c["factor"])
+
+    def at(k: Column, x: Column) -> Column:
+        c, first = F.get(changes, k - 1), F.get(changes, F.lit(0))
+        return F.when(k == 0, first["t"] + x).otherwise(c["t"] + (x - c["gained"]) / c["factor"])
+
+    found = once(depart, lambda t: once(up_to("t", t), lambda k: once(gained(k, t) + full, lambda x: once(up_to("gained", x), lambda j: at(j, x)))))
+    return F.when(n == 0, depart + full).otherwise(found)
+
+
 def sssp_timed(starts: DataFrame, edges: DataFrame, turns: DataFrame | None, profile: DataFrame) -> DataFrame:
     """(od_id, edge, cost, from_edge): earliest arrival (as seconds since 0) at the end of each edge.
 
     ``starts`` has (od_id, edge, length_m [what is left of the edge], depart_s).
     """
     pairs = stored(pair_table(edges, turns), "pairs")
-    timed = stored(edges.select("edge", "length_m", "speed_limit_mps").join(profile, "edge", "left"), "timed")
+    timed = stored(edges.select("edge", "length_m", "speed_limit_mps").join(with_gains(profile), "edge", "left"), "timed")
     out = pairs.join(timed.withColumnRenamed("edge", "to_edge"), "to_edge").withColumnRenamed("from_edge", "edge")
     at = F.col("cost") + F.col("penalty_s")
 
     def step(front: DataFrame) -> DataFrame:
         rows = front.select("od_id", "edge", "cost", F.col("ord").alias("from_ord")).join(out, "edge")
-        arrive = at + timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), at)
+        arrive = timed_arrival(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), at)
         return rows.select("od_id", F.col("to_edge").alias("edge"), arrive.alias("cost"), "from_ord", F.col("edge").alias("from_edge"))
 
     own = starts.join(timed.select("edge", "speed_limit_mps", "changes"), "edge")
-    first = own.select("od_id", "edge", (F.col("depart_s") + timed_duration(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.col("depart_s"))).alias("cost"))
+    first = own.select("od_id", "edge", timed_arrival(F.col("length_m"), F.col("speed_limit_mps"), F.col("changes"), F.col("depart_s")).alias("cost"))
     return relax(first, step, ["od_id"], ["edge"])
 
 

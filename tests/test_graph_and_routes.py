@@ -257,3 +257,16 @@ def test_a_road_of_ten_thousand_edges_takes_few_rounds(spark, monkeypatch):
     assert states.agg(F.count("*"), F.sum("cost")).first()[:] == (n + 1, float(n * (n + 1)))
     assert routes.first()["edges"] == [-1, *range(n), -2]
     assert rounds.count("ranks") + rounds.count("settled") < 50
+
+
+def test_timed_arrival_equals_the_fold(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        times = sorted(float(rng.randrange(0, 40)) for _ in range(rng.choice([0, 1, 2, 7, 30])))
+        rows.append((k, float(rng.randrange(0, 900)), float(rng.randrange(1, 30)), float(rng.randrange(0, 60)), [(t, i, rng.choice([0.05, 0.5, 1.0, 3.0])) for i, t in enumerate(times)]))
+    df = spark.createDataFrame(rows, "edge long, length_m double, speed double, depart double, changes array<struct<t:double,seq:long,factor:double>>")
+    want = df.select("edge", (F.col("depart") + routing.timed_duration(F.col("length_m"), F.col("speed"), F.col("changes"), F.col("depart"))).alias("at"))
+    gains = routing.with_gains(df.select("edge", "changes"))
+    got = df.drop("changes").join(gains, "edge", "left").select("edge", routing.timed_arrival(F.col("length_m"), F.col("speed"), F.col("changes"), F.col("depart")).alias("at"))
+    assert {r.edge: r["at"] for r in got.collect()} == pytest.approx({r.edge: r["at"] for r in want.collect()})
