@@ -19,7 +19,7 @@ from roadspark.llm.common import map_batches, ranged_sums, stored
 #: Conversation ids that one row lists.
 IDS_A_ROW = 4096
 
-#: A prefix is known by its depth and four sums of 32 bits of its turns' SHA-256 (each taken with its place).
+#: A prefix is known by its depth and four sums of 32 bits of hashes of its turns' SHA-256 (each taken with its place).
 KEY = ["depth", "k0", "k1", "k2", "k3"]
 PARENT = ["p0", "p1", "p2", "p3"]
 
@@ -60,9 +60,10 @@ def rebuilt(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def prefixes(turned: DataFrame) -> DataFrame:
     """(conv_id, depth, k0..k3, p0..p3, n_bytes): the key of each prefix of each rebuilt conversation and that of its parent."""
-    mixed = turned.withColumn("mixed", F.sha2(F.concat_ws(":", F.col("depth").cast("string"), "digest"), 256))
-    parts = {f"h{i}": F.conv(F.substring("mixed", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)}
-    rows = mixed.withColumns(parts).select("conv_id", "depth", "n_bytes", *parts)
+    hashed = [F.xxhash64(F.lit(seed), "depth", "digest") for seed in (1, 2)]
+    halves = [half for h in hashed for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    parts = {f"h{i}": half for i, half in enumerate(halves)}
+    rows = turned.withColumns(parts).select("conv_id", "depth", "n_bytes", *parts)
     summed = ranged_sums(rows, ["conv_id", "depth"], ["conv_id"], {f"h{i}": f"p{i}" for i in range(4)}, "prefixes")
     return summed.select("conv_id", "depth", "n_bytes", *((F.col(f"p{i}") + F.col(f"h{i}")).alias(f"k{i}") for i in range(4)), *PARENT)
 
