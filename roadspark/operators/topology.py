@@ -6,6 +6,8 @@ order of creation and points are in metres.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,22 +35,57 @@ def cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: fl
     return F.flatten(F.transform(F.sequence(at(low_x), at(high_x)), lambda cx: F.transform(F.sequence(at(low_y), at(high_y)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+#: Segments from which on a cell is split, into so many parts each way, and how often at most.
+CROWDED, SPLIT, MOST_SPLITS = 4096, 4, 8
+
+
+def leaf_cells(boxes: DataFrame, cell: float) -> DataFrame:
+    """``boxes`` (low_x, low_y, high_x, high_y, z_level) once for each cell that they touch: (size, cx, cy).
+
+    Cells of ``cell`` with more than ``CROWDED`` boxes are split, and so are their parts, where that halves the pairs at least (boxes that all lie across each
+    other stay together).  So where short segments crowd cells are small, and each place lies in one cell.  Sizes are the first divided by powers of
+    two, so the cells of a place nest exactly.
+    """
+    at = ["z_level", "cx", "cy"]
+    spans = {a: F.sequence(F.floor(F.col(f"low_{a}") / cell), F.floor(F.col(f"high_{a}") / cell)) for a in "xy"}
+    rows = boxes.withColumn("cx", F.explode(spans["x"])).withColumn("cy", F.explode(spans["y"]))
+    size, leaves = float(cell), []
+    for _ in range(MOST_SPLITS):
+        crowded = stored(rows.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED), "crowded")
+        if crowded.isEmpty():
+            break
+        parts = rows.join(crowded.drop("n"), at, "left_semi").withColumns({"px": F.col("cx"), "py": F.col("cy")})
+        for a in "xy":
+            first = F.greatest(F.floor(F.col(f"low_{a}") / (size / SPLIT)), F.col(f"p{a}") * SPLIT)
+            last = F.least(F.floor(F.col(f"high_{a}") / (size / SPLIT)), F.col(f"p{a}") * SPLIT + SPLIT - 1)
+            parts = parts.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
+        parts = stored(parts, "parts")
+        work = parts.groupBy(*at, "px", "py").agg(F.count("*").alias("m")).groupBy("z_level", F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        eased = stored(crowded.join(work, at).where(F.col("work") * 2 <= F.col("n") * F.col("n")).select(at), "eased")
+        leaves.append(rows.join(eased, at, "left_anti").withColumn("size", F.lit(size)))
+        rows = parts.join(eased.select("z_level", F.col("cx").alias("px"), F.col("cy").alias("py")), ["z_level", "px", "py"], "left_semi").drop("px", "py")
+        size /= SPLIT
+    leaves.append(rows.withColumn("size", F.lit(size)))
+    return reduce(DataFrame.unionByName, leaves)
+
+
 def candidate_pairs(segs: DataFrame, cell: float = 100.0) -> DataFrame:
     """Pairs of segments whose boxes touch, on one level, not neighbours on one road.
 
-    An equi-join on grid cells; a pair that shares several cells comes from the lowest one only.
+    An equi-join on grid cells, which are smaller where segments crowd; a pair that shares several cells comes from the one that holds the lowest
+    corner of what its boxes share.
     """
     ends = lambda fn, axis: fn(F.col("a")[axis], F.col("b")[axis])
     boxes = segs.withColumns({"low_x": ends(F.least, "x"), "low_y": ends(F.least, "y"), "high_x": ends(F.greatest, "x"), "high_y": ends(F.greatest, "y")})
-    spread = boxes.withColumn("c", F.explode(cells(*(F.col(c) for c in ("low_x", "low_y", "high_x", "high_y")), cell))).select("*", "c.cx", "c.cy").drop("c")
-    left = spread.toDF(*(c if c in ("cx", "cy", "z_level") else f"i_{c}" for c in spread.columns))
-    right = spread.toDF(*(c if c in ("cx", "cy", "z_level") else f"j_{c}" for c in spread.columns))
-    pairs = left.join(right, ["cx", "cy", "z_level"])
+    spread, place = leaf_cells(boxes, cell), ("size", "cx", "cy", "z_level")
+    left = spread.toDF(*(c if c in place else f"i_{c}" for c in spread.columns))
+    right = spread.toDF(*(c if c in place else f"j_{c}" for c in spread.columns))
+    pairs = left.join(right, list(place))
     first = (F.col("i_road") < F.col("j_road")) | ((F.col("i_road") == F.col("j_road")) & (F.col("i_idx") + 1 < F.col("j_idx")))
     touch = F.lit(True)
     for axis in "xy":
         touch = touch & (F.col(f"i_low_{axis}") <= F.col(f"j_high_{axis}")) & (F.col(f"j_low_{axis}") <= F.col(f"i_high_{axis}"))
-    lowest = (F.col("cx") == F.floor(F.greatest("i_low_x", "j_low_x") / cell)) & (F.col("cy") == F.floor(F.greatest("i_low_y", "j_low_y") / cell))
+    lowest = (F.col("cx") == F.floor(F.greatest("i_low_x", "j_low_x") / F.col("size"))) & (F.col("cy") == F.floor(F.greatest("i_low_y", "j_low_y") / F.col("size")))
     kept = [f"{s}_{c}" for s in "ij" for c in ("road", "idx", "a", "b", "start_s", "length")]
     return pairs.where(first & touch & lowest).select(*kept)
 

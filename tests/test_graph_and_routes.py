@@ -270,3 +270,23 @@ def test_timed_arrival_equals_the_fold(spark):
     gains = routing.with_gains(df.select("edge", "changes"))
     got = df.drop("changes").join(gains, "edge", "left").select("edge", routing.timed_arrival(F.col("length_m"), F.col("speed"), F.col("changes"), F.col("depart")).alias("at"))
     assert {r.edge: r["at"] for r in got.collect()} == pytest.approx({r.edge: r["at"] for r in want.collect()})
+
+
+@pytest.mark.parametrize("crowded", [20, 4096])
+def test_pairs_of_crowded_cells_equal_all_touching_boxes(spark, monkeypatch, crowded):
+    monkeypatch.setattr(topology, "CROWDED", crowded)
+    rng = random.Random(14)
+    rows = []
+    for k in range(260):
+        near = k % 10 > 0  # nine of ten lie in one cell of the first size
+        x, y = (rng.uniform(1, 90), rng.uniform(1, 90)) if near else (rng.uniform(-400, 400), rng.uniform(-400, 400))
+        far = rng.choice([0.0, 3.0, 12.5, 25.0]) if near else 150.0
+        points = [{"x": x, "y": y}, {"x": x + rng.choice([-1, 1]) * far, "y": y + far / 2}, {"x": x, "y": 25.0}]
+        rows.append((k, k % 2, points))
+    roads = spark.createDataFrame(rows, f"road long, z_level int, points array<{P}>")
+    segs = topology.segments(roads).persist()
+    got = [tuple(r) for r in topology.candidate_pairs(segs, 100.0).select("i_road", "i_idx", "j_road", "j_idx").collect()]
+    listed = [(r.road, r.idx, r.z_level, min(r.a.x, r.b.x), max(r.a.x, r.b.x), min(r.a.y, r.b.y), max(r.a.y, r.b.y)) for r in segs.collect()]
+    want = {(*p[:2], *q[:2]) for p in listed for q in listed if p[2] == q[2] and (p[0] < q[0] or p[0] == q[0] and p[1] + 1 < q[1]) and p[3] <= q[4] and q[3] <= p[4] and p[5] <= q[6] and q[5] <= p[6]}
+    assert len(got) == len(set(got)) and set(got) == want
+    segs.unpersist()
