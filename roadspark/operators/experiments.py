@@ -32,19 +32,47 @@ def matrix(manifests: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "name", "scenario_id", "strategy_id", "repetition").alias("run_id"), "*")
 
 
-#: Fixed value: a prime above any number of edges; steps of it modulo a smaller number meet every remainder once.
-STRIDE = 2_147_483_647
+def draw(*parts: Column) -> Column:
+    """A number of 48 bits that hangs on all of ``parts`` alone: the head of the MD5 of their texts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 12), 16, 10).cast("long")
+
+
+#: Rounds of the permutation; each half of a place is changed in every second.
+ROUNDS = 8
+
+
+def permuted(key: Column, place: Column, there: Column) -> Column:
+    """``place`` (0 to ``there`` - 1) under the pseudorandom permutation of ``key``, as a column expression.
+
+    A Feistel network over rows and columns of a grid of about sqrt(there) by sqrt(there) cells.  A cell behind the last place is walked on from,
+    by the same permutation, until a place comes up.  There are fewer such cells than the grid has rows, and each is met once at most, which bounds the walk.
+    """
+    high = F.ceil(F.sqrt(there)).cast("long")
+    wide = F.ceil(there / high).cast("long")
+
+    def turn(cell: Column, k: Column) -> Column:
+        first = (cell["l"] + draw(key, k, cell["r"])) % high
+        second = (cell["r"] + draw(key, k, cell["l"])) % wide
+        return F.struct(F.when(k % 2 == 0, first).otherwise(cell["l"]).alias("l"), F.when(k % 2 == 1, second).otherwise(cell["r"]).alias("r"))
+
+    def walk(cell: Column, step: Column) -> Column:
+        done = (step > 0) & (cell["l"] * wide + cell["r"] < there)
+        return F.when(done, cell).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), cell, turn))
+
+    start = F.struct(F.floor(place / wide).cast("long").alias("l"), (place % wide).cast("long").alias("r"))
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), high * wide - there), start, walk, lambda cell: cell["l"] * wide + cell["r"])
 
 
 def random_events(spec: DataFrame, edges: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """(scenario_id, repetition, edge, t, action, value): random disturbances, the same for all strategies of a repetition.
 
     ``spec`` has (scenario_id, repetition, seed, count, start_s, end_s, duration_s, step_s, factor).  Edges are drawn
-    without replacement: they are numbered in order, and a row takes the numbers from a start that its seed gives, in equal
-    strides.  The tick lies in [ceil(start/step), floor(end/step)]; the end event restores 1 after the duration, rounded up
-    to ticks.  The stream of numbers is our own.  No edge is looked at that isn't drawn.
+    without replacement: they are numbered in order, and a row takes the first ``count`` numbers of a permutation that its seed + repetition - 1 keys
+    (``permuted``), so every set of edges is as likely.  Ticks are drawn evenly from [ceil(start/step), floor(end/step)], one for each edge; the end event
+    restores 1 after the duration, rounded up to ticks.  The stream of numbers is our own.  No edge is looked at that isn't drawn.
 
-    A window without a tick raises, and so does one whose last event could end behind ``run_s``, the length of the run, where ``spec`` has it.
+    A window without a tick raises, as do more events than there are edges (without any edge there are no events), and a row whose last event could
+    end behind ``run_s``, the length of the run, where ``spec`` has it.
     ``manual`` (scenario_id, edge) names edges that events are set on by hand: one among ``edges`` raises.  ``spec`` may have ``action``
     (speed_factor if not): after ``close`` the edge opens again.
     """
@@ -54,16 +82,15 @@ def random_events(spec: DataFrame, edges: DataFrame, manual: DataFrame | None =
             raise ValueError(f"edge {both[0]['edge']} of random events has events set by hand")
     low, high = F.ceil(F.col("start_s") / F.col("step_s")), F.floor(F.col("end_s") / F.col("step_s"))
     late = (high + F.ceil(F.col("duration_s") / F.col("step_s"))) * F.col("step_s") > F.col("run_s") if "run_s" in spec.columns else F.lit(False)
-    sound = F.when(low > high, F.raise_error(F.lit("the window of random events has no tick"))).when(late, F.raise_error(F.lit("random events end behind the run"))).otherwise(F.col("count"))
-    spec = spec.withColumn("count", sound)
+    sound = F.when(low > high, F.raise_error(F.lit("the window of random events has no tick"))).when(late, F.raise_error(F.lit("random events end behind the run")))
+    sound = sound.when(F.col("count") > F.col("there"), F.raise_error(F.lit("more random events than edges"))).otherwise(F.col("count"))
     action = F.col("action") if "action" in spec.columns else F.lit("speed_factor")
     listed = numbered(edges.select("edge").distinct(), ["edge"], "number")
     there = listed.agg(F.count("*").alias("there"))
-    first = F.pmod((F.col("seed") + F.col("repetition") - 1).cast("long") * 1_103_515_245 + 12_345, F.lit(1 << 31))
-    rows = spec.join(F.broadcast(there), how="cross").withColumn("first", first).where("there > 0 AND count > 0")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.least("count", "there").cast("int") - 1)))
-    drawn = rows.withColumn("number", F.pmod(F.col("first") + F.col("k").cast("long") * STRIDE, F.col("there"))).join(listed, "number")
-    tick = low + F.pmod(F.pmod(F.col("first") * 48_271 + F.col("k") * 69_621 + 11, F.lit(STRIDE)), F.greatest(high - low + 1, F.lit(1)))
+    rows = spec.join(F.broadcast(there), how="cross").where("there > 0").withColumn("count", sound).where("count > 0")
+    rows = rows.withColumn("key", F.col("seed").cast("long") + F.col("repetition") - 1).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)))
+    drawn = rows.withColumn("number", permuted(F.col("key"), F.col("k"), F.col("there"))).join(listed, "number")
+    tick = low + draw(F.col("key"), F.lit("tick"), F.col("k")) % (high - low + 1)
     long = F.ceil(F.col("duration_s") / F.col("step_s"))
     begins = F.struct((tick * F.col("step_s")).alias("t"), action.alias("action"), F.col("factor").alias("value"))
     ends = F.struct(((tick + long) * F.col("step_s")).alias("t"), F.when(action == "close", "open").otherwise(action).alias("action"), F.lit(1.0).alias("value"))

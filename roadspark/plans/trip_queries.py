@@ -299,9 +299,13 @@ def k1_matrix(spark, d):
     return exp.matrix(manifests).drop("algorithm")
 
 
-@query("""WITH listed AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS number, count(*) OVER () AS there FROM edges),
-first AS (SELECT 'c' || n_regionkey AS scenario_id, n_nationkey AS repetition, ((42 + n_nationkey - 1) * CAST(1103515245 AS BIGINT) + 12345) % 2147483648 AS f FROM nation),
-drawn AS (SELECT scenario_id, repetition, edge, 5 + (f * 48271 + k * 69621 + 11) % 2147483647 % 41 AS tick FROM first, (VALUES (0), (1)) ks(k) JOIN listed ON number = (f + k * CAST(2147483647 AS BIGINT)) % there)
+@query("""WITH listed AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS number FROM edges),
+grid AS (SELECT there, high, CAST(ceil(there / high) AS BIGINT) AS wide FROM (SELECT count(*) AS there, CAST(ceil(sqrt(count(*))) AS BIGINT) AS high FROM listed)),
+draws AS (SELECT 'c' || n_regionkey AS scenario_id, n_nationkey AS repetition, 42 + n_nationkey - 1 AS key, k FROM nation, (VALUES (0), (1)) ks(k)),
+walk AS (SELECT scenario_id, repetition, key, k, 0 AS turn, k // wide AS l, k % wide AS r FROM draws, grid
+  UNION ALL SELECT scenario_id, repetition, key, k, turn + 1, CASE WHEN turn % 2 = 0 THEN (l + CAST('0x' || md5(key || ':' || turn % 8 || ':' || r)[1:12] AS BIGINT)) % high ELSE l END,
+  CASE WHEN turn % 2 = 1 THEN (r + CAST('0x' || md5(key || ':' || turn % 8 || ':' || l)[1:12] AS BIGINT)) % wide ELSE r END FROM walk, grid WHERE turn = 0 OR turn % 8 > 0 OR l * wide + r >= there),
+drawn AS (SELECT scenario_id, repetition, edge, 5 + CAST('0x' || md5(key || ':tick:' || k)[1:12] AS BIGINT) % 41 AS tick FROM walk, grid JOIN listed ON number = l * wide + r WHERE turn > 0 AND turn % 8 = 0)
 SELECT scenario_id, repetition, edge, CAST(tick * 2 + d AS DOUBLE) AS t, 'speed_factor' AS action, CAST(v AS DOUBLE) AS value FROM drawn, (VALUES (0, 0.3), (6, 1.0)) e(d, v)""")
 def k2_random_events(spark, d):
     spec = table(spark, d, "nation").select(F.concat(F.lit("c"), F.col("n_regionkey").cast("string")).alias("scenario_id"), F.col("n_nationkey").alias("repetition"), F.lit(42).alias("seed"), F.lit(2).alias("count"), F.lit(10.0).alias("start_s"), F.lit(90.0).alias("end_s"), F.lit(5.0).alias("duration_s"), F.lit(2.0).alias("step_s"), F.lit(0.3).alias("factor"))

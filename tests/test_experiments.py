@@ -53,7 +53,7 @@ def test_random_events_of_the_sample(spark):
             assert [a.action, b.action] == actions and [a.value, b.value] == [0.3, 1.0]
 
 
-@pytest.mark.parametrize(("change", "said"), [({"start_s": 11.0, "end_s": 11.5}, "no tick"), ({"run_s": 95.0}, "behind the run")])
+@pytest.mark.parametrize(("change", "said"), [({"start_s": 11.0, "end_s": 11.5}, "no tick"), ({"run_s": 95.0}, "behind the run"), ({"count": 3}, "more random events")])
 def test_random_events_that_do_not_fit_raise(spark, change, said):
     spec = spark.createDataFrame([("c", 1, 42, 2, 10.0, 90.0, 5.0, 2.0, 0.3, 96.0, "close")], SPEC).withColumns({k: F.lit(v) for k, v in change.items()})
     with pytest.raises(Exception, match=said):
@@ -65,3 +65,31 @@ def test_random_events_on_edges_set_by_hand_raise(spark):
     edges = spark.createDataFrame([(1,), (2,)], "edge long")
     with pytest.raises(ValueError, match="by hand"):
         exp.random_events(spec, edges, spark.createDataFrame([("c", 2)], "scenario_id string, edge long"))
+
+
+def test_permutations_meet_every_place_once(spark):
+    rows = spark.range(1, 40).select(F.col("id").alias("n"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("key")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    got = rows.withColumn("at", exp.permuted(F.col("key"), F.col("k"), F.col("n"))).groupBy("n", "key").agg(F.sort_array(F.collect_list("at")).alias("at")).collect()
+    assert len(got) == 78 and all(r["at"] == list(range(r.n)) for r in got)
+
+
+def test_random_draws_are_even(spark):
+    seeds, n = 4000, 7
+    spec = spark.range(seeds).select(F.lit("c").alias("scenario_id"), F.lit(1).alias("repetition"), F.col("id").alias("seed"), F.lit(2).alias("count"), *(F.lit(v).alias(c) for c, v in (("start_s", 10.0), ("end_s", 28.0), ("duration_s", 5.0), ("step_s", 2.0), ("factor", 0.3))))
+    # a repetition for each seed tells the draws apart, and the key is their sum
+    spec = spec.withColumn("repetition", F.col("seed").cast("int")).withColumn("seed", F.lit(1))
+    rows = exp.random_events(spec, spark.range(n).withColumnRenamed("id", "edge")).where("value < 1").groupBy("repetition").agg(F.sort_array(F.collect_list("edge")).alias("pair"), F.collect_list("t").alias("t")).collect()
+    assert len(rows) == seeds
+
+    def chi_squared(values, cells):
+        counts = {c: 0 for c in cells}
+        for v in values:
+            counts[v] += 1
+        mean = len(values) / len(cells)
+        return sum((c - mean) ** 2 / mean for c in counts.values())
+
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert chi_squared([tuple(r["pair"]) for r in rows], pairs) < 45.3  # 20 degrees of freedom, 0.999
+    assert chi_squared([t for r in rows for t in r["t"]], [2.0 * k for k in range(5, 15)]) < 27.9  # 9 degrees, 0.999
+    ticks = [(a, b) for a in range(10) for b in range(10)]
+    assert chi_squared([tuple(int(t / 2) - 5 for t in r["t"]) for r in rows], ticks) < 148.3  # 99 degrees, 0.999
