@@ -6,32 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadspark.functions.columns import geodesic, neighbours, stations
-from roadspark.operators.topology import cells, point_at, sub_line
+from roadspark.functions.tables import stored
+from roadspark.operators.topology import in_leaves, leaf_cells, point_at, sub_line
 
 #: Metres that a full turn against the heading costs twice.
 HEADING_WEIGHT = 5.0
 
+#: Points from which on those of a cell are dealt into blocks of as many.
+BLOCK = 65_536
+
 
 def match_points(points: DataFrame, edges: DataFrame, k: int = 5, radius: float = 100.0, enabled: DataFrame | None = None) -> DataFrame:
     """The ``k`` best edges within ``radius`` of each point: (point_id, edge, offset_m, x, y, lateral_m, heading_diff, score, rank).
 
     ``points`` has (point_id, x, y) and may have ``heading``.  Score is the distance plus a weight times 1 - cos of
     the heading difference; each edge counts with its best segment.  ``enabled`` (edge) is a mask that holds before
-    ranking.  Segments are spread over the grid cells (of ``radius``) that they touch, points over the 3x3 around.
+    ranking.  Segments are spread over the grid cells (of ``radius``, smaller ones where segments crowd) that they touch, points over those that a
+    box of ``radius`` around touches.  Where very many points ask a cell, they are dealt into blocks and its segments, which are few then, go to each.
     """
     if enabled is not None:
         edges = edges.join(enabled.select("edge"), "edge", "left_semi")
     segs = edges.select("edge", stations(F.col("points")).alias("at"), F.posexplode(neighbours(F.col("points"))).alias("idx", "p"))
-    segs = segs.select("edge", "idx", F.get("at", F.col("idx")).alias("start_s"), "p.a", "p.b")
-    low = lambda axis: F.least(F.col("a")[axis], F.col("b")[axis])
-    high = lambda axis: F.greatest(F.col("a")[axis], F.col("b")[axis])
-    segs = segs.withColumn("c", F.explode(cells(low("x"), low("y"), high("x"), high("y"), radius))).select("*", "c.cx", "c.cy").drop("c")
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    segs = segs.select("edge", "idx", F.get("at", F.col("idx")).alias("start_s"), "p.a", "p.b", F.lit(0).alias("z_level"))
+    for axis in "xy":
+        segs = segs.withColumns({f"low_{axis}": F.least(F.col("a")[axis], F.col("b")[axis]), f"high_{axis}": F.greatest(F.col("a")[axis], F.col("b")[axis])})
+    leaf, splits = ["size", "cx", "cy"], []
+    segs = leaf_cells(segs.dropna(subset=["low_x", "low_y"]), radius, splits).select("edge", "idx", "start_s", "a", "b", *leaf)
     if "heading" not in points.columns:
         points = points.withColumn("heading", F.lit(None).cast("double"))
-    asks = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), "heading", F.explode(around).alias("d"))
-    asks = asks.select("point_id", "px", "py", "heading", (F.floor(F.col("px") / radius) + F.col("d.i")).alias("cx"), (F.floor(F.col("py") / radius) + F.col("d.j")).alias("cy"))
-    near = asks.join(segs, ["cx", "cy"])
+    asks = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py"), "heading", F.lit(0).alias("z_level")).dropna(subset=["px", "py"])
+    reach = radius * (1 + 1e-9)
+    asks = asks.withColumns({f"low_{axis}": F.col(f"p{axis}") - reach for axis in "xy"} | {f"high_{axis}": F.col(f"p{axis}") + reach for axis in "xy"})
+    asks = in_leaves(asks, radius, splits).select("point_id", "px", "py", "heading", *leaf)
+    busy = stored(asks.groupBy(*leaf).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*leaf, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "busy")
+    if busy.isEmpty():
+        near = asks.join(segs, leaf)
+    else:
+        dealt = asks.join(busy, leaf, "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("point_id"), F.col("blocks")), F.lit(0).cast("long"))).drop("blocks")
+        copied = segs.join(busy, leaf, "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)).cast("long") - 1))).drop("blocks")
+        near = dealt.join(copied, [*leaf, "block"])
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     along = (F.col("px") - F.col("a.x")) * dx + (F.col("py") - F.col("a.y")) * dy
     near = near.withColumn("t", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0)))))

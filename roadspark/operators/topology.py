@@ -29,41 +29,60 @@ def segments(roads: DataFrame) -> DataFrame:
     return rows.withColumn("length", planar(F.col("a"), F.col("b"))).where("length > 1e-8")
 
 
-def cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float) -> Column:
-    """Array of the grid cells (cx, cy) that a box touches."""
-    at = lambda v: F.floor(v / size)
-    return F.flatten(F.transform(F.sequence(at(low_x), at(high_x)), lambda cx: F.transform(F.sequence(at(low_y), at(high_y)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
-
-
 #: Segments from which on a cell is split, into so many parts each way, and how often at most.
 CROWDED, SPLIT, MOST_SPLITS = 4096, 4, 8
 
 
-def leaf_cells(boxes: DataFrame, cell: float) -> DataFrame:
+def cut(rows: DataFrame, size: float) -> DataFrame:
+    """Rows of boxes in cells (cx, cy) of ``size`` once for each of the cell's parts that they touch; the cell becomes (in_x, in_y)."""
+    rows = rows.withColumns({"in_x": F.col("cx"), "in_y": F.col("cy")})
+    for a in "xy":
+        first = F.greatest(F.floor(F.col(f"low_{a}") / (size / SPLIT)), F.col(f"in_{a}") * SPLIT)
+        last = F.least(F.floor(F.col(f"high_{a}") / (size / SPLIT)), F.col(f"in_{a}") * SPLIT + SPLIT - 1)
+        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
+    return rows
+
+
+def spread(boxes: DataFrame, cell: float) -> DataFrame:
+    """``boxes`` once for each cell (cx, cy) of ``cell`` that they touch."""
+    spans = {a: F.sequence(F.floor(F.col(f"low_{a}") / cell), F.floor(F.col(f"high_{a}") / cell)) for a in "xy"}
+    return boxes.withColumn("cx", F.explode(spans["x"])).withColumn("cy", F.explode(spans["y"]))
+
+
+def in_leaves(boxes: DataFrame, cell: float, splits: list[DataFrame]) -> DataFrame:
+    """``boxes`` (low_x, low_y, high_x, high_y, z_level) once for each leaf that they touch: (size, cx, cy), where ``splits`` are the cells that
+    ``leaf_cells`` split for others."""
+    at, size, leaves, rows = ["z_level", "cx", "cy"], float(cell), [], spread(boxes, cell)
+    for eased in splits:
+        leaves.append(rows.join(eased, at, "left_anti").withColumn("size", F.lit(size)))
+        rows = cut(rows.join(eased, at, "left_semi"), size).drop("in_x", "in_y")
+        size /= SPLIT
+    leaves.append(rows.withColumn("size", F.lit(size)))
+    return reduce(DataFrame.unionByName, leaves)
+
+
+def leaf_cells(boxes: DataFrame, cell: float, splits: list[DataFrame] | None = None) -> DataFrame:
     """``boxes`` (low_x, low_y, high_x, high_y, z_level) once for each cell that they touch: (size, cx, cy).
 
     Cells of ``cell`` with more than ``CROWDED`` boxes are split, and so are their parts, where that halves the pairs at least (boxes that all lie across each
     other stay together).  So where short segments crowd cells are small, and each place lies in one cell.  Sizes are the first divided by powers of
-    two, so the cells of a place nest exactly.
+    two, so the cells of a place nest exactly.  The cells that are split (z_level, cx, cy) are put into ``splits``, a table for each size.
     """
     at = ["z_level", "cx", "cy"]
-    spans = {a: F.sequence(F.floor(F.col(f"low_{a}") / cell), F.floor(F.col(f"high_{a}") / cell)) for a in "xy"}
-    rows = boxes.withColumn("cx", F.explode(spans["x"])).withColumn("cy", F.explode(spans["y"]))
+    rows = spread(boxes, cell)
     size, leaves = float(cell), []
     for _ in range(MOST_SPLITS):
         crowded = stored(rows.groupBy(*at).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED), "crowded")
         if crowded.isEmpty():
             break
-        parts = rows.join(crowded.drop("n"), at, "left_semi").withColumns({"px": F.col("cx"), "py": F.col("cy")})
-        for a in "xy":
-            first = F.greatest(F.floor(F.col(f"low_{a}") / (size / SPLIT)), F.col(f"p{a}") * SPLIT)
-            last = F.least(F.floor(F.col(f"high_{a}") / (size / SPLIT)), F.col(f"p{a}") * SPLIT + SPLIT - 1)
-            parts = parts.withColumn(f"c{a}", F.explode(F.sequence(first, last)))
+        parts = cut(rows.join(crowded.drop("n"), at, "left_semi"), size)
         parts = stored(parts, "parts")
-        work = parts.groupBy(*at, "px", "py").agg(F.count("*").alias("m")).groupBy("z_level", F.col("px").alias("cx"), F.col("py").alias("cy")).agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+        work = parts.groupBy(*at, "in_x", "in_y").agg(F.count("*").alias("m")).groupBy("z_level", F.col("in_x").alias("cx"), F.col("in_y").alias("cy")).agg(F.sum(F.col("m") * F.col("m")).alias("work"))
         eased = stored(crowded.join(work, at).where(F.col("work") * 2 <= F.col("n") * F.col("n")).select(at), "eased")
+        if splits is not None:
+            splits.append(eased)
         leaves.append(rows.join(eased, at, "left_anti").withColumn("size", F.lit(size)))
-        rows = parts.join(eased.select("z_level", F.col("cx").alias("px"), F.col("cy").alias("py")), ["z_level", "px", "py"], "left_semi").drop("px", "py")
+        rows = parts.join(eased.select("z_level", F.col("cx").alias("in_x"), F.col("cy").alias("in_y")), ["z_level", "in_x", "in_y"], "left_semi").drop("in_x", "in_y")
         size /= SPLIT
     leaves.append(rows.withColumn("size", F.lit(size)))
     return reduce(DataFrame.unionByName, leaves)
@@ -77,9 +96,9 @@ def candidate_pairs(segs: DataFrame, cell: float = 100.0) -> DataFrame:
     """
     ends = lambda fn, axis: fn(F.col("a")[axis], F.col("b")[axis])
     boxes = segs.withColumns({"low_x": ends(F.least, "x"), "low_y": ends(F.least, "y"), "high_x": ends(F.greatest, "x"), "high_y": ends(F.greatest, "y")})
-    spread, place = leaf_cells(boxes, cell), ("size", "cx", "cy", "z_level")
-    left = spread.toDF(*(c if c in place else f"i_{c}" for c in spread.columns))
-    right = spread.toDF(*(c if c in place else f"j_{c}" for c in spread.columns))
+    placed, place = leaf_cells(boxes, cell), ("size", "cx", "cy", "z_level")
+    left = placed.toDF(*(c if c in place else f"i_{c}" for c in placed.columns))
+    right = placed.toDF(*(c if c in place else f"j_{c}" for c in placed.columns))
     pairs = left.join(right, list(place))
     first = (F.col("i_road") < F.col("j_road")) | ((F.col("i_road") == F.col("j_road")) & (F.col("i_idx") + 1 < F.col("j_idx")))
     touch = F.lit(True)

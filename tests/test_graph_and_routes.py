@@ -290,3 +290,37 @@ def test_pairs_of_crowded_cells_equal_all_touching_boxes(spark, monkeypatch, cro
     want = {(*p[:2], *q[:2]) for p in listed for q in listed if p[2] == q[2] and (p[0] < q[0] or p[0] == q[0] and p[1] + 1 < q[1]) and p[3] <= q[4] and q[3] <= p[4] and p[5] <= q[6] and q[5] <= p[6]}
     assert len(got) == len(set(got)) and set(got) == want
     segs.unpersist()
+
+
+def test_matches_where_segments_and_points_crowd(spark, monkeypatch):
+    """Nine tenths of the segments in one cell, and most points beside them, against all pairs."""
+    import random
+
+    from roadspark.operators import spatial, topology
+
+    monkeypatch.setattr(topology, "CROWDED", 40)
+    monkeypatch.setattr(spatial, "BLOCK", 50)
+    rng = random.Random(4)
+    lines = []
+    for k in range(300):
+        x, y = (rng.uniform(0, 99), rng.uniform(0, 99)) if k < 270 else (rng.uniform(-900, 900), rng.uniform(-900, 900))
+        lines.append((k, [(x + d * rng.uniform(-4, 4), y + d * rng.uniform(-4, 4)) for d in range(3)]))
+    asks = [(k, rng.uniform(-20, 120), rng.uniform(-20, 120)) if k < 180 else (k, rng.uniform(-900, 900), rng.uniform(-900, 900)) for k in range(200)]
+    edges = spark.createDataFrame(lines, "edge long, points array<struct<x:double,y:double>>")
+    points = spark.createDataFrame(asks, "point_id long, x double, y double")
+
+    def lateral(p, line):
+        def to(a, b):
+            dx, dy = b[0] - a[0], b[1] - a[1]
+            n = dx * dx + dy * dy
+            t = min(1, max(0, ((p[1] - a[0]) * dx + (p[2] - a[1]) * dy) / n)) if n else 0
+            return ((p[1] - a[0] - t * dx) ** 2 + (p[2] - a[1] - t * dy) ** 2) ** 0.5
+
+        return min(map(to, line, line[1:]))
+
+    want = {(p[0], k): far for p in asks for k, line in lines if (far := lateral(p, line)) <= 100}
+    splits = []
+    spatial.leaf_cells(spark.createDataFrame([(0.5 * k, 1.0, 0.5 * k, 1.0, 0) for k in range(100)], "low_x double, low_y double, high_x double, high_y double, z_level int"), 100.0, splits)
+    assert splits
+    got = {(r.point_id, r.edge): r.lateral_m for r in spatial.match_points(points, edges, 1000).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
