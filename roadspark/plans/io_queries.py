@@ -126,16 +126,20 @@ def a8_read_manifest(spark, d):
     return readers.read_manifest(spark, path).select("name", "repetitions", F.size("scenarios").alias("n_scenarios"))
 
 
-def documents(spark, d):
-    """One playback document for each run of ten vehicles; edges and controls go to the runs by tens of their keys."""
+def sections(spark, d):
+    """Runs of ten vehicles and their sections; edges and controls go to the runs by tens of their keys."""
     run = lambda c: F.floor(F.col(c) / 10).cast("string").alias("run_id")
     s = derive.samples(spark, d)
     points = s.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.array("t", F.col("edge").cast("double"), "offset_m"))).alias("samples"))
     vehicles = derive.vehicles(spark, d).join(points, "vehicle_id").select(run("vehicle_id"), "vehicle_id", F.col("depart_t").alias("depart_s"), F.col("arrive_t").alias("arrive_s"), "distance_m", "samples")
     kpis = trips.edge_kpis(visits(spark, d)).select(run("edge"), "*")
     events = derive.controls(spark, d).select(run("seq"), F.col("t").alias("time_s"), "scope", "target_id", "action", "value")
-    runs = vehicles.select("run_id").distinct()
-    return sinks.playback(runs, {"vehicles": vehicles, "edge_kpis": kpis, "controls": events})
+    return vehicles.select("run_id").distinct(), {"vehicles": vehicles, "edge_kpis": kpis, "controls": events}
+
+
+def documents(spark, d):
+    """One playback document for each run."""
+    return sinks.playback(*sections(spark, d))
 
 
 @query("SELECT CAST(vehicle_id // 10 AS VARCHAR) AS run_id, vehicle_id, count(*) AS n, round(sum(t), 2) AS t FROM samples GROUP BY vehicle_id")
@@ -237,6 +241,16 @@ def k13_playback(spark, d):
     return rounded(rows, "distance_m", digits=3)
 
 
+@query("""WITH v AS (SELECT CAST(user_id // 10 AS VARCHAR) AS run_id, count(DISTINCT user_id) AS vehicles FROM events GROUP BY 1), k AS (SELECT CAST(edge // 10 AS VARCHAR) AS run_id, count(*) AS n, sum(entries) AS entries FROM kpis GROUP BY 1),
+c AS (SELECT CAST(seq // 10 AS VARCHAR) AS run_id, count(*) AS n FROM controls GROUP BY 1)
+SELECT row_number() OVER (ORDER BY run_id) - 1 AS run, 5 + vehicles + coalesce(k.n + 2, 0) + coalesce(c.n + 2, 0) - 1 AS lines, vehicles - 1 + coalesce(k.n - 1, 0) + coalesce(c.n - 1, 0) AS commas, CAST(coalesce(k.entries, 0) AS BIGINT) AS entries FROM v LEFT JOIN k USING (run_id) LEFT JOIN c USING (run_id)""")
+def k13_playback_lines(spark, d):
+    """The documents in lines: how many a run has, how many follow another of their section, and the entries of its edges."""
+    entries = F.when(F.col("section") == 1, F.coalesce(F.get_json_object(F.ltrim(F.col("value"), F.lit(",")), "$.entries").cast("long"), F.lit(0))).otherwise(0)
+    rows = sinks.playback_lines(*sections(spark, d)).groupBy("run")
+    return rows.agg(F.count("*").alias("lines"), F.count_if((F.col("kind") == 1) & F.col("value").startswith(",")).alias("commas"), F.sum(entries).alias("entries"))
+
+
 @query("SELECT edge, round(length_m / speed_limit_mps * (1 + lane_count), 6) AS cost FROM edges")
 def k14_user_cost(spark, d):
     cost = F.col("length_m") / F.col("speed_limit_mps") * (1 + F.col("lane_count"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadspark.functions.tables import stored
+from roadspark.operators.topology import numbered
+
 
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that a CSV can hold the rows."""
@@ -84,3 +90,33 @@ def playback(runs: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
         listed = rows.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(listed, "run_id", "left")
     return out.select("run_id", F.to_json(F.struct(*out.columns)).alias("value"))
+
+
+def playback_lines(runs: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
+    """The documents of ``playback`` in lines, so that no run is one row: (run, section, kind, number, value).
+
+    ``run`` numbers the runs in the order of ``run_id``.  A run's values in the order of the columns before them are its document: a head with the columns of
+    ``runs``, for each section that has rows its name, a line for each row and an end, and the end of the document.  Rows are numbered over sorted
+    ranges, so a run may hold all of them.  A null ``run_id`` has no document.
+    """
+    listed = numbered(runs.where("run_id IS NOT NULL"), ["run_id"], "_run")
+    line = lambda section, kind, number, value: [F.col("_run").alias("run"), F.lit(section).alias("section"), F.lit(kind).alias("kind"), number.cast("long").alias("number"), value.alias("value")]
+    none = F.lit(0)
+    lines = [listed.select(*line(-1, 0, none, F.regexp_replace(F.to_json(F.struct(*runs.columns)), r"\}$", ""))), listed.select(*line(len(sections), 0, none, F.lit("}")))]
+    for k, (name, rows) in enumerate(sections.items()):
+        columns = [c for c in rows.columns if c != "run_id"]
+        rows = rows.select("run_id", F.struct(*columns).alias("row")).join(listed.select("run_id", "_run"), "run_id").select("_run", "row")
+        placed = stored(numbered(rows, ["_run", "row"], "number"), "lines")
+        first = placed.groupBy("_run").agg(F.min("number").alias("number"))
+        comma = F.when(F.col("_first"), F.lit("")).otherwise(F.lit(","))
+        marked = placed.join(first.select("number", F.lit(True).alias("_first")), "number", "left")
+        lines += [first.select(*line(k, 0, none, F.lit(f",{json.dumps(name)}:["))), marked.select(*line(k, 1, F.col("number"), F.concat(comma, F.to_json("row")))), first.select(*line(k, 2, none, F.lit("]")))]
+    return reduce(DataFrame.unionByName, lines)
+
+
+def write_playback(runs: DataFrame, sections: dict[str, DataFrame], path: str, parts: int | None = None) -> None:
+    """Write each run's document into a folder of its own, ``run=0`` and on, over as many tasks as its lines fill: its files in the order of their names are
+    the document.  ``parts`` is the number of ranges, which Spark chooses by size if it isn't given."""
+    at = ["run", "section", "kind", "number"]
+    lines = playback_lines(runs, sections).repartitionByRange(*((parts,) if parts else ()), *at).sortWithinPartitions(*at)
+    lines.select("run", "value").write.partitionBy("run").mode("overwrite").text(path)

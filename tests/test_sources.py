@@ -34,3 +34,22 @@ def test_collections_are_read_in_blocks(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty" / "e.json").write_text('{"type":"FeatureCollection","features":[]}')
     assert readers.read_roads_geojson(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_playback_written_in_lines_gives_the_documents(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from roadspark.sources import sinks
+
+    runs = spark.createDataFrame([("b/1", 2.5), ("a", None), ('c"', 1.0)], "run_id string, step_s double")
+    n = spark.range(3000)
+    vehicles = n.select(F.when(F.col("id") % 10 < 9, "b/1").otherwise("a").alias("run_id"), (F.col("id") * 7 % 3001).alias("run"), F.array(F.array(F.col("id").cast("double"))).alias("samples"), F.when(F.col("id") % 3 > 0, "x").alias("number"))
+    sections = {"vehicles": vehicles.union(vehicles.limit(5)), "edge_kpis": n.limit(4).select(F.lit("a").alias("run_id"), F.col("id").alias("edge"))}
+    sinks.write_playback(runs, sections, str(tmp_path / "out"), parts=6)
+    want = {r.run_id: json.loads(r.value) for r in sinks.playback(runs, sections).collect()}
+    folders = sorted((tmp_path / "out").glob("run=*"))
+    got = [json.loads("".join(f.read_text() for f in sorted(folder.glob("part-*")))) for folder in folders]
+    assert {g["run_id"]: g for g in got} == want and [g["run_id"] for g in got] == sorted(want)
+    assert max(len(list(folder.glob("part-*"))) for folder in folders) > 1
