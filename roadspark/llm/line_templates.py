@@ -20,6 +20,8 @@ SHINGLE, KEY_HASHES, START_BITS = 3, 8, 5
 LEADING = 2
 #: A template keeps so many of its tokens at least, and such a share of them; the others are variable fields.
 LEAST_FIXED, FIXED_SHARE = 3, 0.5
+#: A block of a leaf has about so many lines and tokens at most.
+BLOCK_LINES, BLOCK_TOKENS = 64, 1 << 16
 
 
 def masked(text: Column) -> Column:
@@ -128,18 +130,41 @@ def templates(lines: DataFrame) -> DataFrame:
     """(``whole``, ``template``) of the different masked lines (``whole``, ``leaf``, ``kind``, ``m``) that have enough fixed tokens.
 
     At the leaf a token is fixed if lines of ``MIN_KINDS`` kinds have it at its place; all others there are variable fields, however
-    many stand side by side.  Lines that repeat another of their kind count once.
+    many stand side by side.  Lines that repeat another of their kind count once.  A leaf's lines are one block or, where it is crowded,
+    several; the fixed tokens of a block alone are told from its lines, and blocks of one leaf sum up what each has counted.
     """
-
-    def tokens(rows: DataFrame, *kept: str) -> DataFrame:
-        spread = rows.select(*kept, "leaf", F.size(F.split("m", " ")).alias("n"), F.posexplode(F.split("m", " ")).alias("place", "token"))
-        return spread.where(F.col("place") >= LEADING).select(*kept, "leaf", "n", F.xxhash64("leaf", "place", "token").alias("key"))
-
-    apart = lines.groupBy("leaf", "whole", "kind").agg(F.any_value("m").alias("m"))
-    fixed = tokens(apart, "kind").select("key", "kind").distinct().groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= MIN_KINDS)
-    told = tokens(lines.groupBy("leaf", "whole").agg(F.any_value("m").alias("m")), "whole").join(fixed, "key", "left_semi")
-    told = told.groupBy("whole", "leaf", "n").agg(F.xxhash64("leaf", F.sort_array(F.collect_list("key"))).alias("template"), (F.count("*") + LEADING).alias("n_fixed"))
-    return told.where((F.col("n_fixed") >= LEAST_FIXED) & (F.col("n_fixed") >= FIXED_SHARE * F.col("n"))).select("whole", "template")
+    tokens = F.split("m", " ")
+    placed = F.transform(F.slice(tokens, LEADING + 1, F.size(tokens)), lambda token, i: F.xxhash64("leaf", i + LEADING, token))
+    apart = lines.groupBy("leaf", "whole", "kind").agg(F.any_value("m").alias("m")).select("leaf", "whole", "kind", placed.alias("keys"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_LINES, F.sum(F.size("keys")) / BLOCK_TOKENS)).alias("blocks")
+    crowded = apart.groupBy("leaf").agg(blocks).where("blocks > 1")
+    dealt = apart.join(crowded, "leaf", "left").select("leaf", F.expr("pmod(whole, blocks)").alias("block"), "whole", "kind", "keys").repartition("leaf", "block")
+    told = dealt.withColumnRenamed("leaf", "at").join(recurring_tokens(dealt), [F.col("at") == F.col("leaf"), F.col("block").eqNullSafe(F.col("of_block"))])
+    told = told.select("leaf", "whole", F.size("keys").alias("n"), F.array_intersect("keys", "recur").alias("fixed")).distinct()
+    n, n_fixed = F.col("n") + LEADING, F.size("fixed") + LEADING
+    told = told.where((n_fixed >= LEAST_FIXED) & (n_fixed >= FIXED_SHARE * n))
+    return told.select("whole", F.xxhash64("leaf", F.sort_array("fixed")).alias("template"))
+
+
+def recurring_tokens(dealt: DataFrame) -> DataFrame:
+    """(``leaf``, ``of_block``, ``recur``): the keys in each block of ``dealt`` that lines of ``MIN_KINDS`` kinds have, at its leaf.
+
+    A block has its keys in order, each once for each kind, so one that recurs equals the one ``MIN_KINDS`` - 1 places on.  Where a leaf
+    has several blocks (``block`` isn't null), each gives its different keys with ``MIN_KINDS`` kinds at most, which are enough to tell.
+    """
+    pairs = F.transform("keys", lambda k: F.struct(k.alias("key"), "kind"))
+    ordered = dealt.groupBy("leaf", "block").agg(F.sort_array(F.flatten(F.collect_list(pairs))).alias("r"))
+    apart = once(F.col("r"), lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1) != x)))
+    again = lambda r: F.filter(r, lambda x, i: F.get(r, i + (MIN_KINDS - 1))["key"] == x["key"])
+    first = lambda r: F.filter(r, lambda x, i: (i < MIN_KINDS) | (F.get(r, i - MIN_KINDS)["key"] != x["key"]))
+    recur, few = once(apart, lambda r: F.array_distinct(F.transform(again(r), lambda x: x["key"]))), once(apart, first)
+    alone = F.col("block").isNull()
+    counted = stored(ordered.select("leaf", F.col("block").alias("of_block"), F.when(alone, recur).alias("recur"), F.when(~alone, few).alias("few")), "tokens")
+    parts = counted.where("few IS NOT NULL").select("leaf", "of_block", F.inline("few"))
+    fixed = parts.select("key", "kind").distinct().groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") >= MIN_KINDS)
+    met = parts.select("leaf", "of_block", "key").distinct().join(fixed, "key", "left_semi")
+    met = met.groupBy("leaf", "of_block").agg(F.collect_list("key").alias("recur"))
+    return counted.where("recur IS NOT NULL").select("leaf", "of_block", "recur").unionByName(met)
 
 
 def drop_lines(docs: DataFrame, text: str = "text", by_family: bool = False) -> DataFrame:

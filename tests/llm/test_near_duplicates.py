@@ -295,6 +295,41 @@ def test_fields_side_by_side_and_in_lines_of_any_length_go(spark, by_family):
         assert got[k].text == "\n".join(kept), k
 
 
+def rows_generated(plan):
+    """Rows that the explodes of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_generated(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return rows_generated(plan.plan())
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(rows_generated(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_tokens_of_leaves_need_no_row_each_and_templates_equal_plain_version(spark):
+    rng, sizes = random.Random(41), [8] * 30 + [300]
+    lines = []
+    for leaf, size in enumerate(sizes):
+        base = [prose(rng, 1) for _ in range(18)]
+        for k in range(size):
+            m = " ".join(["at", f"leaf{leaf}", *(w if rng.random() < 0.7 else rng.choice("abc") + prose(rng, 1) for w in base)])
+            lines += [(leaf * 1000 + k, leaf, k % 7, m), (leaf * 1000 + k, leaf, rng.randrange(7), m)]
+    kinds, want = collections.defaultdict(set), {}
+    for _, leaf, kind, m in lines:
+        for place, token in enumerate(m.split(" ")[2:]):
+            kinds[leaf, place, token].add(kind)
+    for whole, leaf, _, m in lines:
+        fixed = tuple((p, t) for p, t in enumerate(m.split(" ")[2:]) if len(kinds[leaf, p, t]) >= 5)
+        if len(fixed) + 2 >= 10:
+            want[whole] = (leaf, fixed)
+    told = line_templates.templates(spark.createDataFrame(lines, "whole long, leaf long, kind long, m string"))
+    got = {r.whole: r.template for r in told.collect()}
+    assert got.keys() == want.keys() and 0 < len(got)
+    both = {(want[k], got[k]) for k in want}
+    assert len(both) == len({w for w, _ in both}) == len({g for _, g in both})
+    # before, each token of each different line was a row, twice
+    assert rows_generated(told._jdf.queryExecution().executedPlan()) < 18 * sum(sizes)
+
+
 def test_long_line_of_few_unrelated_documents_goes(spark):
     rng = random.Random(16)
     passage, short = prose(rng, 60), prose(rng, 6)
