@@ -56,10 +56,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
-    decoded = byte_bpe.decode(encoded, path, pattern)
+    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, decoded=True).drop("text")
     digests = [F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
-    return decoded.select("doc_id", "lang", "source", "n_tokens", *digests)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", *digests)
 
 
 STAGES = [

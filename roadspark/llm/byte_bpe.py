@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from roadspark.llm.common import extended, map_batches, texts, with_fields
+from roadspark.llm.common import extended, map_batches, released, texts, with_fields
 
 #: Pieces whose ids a task keeps between batches; beyond it the store starts anew.
 KEPT_PIECES = 150_000
@@ -179,6 +179,7 @@ class Codec:
     def forget(self) -> None:
         """Let go of the ids met; a worker between tasks holds the vocabulary only."""
         self.pieces, self.chunks = {}, {}
+        released()
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -231,21 +232,27 @@ class Codec:
         return b"".join(self.bytes_of[np.frombuffer(packed, "<u4")])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """Add ``token_ids`` (ids of the whole text as little-endian unsigned 32-bit integers) and ``n_tokens``.
 
+    With ``decoded`` also what ``decode`` adds of these ids, from the same worker, so that a task has one with one vocabulary.
+
     Each match of ``pattern`` is merged by itself; no special tokens.  A null text counts as empty and has
     no ids; repeated rows stay; an empty table gives an empty one; columns named like the new ones are replaced.  ``path`` names the rank file,
     which every executor has.
     """
-    schema = with_fields(docs, T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()))
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decoded]
+    schema = with_fields(docs, *added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         codec.forget()
         for batch in batches:
             ids = codec.encode(texts(batch, text))
-            yield extended(batch, {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())})
+            new = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary())}
+            yield extended(batch, new | ({"decoded": pa.array(map(codec.decode, ids), pa.binary())} if decoded else {}))
+            del batch, ids, new
+            released()
         codec.forget()
 
     return map_batches(docs, run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadspark.llm.common import extended, map_batches, texts, with_fields
+from roadspark.llm.common import extended, map_batches, released, texts, with_fields
 
 #: n-grams of a profile, of a language as of a document.
 PROFILE = 400
@@ -132,6 +132,8 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
         for batch in batches:
             found = [profiles.predict(t) for t in texts(batch, text)]
             yield extended(batch, {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())})
+            del batch, found
+        released()
 
     return map_batches(docs, run, schema)
 
