@@ -22,8 +22,10 @@ TRAIN_ROWS = 20_000
 RECALL = 0.99
 #: Codes of a half at most; the sample has to fill them.
 MOST_CODES = 2048
-#: Rows of an index block and of the searches that meet it.
-BLOCK = 1024
+#: Rows of an index block and of the searches that meet it.  Searches go to each block and vectors to each part, so their copies fall with it.
+BLOCK = 4096
+#: Products held at once.
+PRODUCTS = 1 << 20
 
 
 class MultiIndex:
@@ -137,8 +139,8 @@ def _cells(nodes: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     return map_batches(nodes, run, schema)
 
 
-def candidates(visited: np.ndarray, search: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``x`` and ``y`` of the pairs right at or above ``COSINE``, of those whose cell is visited.
+def meetings(visited: np.ndarray, search: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``x`` and ``y`` of the pairs right at or above ``COSINE``, of those whose cell is visited; about ``PRODUCTS`` at a time at most.
 
     ``search`` tells which row of ``x`` visits the cell ``visited``; ``cells`` are those of ``y``.  Only searches and
     vectors that meet in a cell are multiplied.
@@ -147,17 +149,36 @@ def candidates(visited: np.ndarray, search: np.ndarray, cells: np.ndarray, x: np
     names, begins = np.unique(cells[by_cell], return_index=True)
     ends = np.append(begins[1:], len(cells))
     low, high = (np.searchsorted(visited[by_visit], names, side) for side in ("left", "right"))
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found, held = [], 0
     for k in np.flatnonzero(high > low):
         p, q = search[by_visit[low[k] : high[k]]], by_cell[begins[k] : ends[k]]
-        a, b = np.nonzero(x[p] @ y[q].T >= COSINE - 1e-9)
-        found.append((p[a], q[b]))
+        step = max(1, PRODUCTS // len(q))
+        for at in range(0, len(p), step):
+            some = p[at : at + step]
+            a, b = np.nonzero(x[some] @ y[q].T >= COSINE - 1e-9)
+            found.append((some[a], q[b]))
+            held += len(a)
+            if held >= PRODUCTS:
+                yield _exact(found, x, y)
+                found, held = [], 0
+    if held:
+        yield _exact(found, x, y)
+
+
+def _exact(found: list, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = (np.concatenate(c) for c in zip(*found, strict=True))
     # the products of a matrix depend on its shape in their last bits; these are the same from either side
     exact = (x[a] * y[b]).sum(1) >= COSINE
     return a[exact], b[exact]
 
 
+def candidates(visited: np.ndarray, search: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ``meetings`` at once."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *meetings(visited, search, cells, x, y)]
+    a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    return a, b
+
+
 def _verify(indexes: dict[int, MultiIndex]):
     """What to do with an index block of one first code and the searches that visit cells of it."""
 
@@ -171,27 +192,28 @@ def _verify(indexes: dict[int, MultiIndex]):
         xn, yn, xw, yw = searches["node"].to_numpy(), block["b_node"].to_numpy(), searches["n"].to_numpy(), block["b_n"].to_numpy()
         visited = np.frombuffer(b"".join(searches["run"]), "<u2").astype(np.int64)
         search = np.repeat(np.arange(len(x)), searches["run"].map(len).to_numpy() // 2)
-        a, b = candidates(visited, search, block["b_j"].to_numpy(), x, y)
-        a, b = a[xn[a] != yn[b]], b[xn[a] != yn[b]]
-        if not len(a):
-            return pd.DataFrame([], columns=names)
-        back = np.zeros(len(a), bool)
-        if index is not None:
-            # the search from the other side counts the pair for itself, unless it doesn't visit this cell
-            back = ~index.visits(y[b], block["b_bound"].to_numpy()[b], searches["own_i"].to_numpy()[a], searches["own_j"].to_numpy()[a])
-        ids, where = np.unique(np.concatenate([xn[a], yn[b]]), return_inverse=True)
-        p, q = where[: len(a)], where[len(a) :]
-        links = np.bincount(p, yw[b], len(ids)) + np.bincount(q[back], xw[a[back]], len(ids))
-        label = np.arange(len(ids))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, p, label[q])
-            np.minimum.at(new, q, label[p])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        return pd.DataFrame({"node": ids, "links": links.astype(np.int64), "joined": ids[label]})
+        ids, where = np.unique(np.concatenate([xn, yn]), return_inverse=True)
+        xi, yi = where[: len(xn)], where[len(xn) :]
+        counts, label, linked = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(len(ids), bool)
+        for a, b in meetings(visited, search, block["b_j"].to_numpy(), x, y):
+            other = xn[a] != yn[b]
+            a, b = a[other], b[other]
+            p, q = xi[a], yi[b]
+            np.add.at(counts, p, yw[b])
+            linked[p] = linked[q] = True
+            if index is not None:
+                # the search from the other side counts the pair for itself, unless it doesn't visit this cell
+                back = ~index.visits(y[b], block["b_bound"].to_numpy()[b], searches["own_i"].to_numpy()[a], searches["own_j"].to_numpy()[a])
+                np.add.at(counts, q[back], xw[a[back]])
+            # a node's label is the root of its tree, so trees of earlier pairs join by their roots
+            while (apart := label[p] != label[q]).any():
+                p, q = p[apart], q[apart]
+                least = np.minimum(label[p], label[q])
+                np.minimum.at(label, label[p], least)
+                np.minimum.at(label, label[q], least)
+                while (label[label] != label).any():
+                    label = label[label]
+        return pd.DataFrame({"node": ids[linked], "links": counts[linked], "joined": ids[label[linked]]})
 
     return run
 

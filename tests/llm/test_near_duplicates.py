@@ -4,6 +4,7 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -365,3 +366,24 @@ def test_verified_pairs_of_a_block_are_kept(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in vector_links.links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     near = unit @ unit.T >= vector_links.COSINE
     assert got == {k: int(near[k].sum()) - 1 for k in range(len(x))}
+
+
+def test_pairs_of_a_crowded_block_come_in_parts_and_a_search_goes_to_few_blocks(monkeypatch):
+    """A thousand near copies in one cell, in chains that only later parts join."""
+    random = np.random.default_rng(5)
+    middle = np.linspace(0, 1.2, 600)
+    x = np.stack([np.cos(middle), np.sin(middle), *random.normal(0, 1e-3, (2, 600))], 1)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    monkeypatch.setattr(vector_links, "PRODUCTS", 5000)
+    order = random.permutation(600)
+    side = {"node": np.arange(600)[order], "n": 1, "unit": [r.tobytes() for r in x[order]]}
+    searches = pd.DataFrame(side | {"run": [np.zeros(1, "<u2").tobytes()] * 600, "own_i": 0, "own_j": 0})
+    block = pd.DataFrame({f"b_{k}": v for k, v in side.items()} | {"b_j": 0, "b_bound": 0.0})
+    parts = list(vector_links.meetings(np.zeros(600, int), np.arange(600), np.zeros(600, int), x, x))
+    assert len(parts) > 10 and max(len(a) for a, _ in parts) < 10_000
+    got = vector_links._verify({})((4,), searches, block).set_index("node")
+    near = x @ x.T >= vector_links.COSINE
+    assert got["links"].to_dict() == {k: int(near[k].sum()) - 1 for k in range(600)}
+    assert got["joined"].nunique() == 1
+    # 51,282 vectors with 57 codes of a half: 900 rows and 15,400 searches of a first code were 16 parts
+    assert vector_links.BLOCK >= 4096
